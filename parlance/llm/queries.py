@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import quality
+    from . import language, quality
 
     return {
+        "op4_language_centroids": language.query,
         "op10_quality_compression": quality.query,
     }
 
