@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import language, quality
+    from . import language, quality, toxicity
 
     return {
         "op4_language_centroids": language.query,
+        "op5_toxicity_factorization": toxicity.query,
         "op10_quality_compression": quality.query,
     }
 

@@ -35,7 +35,7 @@ def _letters() -> np.ndarray:
     return t
 
 
-_LETTER = _letters()
+LETTER_HASH = _letters()
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -83,7 +83,7 @@ def scan(data: np.ndarray, text: np.ndarray, first: int = 0, hashes: bool = True
         after[:-1] = black[1:]
         after &= ~cut[1:]
     start, end = np.flatnonzero(black & ~before), np.flatnonzero(black & ~after) + 1
-    h = Prefix(_LETTER[data])(start, end) if hashes else np.zeros(0, U)
+    h = Prefix(LETTER_HASH[data])(start, end) if hashes else np.zeros(0, U)
     return Words(first, data, text, start, end, h, np.searchsorted(start, text))
 
 
