@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import language, quality, toxicity
+    from . import language, pieces, quality, toxicity
 
     return {
+        "op1_sentencepiece_dropout": pieces.query,
         "op4_language_centroids": language.query,
         "op5_toxicity_factorization": toxicity.query,
         "op10_quality_compression": quality.query,
