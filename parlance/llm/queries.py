@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import fingerprints, language, pieces, quality, toxicity
+    from . import fingerprints, language, neardup, pieces, quality, toxicity
 
     return {
         "op1_sentencepiece_dropout": pieces.query,
         "op4_language_centroids": language.query,
         "op5_toxicity_factorization": toxicity.query,
         "op7_fingerprints_piecewise": fingerprints.query,
+        "op8_near_duplicates_minhash": neardup.query,
         "op10_quality_compression": quality.query,
     }
 
