@@ -34,7 +34,9 @@ def sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def names(values: np.ndarray, off: np.ndarray) -> list[bytes]:
     """16 bytes that stand for a whole set: two sums of mixed hashes."""
-    one, two = np.concatenate([[0], np.cumsum(mix(values), dtype=U)]).astype(U), np.concatenate([[0], np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), dtype=U)]).astype(U)
+    one, two = np.zeros(len(values) + 1, U), np.zeros(len(values) + 1, U)
+    np.cumsum(mix(values), out=one[1:])
+    np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), out=two[1:])
     both = np.column_stack([mix(one[off[1:]] - one[off[:-1]]), two[off[1:]] - two[off[:-1]]]).astype(">u8")
     return [r.tobytes() for r in both]
 
