@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import fingerprints, language, neardup, pieces, quality, toxicity
+    from . import fingerprints, language, mixing, neardup, pieces, quality, toxicity
 
     return {
         "op1_sentencepiece_dropout": pieces.query,
         "op4_language_centroids": language.query,
         "op5_toxicity_factorization": toxicity.query,
+        "op6_mixing_pareto": mixing.query,
         "op7_fingerprints_piecewise": fingerprints.query,
         "op8_near_duplicates_minhash": neardup.query,
         "op10_quality_compression": quality.query,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing_sql
+
+    return {"op6_mixing_pareto": mixing_sql.SQL}
