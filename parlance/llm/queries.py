@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import fingerprints, language, mixing, neardup, pieces, quality, spans, toxicity
+    from . import fingerprints, language, mixing, neardup, neighbours, pieces, quality, spans, toxicity
 
     return {
         "op1_sentencepiece_dropout": pieces.query,
         "op2_sentence_spans": spans.query,
+        "op3_neighbours_additive": neighbours.query,
         "op4_language_centroids": language.query,
         "op5_toxicity_factorization": toxicity.query,
         "op6_mixing_pareto": mixing.query,
