@@ -106,3 +106,34 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(many)), count)
     start = words.of[row] + (np.arange(off[-1]) - off[row])
     return Prefix(words.hash)(start, np.minimum(start + k, words.of[row + 1])), off
+
+
+EDGE = np.zeros(256, bool)
+EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def bare(w: Words) -> np.ndarray:
+    """Hashes of the words without ASCII punctuation at their ends; 0 for words of nothing else."""
+    start, end = w.start.copy(), w.end.copy()
+    for place, step in ((start, 1), (end, -1)):
+        at = np.arange(len(start))
+        while len(at):
+            at = at[end[at] > start[at]]
+            at = at[EDGE[w.data[place[at] + min(step, 0)]]]
+            place[at] += step
+    h = Prefix(LETTER_HASH[w.data])(start, end)
+    h[end <= start] = 0
+    return h
+
+
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end words of each line that has words, and the n+1 paragraph offsets of the texts."""
+    if not len(w.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(w.of), np.int64)
+    lines = np.concatenate([[0], np.cumsum(w.data == 10)])
+    stop = np.zeros(len(w.start), bool)
+    stop[:-1] = lines[w.start[1:]] > lines[w.end[:-1]]
+    stop[w.of[1:][np.diff(w.of) > 0] - 1] = True
+    last = np.flatnonzero(stop) + 1
+    first = np.concatenate([[0], last[:-1]])
+    return first, last, np.searchsorted(first, w.of)
