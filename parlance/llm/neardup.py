@@ -23,7 +23,9 @@ from .words import U, mix, scan, shingles, slices
 
 #: Bands and rows a band. At a likeness of 0.8 a pair misses every bucket with a chance of 5e-8, and 1e-5 for the longer bands.
 BANDS, ROWS = 32, 4
-FINE_BANDS, FINE_ROWS = 160, 12
+FINE_BANDS, FINE_ROWS = 100, 10
+#: Up to so many places of wanted texts (24 bytes each) go to all tasks that read the texts; beyond, texts are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +154,16 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
+def turns(left: DataFrame, many: int) -> DataFrame:
+    """left (bucket, node, label) with central: whether a node is one of its bucket's next centres. These are `many`
+    nodes at most, by a hash, of all labels but the bucket's most frequent: any pair of labels has one of the others."""
+    of = Window.partitionBy("bucket")
+    sized = left.repartition("bucket").withColumn("size", F.count("*").over(Window.partitionBy("bucket", "label")))
+    minor = sized.withColumn("most", F.max(F.struct("size", "label")).over(of)).withColumn("minor", F.col("label") != F.col("most.label"))
+    order = of.orderBy(F.col("minor").desc(), F.xxhash64("node", F.lit(many)), "node")
+    return minor.select("bucket", "node", "label", (F.col("minor") & (F.row_number().over(order) <= many)).alias("central"))
+
+
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, place, n_shingles, component_id, keeper) for each row of docs.
 
@@ -161,35 +173,31 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     rows = keep(sketched(docs, k, key, text))
     ids = F.min("doc_id").alias("least_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("place"))).alias("least_place")
     classes = keep(rows.where("node is not null").groupBy("node").agg(F.min("place").alias("place"), F.max("n_shingles").alias("n"), *ids))
-    heads = rows.where("node is not null").join(classes.select("node", "place"), ["node", "place"]).select("node", F.explode("buckets").alias("bucket"))
-    heads = heads.distinct()
-    centres = heads.groupBy("bucket").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("node", "bucket").alias("draw"), "node")).alias("least"))
-    members = keep(heads.join(centres.where("many > 1").select("bucket", F.col("least.node").alias("centre")), "bucket"))
-    nodes = members.select("node").distinct()
-    full = keep(full_sets(docs, nodes.join(classes.select("node", "place"), "node"), k, key, text))
-    links = keep(confirmed(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
+    heads = rows.where("node is not null").join(classes.select("node", "place"), ["node", "place"]).dropDuplicates(["node", "place"])
+    heads = heads.select("node", F.explode("buckets").alias("bucket")).withColumn("draw", F.xxhash64("node", "bucket"))
+    several = heads.groupBy("bucket").agg(F.count("*").alias("many"), F.min("draw").alias("least")).where("many > 1")
+    members = keep(heads.join(several, "bucket").select("bucket", "node", (F.col("draw") == F.col("least")).alias("central")))
+    nodes = keep(members.select("node").distinct().join(classes.select("node", "place"), "node"))
+    wanted = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
+    full = keep(full_sets(docs, wanted, k, key, text))
+    centres = members.where("central").select("bucket", F.col("node").alias("centre"))
+    star = members.join(centres, "bucket").where("node <> centre")
+    links = keep(confirmed(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
     labels = keep(components(links))
-    open_nodes = keep(mixed(labelled(members, labels)).select("node").distinct())
+    open_nodes = keep(mixed(labelled(members.select("bucket", "node"), labels)).select("node").distinct())
     if not open_nodes.isEmpty():
-        fine = fine_members(full, open_nodes)
-        several = fine.groupBy("bucket").count().where("count > 1").select("bucket")
-        left = keep(mixed(labelled(keep(fine.join(several, "bucket", "left_semi")), labels)))
+        left = keep(mixed(labelled(keep(fine_members(full, open_nodes)), labels)))
         centres_a_round = 1
         while not left.isEmpty():
-            # centres come from all labels but the bucket's most frequent; each meets every member with another label
-            size = left.groupBy("bucket", "label").count()
-            most = size.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("most")).select("bucket", F.col("most.label").alias("most"))
-            draw = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(centres_a_round)), "node")
-            minor = left.join(most, "bucket").where("label <> most")
-            chosen = keep(minor.withColumn("turn", F.row_number().over(draw)).where(F.col("turn") <= centres_a_round).select("bucket", "node", "label"))
-            edges = left.join(chosen.select("bucket", F.col("node").alias("centre"), F.col("label").alias("its")), "bucket").where("label <> its")
+            dealt = keep(turns(left, centres_a_round))
+            chosen = dealt.where("central").select("bucket", F.col("node").alias("centre"), F.col("label").alias("its"))
+            edges = dealt.join(chosen, "bucket").where("label <> its")
             found = keep(confirmed(edges.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
-            links = links.unionByName(found)
             if not found.isEmpty():
+                links = keep(links.unionByName(found))
                 labels = keep(components(links))
-            rest = left.select("bucket", "node").join(chosen, ["bucket", "node"], "left_anti")
-            left = keep(mixed(labelled(rest, labels)))
-            centres_a_round *= 2
+            left = keep(mixed(labelled(dealt.where("not central").select("bucket", "node"), labels)))
+            centres_a_round *= 4
     whole = labelled(classes, labels)
     ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("least_place").alias("spare"))
     ends = ends.select("label", "component_id", F.coalesce("component_id", "spare").alias("keeper"))
