@@ -79,9 +79,10 @@ def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "
 
     rows = docs.select(place(docs, key, text).alias("place"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     spans = keep(rows.mapInArrow(found, "span long, place long, hash long, pos int"))
-    many = spans.groupBy("span").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("span", "least")
+    # the sums are kept before they are joined, so that Spark may split the join's partition of a very frequent span
+    many = keep(spans.groupBy("span").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("span", "least"))
     hits = keep(spans.join(many, "span"))
-    start = hits.where("place = least").groupBy("span").agg(F.min("pos").alias("start"))
+    start = keep(hits.where("place = least").groupBy("span").agg(F.min("pos").alias("start")))
     later = hits.join(start, "span").where("place > least or pos > start")
     return later.groupBy("place", "hash").agg(F.collect_set("pos").alias("later"))
 
