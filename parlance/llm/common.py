@@ -79,9 +79,9 @@ def append(df: DataFrame, inputs: list[str], fields: list[T.StructField], make:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """df as it is if Spark splits its files into small enough tasks already; kept as a seam for sources that do not."""
-    return df
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has `most` rows or fewer by count; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def sampled_labels(labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:

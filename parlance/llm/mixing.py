@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -77,7 +77,7 @@ def drawn(rows: DataFrame) -> DataFrame:
     per = per.withColumn("c", F.coalesce(F.max(F.when(fits, F.col("c"))).over(Window.partitionBy("source")), F.lit(float(MOST))))
     rate = F.least(F.greatest(F.col("c") * F.col("g"), F.lit(0.0)), F.lit(float(MOST)))
     per = keep(per.select(F.col("source").alias("its"), F.col("g").alias("its_g"), "source_size", "target", rate.alias("rate")))
-    wanted = rows.join(per, F.col("source").eqNullSafe(F.col("its")) & (F.col("g") == F.col("its_g"))).drop("its", "its_g")
+    wanted = rows.join(small(per), F.col("source").eqNullSafe(F.col("its")) & (F.col("g") == F.col("its_g"))).drop("its", "its_g")
     wanted = wanted.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.floor("rate"))
     # ratio: random odds by inclusion odds; a rate without a fraction is never drawn
     ratio = F.when((F.col("part") > 0) & (F.col("size") > 0), odds(F.col("key")) * (1 - F.col("part")) / F.col("part"))
@@ -96,7 +96,7 @@ def drawn(rows: DataFrame) -> DataFrame:
     nearer = (F.col("upto") <= F.col("gap")) | ((F.col("upto") - F.col("gap")) < (F.col("gap") - (F.col("upto") - F.col("size"))))
     last = inside.withColumn("upto", upto).where(nearer).groupBy("its").agg(F.max(F.struct("ratio", "key")).alias("last"))
     edges = cross.select("its", "edge").join(last.withColumnRenamed("its", "i"), F.col("its").eqNullSafe(F.col("i")), "left").select("its", "edge", F.col("last.ratio").alias("last_ratio"), F.col("last.key").alias("last_key"))
-    ready = wanted.join(edges, F.col("source").eqNullSafe(F.col("its")), "left")
+    ready = wanted.join(small(keep(edges)), F.col("source").eqNullSafe(F.col("its")), "left")
     within = F.col("ratio").isNotNull() & (
         F.col("edge").isNull() | (F.col("slice") < F.col("edge"))
         | ((F.col("slice") == F.col("edge")) & F.coalesce(F.struct("ratio", "key") <= F.struct(F.col("last_ratio").alias("ratio"), F.col("last_key").alias("key")), F.lit(False)) & F.col("last_ratio").isNotNull())
