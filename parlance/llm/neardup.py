@@ -2,10 +2,10 @@
 
 Steps: a sketch of each text; texts of the same shingle set form a class, of which one member goes on; classes meet in
 buckets by bands of their sketches; a bucket gives edges from one centre to its other members; edges are confirmed on
-full shingle sets; components follow. A star leaves pairs of its members untested: classes of buckets that hold several
-components afterwards are sketched anew with longer bands, whose small buckets get further centres, more each round,
-until no bucket holds an untested pair of different components. So the candidates of both bandings are tested whole,
-with no cap, and their number is bounded by stars where groups are large."""
+full shingle sets; components follow. A star leaves pairs of its members untested. Where a bucket holds several components
+afterwards, its members outside the most frequent one are compared with all, block by block inside tasks that give only
+what passes. So every pair of one bucket is either in one component or compared, with no cap, while rows between stages
+grow with the members of buckets."""
 
 from __future__ import annotations
 
@@ -21,9 +21,10 @@ from .common import keep
 from .components import components
 from .words import U, mix, scan, shingles, slices
 
-#: Bands and rows a band. At a likeness of 0.8 a pair misses every bucket with a chance of 5e-8, and 1e-5 for the longer bands.
+#: Bands and rows a band. At a likeness of 0.8 a pair misses every bucket with a chance of 5e-8.
 BANDS, ROWS = 32, 4
-FINE_BANDS, FINE_ROWS = 100, 10
+#: Nodes a side that one task compares at once.
+BLOCK = 1000
 #: Up to so many places of wanted texts (24 bytes each) go to all tasks that read the texts; beyond, texts are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -127,23 +128,6 @@ def confirmed(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return met.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
 
-def fine_members(full: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, node) of the longer bands, for the given nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                lists = part.column(1)
-                off = lists.offsets.to_numpy().astype(np.int64)
-                # array_distinct order is not promised to survive; sketches need sorted unsigned hashes
-                values, of = sets(lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(U)[: off[-1]], off)
-                numbers = bands(sketch(values, of, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), FINE_BANDS)))], names=["bucket", "node"])
-
-    return full.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(run, "bucket long, node binary")
-
-
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -154,14 +138,59 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
-def turns(left: DataFrame, many: int) -> DataFrame:
-    """left (bucket, node, label) with central: whether a node is one of its bucket's next centres. These are `many`
-    nodes at most, by a hash, of all labels but the bucket's most frequent: any pair of labels has one of the others."""
+def untested(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels in one bucket of left (bucket, node, label) whose sets are likely to be
+    alike enough; of a node and a label one pair is enough.
+
+    Nodes outside a bucket's most frequent label meet all its nodes. A bucket is dealt to groups of BLOCK such nodes by
+    BLOCK of all, so that no group outgrows a task; a group compares its sets, cut to 32 bits a shingle, at once and gives
+    only what passes, so rows grow with the members of buckets, not with their pairs."""
     of = Window.partitionBy("bucket")
-    sized = left.repartition("bucket").withColumn("size", F.count("*").over(Window.partitionBy("bucket", "label")))
-    minor = sized.withColumn("most", F.max(F.struct("size", "label")).over(of)).withColumn("minor", F.col("label") != F.col("most.label"))
-    order = of.orderBy(F.col("minor").desc(), F.xxhash64("node", F.lit(many)), "node")
-    return minor.select("bucket", "node", "label", (F.col("minor") & (F.row_number().over(order) <= many)).alias("central"))
+    sized = left.withColumn("size", F.count("*").over(Window.partitionBy("bucket", "label")))
+    counted = sized.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("many"))
+    marked = sized.join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
+    minors = F.ceil((F.col("many") - F.col("most.size")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    right = F.transform(upto(minors), lambda i: F.struct(i.alias("i"), at(blocks, 1).alias("j"), F.lit(False).alias("left")))
+    lefts = F.transform(upto(blocks), lambda j: F.struct(at(minors, 2).alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    short = F.transform("set", lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sized = marked.join(full.select("node", short.alias("set")), "node")
+    every = F.when(F.col("minor"), F.concat(lefts, right)).otherwise(right)
+    dealt = sized.select("bucket", "node", "label", "set", F.explode(every).alias("at")).select("bucket", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.left").alias("left"), "node", "label", "set")
+
+    def run(group: pa.Table) -> pa.Table:
+        left = group.column("left").to_numpy()
+        nodes, marks = group.column("node").to_pylist(), group.column("label").to_pylist()
+        lists = group.column("set").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        _, word, many = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = many[word] > 1
+        row, word = row[shared], np.unique(word[shared], return_inverse=True)[1]
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        place = np.zeros(len(size), np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        both = np.zeros((len(a), len(b)), np.float32)
+        for k in range(0, int(word.max(initial=-1)) + 1, 2048):  # columns of the two incidence matrices, some at a time
+            here = (word >= k) & (word < k + 2048)
+            r, w = row[here], word[here] - k
+            x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+            x[place[r[left[r]]], w[left[r]]] = 1
+            y[place[r[~left[r]]], w[~left[r]]] = 1
+            both += x @ y.T
+        union = size[a][:, None] + size[b][None, :] - both
+        i, j = np.nonzero(both * 100 >= (percent - 0.05) * union)
+        best = np.argsort(-(both[i, j] / union[i, j]), kind="stable")  # so that the pair kept of a node and a label is their likest
+        i, j = i[best], j[best]
+        found: dict[tuple, tuple] = {}
+        for p, q in zip(a[i].tolist(), b[j].tolist(), strict=True):
+            if marks[p] != marks[q]:
+                found.setdefault((p, marks[q]), (nodes[p], nodes[q]))
+        return pa.table({"a": pa.array([f[0] for f in found.values()], pa.binary()), "b": pa.array([f[1] for f in found.values()], pa.binary())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,20 +213,10 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     star = members.join(centres, "bucket").where("node <> centre")
     links = keep(confirmed(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
     labels = keep(components(links))
-    open_nodes = keep(mixed(labelled(members.select("bucket", "node"), labels)).select("node").distinct())
-    if not open_nodes.isEmpty():
-        left = keep(mixed(labelled(keep(fine_members(full, open_nodes)), labels)))
-        centres_a_round = 1
-        while not left.isEmpty():
-            dealt = keep(turns(left, centres_a_round))
-            chosen = dealt.where("central").select("bucket", F.col("node").alias("centre"), F.col("label").alias("its"))
-            edges = dealt.join(chosen, "bucket").where("label <> its")
-            found = keep(confirmed(edges.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
-            if not found.isEmpty():
-                links = keep(links.unionByName(found))
-                labels = keep(components(links))
-            left = keep(mixed(labelled(dealt.where("not central").select("bucket", "node"), labels)))
-            centres_a_round *= 4
+    left = keep(mixed(labelled(members.select("bucket", "node"), labels)))
+    more = keep(confirmed(keep(untested(left, full, percent)), full, percent))
+    if not more.isEmpty():
+        labels = keep(components(keep(links.unionByName(more))))
     whole = labelled(classes, labels)
     ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("least_place").alias("spare"))
     ends = ends.select("label", "component_id", F.coalesce("component_id", "spare").alias("keeper"))
