@@ -3,6 +3,6 @@
 
 def everything() -> dict:
     """name -> (query, oracle SQL or None)."""
-    from parlance.plans import speech
+    from parlance.plans import speech, texts
 
-    return {**speech.QUERIES}
+    return {**speech.QUERIES, **texts.QUERIES}
