@@ -3,6 +3,6 @@
 
 def everything() -> dict:
     """name -> (query, oracle SQL or None)."""
-    from parlance.plans import speech, texts
+    from parlance.plans import speech, texts, work
 
-    return {**speech.QUERIES, **texts.QUERIES}
+    return {**speech.QUERIES, **texts.QUERIES, **work.QUERIES}
