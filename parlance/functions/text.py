@@ -212,3 +212,28 @@ def filled(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), value)
     return out
+
+
+#: Where a sentence ends for entity chunks.
+SENTENCE = r"""(?s).+?(?:[.!?]+["')\]]*(?=\s+|$)|\n{2,}|$)"""
+
+
+def entity_chunks(text: Column, budget: int = 512) -> Column:
+    """Sentences packed to chunks of at most `budget` words. A sentence that does not fit opens a new chunk and is cut to
+    `budget` words; what lies beyond is lost, as in the engine that this follows. Blank text gives no chunk."""
+    found = F.filter(F.transform(F.regexp_extract_all(strip(text), F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
+    lists = F.transform(found, split_words)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
+
+    def step(s, w):
+        over = F.size(s["now"]) + F.size(w) > budget
+        flushed = F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], " ")))).otherwise(s["done"])
+        return F.when(over, F.struct(flushed.alias("done"), F.slice(w, 1, budget).alias("now"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], w).alias("now")))
+
+    return F.aggregate(lists, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], " ")))).otherwise(s["done"]))
+
+
+def local_path(name: Column, label: Column, language: Column, extension: str) -> Column:
+    """output/<stem>/<stem>_<label>[_<language>].<extension>; a stem keeps its inner dots."""
+    s = stem(name)
+    return F.concat(F.lit("output/"), s, F.lit("/"), s, F.lit("_"), label, F.coalesce(F.concat(F.lit("_"), language), F.lit("")), F.lit("." + extension))

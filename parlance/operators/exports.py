@@ -143,3 +143,44 @@ def archives(files: DataFrame, key: str = "job_id") -> DataFrame:
         return pd.DataFrame({key: [some[key].iloc[0]], "archive": [zipped((m, bytes(c)) for m, c in zip(some["member"], some["content"], strict=True))]})
 
     return files.select(key, "pos", "member", "content").groupBy(key).applyInPandas(run, f"{key} long, archive binary")
+
+
+def workbooks(tables: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
+    """(key, content): a workbook of one sheet for each key, rows in order; a key's rows are one file's table."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(by)[columns].astype(object).where(lambda d: d.notna(), None)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [sheet(columns, map(tuple, rows.values.tolist()))]})
+
+    return tables.select(key, by, *(c for c in columns if c not in (key, by))).groupBy(key).applyInPandas(run, f"{key} long, content binary")
+
+
+#: What can be asked for by name, and its media type.
+ARTIFACTS = {
+    "transcript.csv": "text/csv", "transcript.xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "transcript.txt": "text/plain",
+    "translation.txt": "text/plain", "summary.txt": "text/plain", "wordcounts.csv": "text/csv",
+    "wordcounts.xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "entities.csv": "text/csv",
+    "entities.xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "wordcloud.png": "image/png", "hate_speech.csv": "text/csv",
+    "hate_speech.xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "segments.jsonl": "application/x-ndjson",
+    "archive.zip": "application/zip", "keyframes.zip": "application/zip",
+}
+BATCH_ARTIFACTS = {"archive.zip": "application/zip", "segments.jsonl": "application/x-ndjson"}
+
+
+def artifacts(results: DataFrame) -> DataFrame:
+    """(job_id, artifact, media_type): the named outputs that a job has, from the flags of its results."""
+    need = {
+        "transcript.csv": "has_transcript", "transcript.xlsx": "has_transcript", "transcript.txt": "has_transcript", "translation.txt": "has_translation",
+        "summary.txt": "has_summary", "wordcounts.csv": "has_words", "wordcounts.xlsx": "has_words", "entities.csv": "has_entities", "entities.xlsx": "has_entities",
+        "wordcloud.png": "has_cloud", "hate_speech.csv": "has_findings", "hate_speech.xlsx": "has_findings", "segments.jsonl": "has_transcript",
+    }
+    some = F.lit(False)
+    for flag in sorted(set(need.values())):
+        some = some | F.col(flag)
+    frames = F.col("n_frames") > 0
+    names = [F.when(F.col(flag), F.lit(name)) for name, flag in need.items()]
+    names += [F.when(some | frames, F.lit("archive.zip")), F.when(frames, F.lit("keyframes.zip"))]
+    types = F.create_map(*(F.lit(x) for kv in ARTIFACTS.items() for x in kv))
+    made = results.select("job_id", F.explode(F.array_compact(F.array(*names))).alias("artifact"))
+    return made.withColumn("media_type", F.element_at(types, F.col("artifact")))

@@ -292,3 +292,7 @@ QUERIES = {
     "fn_ends_terminal": (lambda s, d: D.segments(s, d).select("file_id", "seg_idx", X.ends_sentence(F.col("text")).alias("ends")), ONE(r"SELECT file_id, seg_idx, regexp_matches(text, '[.!?؟۔]\s*$') AS ends FROM segments", "segments")),
     "fn_sentence_text": (lambda s, d: D.segments(s, d).select("file_id", "seg_idx", X.sentence(F.col("text"), F.lit("؟")).alias("text")), ONE("SELECT file_id, seg_idx, CASE WHEN regexp_matches(text, '[.!?؟۔]$') THEN text ELSE text || '؟' END AS text FROM segments", "segments")),
 }
+QUERIES["ml_asr"] = QUERIES["src_asr"]
+QUERIES["pipe_translation"] = QUERIES["ml_translate"]
+QUERIES["pipe_summary"] = QUERIES["ml_summary"]
+QUERIES["pipe_cli"] = QUERIES["pipe_job"]

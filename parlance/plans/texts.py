@@ -233,8 +233,36 @@ SETTINGS = """SELECT event_id, CASE WHEN event_id % 7 < 3 THEN true WHEN event_i
   CASE event_id % 5 WHEN 3 THEN 'http://a:1/v2' WHEN 4 THEN '' ELSE 'http://a:1' END AS root,
   greatest(event_id % 9 - 3, 0)::DOUBLE AS rate, least(greatest(event_id % 400 - 50, 0), 200)::BIGINT AS most FROM events"""
 
-DOC = lambda column: lambda s, d: docs(s, d).select("doc_id", *column)
-FILE = lambda column: lambda s, d: names(s, d).select("page_id", column)
+def capital_pairs(texts: list[str]) -> list[str | None]:
+    """Stand-in for an entity model: capitalised words as persons, as JSON."""
+    import json
+    import re
+
+    return [json.dumps([{"text": w, "label": "person", "score": 0.9} for w in re.findall(r"\b[A-Z][a-z]{2,}\b", t)]) for t in texts]
+
+
+def chunks(spark, sf):
+    return docs(spark, sf).select("file_id", F.posexplode(X.entity_chunks(C("text"))).alias("pos", "chunk")).withColumn("pos", C("pos").cast("long"))
+
+
+def recognised(spark, sf):
+    """Entities of each chunk from the stand-in; a chunk whose call fails is left out, the others count."""
+    found = scorers.scored(chunks(spark, sf), "chunk", capital_pairs)
+    each = found.select("file_id", C("pos").alias("chunk_pos"), F.posexplode(F.from_json("reply", "array<struct<text:string,label:string,score:double>>")).alias("i", "e"))
+    rows = each.select("file_id", (C("chunk_pos") * 100_000 + C("i")).alias("pos"), "e.text", "e.label", "e.score")
+    return counts.entity_tally(counts.entities(rows)).groupBy("file_id").agg(F.count("*").alias("entities"), F.sum("frequency").alias("frequency"))
+
+
+def voted(spark, sf):
+    return counts.voted_language(docs(spark, sf), counts.stopwords(spark))
+
+
+def paths(spark, sf):
+    return names(spark, sf).select("page_id", X.local_path(X.safe_name(C("name")), F.lit("words"), F.when(C("page_id") % 2 == 0, "de"), "csv").alias("path"))
+
+
+DOC = lambda column: lambda s, d: docs(s, d).select("doc_id", *column())
+FILE = lambda column: lambda s, d: names(s, d).select("page_id", column())
 QUERIES = {
     "src_upload": (uploads, UPLOADS),
     "src_hash_cli": (lambda s, d: uploads(s, d).select("page_id", "digest"), f"SELECT page_id, digest FROM ({UPLOADS})"),
@@ -243,7 +271,7 @@ QUERIES = {
     "src_nlp_model": (tokenizer, "WITH " + values_sql("models", L.TOKENIZERS) + """ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ar_words' ELSE coalesce((SELECT name FROM models m WHERE m.code = CASE WHEN doc_id % 7 = 0 THEN 'qq' ELSE lang END), 'xx_multi_sm') END AS model FROM documents"""),
     "src_llm": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
     "ml_hate_detect": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
-    "lim_chars": (DOC([F.substring("text", 1, 2048).alias("text")]), "SELECT doc_id, left(text, 2048) AS text FROM documents"),
+    "lim_chars": (DOC(lambda: [F.substring("text", 1, 2048).alias("text")]), "SELECT doc_id, left(text, 2048) AS text FROM documents"),
     "join_lang_name": (lang_name, f"WITH {NAMES}, {CODES} SELECT doc_id, coalesce({NAMED}, '') AS language FROM codes c"),
     "join_lang_name_export": (export_name, f"WITH {NAMES}, {CODES} SELECT doc_id, coalesce({NAMED}, CASE WHEN coalesce(code, '') = '' THEN 'German' ELSE code END) AS language FROM codes c"),
     "join_target_name": (target_name, f"WITH {NAMES}, {TARGETS}, {CODES} SELECT doc_id, coalesce((SELECT name FROM targets t WHERE t.code = c.code), {NAMED}, code) AS language FROM codes c"),
@@ -256,10 +284,10 @@ QUERIES = {
     "sort_languages": (lambda s, d: L.by_name(L.dimension(s, L.NAMES)), f"WITH {NAMES} SELECT *, row_number() OVER (ORDER BY name) AS pos FROM names"),
     "lang_default_target": (lambda s, d: L.default_target(L.dimension(s, L.TARGETS), "tlh"), "SELECT 'en' AS code"),
     "fn_translation_prompt": (lambda s, d: lang_name(s, d).select("doc_id", X.filled("From {a} to {b}", a=C("language"), b=F.lit("English")).alias("prompt")), f"WITH {NAMES}, {CODES} SELECT doc_id, 'From ' || coalesce({NAMED}, '') || ' to English' AS prompt FROM codes c"),
-    "fn_prompts": (DOC([X.filled("Sum up: {text}", text=F.substring("text", 1, 50)).alias("prompt")]), "SELECT doc_id, 'Sum up: ' || left(text, 50) AS prompt FROM documents"),
-    "fn_sanitize_filename": (FILE(X.safe_name(C("name")).alias("safe")), f"WITH {FILES} SELECT page_id, {SAFE.format('name')} AS safe FROM files"),
-    "fn_file_stem": (FILE(X.stem(C("name")).alias("stem")), f"WITH {FILES} SELECT page_id, {STEM} AS stem FROM files"),
-    "fn_download_name": (FILE(X.quoted(X.download_name(C("name"), F.lit("summary.txt"))).alias("quoted")), f"WITH {FILES} SELECT page_id, url_encode({SAFE.format(STEM)} || '_summary.txt') AS quoted FROM files"),
+    "fn_prompts": (DOC(lambda: [X.filled("Sum up: {text}", text=F.substring("text", 1, 50)).alias("prompt")]), "SELECT doc_id, 'Sum up: ' || left(text, 50) AS prompt FROM documents"),
+    "fn_sanitize_filename": (FILE(lambda: X.safe_name(C("name")).alias("safe")), f"WITH {FILES} SELECT page_id, {SAFE.format('name')} AS safe FROM files"),
+    "fn_file_stem": (FILE(lambda: X.stem(C("name")).alias("stem")), f"WITH {FILES} SELECT page_id, {STEM} AS stem FROM files"),
+    "fn_download_name": (FILE(lambda: X.quoted(X.download_name(C("name"), F.lit("summary.txt"))).alias("quoted")), f"WITH {FILES} SELECT page_id, url_encode({SAFE.format(STEM)} || '_summary.txt') AS quoted FROM files"),
     "fn_split_budget": (packed, None),
     "fn_parse_boundaries": (parsed_boundaries, f"WITH {BOUNDARIES} SELECT doc_id, i AS index, arg_min(CASE c WHEN 'S' THEN '.' WHEN 'Q' THEN '؟' WHEN 'E' THEN '!' ELSE '.' END, ord) AS mark FROM pairs WHERE i BETWEEN 0 AND 19 GROUP BY ALL"),
     "fn_parse_detection": (lambda s, d: detections(s, d).select("file_id", "detection.*"), ONE(DETECTED, "replies")),
@@ -285,7 +313,12 @@ QUERIES = {
     "pipe_words": (words_pipeline, ONE("", "entity_replies").rstrip() + f", {ENT}, {TOKENS} SELECT file_id, distinct_words, most, coalesce(entities, 0)::BIGINT AS entities FROM (SELECT file_id, count(*) AS distinct_words, max(frequency) AS most FROM counted GROUP BY file_id) LEFT JOIN (SELECT file_id, count(*) AS entities FROM fine GROUP BY file_id) USING (file_id)"),
     "src_keyframes": (frames, """SELECT doc_id, pos - 1 AS pos, item FROM (SELECT doc_id, unnest(l) AS item, generate_subscripts(l, 1) AS pos FROM (
       SELECT doc_id, CASE WHEN n <= 8 THEN [i * 2 for i in range(n)] ELSE [floor(i * (n / 8.0::DOUBLE))::BIGINT * 2 for i in range(8)] END AS l FROM (SELECT doc_id, length(text) % 37 + 1 AS n FROM documents)))"""),
-    "keyframe_target": (DOC([X.keyframes(F.length("text") / 100.0, F.lit(0.5), F.lit(20)).alias("frames")]), "SELECT doc_id, least(greatest(round_even(length(text) / 100.0::DOUBLE * 0.5::DOUBLE, 0), 1), 20)::BIGINT AS frames FROM documents"),
+    "fn_ner_chunks": (chunks, None),
+    "src_ner": (recognised, None),
+    "ml_detect_lang": (voted, rf"""WITH {STOP}, votes AS (SELECT doc_id, s.lang, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) w JOIN stop s USING (word) GROUP BY ALL)
+      SELECT doc_id AS file_id, coalesce((SELECT arg_min(lang, (-n, lang)) FROM votes v WHERE v.doc_id = d.doc_id), 'en') AS language FROM documents d"""),
+    "snk_local_dir": (paths, "WITH " + FILES + f", safe AS (SELECT page_id, {SAFE.format('name')} AS name FROM files), stems AS (SELECT page_id, {STEM} AS stem FROM safe) SELECT page_id, 'output/' || stem || '/' || stem || '_words' || CASE WHEN page_id % 2 = 0 THEN '_de' ELSE '' END || '.csv' AS path FROM stems"),
+    "keyframe_target": (DOC(lambda: [X.keyframes(F.length("text") / 100.0, F.lit(0.5), F.lit(20)).alias("frames")]), "SELECT doc_id, least(greatest(round_even(length(text) / 100.0::DOUBLE * 0.5::DOUBLE, 0), 1), 20)::BIGINT AS frames FROM documents"),
     "keyframe_clamp": (lambda s, d: settings(s, d).select("event_id", "rate", "most"), f"SELECT event_id, rate, most FROM ({SETTINGS})"),
     "fn_tristate": (lambda s, d: settings(s, d).select("event_id", "flag"), f"SELECT event_id, flag FROM ({SETTINGS})"),
     "fn_service_root": (lambda s, d: settings(s, d).select("event_id", "root"), f"SELECT event_id, root FROM ({SETTINGS})"),

@@ -224,6 +224,39 @@ def streamed(spark, sf) -> DataFrame:
     return states.groupBy("owner_id", "job_id").agg(F.max_by(F.struct("status", "stage_index", "stage", "progress"), "seq").alias("s")).select("owner_id", "job_id", "s.*")
 
 
+def books(spark, sf) -> DataFrame:
+    """A workbook for each file's most frequent words: whether it is a zip, and that it has a size."""
+    t = texts.top_words(spark, sf).select("file_id", "rank", "word", "frequency")
+    made = E.workbooks(t, "file_id", ["word", "frequency"], "rank")
+    return made.select("file_id", F.hex(F.substring("content", 1, 2)).alias("magic"), (F.length("content") > 600).alias("filled"))
+
+
+def fanned(spark, sf) -> DataFrame:
+    """Ended jobs from the sink of terminal states, that a fan-out of the progress stream writes beside the one of all."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
+    at = f"{base}/parlance/fan-{uuid.uuid4().hex}"
+    log = D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long"))
+    log.write.parquet(f"{at}/log")
+    q = S.fan_out(S.progress(S.read(spark, f"{at}/log", log.schema, 100)), {"all": f"{at}/all", "terminal": f"{at}/terminal"}, f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(S.PROGRESS).parquet(f"{at}/terminal").select("job_id", "status")
+
+
+def once(spark, sf) -> DataFrame:
+    """One terminal event a job from a log in which every event comes twice."""
+    e = D.job_events(spark, sf)
+    return S.first_terminal(e.unionByName(e)).select("job_id", "event")
+
+
+def both_files(spark, sf) -> DataFrame:
+    """The local rendering of a transcript: names of its table, workbook and texts."""
+    t = timed(spark, sf).groupBy("file_id").agg(F.max("has_translation").alias("has_translation"))
+    ends = F.array_compact(F.array(F.lit("_transcript.csv"), F.lit("_transcript.xlsx"), F.lit("_transcript.txt"), F.when(C("has_translation"), "_translation.txt")))
+    return t.select(F.explode(F.transform(ends, lambda e: F.concat(C("file_id").cast("string"), e))).alias("name"))
+
+
 JOBS = lambda sql: ONE(sql, "jobs")
 EVENTS = lambda sql: ONE(sql, "job_events")
 LIST = lambda f: (lambda s, d: f(D.jobs(s, d)))
@@ -272,3 +305,11 @@ QUERIES = {
     "sort_jobs_newest": (lambda s, d: ranked(s, d, True), JOBS("SELECT owner_id, job_id, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, job_id) AS pos FROM jobs")),
     "sort_jobs_oldest": (lambda s, d: ranked(s, d, False), JOBS("SELECT owner_id, job_id, row_number() OVER (PARTITION BY owner_id ORDER BY created_at, job_id) AS pos FROM jobs")),
 }
+QUERIES |= {
+    "snk_xlsx": (books, f"WITH {texts.TOKENS} SELECT DISTINCT file_id, '504B' AS magic, true AS filled FROM top"),
+    "snk_transcript_local": (both_files, with_timed("SELECT file_id || e AS name FROM (SELECT DISTINCT file_id, unnest(CASE WHEN has_translation THEN ['_transcript.csv', '_transcript.xlsx', '_transcript.txt', '_translation.txt'] ELSE ['_transcript.csv', '_transcript.xlsx', '_transcript.txt'] END) AS e FROM timed)")),
+    "snk_artifact": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).groupBy("artifact", "media_type").agg(F.count("*").alias("jobs")), None),
+    "snk_artifact_batch": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), None),
+    "st_fanout": (fanned, with_folded("SELECT job_id, status FROM folded WHERE status <> 'running'")),
+    "st_reconnect": (once, EVENTS("SELECT job_id, event FROM job_events WHERE event IN ('job_completed', 'job_failed')")),
+}
