@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,24 +204,24 @@ def undeleted(spark, sf) -> DataFrame:
     return S.undeleted(D.job_events(spark, sf), gone).groupBy("owner_id").agg(F.count("*").alias("events"))
 
 
-def streamed(spark, sf) -> DataFrame:
-    """The event log read as a stream of files, folded with keyed state, last state a job; as the batch fold."""
+def folder(spark) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    at = f"{base}/parlance/stream-{spark.sparkContext.applicationId}"
-    log = D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long"))
-    log.repartitionByRange(4, "seq").write.mode("overwrite").parquet(f"{at}/log")
-    out = f"{at}/out"
-    spark.createDataFrame([], S.PROGRESS).write.mode("overwrite").parquet(out)
+    return f"{base}/parlance/stream-{uuid.uuid4().hex}"
 
-    def write(rows: DataFrame, number: int) -> None:
-        rows.write.mode("append").parquet(out)
 
-    import uuid
+def event_log(spark, sf, at: str) -> DataFrame:
+    """The job events, written as a log of files in the order of seq, and read as a stream."""
+    log = D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long"))
+    log.repartitionByRange(4, "seq").write.parquet(f"{at}/log")
+    return S.read(spark, f"{at}/log", log.schema, files_a_batch=100)
+
 
-    stream = S.progress(S.read(spark, f"{at}/log", log.schema, files_a_batch=100))
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    states = spark.read.schema(S.PROGRESS).parquet(out)
+def streamed(spark, sf) -> DataFrame:
+    """The event log read as a stream of files, folded with keyed state, last state a job; as the batch fold."""
+    at = folder(spark)
+    S.fan_out(S.progress(event_log(spark, sf, at)), {"all": f"{at}/all"}, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(S.PROGRESS).parquet(f"{at}/all")
     return states.groupBy("owner_id", "job_id").agg(F.max_by(F.struct("status", "stage_index", "stage", "progress"), "seq").alias("s")).select("owner_id", "job_id", "s.*")
 
 
@@ -233,21 +234,18 @@ def books(spark, sf) -> DataFrame:
 
 def fanned(spark, sf) -> DataFrame:
     """Ended jobs from the sink of terminal states, that a fan-out of the progress stream writes beside the one of all."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    at = f"{base}/parlance/fan-{uuid.uuid4().hex}"
-    log = D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long"))
-    log.write.parquet(f"{at}/log")
-    q = S.fan_out(S.progress(S.read(spark, f"{at}/log", log.schema, 100)), {"all": f"{at}/all", "terminal": f"{at}/terminal"}, f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    at = folder(spark)
+    S.fan_out(S.progress(event_log(spark, sf, at)), {"all": f"{at}/all", "terminal": f"{at}/terminal"}, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(S.PROGRESS).parquet(f"{at}/terminal").select("job_id", "status")
 
 
 def once(spark, sf) -> DataFrame:
-    """One terminal event a job from a log in which every event comes twice."""
-    e = D.job_events(spark, sf)
-    return S.first_terminal(e.unionByName(e)).select("job_id", "event")
+    """One terminal event a job from a stream in which every event comes twice, as after a reconnect."""
+    at = folder(spark)
+    log = event_log(spark, sf, at)
+    ended = S.first_terminal(log.unionByName(log)).select("job_id", "event")
+    ended.writeStream.outputMode("append").format("parquet").option("path", f"{at}/once").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id long, event string").parquet(f"{at}/once")
 
 
 def both_files(spark, sf) -> DataFrame:
