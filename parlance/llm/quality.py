@@ -103,10 +103,10 @@ def measure(good: bytes, bad: bytes):
     return make
 
 
-def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with score double (0 to 1, higher: better) and predicted int; null or empty text is scored as the empty text.
 
-    Columns named score or predicted are replaced. Equal texts score equally; row order has no effect."""
+    Columns of these two names, which `names` sets, are replaced. Equal texts score equally; row order has no effect."""
     good, bad, w = model
     kept: list[Compressors] = []
 
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], text: str =
         p = sigmoid(np.column_stack([_shape(f), np.ones(len(f))]) @ np.array(w))
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return append(docs, [text], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make)
+    return append(docs, [text], [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -117,15 +117,15 @@ def cut(text: str, later: list[int], run: int, least: int) -> tuple[str, int]:
     return b"".join(kept).decode(), words
 
 
-def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of text, and removed_words long.
+def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", count: str = "removed_words") -> DataFrame:
+    """docs with repeated passages cut out of text, and removed_words long (or what `count` names it).
 
     A sentence goes if a span of `run` consecutive sentences that covers it occurred before, and the covered stretch has
     `least` words or more; word case (A-Z) and white space make no difference. The first occurrence stays whole. Null
     text stays null with 0; rows that repeat key and text are one text and are treated alike. Other columns stay as they
-    are, but one named removed_words is replaced."""
+    are, but one of that name is replaced."""
     marks = repeated(docs, run, key, text).select(F.col("place").alias("__place"), F.col("hash").alias("__hash"), F.col("later").alias("__later"))
-    base = without(docs, "removed_words").withColumn("__p", place(docs, key, text)).withColumn("__h", F.xxhash64(F.col(text)))
+    base = without(docs, count).withColumn("__p", place(docs, key, text)).withColumn("__h", F.xxhash64(F.col(text)))
     met = base.join(marks, (F.col("__p") == F.col("__place")) & (F.col("__h") == F.col("__hash")), "left").drop("__p", "__h", "__place", "__hash")
 
     def make(texts: pa.Array, later: pa.Array) -> list[pa.Array]:
@@ -137,8 +137,8 @@ def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, key:
             out[i], words[i] = cut(out[i], later[i].as_py(), run, least)
         return [pa.array(out, texts.type), pa.array(words)]
 
-    made = append(met, [text, "__later"], [T.StructField("__text", T.StringType()), T.StructField("removed_words", T.LongType())], make)
-    return made.select(*(F.col("__text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in without(docs, "removed_words").columns), "removed_words")
+    made = append(met, [text, "__later"], [T.StructField("__text", T.StringType()), T.StructField(count, T.LongType())], make)
+    return made.select(*(F.col("__text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in without(docs, count).columns), f"`{count}`")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
