@@ -15,7 +15,7 @@ from parlance.llm.common import keep, table
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, trained on the labels, scores 0.5 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality.score(docs, model, names=("__score", "__predicted")).where(F.col("__predicted") == 1).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document or place has; n_chars follows the text. A document that is
     left without text stays as a row: the mix never takes it."""
-    cut = spans.deduplicated(docs).drop("removed_words")
+    cut = spans.deduplicated(docs, count="__removed")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
