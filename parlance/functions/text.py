@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,24 +164,36 @@ def clamped(rate: Column, most: Column) -> tuple[Column, Column]:
     return F.greatest(rate, F.lit(0.0)), F.least(F.greatest(most, F.lit(0)), F.lit(200))
 
 
+def pack(text: str | None, budget: int) -> list[str | None]:
+    """Chunks of one text, as `packed` gives them, in time that grows with its length."""
+    words = (text or "").split()
+    if not words:
+        return [text]
+    done, now, size = [], [], 0
+    for w in words:
+        for k in range(0, len(w), budget):
+            part = w[k : k + budget]
+            full = k + budget < len(w)
+            if now and (full or size + 1 + len(part) > budget):
+                done.append(" ".join(now))
+                now, size = [], 0
+            if full:
+                done.append(part)
+            else:
+                size += len(part) + bool(now)
+                now.append(part)
+    return [*done, " ".join(now)] if now else done
+
+
 def packed(text: Column, budget: int) -> Column:
     """Chunks of at most `budget` characters: words packed greedily, longer words cut; blank text is one chunk as it is."""
-    cut = F.flatten(F.transform(split_words(text), lambda w: F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(w) - 1) / budget).cast("int")),
-        lambda k: F.struct(F.substring(w, k * budget + 1, F.lit(budget)).alias("t"), (k < F.floor((F.length(w) - 1) / budget)).alias("full")),
-    )))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(s, p):
-        joined = F.when(s["now"] == "", p["t"]).otherwise(F.concat(s["now"], F.lit(" "), p["t"]))
-        flushed = F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-        alone = F.struct(F.concat(flushed, F.array(p["t"])).alias("done"), F.lit("").alias("now"))
-        over = F.struct(flushed.alias("done"), p["t"].alias("now"))
-        more = F.struct(s["done"].alias("done"), joined.alias("now"))
-        return F.when(p["full"], alone).when(F.length(joined) > budget, over).otherwise(more)
-
-    folded = F.aggregate(cut, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-    return F.when(F.size(split_words(text)) == 0, F.array(text)).otherwise(folded)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([pack(t if isinstance(t, str) else None, budget) for t in texts], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def owner_id(url: Column, stored: Column, fresh: Column) -> Column:

@@ -89,7 +89,7 @@ SAFE = r"coalesce(nullif(trim(regexp_replace({}, '[^A-Za-z0-9._-]', '_', 'g'), '
 
 
 def packed(spark, sf):
-    return docs(spark, sf).where(F.length("text") <= 20000).select("doc_id", F.posexplode(X.packed(C("text"), 200)).alias("pos", "chunk")).withColumn("pos", C("pos").cast("long"))
+    return docs(spark, sf).select("doc_id", F.posexplode(X.packed(C("text"), 200)).alias("pos", "chunk")).withColumn("pos", C("pos").cast("long"))
 
 
 def parsed_boundaries(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parlance.functions import settings
 from parlance.functions import text as X
 from parlance.operators import scorers, sentences, speakers
+from parlance.plans import texts
 
 C = F.col
 
@@ -34,6 +35,17 @@ def test_packing(spark):
     assert "".join(got[1]).replace(" ", "") == "abcdefghijk" and got[2] == ["  "] and " ".join(got[3]).split() == texts[3].split()
 
 
+def test_split_budget_keeps_long_and_null_texts(spark, tmp_path):
+    long = "abcd " * 30_000 + "z" * 1001
+    spark.createDataFrame([(1, long), (2, None), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in texts.packed(spark, str(tmp_path)).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert got[2] == [None] and got[3] == ["short"]
+    assert all(len(c) <= 200 for c in got[1]) and "".join(got[1]).replace(" ", "") == long.replace(" ", "")
+    assert len(got[1]) == 30_000 // 40 + 6 and got[1][0] == " ".join(["abcd"] * 40)
+
+
 def test_entity_chunks(spark):
     got = values(spark, "string", ["One two. Three four five. Six.", "a b c d e f g h.", "  "], lambda c: X.entity_chunks(c, 5))
     assert got[0] == ["One two. Three four five.", "Six."] and got[1] == ["a b c d e"] and got[2] == []
