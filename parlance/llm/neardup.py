@@ -82,11 +82,12 @@ def place(docs: DataFrame, key: str, text: str) -> Column:
 
 
 def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(doc_id, place, n_shingles, node, buckets) a row; node names the shingle set. Without words both are null."""
+    """(doc_id, place, hash, n_shingles, node, buckets) a row; place and hash of the text tell it, and node names the
+    shingle set. Without words node and buckets are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, off in slices(batch.column(2)):
+            for first, data, off in slices(batch.column(3)):
                 values, of = sets(*shingles(scan(data, off), k))
                 n = np.diff(of)
                 some = n > 0
@@ -97,10 +98,10 @@ def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 width = np.where(some, BANDS, 0)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32))
                 here = batch.slice(first, len(n))
-                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), here.column(2), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))], names=schema.names)
 
-    schema = T.StructType.fromDDL("doc_id long, place long, n_shingles long, node binary, buckets array<long>")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), place(docs, key, text).alias("place"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType.fromDDL("doc_id long, place long, hash long, n_shingles long, node binary, buckets array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), place(docs, key, text).alias("place"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -194,13 +195,14 @@ def untested(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, place, n_shingles, component_id, keeper) for each row of docs.
+    """(doc_id, place, hash, n_shingles, component_id, keeper) for each row of docs.
 
     Two texts are linked if their sets of k-word shingles have a likeness of `percent` per cent or more; component_id is
     the least doc_id that links lead to. Texts without words (null, empty, blank) are linked with nothing. Null doc_ids
-    take part in links, but name no component while another row does. keeper is the place of the one row to keep."""
+    take part in links, but name no component while another row does. A key may
+    repeat with other texts: place and the hash of its text tell a row, and keeper (place, hash) is the one to keep."""
     rows = keep(sketched(docs, k, key, text))
-    ids = F.min("doc_id").alias("least_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("place"))).alias("least_place")
+    ids = F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "place", "hash")).alias("first")
     classes = keep(rows.where("node is not null").groupBy("node").agg(F.min("place").alias("place"), F.max("n_shingles").alias("n"), *ids))
     heads = rows.where("node is not null").join(classes.select("node", "place"), ["node", "place"]).dropDuplicates(["node", "place"])
     heads = heads.select("node", F.explode("buckets").alias("bucket")).withColumn("draw", F.xxhash64("node", "bucket"))
@@ -218,21 +220,27 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     if not more.isEmpty():
         labels = keep(components(keep(links.unionByName(more))))
     whole = labelled(classes, labels)
-    ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("least_place").alias("spare"))
-    ends = ends.select("label", "component_id", F.coalesce("component_id", "spare").alias("keeper"))
+    ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
+    ends = ends.select("label", "component_id", F.struct("first.place", "first.hash").alias("keeper"))
     found = keep(whole.select("node", "label").join(ends, "label").select("node", "component_id", "keeper"))
-    joined = rows.select("doc_id", "place", "n_shingles", "node").join(found, "node", "left")
+    joined = rows.select("doc_id", "place", "hash", "n_shingles", "node").join(found, "node", "left")
     alone = F.col("node").isNull()
-    return joined.select("doc_id", "place", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("place")).otherwise(F.col("keeper")).alias("keeper"))
+    component, keeper = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")), F.when(alone, F.struct("place", "hash")).otherwise(F.col("keeper"))
+    return joined.select("doc_id", "place", "hash", "n_shingles", component.alias("component_id"), keeper.alias("keeper"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near duplicates: of each component the row with the least key stays, with all its columns. Rows that
-    repeat a key with the same text count once; texts without words all stay."""
-    kept = grouped(docs, k, percent, key, text).where(F.col("place") == F.col("keeper")).select(F.col("place").alias("__place"), "n_shingles").dropDuplicates(["__place"])
-    marked = docs.withColumn("__place", place(docs, key, text)).join(kept.select("__place"), "__place", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__place").orderBy(F.xxhash64(F.col(text))))
-    return marked.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__place")
+    """docs without near duplicates: of each component the row with the least key (then the least hash of its text) stays,
+    with all its columns. Rows that repeat a key with the same text count once, those that repeat it with another text
+    are rows of their own; texts without words all stay."""
+    found = grouped(docs, k, percent, key, text).where((F.col("place") == F.col("keeper.place")) & (F.col("hash") == F.col("keeper.hash")))
+    kept = found.select(F.col("place").alias("__place"), F.col("hash").alias("__hash")).distinct()
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = F.when(worded, F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    told = docs.withColumn("__place", place(docs, key, text)).withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__own", own)
+    marked = told.join(kept, ["__place", "__hash"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__place", "__hash", "__own").orderBy("__hash"))
+    return marked.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__place", "__hash", "__own")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -80,6 +80,16 @@ def test_one_of_each_group_stays(spark):
     assert kept[0].asDict()["score"] == "mine"
 
 
+def test_a_key_that_repeats_with_other_texts(spark):
+    """No text that is like none other may go, and every row without words stays."""
+    one, two, three = prose(61, 80), prose(62, 80), prose(63, 80)
+    rows = [(1, one, "en", "a"), (2, one + " more", "en", "a"), (2, two, "en", "a"), (2, two, "en", "a"), (3, three, "en", "a"), (3, prose(64, 80), "en", "a")]
+    rows += [(4, None, "en", "a"), (4, " ", "en", "a"), (4, " ", "en", "a"), (None, None, "en", "a"), (None, None, "en", "b"), (None, three, "en", "a")]
+    same(spark, docs(spark, rows), [(i, t) for i, t, _, _ in rows], 5)
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicated(docs(spark, rows), k=5).collect()), key=repr)
+    assert got == sorted([(1, one), (2, two), (3, three), (3, rows[5][1]), (4, None), (4, " "), (4, " "), (None, None), (None, None)], key=repr)
+
+
 def test_sketch_of_a_set_estimates_likeness():
     r = np.random.default_rng(0)
     both, a, b = (r.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
