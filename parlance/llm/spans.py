@@ -16,8 +16,11 @@ from .neardup import place
 from .words import Prefix, U, Words, scan, shingles, slices
 
 RUN = 3
-LEAST_WORDS = 25
+#: Repeated pieces of sentences count from so many words on; repeated runs of whole sentences always do.
+LEAST_WORDS = 20
 LONG_SENTENCE = 8
+#: In a long sentence, a word with the least hash of any so many consecutive words ends a piece.
+WINDOW = 8
 
 _END = np.zeros(256, bool)
 _END[[*b".!?"]] = True
@@ -30,15 +33,32 @@ class Sentences(NamedTuple):
     last: np.ndarray  # one past its last word
     hash: np.ndarray
     of: np.ndarray  # n+1 sentence offsets of the texts
+    whole: np.ndarray  # the number of the sentence that it is, or that it is a piece of
+
+
+def least_of_window(values: np.ndarray, part: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least, the last one of equals, of some `width` consecutive ones of one part."""
+    picked = np.zeros(len(values), bool)
+    if len(values) >= width:
+        at = np.arange(len(values) - width + 1)
+        at = at[part[at] == part[at + width - 1]]
+        best, value = at.copy(), values[at]
+        for k in range(1, width):
+            less = values[at + k] <= value
+            best[less], value[less] = at[less] + k, values[at[less] + k]
+        picked[best] = True
+    return picked
 
 
 def sentences(w: Words) -> Sentences:
     """A sentence ends with a word that ends in . ! ? (and a closing mark, or one of four marks of other scripts), at a
-    line break and at the end of the text. In a sentence of more than LONG_SENTENCE words every word whose hash is a
-    multiple of 8 also ends one, so that equal passages are cut alike wherever they begin."""
+    line break and at the end of the text. In a sentence of more than LONG_SENTENCE words every word that has the least
+    hash of some WINDOW consecutive words of it also ends a piece: no piece is longer than WINDOW words, equal sentences
+    are cut alike, and so are equal passages but for WINDOW words at their ends. So 51 words, wherever in a sentence they
+    begin, hold equal pieces that are LEAST_WORDS long together."""
     n = len(w.start)
     if not n:
-        return Sentences(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(w.of), np.int64))
+        return Sentences(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(w.of), np.int64), np.zeros(0, np.int64))
     size = w.end - w.start
     one = w.data[w.end - 1]
     two = np.where(size > 1, w.data[np.maximum(w.end - 2, 0)], 0)
@@ -52,10 +72,11 @@ def sentences(w: Words) -> Sentences:
     last = np.flatnonzero(stop) + 1
     first = np.concatenate([[0], last[:-1]])
     long = np.repeat(last - first > LONG_SENTENCE, last - first)
-    stop |= long & ((w.hash & U(7)) == 0)
+    number = np.repeat(np.arange(len(first)), last - first)
+    stop |= long & least_of_window(w.hash, number, WINDOW)
     last = np.flatnonzero(stop) + 1
     first = np.concatenate([[0], last[:-1]])
-    return Sentences(first, last, Prefix(w.hash)(first, last), np.searchsorted(first, w.of))
+    return Sentences(first, last, Prefix(w.hash)(first, last), np.searchsorted(first, w.of), number[first])
 
 
 def span_hashes(w: Words, s: Sentences, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +109,8 @@ def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "
 
 
 def cut(text: str, later: list[int], run: int, least: int) -> tuple[str, int]:
-    """A text without the sentences that the given spans cover, and the words that went. Covered stretches of fewer than
-    `least` words stay. A removed stretch takes the white space after it along, but leaves a line break that parts lines."""
+    """A text without the sentences that the given spans cover, and the words that went. A covered stretch goes if
+    it holds `run` whole sentences (or all that the text has) or `least` words. A removed stretch takes the white space after it along, but leaves a line break that parts lines."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     w = scan(data, np.array([0, len(data)]))
@@ -102,10 +123,12 @@ def cut(text: str, later: list[int], run: int, least: int) -> tuple[str, int]:
     if not len(on):
         return text, 0
     breaks = np.flatnonzero(np.diff(on) > 1)
+    opens = np.concatenate([[True], np.diff(s.whole) > 0])  # pieces that begin a sentence
     kept, words, at = [], 0, 0
     for a, b in zip(on[np.concatenate([[0], breaks + 1])], on[np.concatenate([breaks, [len(on) - 1]])], strict=True):
         many = int(s.last[b] - s.first[a])
-        if many < least:
+        ended = b + 1 == len(opens) or opens[b + 1]
+        if many < least and opens[a : b + 1].sum() - (not ended) < min(run, s.whole[-1] + 1):
             continue
         start = int(w.start[s.first[a]])
         end = int(w.start[s.last[b]]) if s.last[b] < len(w.start) else len(raw)
@@ -120,8 +143,8 @@ def cut(text: str, later: list[int], run: int, least: int) -> tuple[str, int]:
 def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", count: str = "removed_words") -> DataFrame:
     """docs with repeated passages cut out of text, and removed_words long (or what `count` names it).
 
-    A sentence goes if a span of `run` consecutive sentences that covers it occurred before, and the covered stretch has
-    `least` words or more; word case (A-Z) and white space make no difference. The first occurrence stays whole. Null
+    A sentence goes if a span of `run` consecutive sentences that covers it occurred before, however short; pieces of
+    long sentences go if the stretch that spans of pieces cover has `least` words or more. Word case (A-Z) and white space make no difference. The first occurrence stays whole. Null
     text stays null with 0; rows that repeat key and text are one text and are treated alike. Other columns stay as they
     are, but one of that name is replaced."""
     marks = repeated(docs, run, key, text).select(F.col("place").alias("__place"), F.col("hash").alias("__hash"), F.col("later").alias("__later"))

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 
 from parlance.llm import spans
 from parlance.llm.words import scan
-from tests.llm.fixtures import SF, awkward, docs, prose
+from tests.llm.fixtures import SF, WORDS, awkward, docs, prose
 
 
 def brute(rows, run=spans.RUN, least=spans.LEAST_WORDS):
@@ -38,6 +40,37 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert got[2]["removed_words"] >= 60 and got[2]["text"].startswith(prose(52, 63)) and got[2]["text"].endswith(prose(53, 45))
 
 
+def test_short_repeated_sentences_and_lines_go(spark):
+    short, lines = "Read more. Share this. Log in.", "漢字かな\n仮名交じり\n文章です"
+    rows = [(1, prose(71, 60) + ". " + short, "en", "a"), (2, prose(72, 63) + "\n" + short + "\n" + prose(73, 45), "en", "a"), (3, lines, "ja", "a"), (4, prose(74, 40) + "\n" + lines, "ja", "a")]
+    got = {r["doc_id"]: r for r in spans.deduplicated(docs(spark, rows)).collect()}
+    assert got[1]["removed_words"] == got[3]["removed_words"] == 0
+    assert got[2]["text"] == prose(72, 63) + "\n" + prose(73, 45) and got[2]["removed_words"] == 6
+    assert got[4]["removed_words"] == 3 and "漢" not in got[4]["text"]
+
+
+def test_passages_in_mid_sentence(spark):
+    """Plain word sequences: passages of 51 to 60 words go, but for a few words at their ends; other words stay."""
+    r, rows, much = random.Random(5), [], 400
+    plain = lambda n: [r.choice(WORDS) + r.choice(WORDS) for _ in range(n)]
+    own = {}
+    for i in range(much):
+        passage = plain(51 + i % 10)
+        for key in (i, much + i):
+            before, after = plain(r.randrange(3, 40)), plain(r.randrange(3, 40))
+            rows.append((key, " ".join(before + passage + after), "en", "a"))
+        own[much + i] = before, len(passage), after
+    got = {x["doc_id"]: x for x in spans.deduplicated(docs(spark, rows)).collect()}
+    assert all(got[i]["removed_words"] == 0 for i in range(much))
+    shares = []
+    for key, (before, n, after) in own.items():
+        text = got[key]["text"].split()
+        assert text[: len(before)] == before and text[len(text) - len(after) :] == after
+        assert spans.LEAST_WORDS <= got[key]["removed_words"] <= n
+        shares.append(got[key]["removed_words"] / n)
+    assert sum(shares) / much > 0.8
+
+
 def test_awkward_rows(spark):
     got = spans.deduplicated(docs(spark)).collect()
     assert len(got) == len(awkward())
