@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -185,15 +183,13 @@ def pack(text: str | None, budget: int) -> list[str | None]:
     return [*done, " ".join(now)] if now else done
 
 
-def packed(text: Column, budget: int) -> Column:
+def packed(text: Column, budget: int | Column) -> Column:
     """Chunks of at most `budget` characters: words packed greedily, longer words cut; blank text is one chunk as it is."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([pack(t if isinstance(t, str) else None, budget) for t in texts], dtype=object)
+    def run(texts: pd.Series, budgets: pd.Series) -> pd.Series:
+        return pd.Series([pack(t if isinstance(t, str) else None, int(b)) for t, b in zip(texts, budgets, strict=True)], dtype=object)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<string>")(text)
+    return F.pandas_udf(run, "array<string>")(text, budget if isinstance(budget, Column) else F.lit(budget))
 
 
 def owner_id(url: Column, stored: Column, fresh: Column) -> Column:

@@ -71,24 +71,51 @@ def translated(transcript: DataFrame, scorer: Scorer = capital_vowels) -> DataFr
     return scored_distinct(asked, "__asked", scorer, "translation").drop("__asked")
 
 
-def summarised(texts: DataFrame, budget: int, scorer: Scorer = leading_words, depth: int = 5) -> DataFrame:
+def tagged(scorer: Scorer) -> Scorer:
+    """The scorer with `+` before each reply and `!` for a text that overflows its context, which the scorer tells by an
+    error of such a message; the texts of a call that overflows are asked one by one."""
+
+    def run(texts: list[str]) -> list[str | None]:
+        try:
+            return [None if r is None else "+" + r for r in scorer(texts)]
+        except ConnectionError:
+            return [None] if len(texts) == 1 else [r for t in texts for r in run([t])]
+        except Exception as error:
+            if not any(mark in str(error).lower() for mark in X.OVERFLOW):
+                raise
+            return ["!"] if len(texts) == 1 else [r for t in texts for r in run([t])]
+
+    return run
+
+
+def summarised(texts: DataFrame, budget: int, scorer: Scorer = leading_words, depth: int = 5, retries: int = 4) -> DataFrame:
     """(file_id, summary): texts packed to chunks of the budget, each summarised, the summaries joined by blank lines and
     taken again, for all files at once. A file is done when it fits one chunk; after `depth` reductions its leading chunk
-    decides. Rounds are bounded by depth, whatever the texts."""
-    todo, done = texts.select("file_id", "text"), None
-    for k in range(depth + 1):
-        chunks = todo.withColumn("chunks", X.packed(F.col("text"), budget)).withColumn("n", F.size("chunks"))
-        if k == depth:
-            chunks = chunks.withColumn("chunks", F.slice("chunks", 1, 1)).withColumn("n", F.lit(1))
-        each = chunks.select("file_id", "n", F.posexplode("chunks").alias("pos", "chunk"))
-        replies = scored(each, "chunk", scorer)
+    decides. A file of which a chunk overflows begins again with half its budget, `retries` times at most; its summary is
+    empty if it still overflows, or if a call failed. Rounds are bounded by depth and retries, whatever the texts."""
+    todo = texts.select("file_id", "text", F.lit(budget).alias("budget"), F.lit(0).alias("tries"), F.lit(0).alias("depth"))
+    done = None
+    while True:
+        chunks = todo.withColumn("chunks", X.packed(F.col("text"), F.col("budget")))
+        chunks = chunks.withColumn("chunks", F.when(F.col("depth") >= depth, F.slice("chunks", 1, 1)).otherwise(F.col("chunks"))).withColumn("n", F.size("chunks"))
+        each = chunks.select("file_id", "budget", "tries", "depth", "n", F.posexplode("chunks").alias("pos", "chunk"))
+        replies = scored(each, "chunk", tagged(scorer))
+        bad = F.when(F.col("reply").isNull(), "failed").when(F.col("reply") == "!", "overflow")
         joined = replies.groupBy("file_id").agg(
-            F.max("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("reply", F.lit("")).alias("r")))), lambda p: p["r"]), "\n\n").alias("text")
+            *(F.max(c).alias(c) for c in ("budget", "tries", "depth", "n")),
+            F.min(F.when(bad.isNotNull(), F.struct("pos", bad.alias("kind"))))["kind"].alias("bad"),  # the first one decides
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("reply", 2, 1 << 30).alias("r")))), lambda p: p["r"]), "\n\n").alias("text"),
         )
         joined = joined.checkpoint() if joined.sparkSession.conf.get("spark.checkpoint.dir", None) else joined.persist()
-        ended = joined.where("n = 1").select("file_id", F.col("text").alias("summary"))
+        again = (F.col("bad") == "overflow") & (F.col("tries") < retries)
+        ended = joined.where((F.col("bad").isNotNull() & ~again) | (F.col("bad").isNull() & (F.col("n") == 1)))
+        ended = ended.select("file_id", F.when(F.col("bad").isNull(), F.col("text")).otherwise("").alias("summary"))
         done = ended if done is None else done.unionByName(ended)
-        todo = joined.where("n > 1").select("file_id", "text")
-        if k < depth and todo.isEmpty():
-            break
-    return done
+        todo = joined.where("bad is null and n > 1").select("file_id", "text", "budget", "tries", (F.col("depth") + 1).alias("depth"))
+        over = joined.where(again)
+        if not over.isEmpty():
+            half = over.select(F.col("file_id").alias("__id"), F.greatest(F.lit(1), F.floor(F.col("budget") / 2)).cast("int").alias("budget"), (F.col("tries") + 1).alias("tries"))
+            first = texts.select("file_id", "text").join(half, F.col("file_id").eqNullSafe(F.col("__id"))).select("file_id", "text", "budget", "tries", F.lit(0).alias("depth"))
+            todo = todo.unionByName(first)
+        elif todo.isEmpty():
+            return done

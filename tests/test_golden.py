@@ -99,6 +99,21 @@ def test_summary_ends_when_summaries_do_not_shrink(spark):
     assert set(got) == {1, 2} and got[2] == "short text more"
 
 
+def test_summary_halves_the_budget_of_files_that_overflow(spark):
+    rows = [(1, "word " * 400), (2, "short text"), (3, "broken " * 3 + "word " * 30), (4, "dense " * 100)]
+    df = spark.createDataFrame(rows, "file_id long, text string")
+
+    def scorer(texts):
+        if any(len(t) > 40 or "dense" in t for t in texts):
+            raise ValueError("This model's maximum context length is 40")
+        if any("broken" in t for t in texts):
+            raise ConnectionError
+        return [f"{len(t)}" for t in texts]
+
+    got = {r["file_id"]: r["summary"] for r in scorers.summarised(df, 120, scorer).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == "10" and got[3] == got[4] == "" and got[1].isdigit()
+
+
 def test_settings_never_fail():
     assert settings.upload_cap({"UPLOAD_MAX_MIB": "x"}) == 8192 << 20 and settings.upload_cap({"UPLOAD_MAX_MIB": "0"}) == 1 << 20
     assert settings.concurrency({"JOB_CONCURRENCY": "-3"}) == 1 and settings.summary_budget({}) == 18000
