@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +16,12 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one is made and set, but
+    only if driver and executors are one process (tests); on a cluster the setting is asked for."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -26,25 +30,38 @@ def shared_folder(spark: SparkSession) -> str:
 _kept: dict[str, SparkSession] = {}
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_kept() -> None:
     for path, spark in _kept.items():
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path, spark)
         except Exception:  # the session has ended already
             return
 
 
 def keep(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: the plan that made it ends here, and a lost executor costs
-    no more than a read. The files go when the driver ends."""
+    no more than a read. The files go with `forget`, or when the driver ends."""
     spark = df.sparkSession
     if not _kept:
         atexit.register(_drop_kept)
     path = f"{shared_folder(spark)}/parlance/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _kept[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the files of tables that `keep` gave and that nothing reads any more."""
+    for df in kept:
+        path = df.kept_at
+        _delete(path, _kept.pop(path))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,17 +79,31 @@ def remainder(key: Column, of: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of, F.lit(-1))
 
 
-def append(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[..., list[pa.Array]]) -> DataFrame:
+def cuts(columns: list[pa.Array], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose strings in these columns take about `limit` bytes, and at most 4000 rows, together; one row at
+    least."""
+    sizes = [np.diff(strings(c)[1]) for c in columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    n = len(columns[0]) if columns else 0
+    upto = np.concatenate([[0], np.cumsum(sum(sizes) if sizes else np.zeros(n, np.int64))])
+    i = 0
+    while i < n:
+        j = min(max(i + 1, int(np.searchsorted(upto, upto[i] + limit, side="right")) - 1), i + 4000)
+        yield i, j
+        i = j
+
+
+def append(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[..., list[pa.Array]], limit: int = 4 << 20) -> DataFrame:
     """df with the fields that make(*input arrays) gives for each Arrow batch; columns of the same names are replaced.
-    make gets and returns Arrow arrays of equal length. Batches are cut to about 4000 rows."""
+    make gets and returns Arrow arrays of equal length. Batches are cut by rows and by `limit` bytes of the input strings,
+    and each cut is given on before the next is made, so memory follows the longest text, not the batch."""
     names = [f.name for f in fields]
     base = without(df, *names)
     at = [base.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                part = batch.slice(i, 4000)
+            for i, j in cuts([batch.column(k) for k in at], limit):
+                part = batch.slice(i, j - i)
                 cols = [part.column(k) for k in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays(cols + make(*(cols[k] for k in at)), names=[*part.schema.names, *names])
 
@@ -97,9 +128,11 @@ def sampled_labels(labels: DataFrame, label: str, fold: int, held: int, bound: i
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:
-    """(doc_id, text, y) of the sampled labels; the sample is at most `bound` rows of two numbers, so it is broadcast."""
+    """(doc_id, text, y) of the sampled labels, one row a doc_id: of texts that share one the least counts, so the sample
+    stays within its bound. It is at most `bound` rows of two numbers, so it is broadcast."""
     chosen = sampled_labels(labels, label, fold, held, bound)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

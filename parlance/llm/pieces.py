@@ -2,14 +2,16 @@
 
 The vocabulary is read from a public tokenizer's file; nothing is trained. Encoding follows the agenda rule: of all
 candidate merges of neighbouring symbols the one whose merged piece has the best score comes first, the leftmost among
-equals. With dropout p, a candidate is passed over for good if a keyed hash of (seed, variant, chunk, place of the left
-symbol, left piece, right piece) falls below p. A text draws one of `variants` variants by a hash of its key, so texts
-differ in their segmentation, reruns agree, and any segmentation decodes to the same text."""
+equals. With dropout p, the candidate that comes first is passed over for good if a keyed hash of (seed, key of the text,
+number of the chunk in it, step of the agenda) falls below p: each occurrence of a word draws for itself, reruns agree, and
+any segmentation decodes to the same text.
+
+Chunks of a slice are encoded together. Occurrences of a word share the work as long as their draws agree: a state is a
+chunk after some steps, and each step splits its occurrences into those that merge and those that pass over."""
 
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,40 +20,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append
-from .words import Prefix, U, mix
+from .words import Prefix, U, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 20260, 4
+DROPOUT, SEED = 0.1, 20260
 NONE = np.int32(2**31 - 1)
-LONG_CHUNK = 96
-CACHE = 300_000
-#: A chunk is blanks and what follows up to the next blank or line break: no piece reaches over its edges.
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
+#: Chunks of more code points than this have an agenda of their own each.
+LONG_CHUNK = 64
+#: Bytes of text, or code points of one long text, that are encoded at once.
+SLICE = 1 << 19
 MASK = (1 << 64) - 1
 _A, _B, _C = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] numbers, then the same of start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Vocabulary:
-    """Pieces as bytes (a blank for the word mark), characters' ids, and the merges with their ranks."""
+    """Pieces as bytes (a blank for the word mark), characters' ids, and the merges with their ranks.
+
+    No piece may hold a blank but at its start, or a line break: so no piece reaches over the edge of a chunk, which is
+    blanks and what follows up to the next blank or line break, or a line break."""
 
     def __init__(self, pieces: list[str], scores: list[float], normal: list[bool], byte: dict[int, int], blank: str = "▁"):
         texts = [p.replace(blank, " ") if n else "" for p, n in zip(pieces, normal, strict=True)]
+        if any("\n" in t for t in texts) or any(" " in t.lstrip(" ") for t in texts):
+            raise ValueError("a piece reaches over a chunk's edge")
         ids = {t: i for i, t in enumerate(texts) if t}
-        self.bytes = [t.encode() for t in texts]
+        raw = [t.encode() for t in texts]
         for value, i in byte.items():
-            self.bytes[i] = bytes([value])
+            raw[i] = bytes([value])
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.start = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.byte = np.array([byte.get(v, 0) for v in range(256)], np.int32)
         chars = {ord(t): i for t, i in ids.items() if len(t) == 1}
         self.chars = np.full(max(chars) + 2, -1, np.int32)
         self.chars[list(chars)] = list(chars.values())
         order = {i: r for r, i in enumerate(sorted(ids.values(), key=lambda i: (-scores[i], i)))}
         merges = {(ids[t[:k]] << 32) + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
-        self.keys = np.array(sorted(merges), np.int64)
-        self.into = np.array([merges[k] for k in self.keys.tolist()], np.int32)
+        self.keys = np.array([*merges], np.int64)
+        self.into = np.array([*merges.values()], np.int32)
         self.rank = np.array([order[i] for i in self.into.tolist()], np.int32)
-        self.kind = np.dtype("<u2") if len(pieces) <= 65536 else np.dtype("<u4")
-        if any("\n" in t for t in texts) or any(" " in t.lstrip(" ") for t in texts):
-            raise ValueError("a piece reaches over a chunk's edge")
+        bits = max(4, (4 * len(self.keys)).bit_length())
+        self.shift = U(64 - bits)
+        slots = [-1] * (1 << bits)
+        for i, at in enumerate(self._slot(self.keys).tolist()):
+            while slots[at] >= 0:
+                at = (at + 1) & ((1 << bits) - 1)
+            slots[at] = i
+        self.slots = np.array(slots, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(_A)) >> self.shift).astype(np.int64)
+
+    def merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair's merge and the piece that it makes; rank NONE where there is none."""
+        key = (left.astype(np.int64) << 32) + right
+        slot = self._slot(key)
+        at = self.slots[slot]
+        others = np.flatnonzero((at >= 0) & (self.keys[at] != key))
+        while len(others):
+            slot[others] = (slot[others] + 1) & (len(self.slots) - 1)
+            at[others] = self.slots[slot[others]]
+            others = others[(at[others] >= 0) & (self.keys[at[others]] != key[others])]
+        return np.where(at >= 0, self.rank[at], NONE), self.into[at]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The UTF-8 bytes that ids stand for, with the blank that encoding puts first."""
+        return self.flat[ragged(self.start[ids], self.start[ids + 1] - self.start[ids])]
 
 
 def vocabulary(path: str = MODEL) -> Vocabulary:
@@ -69,178 +108,199 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
 class Encoder:
     def __init__(self, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.limit, self.seed = vocab, int(dropout * 2**32), seed
-
-    def _look(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank and piece that each pair merges into; NONE where no merge is known or the hash passes over it."""
-        key = (left.astype(np.int64) << 32) + right
-        i = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
-        rank = np.where((self.v.keys[i] == key) & (left >= 0) & (right >= 0), self.v.rank[i], NONE)
-        if self.limit:
-            h = mix(salt + at.astype(U) * U(_A) + left.astype(U) * U(_B) + right.astype(U) * U(_C)) >> U(32)
-            rank = np.where(h < U(self.limit), NONE, rank)
-        return rank, self.v.into[i]
-
-    def chunks(self, texts: list[str], variant: int) -> list[bytes]:
-        """The packed ids of each chunk."""
-        joined = "".join(texts)
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        off = np.concatenate([[0], np.cumsum(size)])
-        first = np.concatenate([[0], off[1:-1]]) if len(texts) else np.zeros(0, np.int64)
-        salt = mix(Prefix(code.astype(U) + U(1))(first, off[1:]) + U((self.seed * _A + variant * _B) & MASK))
+        self.known: dict[int, tuple[int, int]] = {}  # merges for the agenda of long chunks, read when one comes
+
+    def passed(self, salt: np.ndarray, step: int) -> np.ndarray:
+        """Whether occurrences of these salts pass over the candidate of this step."""
+        return (mix(salt + U((step * _A) & MASK)) >> U(32)) < U(self.limit)
+
+    def salts(self, keys: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """One hash for each occurrence, of the text's key and the number of the chunk in it."""
+        return mix(mix(keys + U((self.seed * _C) & MASK)) + number.astype(U) * U(_B))
+
+    def texts(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of each text, whether they decode to its bytes) of texts with their keys' hashes."""
+        n = np.diff(off)
+        some = n > 0
+        raw = np.full(len(data) + int(some.sum()), 32, np.uint8)  # a blank before each text that is not empty
+        raw[np.arange(len(data)) + np.repeat(np.cumsum(some), n)] = data
+        byte_off = off + np.concatenate([[0], np.cumsum(some)])
+        code = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        char_off = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[byte_off]
+        breaks, blanks = code == 10, code == 32
+        start = breaks.copy()
+        start[1:] |= breaks[:-1] | (blanks[1:] & ~blanks[:-1])
+        start[char_off[:-1][some]] = True
+        first = np.append(np.flatnonzero(start), len(code))
+        row = np.searchsorted(char_off, first[:-1], side="right") - 1
+        head = np.searchsorted(row, np.arange(len(n)))
+        salt = self.salts(keys[row], np.arange(len(row)) - head[row])
+        ids, many = [], np.zeros(len(n), np.int64)
+        i = 0
+        while i < len(row):
+            j = max(i + 1, int(np.searchsorted(first, first[i] + SLICE, side="right")) - 1)
+            made, sizes = self.chunks(code[first[i] : first[j]], first[i : j + 1] - first[i], salt[i:j])
+            many += np.bincount(row[i:j], sizes, len(n)).astype(np.int64)
+            ids.append(made)
+            i = j
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        upto = np.concatenate([[0], np.cumsum(many)])
+        back = self.v.decode(ids)
+        bytes_upto = np.concatenate([[0], np.cumsum(self.v.start[ids + 1] - self.v.start[ids])])[upto]
+        if (bytes_upto == byte_off).all():
+            wrong = np.concatenate([[0], np.cumsum(back != raw)])[byte_off]
+            return ids, many, np.diff(wrong) == 0
+        fine = [back[bytes_upto[k] : bytes_upto[k + 1]].tobytes() == raw[byte_off[k] : byte_off[k + 1]].tobytes() for k in range(len(n))]
+        return ids, many, np.array(fine, bool)
+
+    def chunks(self, code: np.ndarray, first: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each chunk) of the chunks that begin at `first` (the last one is the end)."""
+        size = np.diff(first)
         char = self.v.chars[np.minimum(code, len(self.v.chars) - 1)]
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        word = np.repeat(np.arange(len(texts)), size)
-        at = np.arange(len(code)) - off[word]
+        sym = np.where(char >= 0, char, -1 - code.astype(np.int32))  # below 0: a character that no piece has
+        short = np.flatnonzero(size <= LONG_CHUNK)
+        name = Prefix(code.astype(U) + U(1))(first[short], first[short + 1])
+        _, one, state = np.unique(name, return_index=True, return_inverse=True)
+        one = short[one]
+        pool, lens, final = self._states(sym[ragged(first[one], size[one])], size[one], state, salt[short])
+        where = np.zeros(len(size), np.int64)
+        where[short] = final
         for k in np.flatnonzero(size > LONG_CHUNK).tolist():
-            s, p = self._agenda(char[off[k] : off[k + 1]], salt[k])
-            done.append((np.full(len(s), k), p, s))
-        short = size[word] <= LONG_CHUNK
-        done += self._rounds(word[short], at[short], char[short], salt)
-        word, at, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((at, word))
-        word, at, sym = word[order], at[order], sym[order]
-        strange = np.flatnonzero(sym < 0)
-        if len(strange):  # a character that no piece has: its UTF-8 bytes
-            code_at = code[off[word[strange]] + at[strange]]
-            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code_at.tolist()]
-            many = np.ones(len(sym), np.int64)
+            where[k] = len(lens)
+            pool.append(self._agenda(sym[first[k] : first[k + 1]], salt[k : k + 1]))
+            lens.append(len(pool[-1]))
+        flat, lens = np.concatenate(pool) if pool else np.zeros(0, np.int32), np.array(lens, np.int64)
+        strange = np.flatnonzero(flat < 0)
+        if len(strange):  # its UTF-8 bytes
+            raw = [chr(-1 - c).encode("utf-8", "surrogatepass") for c in flat[strange].tolist()]
+            many = np.ones(len(flat), np.int64)
             many[strange] = [len(r) for r in raw]
-            fill = np.repeat(sym < 0, many)
-            sym, word = np.repeat(sym, many), np.repeat(word, many)
-            sym[fill] = self.v.byte[np.frombuffer(b"".join(raw), np.uint8)]
-        packed = sym.astype(self.v.kind).tobytes()
-        cut = (np.searchsorted(word, np.arange(len(texts) + 1)) * self.v.kind.itemsize).tolist()
-        return [packed[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def _rounds(self, word: np.ndarray, at: np.ndarray, sym: np.ndarray, salt: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The agenda of many short chunks at once: a round makes the first merge of each chunk's agenda."""
-        done = []
+            fill = np.repeat(flat < 0, many)
+            lens = np.diff(np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(lens)])])
+            flat = np.repeat(flat, many)
+            flat[fill] = self.v.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        at = np.concatenate([[0], np.cumsum(lens)])
+        return flat[ragged(at[where], lens[where])], lens[where]
+
+    def _states(self, sym: np.ndarray, size: np.ndarray, state: np.ndarray, salt: np.ndarray) -> tuple[list[np.ndarray], list[int], np.ndarray]:
+        """Distinct chunks (symbols and sizes) and the chunk of each occurrence: symbols and sizes of all results, and the
+        result of each occurrence. A round takes each state's next candidate."""
+        pool, lens, final, seen = [], [], np.zeros(len(state), np.int64), np.arange(len(state))
         rank, into = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
-        pair = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, np.int64)
-        rank[pair], into[pair] = self._look(sym[pair], sym[pair + 1], at[pair], salt[word[pair]])
-        while len(sym):
-            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            many = np.diff(np.append(head, len(word)))
-            best = np.minimum.reduceat(rank, head)
-            over = np.repeat(best == NONE, many)
+        pair = np.ones(len(sym), bool)
+        pair[np.cumsum(size) - 1] = False
+        pair = np.flatnonzero(pair)
+        rank[pair], into[pair] = self.v.merge(sym[pair], sym[pair + 1])
+        step = 0
+        while len(size):
+            best = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            over = best == NONE
             if over.any():
-                done.append((word[over], at[over], sym[over]))
-                word, at, sym, rank, into = (x[~over] for x in (word, at, sym, rank, into))
-                if not len(sym):
+                gone = np.repeat(over, size)
+                pool.append(sym[gone])
+                ended = over[state]
+                final[seen[ended]] = len(lens) + np.cumsum(over)[state[ended]] - 1
+                lens += size[over].tolist()
+                seen, state = seen[~ended], (np.cumsum(~over) - 1)[state[~ended]]
+                sym, rank, into = sym[~gone], rank[~gone], into[~gone]
+                size, best = size[~over], best[~over]
+                if not len(size):
                     break
-                many, best = many[best != NONE], best[best != NONE]
-            hit = np.flatnonzero(rank == np.repeat(best, many))
-            hit = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]
-            sym[hit] = into[hit]
-            left = np.ones(len(sym), bool)
-            left[hit + 1] = False
+            own = np.repeat(np.arange(len(size)), size)
+            hit = np.flatnonzero(rank == best[own])
+            hit = hit[np.concatenate([[True], own[hit[1:]] != own[hit[:-1]]])]
+            made, lost = np.ones(len(size), bool), np.zeros(len(size), bool)
+            if self.limit:
+                passed = self.passed(salt[seen], step)
+                lost[state[passed]] = True
+                made[:] = False
+                made[state[~passed]] = True
+            left = made[own]
+            left[hit[made] + 1] = False
             place = np.cumsum(left) - 1
-            word, at, sym, rank, into = (x[left] for x in (word, at, sym, rank, into))
-            hit = place[hit]
-            redo = np.concatenate([hit[hit > 0] - 1, hit])
-            last = redo + 1 >= len(word)
-            same = ~last & (word[redo] == word[np.minimum(redo + 1, len(word) - 1)])
-            rank[redo[~same]] = NONE
-            redo = redo[same]
-            redo = redo[np.isin(redo, hit, assume_unique=False) | (sym[redo + 1] >= 0)]
-            rank[redo], into[redo] = self._look(sym[redo], sym[redo + 1], at[redo], salt[word[redo]])
-        return done
-
-    def _agenda(self, sym: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one long chunk, with a heap: symbols and their places."""
-        n = len(sym)
-        nxt, prv, s = [*range(1, n), -1], list(range(-1, n - 1)), sym.tolist()
-        places = np.arange(n - 1)
-        rank, into = self._look(sym[:-1], sym[1:], places, np.full(n - 1, salt))
-        heap = [(r, i, i + 1, s[i], s[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), into.tolist(), strict=True)) if r != NONE]
-        heapq.heapify(heap)
+            joined = sym.copy()
+            joined[hit] = into[hit]
+            new = [joined[left], rank[left], into[left], size[made] - 1]
+            ends = np.cumsum(new[3])
+            at = place[hit[made]]
+            new[1][at] = NONE
+            redo = np.concatenate([at[at > ends - new[3]] - 1, at[at < ends - 1]])
+            new[1][redo], new[2][redo] = self.v.merge(new[0][redo], new[0][redo + 1])
+            if lost.any():
+                again = lost[own]
+                passed_rank = rank.copy()
+                passed_rank[hit] = NONE
+                new = [np.concatenate(x) for x in zip(new, (sym[again], passed_rank[again], into[again], size[lost]), strict=True)]
+                state = np.where(passed, made.sum() + np.cumsum(lost)[state] - 1, np.cumsum(made)[state] - 1)
+            sym, rank, into, size = new
+            step += 1
+        return pool, lens, final
+
+    def _agenda(self, sym: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The same for one long chunk, with a heap: its symbols at the end. Memory follows the chunk's length."""
+        if not self.known:
+            self.known = dict(zip(self.v.keys.tolist(), zip(self.v.rank.tolist(), self.v.into.tolist(), strict=True), strict=True))
+        n, s = len(sym), sym.tolist()
+        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            found = self.known.get((s[i] << 32) + s[j]) if s[i] >= 0 and s[j] >= 0 else None
+            if found:
+                heapq.heappush(heap, (found[0], i, j, s[i], s[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        step, draws = 0, np.zeros(0, bool)
         while heap:
             _, i, j, a, b, m = heapq.heappop(heap)
             if s[i] != a or nxt[i] != j or s[j] != b:
                 continue
-            s[i], s[j], nxt[i] = m, -2, nxt[j]
+            if step == len(draws):
+                draws = np.concatenate([draws, [self.passed(salt, step + k)[0] for k in range(64)]]) if self.limit else np.zeros(step + 64, bool)
+            step += 1
+            if draws[step - 1]:
+                continue
+            s[i], s[j], nxt[i] = m, None, nxt[j]
             if nxt[j] >= 0:
                 prv[nxt[j]] = i
-            for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y >= 0:
-                    r, t = self._look(np.array([s[x]], np.int32), np.array([s[y]], np.int32), np.array([x]), np.array([salt]))
-                    if r[0] != NONE:
-                        heapq.heappush(heap, (int(r[0]), x, y, s[x], s[y], int(t[0])))
-        kept = [i for i in range(n) if s[i] != -2]
-        return np.array([s[i] for i in kept], np.int32), np.array(kept)
-
-
-class Cached:
-    """An encoder for whole texts that remembers chunks, up to CACHE of them a variant."""
-
-    def __init__(self, encoder: Encoder, variants: int):
-        self.encoder, self.known = encoder, [{} for _ in range(variants)]
-
-    def __call__(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        which = [k % len(self.known) for k in keys]
-        for v, known in enumerate(self.known):
-            mine = [c for c, w in zip(cut, which, strict=True) if w == v]
-            if len(known) > CACHE:
-                known.clear()
-            new: set[str] = set()
-            for c in mine:
-                new.update(c)
-            fresh = [c for c in new if c not in known]
-            known.update(zip(fresh, self.encoder.chunks(fresh, v), strict=True))
-        return [b"".join(map(self.known[w].__getitem__, c)) for c, w in zip(cut, which, strict=True)]
+                offer(i, nxt[j])
+            if prv[i] >= 0:
+                offer(prv[i], i)
+        return np.array([x for x in s if x is not None], np.int32)
 
 
 def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     """The UTF-8 bytes that ids stand for, without the blank that encoding puts first."""
-    return b"".join(map(vocab.bytes.__getitem__, ids.tolist()))[1:]
+    return vocab.decode(ids).tobytes()[1:]
 
 
 FIELDS = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())]
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs with tokens (ids), n_tokens, and lossless: whether decoding them gave the text's bytes again.
 
-    Null texts give null tokens, 0 and true; empty texts no tokens. A null key draws variant 0. dropout=0 gives the plain
-    BPE segmentation. Columns of those names are replaced; equal rows get equal tokens."""
-    state: list[Cached] = []
+    Null texts give null tokens, 0 and true; empty texts no tokens. The draws of a row depend on its key (where that is
+    null, on its text), so equal rows get equal tokens. dropout=0 gives the plain BPE segmentation. Columns of those names
+    are replaced. Texts of any length are encoded whole, some SLICE code points at a time; what is held at once grows with
+    the longest text and, for its longest stretch without blank or line break, by some 300 bytes a character."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # one vocabulary file, about 3 MB
+    state: list[Encoder] = []
 
-    def make(picks: pa.Array, column: pa.Array) -> list[pa.Array]:
+    def make(keys: pa.Array, column: pa.Array) -> list[pa.Array]:
         if not state:
-            state.append(Cached(Encoder(shared.value, dropout, seed), variants if dropout else 1))
-        v = shared.value
-        lists, counts, fine = [], [], []
-        for i, j in parts_of(column, 2 << 20):
-            texts = column.slice(i, j - i).to_pylist()
-            packed = state[0]([t or "" for t in texts], picks.slice(i, j - i).to_pylist())
-            for t, p in zip(texts, packed, strict=True):
-                ids = np.frombuffer(p, v.kind)
-                fine.append(t is None or decode_ids(v, ids) == t.encode("utf-8", "surrogatepass"))
-                counts.append(len(ids))
-            lists.append(np.frombuffer(b"".join(packed), v.kind).astype(np.int32))
-        off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
-        nulls = column.is_null()
-        tokens = pa.ListArray.from_arrays(pa.array(off, mask=np.append(nulls.to_numpy(zero_copy_only=False), False)), values)
-        return [tokens, pa.array(np.array(counts, np.int32)), pa.array(fine, pa.bool_())]
-
-    picked = docs.withColumn("__variant", F.coalesce(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(variants)), F.lit(0)))
-    return append(picked, ["__variant", text], FIELDS, make).drop("__variant")
-
-
-def parts_of(column: pa.Array, limit: int):
-    """Row ranges of about `limit` bytes of text each."""
-    from .common import strings
-
-    off = strings(column)[1]
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        yield i, j
-        i = j
+            state.append(Encoder(shared.value, dropout, seed))
+        hashes = keys.to_numpy(zero_copy_only=False).view(U)
+        parts = [state[0].texts(data, off, hashes[i : i + len(off) - 1]) for i, data, off in slices(column, SLICE)]
+        ids, many, fine = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        off = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+        nulls = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
+        tokens = pa.ListArray.from_arrays(pa.array(off, mask=nulls), pa.array(ids))
+        return [tokens, pa.array(many.astype(np.int32)), pa.array(fine)]
+
+    own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit(1))).otherwise(F.xxhash64(F.col(key)))
+    return append(docs.withColumn("__draw", own), ["__draw", text], FIELDS, make).drop("__draw")
 
 
 def decode(tokens: DataFrame, vocab: Vocabulary, column: str = "tokens") -> DataFrame:
