@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,35 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def before(df: DataFrame, order: list[Column], sums: dict[str, Column], most: int = 100_000) -> DataFrame:
+    """df with the sums (of longs) over all rows that come before a row in the order, for tables of any size: rows are dealt
+    to ranges of about `most` rows, and a range begins with the sums of the ranges before it. The order must be total."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda k, w: F.coalesce(F.sum(k).over(earlier(w)), F.lit(0).cast("long"))
+    n = -(-df.count() // most)
+    if n <= 1:
+        return df.select("*", *(upto(c.cast("long"), Window.orderBy(*order)).alias(k) for k, c in sums.items()))
+    ranged = keep(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).select("*", *(c.cast("long").alias(f"__{k}") for k, c in sums.items())))
+    totals = ranged.groupBy("__range").agg(*(F.sum(f"__{k}").alias(f"__all_{k}") for k in sums))
+    ranges = Window.orderBy("__range")  # a row a range
+    starts = totals.select("__range", *(upto(f"__all_{k}", ranges).alias(f"__start_{k}") for k in sums))
+    own = Window.partitionBy("__range").orderBy(*order)
+    met = ranged.join(small(keep(starts)), "__range")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"__start_{k}") + upto(f"__{k}", own)).alias(k) for k in sums))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, kept, with `name`: the numbers from 1 of the rows that share a key, for keys of any number of rows: rows are
+    numbered within their partitions, after the key's rows in the partitions before."""
+    parted = keep(df.withColumn("__part", F.spark_partition_id()))
+    counted = parted.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(F.col(key).alias("__its"), F.col("__part").alias("__where"), F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__start"))
+    turn = F.row_number().over(Window.partitionBy(key, "__part").orderBy(key))
+    met = parted.withColumn("__turn", turn).join(starts, (F.col(key) == F.col("__its")) & (F.col("__part") == F.col("__where")))
+    return keep(met.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__start") + F.col("__turn")).cast("long").alias(name)))
+
+
 def sampled_labels(labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:
     """At most about `bound` labelled rows (doc_id, y) outside the held-out remainder, chosen by a hash of doc_id, so that
     reruns agree. A doc_id with several labels counts by their mean; null ids or labels take no part."""

@@ -112,8 +112,9 @@ EDGE = np.zeros(256, bool)
 EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def bare(w: Words) -> np.ndarray:
-    """Hashes of the words without ASCII punctuation at their ends; 0 for words of nothing else."""
+def bare(w: Words, *stems: int) -> np.ndarray | list[np.ndarray]:
+    """Hashes of the words without ASCII punctuation at their ends; 0 for words of nothing else. With stems also, for each
+    of these lengths, hashes of the words' first so many bytes; 0 for words that are no longer."""
     start, end = w.start.copy(), w.end.copy()
     for place, step in ((start, 1), (end, -1)):
         at = np.arange(len(start))
@@ -121,9 +122,12 @@ def bare(w: Words) -> np.ndarray:
             at = at[end[at] > start[at]]
             at = at[EDGE[w.data[place[at] + min(step, 0)]]]
             place[at] += step
-    h = Prefix(LETTER_HASH[w.data])(start, end)
+    hashes = Prefix(LETTER_HASH[w.data])
+    h = hashes(start, end)
     h[end <= start] = 0
-    return h
+    if not stems:
+        return h
+    return [h, *(np.where(end - start > n, hashes(start, np.minimum(start + n, end)), U(0)) for n in stems)]
 
 
 def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
