@@ -11,16 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, keep, without
-from .neardup import place
-from .words import Prefix, U, Words, scan, shingles, slices
+from .common import append, forget, keep, without
+from .words import Prefix, U, Words, mix, scan, shingles, slices
 
 RUN = 3
-#: Repeated pieces of sentences count from so many words on; repeated runs of whole sentences always do.
-LEAST_WORDS = 20
-LONG_SENTENCE = 8
-#: In a long sentence, a word with the least hash of any so many consecutive words ends a piece.
-WINDOW = 8
+#: Sentences of more words are taken in pieces of so many words at most, so that 51 words of any text hold a span.
+LONG_SENTENCE = 12
 
 _END = np.zeros(256, bool)
 _END[[*b".!?"]] = True
@@ -31,9 +27,7 @@ _CLOSE[[*b"\"')]"]] = True
 class Sentences(NamedTuple):
     first: np.ndarray  # of each sentence, its first word
     last: np.ndarray  # one past its last word
-    hash: np.ndarray
     of: np.ndarray  # n+1 sentence offsets of the texts
-    whole: np.ndarray  # the number of the sentence that it is, or that it is a piece of
 
 
 def least_of_window(values: np.ndarray, part: np.ndarray, width: int) -> np.ndarray:
@@ -52,13 +46,14 @@ def least_of_window(values: np.ndarray, part: np.ndarray, width: int) -> np.ndar
 
 def sentences(w: Words) -> Sentences:
     """A sentence ends with a word that ends in . ! ? (and a closing mark, or one of four marks of other scripts), at a
-    line break and at the end of the text. In a sentence of more than LONG_SENTENCE words every word that has the least
-    hash of some WINDOW consecutive words of it also ends a piece: no piece is longer than WINDOW words, equal sentences
-    are cut alike, and so are equal passages but for WINDOW words at their ends. So 51 words, wherever in a sentence they
-    begin, hold equal pieces that are LEAST_WORDS long together."""
+    line break and at the end of the text.
+
+    Text without marks, and sentences of more than LONG_SENTENCE words, are cut by their content: every word that has the
+    least hash of some LONG_SENTENCE consecutive words of the sentence ends a piece, which then counts as a sentence. Equal
+    sentences are cut alike, and so are equal passages but for the words at their ends; no piece is longer."""
     n = len(w.start)
     if not n:
-        return Sentences(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(w.of), np.int64), np.zeros(0, np.int64))
+        return Sentences(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(w.of), np.int64))
     size = w.end - w.start
     one = w.data[w.end - 1]
     two = np.where(size > 1, w.data[np.maximum(w.end - 2, 0)], 0)
@@ -70,97 +65,119 @@ def sentences(w: Words) -> Sentences:
     stop[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]
     stop[w.of[1:][np.diff(w.of) > 0] - 1] = True
     last = np.flatnonzero(stop) + 1
-    first = np.concatenate([[0], last[:-1]])
-    long = np.repeat(last - first > LONG_SENTENCE, last - first)
-    number = np.repeat(np.arange(len(first)), last - first)
-    stop |= long & least_of_window(w.hash, number, WINDOW)
+    many = np.diff(np.concatenate([[0], last]))
+    number = np.repeat(np.arange(len(last)), many)
+    stop |= np.repeat(many > LONG_SENTENCE, many) & least_of_window(w.hash, number, LONG_SENTENCE)
     last = np.flatnonzero(stop) + 1
     first = np.concatenate([[0], last[:-1]])
-    return Sentences(first, last, Prefix(w.hash)(first, last), np.searchsorted(first, w.of), number[first])
+    return Sentences(first, last, np.searchsorted(first, w.of))
+
+
+def span_hashes(w: Words, s: Sentences, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each text's spans, independent from the words on, and the texts' offsets among them; a text of fewer
+    than `run` sentences is one span."""
+    of_words = lambda h: Words(w.first, w.data, w.text, s.first, s.last, Prefix(h)(s.first, s.last), s.of)
+    one, of = shingles(of_words(w.hash), run)
+    two, _ = shingles(of_words(mix(w.hash ^ U(0x5851F42D4C957F2D))), run)
+    return one, two, of
 
 
-def span_hashes(w: Words, s: Sentences, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's spans and their offsets; a text of fewer than `run` sentences is one span."""
-    return shingles(Words(w.first, w.data, w.text, s.first, s.last, s.hash, s.of), run)
+def named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with __key and __hash, which tell a text: its key (may be null) and a hash of it."""
+    return docs.withColumn("__key", F.col(key).cast("long")).withColumn("__hash", F.xxhash64(F.col(text)))
 
 
-def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, hash, later): for each text the numbers of its spans that are not the first of their kind. The first is
-    the one with the least key, then the least place in its text; null keys are ordered by a hash of their text."""
+def all_spans(docs: DataFrame, run: int, text: str) -> DataFrame:
+    """(span, check, key, hash, pos): every span of every text; span and check are two hashes of its words."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, off in slices(batch.column(2)):
                 w = scan(data, off, first)
-                values, of = span_hashes(w, sentences(w), run)
+                one, two, of = span_hashes(w, sentences(w), run)
                 rows = np.repeat(np.arange(first, first + len(off) - 1), np.diff(of))
                 at = pa.array(rows)
-                pos = np.arange(len(values)) - of[rows - first]
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32))], names=["span", "place", "hash", "pos"])
+                pos = np.arange(len(one)) - of[rows - first]
+                cols = [pa.array(one.view(np.int64)), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["span", "check", "key", "hash", "pos"])
 
-    rows = docs.select(place(docs, key, text).alias("place"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    spans = keep(rows.mapInArrow(found, "span long, place long, hash long, pos int"))
+    return docs.select("__key", "__hash", text).mapInArrow(found, "span long, check int, key long, hash long, pos int")
+
+
+def repeated(spans: DataFrame) -> DataFrame:
+    """(key, hash, later): for each text the numbers of its spans that are not the first of their kind. The first is the
+    one with the least key (null keys come last), then the least hash of its text, then the least place in it."""
+    kind = ["span", "check"]
     # the sums are kept before they are joined, so that Spark may split the join's partition of a very frequent span
-    many = keep(spans.groupBy("span").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("span", "least"))
-    hits = keep(spans.join(many, "span"))
-    start = keep(hits.where("place = least").groupBy("span").agg(F.min("pos").alias("start")))
-    later = hits.join(start, "span").where("place > least or pos > start")
-    return later.groupBy("place", "hash").agg(F.collect_set("pos").alias("later"))
+    many = keep(spans.groupBy(*kind).agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").drop("n"))
+    hits = keep(spans.join(many, kind))
+    forget(many)
+    start = keep(hits.where(F.col("key").eqNullSafe(F.col("least"))).groupBy(*kind).agg(F.min(F.struct("hash", "pos")).alias("first")))
+    is_first = F.col("key").eqNullSafe(F.col("least")) & (F.struct("hash", "pos") == F.col("first"))
+    return hits.join(start, kind).where(~is_first).groupBy("key", "hash").agg(F.collect_set("pos").alias("later"))
 
 
-def cut(text: str, later: list[int], run: int, least: int) -> tuple[str, int]:
-    """A text without the sentences that the given spans cover, and the words that went. A covered stretch goes if
-    it holds `run` whole sentences (or all that the text has) or `least` words. A removed stretch takes the white space after it along, but leaves a line break that parts lines."""
+def cut(text: str, later: list[int] | None, run: int) -> tuple[str, int]:
+    """A text without the sentences that the given spans cover (None: all), and the words that went. A removed stretch
+    takes the white space after it along, but leaves a line break that parts lines."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     w = scan(data, np.array([0, len(data)]))
     s = sentences(w)
     gone = np.zeros(len(s.first) + 1, np.int64)
-    for p in later:
+    for p in [0] if later is None else later:
         gone[p] += 1
-        gone[min(p + run, len(s.first))] -= 1
+        gone[len(s.first) if later is None else min(p + run, len(s.first))] -= 1
     on = np.flatnonzero(np.cumsum(gone)[:-1] > 0)
     if not len(on):
         return text, 0
     breaks = np.flatnonzero(np.diff(on) > 1)
-    opens = np.concatenate([[True], np.diff(s.whole) > 0])  # pieces that begin a sentence
     kept, words, at = [], 0, 0
     for a, b in zip(on[np.concatenate([[0], breaks + 1])], on[np.concatenate([breaks, [len(on) - 1]])], strict=True):
-        many = int(s.last[b] - s.first[a])
-        ended = b + 1 == len(opens) or opens[b + 1]
-        if many < least and opens[a : b + 1].sum() - (not ended) < min(run, s.whole[-1] + 1):
-            continue
         start = int(w.start[s.first[a]])
         end = int(w.start[s.last[b]]) if s.last[b] < len(w.start) else len(raw)
         kept.append(raw[at:start])
         if b"\n" in raw[int(w.end[s.last[b] - 1]) : end] and start > 0 and raw[start - 1] != 10:
             kept.append(b"\n")
-        words, at = words + many, end
+        words, at = words + int(s.last[b] - s.first[a]), end
     kept.append(raw[at:])
     return b"".join(kept).decode(), words
 
 
-def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", count: str = "removed_words") -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", count: str = "removed_words") -> DataFrame:
     """docs with repeated passages cut out of text, and removed_words long (or what `count` names it).
 
-    A sentence goes if a span of `run` consecutive sentences that covers it occurred before, however short; pieces of
-    long sentences go if the stretch that spans of pieces cover has `least` words or more. Word case (A-Z) and white space make no difference. The first occurrence stays whole. Null
-    text stays null with 0; rows that repeat key and text are one text and are treated alike. Other columns stay as they
-    are, but one of that name is replaced."""
-    marks = repeated(docs, run, key, text).select(F.col("place").alias("__place"), F.col("hash").alias("__hash"), F.col("later").alias("__later"))
-    base = without(docs, count).withColumn("__p", place(docs, key, text)).withColumn("__h", F.xxhash64(F.col(text)))
-    met = base.join(marks, (F.col("__p") == F.col("__place")) & (F.col("__h") == F.col("__hash")), "left").drop("__p", "__h", "__place", "__hash")
-
-    def make(texts: pa.Array, later: pa.Array) -> list[pa.Array]:
-        marked = later.is_valid().to_numpy(zero_copy_only=False)
+    A sentence goes if a span of `run` consecutive sentences that covers it occurred before, however short it is. Word case
+    (A-Z) and white space make no difference. The first occurrence stays whole; among texts with keys it is in the one with
+    the least key, and texts without a key come after all others. Rows may share a key: texts are told apart by key and
+    text, and of rows that are equal in both one keeps what is first of its kind while the others are emptied. Null, empty
+    and blank texts stay as they are, with 0. Texts of any length are taken whole. Other columns stay as they are, but one
+    named like `count` is replaced. No rows give no rows."""
+    base = named(without(docs, count), key, text)
+    spans = keep(all_spans(base, run, text))
+    marks = repeated(spans).select(F.col("key").alias("__k"), F.col("hash").alias("__h"), F.col("later").alias("__later"))
+    base = base.withColumn("__extra", F.lit(False))
+    twice = keep(spans.where("pos = 0").groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__k"), F.col("hash").alias("__h")))
+    forget(spans)
+    same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h"))
+    if not twice.isEmpty():
+        rows = keep(base.join(twice, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()))
+        ones = rows.groupBy(F.col("__key").alias("__k"), F.col("__hash").alias("__h")).agg(F.min("__row").alias("__one"))
+        told = rows.join(ones, same).withColumn("__extra", F.col("__row") != F.col("__one"))
+        base = base.join(twice, same, "left_anti").unionByName(told.select(*base.columns))
+    met = base.join(marks, same, "left").drop("__key", "__hash", "__k", "__h")
+
+    def make(texts: pa.Array, later: pa.Array, extra: pa.Array) -> list[pa.Array]:
+        emptied = extra.to_numpy(zero_copy_only=False)
+        marked = later.is_valid().to_numpy(zero_copy_only=False) | emptied
         if not marked.any():
             return [texts, pa.array(np.zeros(len(texts), np.int64))]
         out, words = texts.to_pylist(), np.zeros(len(texts), np.int64)
         for i in np.flatnonzero(marked).tolist():
-            out[i], words[i] = cut(out[i], later[i].as_py(), run, least)
+            out[i], words[i] = cut(out[i], None if emptied[i] else later[i].as_py(), run)
         return [pa.array(out, texts.type), pa.array(words)]
 
-    made = append(met, [text, "__later"], [T.StructField("__text", T.StringType()), T.StructField(count, T.LongType())], make)
+    made = append(met, [text, "__later", "__extra"], [T.StructField("__text", T.StringType()), T.StructField(count, T.LongType())], make)
     return made.select(*(F.col("__text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in without(docs, count).columns), f"`{count}`")
 
 
