@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small
+from .common import before, keep, numbered, small
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
-GRID = 1 << 16
+#: Slices of the ratio: the one in which a source's sum crosses is found among FINE coarse ones, then among its FINE ones.
+FINE = 256
 
 
 def words(text: Column) -> Column:
@@ -18,9 +19,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def odds(key: Column) -> Column:
-    """Random odds u / (1 - u) of a row, from the MD5 of its key: the same in every run."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), key.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def odds(draw: Column) -> Column:
+    """Random odds u / (1 - u) of a row, from the MD5 of what tells it: the same in every run."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), draw)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return u / (1 - u)
 
 
@@ -29,23 +30,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     repeating, share all words; no target exceeds MOST times its source, the excess goes to the others by weight.
 
     A source stays below its limit exactly if its limit a weight exceeds the water level; in order of that ratio the
-    limited ones come first, so running sums give the level. One row a source: the table is as small as the sources are
-    few, and the sums run over it in one task."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn + 1).cast("int")))
-    weighed = weighed.withColumn("limit", F.col("source_size") * MOST)
-    # integer ratios can tie; the order among equals has no effect on the level
-    rising = Window.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    all_rows = Window.partitionBy(F.lit(0))
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    summed = weighed.withColumn("limited", F.coalesce(F.sum("limit").over(before), F.lit(0).cast("long")))
-    summed = summed.withColumn("lighter", F.coalesce(F.sum("weight").over(before), F.lit(0).cast("long")))
-    summed = summed.withColumn("total", F.sum("source_size").over(all_rows)).withColumn("weights", F.sum("weight").over(all_rows))
-    level = (F.col("total") - F.col("limited")).cast("double") / (F.col("weights") - F.col("lighter")).cast("double")
-    summed = summed.withColumn("free", level * F.col("weight") <= F.col("limit")).withColumn("level", level)
-    water = F.max(F.when(F.col("free"), F.col("level"))).over(all_rows)
-    reached = F.least(F.coalesce(water * F.col("weight"), F.col("limit").cast("double")), F.col("limit").cast("double"))
+    limited ones come first, so running sums give the level. The sums run over ranges, however many sources there are."""
+    name = F.col("source").asc_nulls_last()
+    placed = before(sizes, [name], {"place": F.lit(1)})
+    weighed = placed.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long"))
+    weighed = weighed.withColumn("limit", F.col("source_size") * MOST).withColumn("share", F.col("limit") / F.col("weight"))
+    # shares can tie; the order among equals has no effect on the level
+    summed = keep(before(weighed, [F.col("share"), name], {"limited": F.col("limit"), "lighter": F.col("weight")}))
+    total, weights = summed.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("limited")).cast("double") / (F.lit(weights) - F.col("lighter")).cast("double")
+    limit = F.col("limit").cast("double")
+    water = summed.select(F.max(F.when(level * F.col("weight") <= limit, level))).first()[0]
+    reached = limit if water is None else F.least(F.lit(water) * F.col("weight"), limit)
     return summed.select("source", "source_size", reached.alias("target"))
 
 
@@ -54,8 +50,16 @@ def importance(size: Column) -> Column:
     return (7 + F.length(F.bin(F.greatest(size, F.lit(1))))).cast("long")
 
 
+def crossing(ladder: DataFrame, rung: str, start: Column) -> DataFrame:
+    """(source, edge, gap): of each source's rungs (at most FINE, with words) the first at which `start` words go out, and
+    the words that are left before it. Sources whose words do not reach so far have no row."""
+    climb = Window.partitionBy("source").orderBy(rung).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ladder.withColumn("gap", start - (F.sum("words").over(climb) - F.col("words"))).where(F.col("words") > F.col("gap"))
+    return upto.groupBy("source").agg(F.min(F.struct(F.col(rung).alias("edge"), "gap")).alias("at")).select("source", "at.*")
+
+
 def drawn(rows: DataFrame) -> DataFrame:
-    """rows (source, key, size, ...) with source_size, target and taken.
+    """rows (source, draw, size, ...; draw tells a row) with source_size, target, copies and taken.
 
     A document of importance g is wanted rate = min(MOST, c * g) times, c being its source's constant that brings the
     expected words to the target. The whole part of the rate is taken for certain. Of the rest the documents with the
@@ -80,47 +84,59 @@ def drawn(rows: DataFrame) -> DataFrame:
     wanted = rows.join(small(per), F.col("source").eqNullSafe(F.col("its")) & (F.col("g") == F.col("its_g"))).drop("its", "its_g")
     wanted = wanted.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.floor("rate"))
     # ratio: random odds by inclusion odds; a rate without a fraction is never drawn
-    ratio = F.when((F.col("part") > 0) & (F.col("size") > 0), odds(F.col("key")) * (1 - F.col("part")) / F.col("part"))
-    wanted = wanted.withColumn("ratio", ratio).withColumn("slice", F.floor((F.col("ratio") / (1 + F.col("ratio"))) * GRID).cast("int"))
-    wanted = keep(wanted)
-    certain = wanted.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("missing"))
-    ladder = wanted.where("ratio is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    climb = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = ladder.withColumn("upto", F.sum("words").over(climb))
-    cross = ladder.join(certain.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") > F.col("missing"))
-    cross = cross.groupBy("source").agg(F.min(F.struct("slice", (F.col("missing") - (F.col("upto") - F.col("words"))).alias("gap"))).alias("at"))
-    cross = keep(cross.select(F.col("source").alias("its"), F.col("at.slice").alias("edge"), F.col("at.gap").alias("gap")))
-    inside = wanted.join(cross, F.col("source").eqNullSafe(F.col("its")) & (F.col("slice") == F.col("edge")))
-    one = Window.partitionBy("its").orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.when((F.col("part") > 0) & (F.col("size") > 0), odds(F.col("draw")) * (1 - F.col("part")) / F.col("part"))
+    slices = F.floor((F.col("ratio") / (1 + F.col("ratio"))) * (FINE * FINE)).cast("int")
+    wanted = keep(wanted.withColumn("ratio", ratio).withColumn("slice", slices))
+    sums = keep(wanted.groupBy("source", "slice").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.sum("size").alias("words")))
+    missing = sums.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum("certain")).alias("missing"))
+    ladder = sums.where("slice is not null").withColumn("coarse", F.floor(F.col("slice") / FINE).cast("int")).select("source", "coarse", "slice", "words")
+    rungs = ladder.groupBy("source", "coarse").agg(F.sum("words").alias("words")).join(missing, F.col("source").eqNullSafe(F.col("s")))
+    coarse = crossing(rungs, "coarse", F.col("missing")).select(F.col("source").alias("s"), F.col("edge").alias("at"), F.col("gap").alias("left"))
+    within = ladder.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("at")))
+    cross = keep(crossing(within, "slice", F.col("left")).withColumnRenamed("source", "its"))
+    inside = wanted.join(small(cross), F.col("source").eqNullSafe(F.col("its")) & (F.col("slice") == F.col("edge")))
+    one = Window.partitionBy("its").orderBy("ratio", "draw").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("size").over(one)
     nearer = (F.col("upto") <= F.col("gap")) | ((F.col("upto") - F.col("gap")) < (F.col("gap") - (F.col("upto") - F.col("size"))))
-    last = inside.withColumn("upto", upto).where(nearer).groupBy("its").agg(F.max(F.struct("ratio", "key")).alias("last"))
-    edges = cross.select("its", "edge").join(last.withColumnRenamed("its", "i"), F.col("its").eqNullSafe(F.col("i")), "left").select("its", "edge", F.col("last.ratio").alias("last_ratio"), F.col("last.key").alias("last_key"))
+    last = inside.withColumn("upto", upto).where(nearer).groupBy("its").agg(F.max(F.struct("ratio", "draw")).alias("last"))
+    edges = cross.select("its", "edge").join(last.withColumnRenamed("its", "i"), F.col("its").eqNullSafe(F.col("i")), "left").select("its", "edge", F.col("last.ratio").alias("last_ratio"), F.col("last.draw").alias("last_draw"))
     ready = wanted.join(small(keep(edges)), F.col("source").eqNullSafe(F.col("its")), "left")
     within = F.col("ratio").isNotNull() & (
         F.col("edge").isNull() | (F.col("slice") < F.col("edge"))
-        | ((F.col("slice") == F.col("edge")) & F.coalesce(F.struct("ratio", "key") <= F.struct(F.col("last_ratio").alias("ratio"), F.col("last_key").alias("key")), F.lit(False)) & F.col("last_ratio").isNotNull())
+        | ((F.col("slice") == F.col("edge")) & F.coalesce(F.struct("ratio", "draw") <= F.struct(F.col("last_ratio").alias("ratio"), F.col("last_draw").alias("draw")), F.lit(False)) & F.col("last_ratio").isNotNull())
     )
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(within, 1).otherwise(0)).otherwise(0).cast("long")
-    return ready.withColumn("copies", copies).withColumn("taken", copies * F.col("size")).drop("g", "rate", "whole", "part", "ratio", "slice", "its", "edge", "last_ratio", "last_key")
+    return ready.withColumn("copies", copies).withColumn("taken", copies * F.col("size")).drop("g", "rate", "whole", "part", "ratio", "slice", "its", "edge", "last_ratio", "last_draw")
+
+
+def told(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with __draw, a string that no other row has: key, hash of the text, and a number where rows repeat both."""
+    own = F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    named = docs.withColumn("__own", own)
+    twice = keep(named.groupBy("__own").agg(F.count("*").alias("__n")).where("__n > 1").select("__own"))
+    rows = named.withColumn("__turn", F.lit(1).cast("long"))
+    if not twice.isEmpty():
+        rows = named.join(twice, "__own", "left_anti").withColumn("__turn", F.lit(1).cast("long")).unionByName(numbered(named.join(twice, "__own", "left_semi"), "__own", "__turn"))
+    return rows.withColumn("__draw", F.concat_ws("|", "__own", "__turn")).drop("__own", "__turn")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row.
+    """(doc_id, source, size, source_size, target, copies, taken) of each row; other columns do not come along.
 
-    Null text has size 0 and is never taken; a null source is a source of its own; null keys are told apart by the text's
-    hash. Rows that repeat key and text draw alike. No rows give no rows."""
-    own = F.coalesce(F.col(key).cast("string"), F.xxhash64(F.col(text)).cast("string"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("key"), words(F.col(text)).alias("size"))
-    return drawn(keep(rows)).drop("key")
+    Null text has size 0 and is never taken; a null source is a source of its own. Rows may share a key, or have none:
+    each row draws for itself, also where rows repeat key and text. Texts of any length are counted whole. Reruns agree on
+    all columns. No rows give no rows."""
+    rows = told(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__text")), "doc_id", "__text")
+    return drawn(keep(rows.select("doc_id", "source", F.col("__draw").alias("draw"), words(F.col("__text")).alias("size")))).drop("draw")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: each row of docs as many times as it is taken, with all its columns."""
-    own = F.coalesce(F.col(key).cast("string"), F.xxhash64(F.col(text)).cast("string"))
-    rows = docs.select(F.col(source).cast("string").alias("source"), own.alias("key"), F.xxhash64(F.col(text)).alias("hash"), words(F.col(text)).alias("size"))
-    taken = drawn(keep(rows)).where("copies > 0").select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    met = docs.withColumn("__own", own).join(taken, (F.col("__own") == F.col("__key")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("__hash")) & F.col(source).cast("string").eqNullSafe(F.col("__source")))
+    """The mix itself: each row of docs as many times as `mixed` takes it, with all its columns. Of rows that repeat key
+    and text but differ otherwise, which one is taken more often is not fixed."""
+    rows = told(docs, key, text)
+    sized = keep(rows.select(F.col(source).cast("string").alias("source"), F.col("__draw").alias("draw"), words(F.col(text)).alias("size")))
+    taken = drawn(sized).where("copies > 0").select(F.col("draw").alias("__taken"), F.col("copies").alias("__copies"))
+    met = rows.join(taken, F.col("__draw") == F.col("__taken"))
     return met.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

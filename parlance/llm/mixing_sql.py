@@ -2,10 +2,10 @@
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS key,
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS own,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
-g AS (SELECT *, 7 + length(bin(greatest(size, 1))) AS g FROM d),
+g AS (SELECT *, own || '|' || row_number() OVER (PARTITION BY own) AS key, 7 + length(bin(greatest(size, 1))) AS g FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM g GROUP BY source),
 w AS (
   SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight,
