@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for each end of the links (a, b), label the least node that can be reached.
+    """(node, label) for each end of the links (a, b), label the least node that can be reached; kept.
 
     A large star links each node's greater neighbours to its least one, a small star its lesser neighbours and itself.
     Both keep the components; the count of rounds grows with the logarithm of a component's width. Each round is written
@@ -18,8 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (now := _mark(edges)) != before:
         before = now
-        edges = keep(_small(_large(edges)))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        old, edges = edges, keep(_small(_large(edges)))
+        forget(old)
+    out = keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    forget(edges)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

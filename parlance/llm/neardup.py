@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import forget, keep
 from .components import components
 from .words import U, mix, scan, shingles, slices
 
@@ -135,7 +135,7 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mixed(members: DataFrame) -> DataFrame:
     """The members of buckets with more than one label."""
-    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    several = keep(members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
     return members.join(several, "bucket", "left_semi")
 
 
@@ -146,10 +146,10 @@ def untested(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     Nodes outside a bucket's most frequent label meet all its nodes. A bucket is dealt to groups of BLOCK such nodes by
     BLOCK of all, so that no group outgrows a task; a group compares its sets, cut to 32 bits a shingle, at once and gives
     only what passes, so rows grow with the members of buckets, not with their pairs."""
-    of = Window.partitionBy("bucket")
-    sized = left.withColumn("size", F.count("*").over(Window.partitionBy("bucket", "label")))
-    counted = sized.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("many"))
-    marked = sized.join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
+    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    # kept before the join, so that Spark may split the join's partition of a large bucket
+    counted = keep(sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("many")))
+    marked = left.join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
     minors = F.ceil((F.col("many") - F.col("most.size")) / BLOCK).cast("int")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
@@ -199,8 +199,9 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
 
     Two texts are linked if their sets of k-word shingles have a likeness of `percent` per cent or more; component_id is
     the least doc_id that links lead to. Texts without words (null, empty, blank) are linked with nothing. Null doc_ids
-    take part in links, but name no component while another row does. A key may
-    repeat with other texts: place and the hash of its text tell a row, and keeper (place, hash) is the one to keep."""
+    take part in links, but name no component while another row does. A key may repeat with other texts: place and the hash
+    of its text tell a row, and keeper (place, hash) is the one to keep; of rows equal in both it means any. Texts of any
+    length count with all their shingles; what a task holds grows with the longest one. No rows give no rows."""
     rows = keep(sketched(docs, k, key, text))
     ids = F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "place", "hash")).alias("first")
     classes = keep(rows.where("node is not null").groupBy("node").agg(F.min("place").alias("place"), F.max("n_shingles").alias("n"), *ids))
@@ -211,18 +212,22 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     nodes = keep(members.select("node").distinct().join(classes.select("node", "place"), "node"))
     wanted = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
     full = keep(full_sets(docs, wanted, k, key, text))
-    centres = members.where("central").select("bucket", F.col("node").alias("centre"))
+    centres = keep(members.where("central").select("bucket", F.col("node").alias("centre")))
     star = members.join(centres, "bucket").where("node <> centre")
     links = keep(confirmed(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
-    labels = keep(components(links))
+    labels = components(links)
     left = keep(mixed(labelled(members.select("bucket", "node"), labels)))
-    more = keep(confirmed(keep(untested(left, full, percent)), full, percent))
+    tried = keep(untested(left, full, percent))
+    more = keep(confirmed(tried, full, percent))
+    forget(nodes, full, centres, members, left, tried)
     if not more.isEmpty():
-        labels = keep(components(keep(links.unionByName(more))))
+        forget(labels)
+        labels = components(links.unionByName(more))
     whole = labelled(classes, labels)
     ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
     ends = ends.select("label", "component_id", F.struct("first.place", "first.hash").alias("keeper"))
     found = keep(whole.select("node", "label").join(ends, "label").select("node", "component_id", "keeper"))
+    forget(links, more, labels, classes)
     joined = rows.select("doc_id", "place", "hash", "n_shingles", "node").join(found, "node", "left")
     alone = F.col("node").isNull()
     component, keeper = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")), F.when(alone, F.struct("place", "hash")).otherwise(F.col("keeper"))
@@ -234,13 +239,13 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     with all its columns. Rows that repeat a key with the same text count once, those that repeat it with another text
     are rows of their own; texts without words all stay."""
     found = grouped(docs, k, percent, key, text).where((F.col("place") == F.col("keeper.place")) & (F.col("hash") == F.col("keeper.hash")))
-    kept = found.select(F.col("place").alias("__place"), F.col("hash").alias("__hash")).distinct()
-    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    own = F.when(worded, F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    told = docs.withColumn("__place", place(docs, key, text)).withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__own", own)
-    marked = told.join(kept, ["__place", "__hash"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__place", "__hash", "__own").orderBy("__hash"))
-    return marked.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__place", "__hash", "__own")
+    told = ["__place", "__hash"]
+    kept = keep(found.groupBy(F.col("place").alias("__place"), F.col("hash").alias("__hash")).agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")))
+    marked = docs.withColumn("__place", place(docs, key, text)).withColumn("__hash", F.xxhash64(F.col(text))).join(kept.select(*told), told, "left_semi")
+    twice = keep(kept.where("n > 1 and words > 0").select(*told))
+    if not twice.isEmpty():  # rows that repeat key and text: the first that partial aggregation meets
+        marked = marked.join(twice, told, "left_anti").unionByName(marked.join(twice, told, "left_semi").dropDuplicates(told))
+    return marked.drop(*told)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
