@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,148 +12,198 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append, labelled_texts, logistic, remainder, sigmoid
-from .words import LETTER_HASH, Prefix, U, scan, slices
-
-BITS = 22
-SAMPLE_DOCS = 16000
-TERMS = 512
-LEAST = 12
-RANK = 6
+from .words import U, bare, scan, slices
+
+#: Every term has one of 2**BITS weights and vectors by its hash; none is left out.
+BITS = 17
+STEM = 4
+MIX = 0x9E3779B97F4A7C15
+SAMPLE_DOCS = 8000
+#: Machines that are averaged, each fitted to all parts of the sample but one, and the rank of each.
+PARTS, RANK = 3, 3
+#: Rows a step (fewer of a small sample, for fifty steps a round), rounds, and rounds without a gain after which the fit ends.
+BATCH, ROUNDS, PATIENCE = 256, 12, 4
+#: Step size, and decay of single weights and of vectors.
+RATE, DECAY = 0.3, (3e-5, 6e-3)
+#: A text of n terms has each to the extent of SPREAD / sqrt(n + SHORT).
+SPREAD, SHORT = 4.0, 32.0
 FOLD, HELD = 5, 0
-_EDGE = np.zeros(256, bool)
-_EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def terms(column: pa.Array):
-    """(first row, hashed terms, term offsets) of slices of the texts. A term is a word without ASCII punctuation at its
-    ends, A-Z taken as a-z, hashed to BITS bits."""
+class Terms(NamedTuple):
+    """The distinct hashed terms of texts, one text after the other, and the n+1 offsets of the texts."""
+
+    at: np.ndarray
+    off: np.ndarray
+
+
+def terms(column: pa.Array) -> Iterator[tuple[int, Terms]]:
+    """(first row, terms) of slices of whole texts. A term is a word without ASCII punctuation at its ends, A-Z taken as
+    a-z, or the first STEM bytes of a longer one; words of punctuation only are no terms. How often a text has a term
+    makes no difference."""
     for first, data, off in slices(column):
         w = scan(data, off, hashes=False)
-        start, end = w.start.copy(), w.end.copy()
-        while (at := np.flatnonzero((end > start) & _EDGE[data[np.minimum(start, len(data) - 1)]] if len(start) else start)).size:
-            start[at] += 1
-        while (at := np.flatnonzero((end > start) & _EDGE[data[end - 1]] if len(start) else start)).size:
-            end[at] -= 1
-        h = Prefix(LETTER_HASH[data])(start, end)
-        h[end <= start] = 0
-        yield first, (h >> U(64 - BITS)).astype(np.int64), w.of
+        rows = np.repeat(np.arange(len(off) - 1), np.diff(w.of))
+        both = [rows[h != 0] << BITS | ((h[h != 0] + U(k)) * U(MIX) >> U(64 - BITS)).astype(np.int64) for k, h in enumerate(bare(w, STEM))]
+        both = np.unique(np.concatenate(both))
+        yield first, Terms(both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(len(off))))
+
+
+def sums(rows: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each stretch between offsets; zeros for an empty one."""
+    out = np.zeros((len(off) - 1, rows.shape[1]), rows.dtype)
+    some = np.diff(off) > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows, off[:-1][some], axis=0)
+    return out
+
+
+def extent(x: Terms) -> np.ndarray:
+    """To what extent a text has each of its terms: less, the more there are."""
+    return (SPREAD / np.sqrt(np.diff(x.off) + SHORT)).astype(np.float32)
 
 
 class Machine:
-    """w0 + sum of w over a text's chosen terms + sum over pairs of <v, v'>, as a calibrated probability."""
+    """w0 + sum of w over a text's terms + sum over pairs of them of <v, v'>, by the extent that it has them, as a
+    calibrated probability."""
 
-    def __init__(self, chosen: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, scale: tuple[float, float]):
-        self.chosen, self.w0, self.w, self.v, self.scale = chosen, w0, w, v, scale
+    def __init__(self, w0: float, p: np.ndarray, scale: tuple[float, float] = (1.0, 0.0)):
+        self.w0, self.p, self.scale = w0, p.astype(np.float32), scale
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.v
-        return self.w0 + x @ self.w + 0.5 * ((s * s).sum(1) - x @ (self.v * self.v).sum(1))
+    def raw(self, x: Terms) -> np.ndarray:
+        # the sum over pairs is half of |sum of v| squared less the sum of |v| squared
+        own, e = self.p[x.at], extent(x)
+        s = sums(np.column_stack([own, (own[:, 1:] ** 2).sum(1)]), x.off)
+        return self.w0 + e * s[:, 0] + 0.5 * e * e * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1])
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.scale[0] * self.raw(x) + self.scale[1])
+    def __call__(self, x: Terms) -> np.ndarray:
+        return sigmoid(self.scale[0] * self.raw(x).astype(float) + self.scale[1])
 
 
-def presence(column: pa.Array, chosen: np.ndarray) -> np.ndarray:
-    """A row of 0 and 1 for each text: which of the chosen terms (sorted) it has anywhere."""
-    index = np.full(1 << BITS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(column), len(chosen)), np.float32)
-    for first, h, off in terms(column):
-        at = index[h]
-        hit = np.flatnonzero(at >= 0)
-        out[first + np.searchsorted(off, hit, side="right") - 1, at[hit]] = 1
-    return out
+def taken(x: Terms, rows: np.ndarray) -> Terms:
+    """The terms of some texts."""
+    many = np.diff(x.off)[rows]
+    off = np.concatenate([[0], np.cumsum(many)])
+    return Terms(x.at[np.repeat(x.off[:-1][rows] - off[:-1], many) + np.arange(off[-1])], off)
+
 
+def loss(raw: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -raw, raw)).mean()) if len(y) else 0.0
 
-def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK, rounds: int = 60, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
-    """The machine's weights by Adam over mini-batches of the logistic loss, with L2 on all weights but the constant."""
+
+def fit(x: Terms, y: np.ndarray, test: Terms, test_y: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 3) -> Machine:
+    """The machine's weights by gradient steps with momentum over mini-batches of the logistic loss, with L2 on all but
+    the constant; of all rounds the weights with the least loss on the test rows."""
     rng = np.random.default_rng(seed)
-    n, d = x.shape
-    p = [np.array([np.log((y.mean() + 1e-3) / (1.001 - y.mean()))]), np.zeros(d), rng.normal(0, 0.02, (d, rank))]
-    m, s, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
+    n, d = len(y), 1 << BITS
+    w0 = float(np.log((y.mean() + 1e-3) / (1.001 - y.mean())))
+    p = np.column_stack([np.zeros(d), rng.normal(0, 0.05, (d, rank))]).astype(np.float32)
+    decay = np.array([DECAY[0]] + [DECAY[1]] * rank, np.float32)
+    size = max(16, min(BATCH, n // 50))
+    shuffled = rng.permutation(n)
+    batches = []
+    for i in range(0, n, size):
+        rows = shuffled[i : i + size]
+        b = taken(x, rows)
+        order = np.argsort(b.at, kind="stable")
+        there, first = np.unique(b.at[order], return_index=True)
+        batches.append((b, y[rows], extent(b), np.repeat(np.arange(len(rows)), np.diff(b.off)), order, there, first))
+    best, least, since = Machine(w0, p), np.inf, 0
+    move = np.zeros_like(p)
     for _ in range(rounds):
-        order = rng.permutation(n)
-        for i in range(0, n, 512):
-            b = order[i : i + 512]
-            xb = x[b]
-            sums = xb @ p[2]
-            raw = p[0][0] + xb @ p[1] + 0.5 * ((sums * sums).sum(1) - xb @ (p[2] * p[2]).sum(1))
-            e = (sigmoid(raw) - y[b]) / len(b)
-            grads = [np.array([e.sum()]), xb.T @ e + 1e-4 * p[1], xb.T @ (e[:, None] * sums) - (xb.T @ e)[:, None] * p[2] + 1e-3 * p[2]]
-            t += 1
-            for k, g in enumerate(grads):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                p[k] = p[k] - 0.03 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
-    return float(p[0][0]), p[1], p[2]
+        for i in rng.permutation(len(batches)):
+            b, yb, e, row, order, there, first = batches[i]
+            own = p[b.at]
+            s = sums(np.column_stack([own, (own[:, 1:] ** 2).sum(1)]), b.off)
+            raw = w0 + e * s[:, 0] + 0.5 * e * e * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1])
+            off_by = ((sigmoid(raw) - yb) / len(yb)).astype(np.float32)
+            g = np.empty_like(own)
+            g[:, 0] = (off_by * e)[row]
+            g[:, 1:] = (off_by * e * e)[row, None] * (s[row, 1:-1] - own[:, 1:])
+            move *= np.float32(0.9)
+            move += decay * p
+            if len(there):
+                move[there] += np.add.reduceat(g[order], first, axis=0)
+            p -= np.float32(RATE) * move
+            w0 -= 4 * float(off_by.sum())  # faster than the terms, which would share the constant among them
+        made = Machine(w0, p.copy())
+        now = loss(made.raw(test), test_y)
+        since = 0 if now < least else since + 1
+        if now < least:
+            best, least = made, now
+        if since == PATIENCE:
+            break
+    return best
+
+
+def average(machines: list[Machine]) -> Machine:
+    """The machine whose raw score is the mean of theirs: its vectors are theirs side by side."""
+    n = len(machines)
+    w = sum(m.p[:, 0] for m in machines) / n
+    return Machine(sum(m.w0 for m in machines) / n, np.column_stack([w, *(m.p[:, 1:] / np.sqrt(n) for m in machines)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD) -> Machine:
-    """A machine learned from at most SAMPLE_DOCS labelled rows, chosen by hash.
+    """A machine learned from at most SAMPLE_DOCS labelled rows, chosen by hash, over all their terms.
 
-    The terms taken are those in at least LEAST sampled texts (repeated texts count once) whose presence says most about
-    the label, TERMS at most, by the likelihood ratio. A fifth of the sample is kept back to calibrate the score."""
+    Texts of equal terms and label count once; of texts that share a doc_id the least counts. The sample is dealt to PARTS,
+    with as many rows of each label; a task a part fits a machine to the other parts and ends the fit by this one. Their
+    mean is the model, calibrated by what each said of its own part. With one label only, or none, the score is that
+    label's share."""
     rows = labelled_texts(docs, labels, "toxic", fold, held, SAMPLE_DOCS)
 
     def run(batches):
         for batch in batches:
             y = batch.column(1).to_numpy()
-            for first, h, off in terms(batch.column(0)):
-                sets = [np.unique(h[a:b]).astype(np.int32) for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(y[first : first + len(sets)])], names=["terms", "y"])
+            for first, x in terms(batch.column(0)):
+                sets = [x.at[a:b].astype(np.int32).tobytes() for a, b in zip(x.off[:-1], x.off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(y[first : first + len(sets)])], names=["terms", "y"])
 
     got = rows.select("text", "y").mapInArrow(run, "terms binary, y int").toPandas()  # SAMPLE_DOCS rows at most, of hashes
     got = got.sort_values(["terms", "y"]).drop_duplicates().reset_index(drop=True)
     y = got["y"].to_numpy(float)
-    sets = [np.frombuffer(t, np.int32) for t in got["terms"]]
-    none = Machine(np.zeros(0, np.int64), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))) if len(y) else 0.0, np.zeros(0), np.zeros((0, RANK)), (1.0, 0.0))
     if len(set(y)) < 2:
-        return none
-    every = np.concatenate(sets)
-    of = np.repeat(y, [len(s) for s in sets])
-    n1, n = np.bincount(every[of == 1], minlength=1 << BITS), np.bincount(every, minlength=1 << BITS)
-    there = np.flatnonzero(n >= LEAST)
-    chosen = np.sort(there[np.argsort(-likelihood(n1[there], n[there], y.sum(), len(y)), kind="stable")[:TERMS]])
-    if not len(chosen):
-        return none
-    index = np.full(1 << BITS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    for i, s in enumerate(sets):
-        at = index[s]
-        x[i, at[at >= 0]] = 1
-    back = np.random.default_rng(1).random(len(y)) < 0.2
-    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
-        back = np.ones(len(y), bool)
-    use = ~back if not back.all() else back
-    made = Machine(chosen, *fit(x[use], y[use]), (1.0, 0.0))
-    made.scale = tuple(float(a) for a in logistic(made.raw(x[back])[:, None], y[back], l2=0.1))
+        share = float(y.mean()) if len(y) else 0.5
+        return Machine(float(np.log((share + 0.01) / (1.01 - share))), np.zeros((1 << BITS, 1 + RANK)))
+    x = Terms(np.frombuffer(b"".join(got["terms"]), np.int32), np.concatenate([[0], np.cumsum(got["terms"].map(len) // 4)]))
+    part = np.empty(len(y), np.int64)
+    part[np.lexsort([np.random.default_rng(1).random(len(y)), y])] = np.arange(len(y)) % PARTS
+    spark = docs.sparkSession
+    sample = spark.sparkContext.broadcast((x, y, part))
+
+    def learn(batches):
+        x, y, part = sample.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                use, back = np.flatnonzero(part != k), np.flatnonzero(part == k)
+                test = taken(x, back)
+                made = fit(taken(x, use), y[use], test, y[back])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([made.w0]), pa.array([made.p.tobytes()], pa.binary()), pa.array([made.raw(test).astype(float).tobytes()], pa.binary())], names=["k", "w0", "p", "raw"])
+
+    learned = spark.range(PARTS, numPartitions=PARTS).mapInArrow(learn, "k long, w0 double, p binary, raw binary").collect()  # PARTS machines
+    raw = np.empty(len(y))
+    for r in learned:
+        raw[part == r["k"]] = np.frombuffer(r["raw"])
+    learned = [Machine(r["w0"], np.frombuffer(r["p"], np.float32).reshape(1 << BITS, -1)) for r in sorted(learned, key=lambda r: r["k"])]
+    made = average(learned)
+    made.scale = tuple(float(a) for a in logistic(raw[:, None], y, l2=0.1))
     return made
 
 
-def likelihood(n1: np.ndarray, n: np.ndarray, all1: float, every: int) -> np.ndarray:
-    """Twice the log likelihood ratio of label and presence, for each term, of terms that go with label 1 or against it."""
-
-    def part(a, b):
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
-
-    p = all1 / every
-    n0, m1 = n - n1, all1 - n1
-    m0 = every - n - m1
-    rest = every - n
-    return 2 * (part(n1, n * p) + part(n0, n * (1 - p)) + part(m1, rest * p) + part(m0, rest * (1 - p)))
-
-
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: likelier toxic) and predicted (score >= 0.5), of whole texts.
+    """docs with score (0 to 1, higher: likelier toxic) and predicted (score >= 0.5), of whole texts of any length.
 
-    Null and empty texts have no terms and get the machine's constant; columns of those names are replaced."""
+    Null and empty texts have no terms and get the machine's constant; equal texts, and so repeated rows, score equally;
+    0.5 counts as toxic. Columns of those names are replaced. No rows give no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of 1 + PARTS * RANK numbers
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        p = model(presence(texts, model.chosen)).astype(np.float64)
+        p = np.zeros(len(texts))
+        for first, x in terms(texts):
+            p[first : first + len(x.off) - 1] = shared.value(x)
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
     return append(docs, [text], FIELDS, make)
