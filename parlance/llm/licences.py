@@ -1,8 +1,12 @@
-"""Licence scans: a trained classifier of paragraphs by sparse word n-grams, confirmed against templates."""
+"""Licence scans: a trained classifier of paragraphs by sparse word n-grams, confirmed against templates.
+
+A paragraph ends at a blank line; comment marks and other words of punctuation only count for nothing, and a notice may be
+wrapped anyhow. Of a long paragraph overlapping windows are looked at, so a notice is found amid prose."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,70 +15,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append
-from .words import U, Words, bare, paragraphs, scan, shingles, slices
+from .words import U, Words, bare, scan, shingles, slices
 
 #: Customary notices and key sentences of public licences, by family.
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         "This project is released under the Apache License 2.0.",
+        "This project is licensed under the terms of the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This software is licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "This project is licensed under the terms of the MIT license.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause License.",
+        "This software is released under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Use of this source code is governed by a BSD-style license.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "isc": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "gpl-2.0": [
         "This program is licensed under the GNU General Public License, version 2.",
         "Released under the terms of the GNU GPL version 2 only.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This software is licensed under the terms of the GNU General Public License version 2, as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "Released under the terms of the GNU GPL version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License.",
-        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
-        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-sa": [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "cc-by-nc": [
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Dedicated to the public domain under CC0 1.0.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     "proprietary": [
         "All rights reserved.",
         "Copyright the company. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.",
         "Proprietary and confidential.",
+        "This software contains confidential and proprietary information and may not be disclosed without prior written consent.",
     ],
 }
 #: Sentences near the subject that name no licence.
@@ -85,54 +129,106 @@ OTHERS = [
     "You may use the file and the source of the data under these conditions.",
     "The general terms of the public agreement are subject to the law.",
     "They redistribute the software to any person free of charge.",
+    "The version 3 of the program was published by the foundation.",
+    "The public domain of the common good is free to all who come.",
 ]
 UNKNOWN = "unknown"
-SAMPLE_DOCS = 300
+#: Documents and units of theirs, chosen by hash, that the unknown class is learned from.
+SAMPLE_DOCS, SAMPLE_UNITS = 300, 2500
 GRAMS = (1, 2, 3)
-SURE, ALIKE = 0.5, 0.6
-_TAG = re.compile(r"\s+")
+#: Words of a window, and from one window of a paragraph to the next.
+WIDTH, STEP = 48, 24
+#: Least probability of a family, least share of a template that is there, and share of what is there of a template that
+#: another one must have to explain it.
+SURE, ALIKE, EXPLAINED = 0.5, 0.6, 0.8
 
 
-def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the paragraphs and the paragraph of each; word numbers and offsets of the paragraphs."""
-    first, last, of = paragraphs(w)
+class Units(NamedTuple):
+    """Windows of the paragraphs of texts, over the texts' words."""
+
+    words: Words  # the words that are more than punctuation, with hashes of what is left
+    first: np.ndarray  # of each unit, its first word
+    last: np.ndarray  # one past its last word
+    paragraph: np.ndarray  # the number of its paragraph in the text
+    of: np.ndarray  # n+1 unit offsets of the texts
+
+
+def units(data: np.ndarray, off: np.ndarray) -> Units:
+    """A paragraph is what stands between lines without words; hyphens part words. It is one unit if it has WIDTH words or
+    fewer; else units of WIDTH words begin at every STEP-th word, up to the one that reaches its end."""
+    w = scan(np.where(data == ord("-"), np.uint8(32), data), off)
     h = bare(w)
-    lines = np.concatenate([first, last[-1:]]) if len(first) else np.zeros(1, np.int64)
+    some = h != 0
+    of = np.concatenate([[0], np.cumsum(some)])[w.of]
+    w = w._replace(start=w.start[some], end=w.end[some], hash=h[some], of=of)
+    n = len(w.start)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Units(w, none, none, none, np.zeros(len(off), np.int64))
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    stop = np.zeros(n, bool)
+    stop[:-1] = lines[w.start[1:]] - lines[w.end[:-1]] >= 2
+    stop[w.of[1:][np.diff(w.of) > 0] - 1] = True
+    last = np.flatnonzero(stop) + 1
+    first = np.concatenate([[0], last[:-1]])
+    text = np.searchsorted(w.of, first, side="right") - 1
+    head = np.searchsorted(text, np.arange(len(off)))  # the first paragraph of each text
+    many = 1 + np.maximum(0, -(-(last - first - WIDTH) // STEP))
+    par = np.repeat(np.arange(len(first)), many)
+    at = first[par] + STEP * (np.arange(len(par)) - np.repeat(np.cumsum(many) - many, many))
+    return Units(w, at, np.minimum(at + WIDTH, last[par]), par - head[text[par]], np.searchsorted(text[par], np.arange(len(off))))
+
+
+def grams(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of the units, and the unit of each; the last two bits tell n."""
     hashes, rows = [], []
     for n in GRAMS:
-        s, off = shingles(w._replace(hash=h, of=lines), n)
-        hashes.append((s & ~U(3)) | U(n))
-        rows.append(np.repeat(np.arange(len(first)), np.diff(off)))
-    return np.concatenate(hashes), np.concatenate(rows), last - first, of
+        many = np.maximum(0, u.last - u.first - n + 1)
+        every, off = shingles(u.words, n)
+        # shingles are numbered by text; a text of fewer than n words has one all the same, which no unit asks for
+        text = np.searchsorted(u.of, np.arange(len(u.first)), side="right") - 1
+        start = off[text] + u.first - u.words.of[text]
+        ends = np.cumsum(many)
+        at = np.repeat(start - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+        hashes.append((every[at] & ~U(3)) | U(n))
+        rows.append(np.repeat(np.arange(len(u.first)), many))
+    return np.concatenate(hashes), np.concatenate(rows)
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
-    """The distinct n-grams of each text, taken as one paragraph."""
-    flat = pa.array([_TAG.sub(" ", t).strip() or "-" for t in texts])
+    """The distinct n-grams of each text, of WIDTH words at most, taken as one unit."""
     out = []
-    for _, data, off in slices(flat):
-        h, rows, _, _ = grams(scan(data, off))
-        order = np.argsort(rows, kind="stable")
-        cut = np.searchsorted(rows[order], np.arange(len(off)))
-        out += [np.unique(h[order][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    for t in texts:
+        raw = np.frombuffer(t.replace("\n", " ").encode(), np.uint8)
+        u = units(raw, np.array([0, len(raw)]))
+        h, _ = grams(Units(u.words, np.zeros(1, np.int64), np.array([len(u.words.start)]), np.zeros(1, np.int64), np.array([0, 1]))) if len(u.words.start) else (np.zeros(0, U), None)
+        out.append(np.unique(h))
     return out
 
 
-class Model:
-    def __init__(self, known: np.ndarray, families: list[str], weights: np.ndarray, length: np.ndarray, bias: np.ndarray, heat: float, templates: list[tuple[int, np.ndarray]]):
-        self.known, self.families, self.weights, self.length, self.bias, self.heat, self.templates = known, families, weights, length, bias, heat, templates
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def logits(self, at: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Of paragraphs with the known n-grams `at` (each once a paragraph) in paragraph `rows`."""
-        out = np.log1p(words)[:, None] * self.length + self.bias
-        for k in range(out.shape[1]):
-            out[:, k] += np.bincount(rows, self.weights[at, k], minlength=len(words))
-        return out * self.heat
 
+class Model(NamedTuple):
+    known: np.ndarray  # sorted n-gram hashes
+    families: list[str]  # UNKNOWN is the last
+    weights: np.ndarray  # of known n-grams by family
+    bias: np.ndarray
+    heat: float
+    templates: list[tuple[int, np.ndarray]]  # family and word pairs of each
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    def probabilities(self, at: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Of units with the known n-grams `at` (each once a unit), one unit after the other, between offsets."""
+        return sigmoid(self.heat * (add(self.weights[at], off) + self.bias))
+
+
+def add(rows: np.ndarray, off: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(off) - 1, rows.shape[1]), rows.dtype)
+    some = np.diff(off) > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows, off[:-1][some], axis=0)
+    return out
 
 
 def pairs(distinct: np.ndarray) -> np.ndarray:
@@ -141,77 +237,124 @@ def pairs(distinct: np.ndarray) -> np.ndarray:
     return two if len(two) else distinct
 
 
-def likeness(own: np.ndarray, template: np.ndarray) -> float:
-    """The larger share that two sets of word pairs have of each other; of a template of which but little is there, of it."""
-    both = len(np.intersect1d(own, template))
-    return max(both / max(1, len(template)), both / max(1, len(own)) if both >= 3 else 0.0)
-
-
-def examples(rng: np.random.Generator, prose: list[list[str]]) -> tuple[list[str], list[int]]:
-    """Paragraphs to learn from: templates whole, in part, with words lost and with prose around; prose; near misses."""
-    texts, kinds = [], []
-    around = lambda: " ".join(prose[rng.integers(len(prose))][: int(rng.integers(0, 30))]) if prose else ""
-    for k, own in enumerate(TEMPLATES.values()):
-        for t in own:
-            words = t.split()
-            for _ in range(24):
-                some = [x for x in words if rng.random() > 0.08]
-                if len(words) > 14:
-                    a = int(rng.integers(0, len(words) // 2))
-                    some = words[a : a + int(rng.integers(8, len(words)))]
-                texts.append(" ".join([around() if rng.random() < 0.4 else "", *some, around() if rng.random() < 0.4 else ""]))
-                kinds.append(k)
-            texts += [t, t]
-            kinds += [k, k]
+def shares(own: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Of each family with one: the largest share of a template that is among a unit's pairs, those pairs, and all of the
+    template's."""
+    best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+    for k, t in templates:
+        there = t[np.isin(t, own)]
+        if len(there) / len(t) > best.get(k, (0.0,))[0]:
+            best[k] = len(there) / len(t), there, t
+    return best
+
+
+def confirmed(family: int, best: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> tuple[bool, float]:
+    """Whether a family's best share in a paragraph confirms it, and that share: ALIKE or more, unless a template of
+    another family that is there to a larger share has EXPLAINED of what is there of it."""
+    share, there, _ = best.get(family, (0.0, None, None))
+    explained = share > 0 and any(j != family and s > share and np.isin(there, t).mean() >= EXPLAINED for j, (s, _, t) in best.items())
+    return share >= ALIKE and not explained, share
+
+
+def examples(rng: np.random.Generator, prose: list[list[str]]) -> tuple[list[str], list[tuple[int, ...]]]:
+    """Units to learn from and their families: templates whole, in part, with words lost and with prose around; two
+    notices together; prose; near misses."""
+    texts: list[str] = []
+    kinds: list[tuple[int, ...]] = []
+    around = lambda n: " ".join(prose[rng.integers(len(prose))][: int(rng.integers(0, n))]) if prose and n > 0 else ""
+
+    def put(words: list[str], own: tuple[int, ...]) -> None:
+        left = WIDTH - len(words)
+        before = around(left) if rng.random() < 0.5 else ""
+        after = around(left - len(before.split())) if rng.random() < 0.5 else ""
+        texts.append(" ".join([before, *words, after]))
+        kinds.append(own)
+
+    every = [(k, t.split()) for k, own in enumerate(TEMPLATES.values()) for t in own]
+    for k, words in every:
+        for _ in range(16):
+            some = [x for x in words if rng.random() > 0.08]
+            if len(words) > 14 and rng.random() < 0.5:
+                a = int(rng.integers(0, len(words) // 3))
+                some = words[a : a + int(rng.integers(10, len(words)))]
+            put(some, (k,))
+        put(words, (k,))
+    short = [(k, words) for k, words in every if len(words) <= 14]
+    for _ in range(400):
+        (j, one), (k, two) = short[rng.integers(len(short))], short[rng.integers(len(short))]
+        if j != k:
+            put([*one, ("or", "and", "")[rng.integers(3)], *two[int(rng.integers(0, 3)) :]], (j, k))
     for line in prose:
         texts.append(" ".join(line))
-        kinds.append(len(TEMPLATES))
-    vocabulary = [x for own in TEMPLATES.values() for t in own for x in t.split()]
+        kinds.append(())
+    vocabulary = [x for _, words in every for x in words]
     for t in OTHERS * 20:
-        texts.append(" ".join(rng.permutation(t.split()).tolist() if rng.random() < 0.3 else t.split()))
-        kinds.append(len(TEMPLATES))
-    for _ in range(300):  # words of notices, out of order
-        texts.append(" ".join(rng.choice(vocabulary, int(rng.integers(2, 9))).tolist()))
-        kinds.append(len(TEMPLATES))
+        put(rng.permutation(t.split()).tolist() if rng.random() < 0.3 else t.split(), ())
+    for _ in range(400):  # words of notices, out of order
+        put(rng.choice(vocabulary, int(rng.integers(2, 12))).tolist(), ())
     return texts, kinds
 
 
-def train(docs: DataFrame, text: str = "text", seed: int = 2) -> Model:
-    """A classifier learned from the templates and, for the unknown class, from the lines of about SAMPLE_DOCS documents,
-    chosen by hash, that are not like a template. A fifth of the examples sets the heat of the probabilities."""
-    rng = np.random.default_rng(seed)
+def some_units(docs: DataFrame, text: str, seed: int) -> list[str]:
+    """Units of about SAMPLE_DOCS documents, SAMPLE_UNITS at most; both chosen by hash, so reruns agree."""
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, n))
     some = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1_000_000)) < max(1, int(share * 1_000_000))))
-    line = F.explode(F.split(F.col(text), "\n"))
-    some = some.select(line.alias("line")).where(F.length("line") > 0).select(F.substring("line", 1, 400).alias("line")).distinct()
-    lines = sorted(r["line"] for r in some.where(F.pmod(F.xxhash64("line"), F.lit(8)) == 0).limit(4000).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, off in slices(batch.column(0)):
+                u = units(data, off)
+                at = zip(u.words.start[u.first].tolist(), u.words.end[u.last - 1].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in at], pa.string())], names=["unit"])
+
+    rows = some.select(text).mapInArrow(run, "unit string").distinct().orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE_UNITS)
+    return [r["unit"] for r in rows.collect()]
+
+
+def train(docs: DataFrame, text: str = "text", seed: int = 2) -> Model:
+    """A classifier learned from the templates and, for the unknown class, from units of sampled documents that are not
+    like a template. It has a logistic score for each family and for `unknown`; a fifth of the examples sets the heat of
+    the probabilities."""
+    rng = np.random.default_rng(seed)
     templates = [(k, pairs(f)) for k, own in enumerate(TEMPLATES.values()) for f in features(own)]
-    prose = [x.split() for x, f in zip(lines, features(lines), strict=True) if max(likeness(pairs(f), t) for _, t in templates) < 0.3] if lines else []
+    sampled = [" ".join(t.split()) for t in some_units(docs, text, seed)]
+    like = lambda f: max(np.isin(t, pairs(f)).mean() for _, t in templates)
+    prose = [t.split() for t, f in zip(sampled, features(sampled), strict=True) if like(f) < 0.3]
     texts, kinds = examples(rng, prose)
-    sets = features(texts)
     known = np.unique(np.concatenate(features([t for own in TEMPLATES.values() for t in own])))
-    x = np.zeros((len(sets), len(known) + 1), np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(known, s)
-        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == s)]
-        x[i, at] = 1
-        x[i, -1] = np.log1p(len(texts[i].split()))
-    y = np.eye(len(TEMPLATES) + 1, dtype=np.float32)[kinds]
-    back = rng.random(len(texts)) < 0.2
-    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    xa, ya = x[~back], y[~back]
-    m = [np.zeros_like(w), np.zeros_like(b)]
-    v = [np.zeros_like(w), np.zeros_like(b)]
-    for t in range(1, 201):
-        e = (softmax(xa @ w + b) - ya) / len(xa)
-        for k, (p, g) in enumerate(((w, xa.T @ e + 1e-4 * w), (b, e.sum(0)))):
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            p -= 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    logits = x[back] @ w + b
-    heat = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda h: -np.log(np.maximum((softmax(h * logits) * y[back]).sum(1), 1e-9)).mean())
-    return Model(known, [*TEMPLATES, UNKNOWN], w[:-1], w[-1], b, heat, templates)
+    sets = []
+    for f in features(texts):
+        at = np.minimum(np.searchsorted(known, f), len(known) - 1)
+        sets.append(at[known[at] == f])
+    y = np.zeros((len(sets), len(TEMPLATES) + 1), np.float32)
+    for i, own in enumerate(kinds):
+        y[i, list(own) or [len(TEMPLATES)]] = 1
+    order = rng.permutation(len(sets))
+    back, use = order[: len(order) // 5], order[len(order) // 5 :]
+    flat = lambda rows: (np.concatenate([sets[i] for i in rows]).astype(np.int64), np.concatenate([[0], np.cumsum([len(sets[i]) for i in rows])]))
+    p = np.zeros((len(known) + 1, y.shape[1]), np.float32)  # the constant is last
+    m, v, t = np.zeros_like(p), np.zeros_like(p), 0
+    for _ in range(25):
+        use = rng.permutation(use)
+        for i in range(0, len(use), 256):
+            rows = use[i : i + 256]
+            at, off = flat(rows)
+            e = (sigmoid(add(p[at], off) + p[-1]) - y[rows]) / len(rows)
+            g = 1e-5 * p
+            by = np.argsort(at, kind="stable")
+            there, first = np.unique(at[by], return_index=True)
+            g[there] += np.add.reduceat(np.repeat(e, np.diff(off), axis=0)[by], first, axis=0)
+            g[-1] = e.sum(0)
+            t += 1
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    at, off = flat(back)
+    logits = add(p[at], off) + p[-1]
+    lost = lambda h: np.logaddexp(0, np.where(y[back] > 0, -h * logits, h * logits)).mean()
+    heat = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lost)
+    return Model(known, [*TEMPLATES, UNKNOWN], p[:-1], p[-1], heat, templates)
 
 
 PARAGRAPH = T.StructType(
@@ -222,40 +365,50 @@ FIELDS = [T.StructField("families", T.ArrayType(T.StringType())), T.StructField(
 
 
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with families, the confirmed licence families of a text by name, and found, its paragraphs that look like one.
+    """docs with families, the confirmed licence families of a text by name, and found, what was predicted in which of its
+    paragraphs (numbered from 0), by paragraph and family.
 
-    A paragraph is a line with words, numbered from 0. It is found if another class than `unknown` is the likeliest with
-    a probability of SURE or more, and confirmed if a template of that family is ALIKE similar or more. A paragraph with
-    no known n-gram is unknown without further work. Null and empty texts have empty lists; columns of those names are
-    replaced."""
+    A family is predicted of a paragraph if one of its windows has that family with a probability of SURE or more and
+    `unknown` with less; several families may be, and each is confirmed or not by its templates (`confirmed`). Of several
+    windows the largest probability and the largest share of a template count. Whole texts of any
+    length are looked at. Null and empty texts have empty lists; repeated rows are treated alike; columns of those names
+    are replaced. No rows give no rows."""
 
     def make(column: pa.Array) -> list[pa.Array]:
         maybe = np.zeros(1 << 22, bool)
         maybe[(model.known >> U(42)).astype(np.int64)] = True
-        families, found = [[] for _ in range(len(column))], [[] for _ in range(len(column))]
+        found: list[list[dict]] = [[] for _ in range(len(column))]
         for first, data, off in slices(column):
-            h, rows, words, of = grams(scan(data, off))
+            u = units(data, off)
+            h, rows = grams(u)
             hit = np.flatnonzero(maybe[(h >> U(42)).astype(np.int64)])
             at = np.minimum(np.searchsorted(model.known, h[hit]), len(model.known) - 1)
             same = model.known[at] == h[hit]
-            one = np.unique(rows[hit[same]] * len(model.known) + at[same])  # an n-gram counts once a paragraph
-            rows_hit, at = one // len(model.known), one % len(model.known)
-            there, index = np.unique(rows_hit, return_inverse=True)
-            if not len(there):
-                continue
-            p = softmax(model.logits(at, index, words[there]))
-            best = p.argmax(1)
-            for k in np.flatnonzero((best < len(model.families) - 1) & (p.max(1) >= SURE)).tolist():
-                line = int(there[k])
-                own = pairs(np.unique(h[rows == line]))
-                alike = max(likeness(own, t) for f, t in model.templates if f == best[k])
-                doc = int(np.searchsorted(of, line, side="right")) - 1
-                name = model.families[best[k]]
-                found[first + doc].append({"paragraph": line - int(of[doc]), "family": name, "probability": float(p[k, best[k]]), "similarity": alike, "confirmed": alike >= ALIKE})
-                if alike >= ALIKE and name not in families[first + doc]:
-                    families[first + doc].append(name)
+            one = np.unique(rows[hit[same]] * len(model.known) + at[same])  # an n-gram counts once a unit
+            p = model.probabilities(one % len(model.known), np.searchsorted(one // len(model.known), np.arange(len(u.first) + 1)))
+            likely = (p[:, :-1] >= SURE) & (p[:, -1:] < SURE)
+            some = np.flatnonzero(likely.any(1))
+            wanted = np.zeros(len(u.first), bool)
+            wanted[some] = True
+            two = wanted[rows] & ((h & U(3)) <= U(2))
+            h, rows = h[two], rows[two]
+            order = np.argsort(rows, kind="stable")
+            start = np.searchsorted(rows[order], np.arange(len(u.first) + 1))
+            best: dict[tuple[int, int], dict] = {}  # of each paragraph, its families' best shares
+            chances: dict[tuple[int, int, int], float] = {}
+            for k in some.tolist():
+                place = int(np.searchsorted(u.of, k, side="right")) - 1, int(u.paragraph[k])
+                mine = best.setdefault(place, {})
+                for family, share in shares(np.unique(h[order[start[k] : start[k + 1]]]), model.templates).items():
+                    mine[family] = max(mine.get(family, share), share, key=lambda x: x[0])
+                for family in np.flatnonzero(likely[k]).tolist():
+                    chances[*place, family] = max(chances.get((*place, family), 0.0), float(p[k, family]))
+            for (doc, paragraph, family), chance in sorted(chances.items(), key=lambda x: (x[0][0], x[0][1], model.families[x[0][2]])):
+                fine, share = confirmed(family, best[doc, paragraph])
+                found[first + doc].append({"paragraph": paragraph, "family": model.families[family], "probability": chance, "similarity": share, "confirmed": fine})
         kind = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
-        return [pa.array([sorted(f) for f in families], pa.list_(pa.string())), pa.array(found, pa.list_(kind))]
+        families = [sorted({f["family"] for f in own if f["confirmed"]}) for own in found]
+        return [pa.array(families, pa.list_(pa.string())), pa.array(found, pa.list_(kind))]
 
     return append(docs, [text], FIELDS, make)
 
