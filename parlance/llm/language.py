@@ -6,12 +6,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, remainder, strings
-
+from .common import append, keep, remainder, small, strings
 
 DIMS = 4096
 CENTROIDS = 3
@@ -109,17 +108,22 @@ class Model:
 
 
 def train(docs: DataFrame, fold: int = FOLD, held: int = HELD) -> Model:
-    """Document frequencies of all rows outside the held-out remainder; centroids of at most SAMPLE_DOCS of them, chosen by
-    hash and the same number for each language at most. A radius a centroid holds all but REJECT_QUANTILE of its own texts."""
+    """Document frequencies of all rows outside the held-out remainder; centroids of at most SAMPLE_DOCS of them (three a
+    language at least), chosen by hash, as many for each language at most; equal texts of a language count once. A radius a
+    centroid holds all but REJECT_QUANTILE of its own texts."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), fold) != held))
     df, n = document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not many:
+    many = keep(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    spoken = many.count()
+    if not spoken:
         return Model(idf, [], np.zeros((0, DIMS)), np.zeros(0))
-    each = max(CENTROIDS, SAMPLE_DOCS // len(many))
-    shares = F.create_map(*(F.lit(x) for k, v in many.items() for x in (k, int(min(1.0, 0.95 * each / v) * 1_000_000)))) if many else None
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1_000_000)) < F.try_element_at(shares, F.col("lang"))
+    each = max(CENTROIDS, SAMPLE_DOCS // spoken)
+    draw = F.xxhash64("text", F.lit(9))
+    shares = many.select("lang", F.least(F.lit(1_000_000), F.ceil(F.lit(1_200_000.0 * each) / F.col("n"))).alias("share"))
+    picked = rows.join(small(shares), "lang").where(F.pmod(draw, F.lit(1_000_000)) < F.col("share"))
+    picked = picked.groupBy("lang", draw.alias("draw")).agg(F.first("text").alias("text"))
+    picked = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= each)
 
     def run(batches):
         for batch in batches:
@@ -127,10 +131,10 @@ def train(docs: DataFrame, fold: int = FOLD, held: int = HELD) -> Model:
                 x = vectors(counts(data, off), idf.astype(np.float32)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "vec"])
 
-    got = rows.where(pick).select("text", "lang").mapInArrow(run, "lang string, vec binary").toPandas()
+    got = picked.select("text", "lang").mapInArrow(run, "lang string, vec binary").toPandas()  # `each` rows a language at most
     langs, centres, radius = [], [], []
-    for lang in sorted(many):
-        x = np.array([np.frombuffer(v, np.float16) for v in sorted(got["vec"][got["lang"] == lang])[: 2 * each]], np.float32).reshape(-1, DIMS)
+    for lang, own in got.groupby("lang"):
+        x = np.array([np.frombuffer(v, np.float16) for v in sorted(own["vec"])], np.float32).reshape(-1, DIMS)
         x = x[(x != 0).any(1)]
         if not len(x):
             continue
@@ -150,7 +154,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", reject: bool = Fa
 
     Null texts and texts without a letter give `und`, 0 and true; so does every text if nothing was learned. A text with
     letters but no known feature takes the first language by name with score 0, rejected. reject=True turns rejected
-    predictions into `und`. Columns of those names are replaced; ties go to the first language by name."""
+    predictions into `und`. Columns of those names are replaced; ties go to the first language by name. Whole texts of any
+    length count; equal texts, and so repeated rows, are predicted alike. No rows give no rows."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
         best, score = np.zeros(len(texts), int), np.zeros(len(texts))

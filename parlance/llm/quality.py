@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, labelled_texts, logistic, remainder, sigmoid
+from .common import append, forget, keep, labelled_texts, logistic, remainder, sigmoid
 
 BLOCK = 1024
 DICT_BYTES = 32768
@@ -53,8 +53,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD
     """Dictionaries and calibration weights, from at most SAMPLE_DOCS labelled rows (all other rows have no say).
 
     Two thirds of the sample give blocks for the dictionaries, at most SAMPLE_BLOCKS of BLOCK bytes a class, chosen by
-    hash over whole texts; the last third calibrates. With one class only, the score is that class's share."""
-    rows = labelled_texts(docs, labels, "quality", fold, held, SAMPLE_DOCS).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)))
+    hash over whole texts; the last third calibrates. Of texts that share a doc_id the least counts. With one class only,
+    the score is that class's share."""
+    rows = keep(labelled_texts(docs, labels, "quality", fold, held, SAMPLE_DOCS).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))))
     sizes = {r["y"]: r["n"] for r in rows.where("part < 2").groupBy("y").agg(F.sum(F.ceil((F.octet_length("text") + 1) / BLOCK)).alias("n")).collect()}
 
     def take(batches):
@@ -65,11 +66,12 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = FOLD, held: int = HELD
     got = rows.where("part < 2").select("text", "y").mapInArrow(take, "y int, block binary").toPandas()
     made = []
     for y in (1, 0):
-        some = sorted(bytes(b) for b in got["block"][got["y"] == y])[: 2 * SAMPLE_BLOCKS]
+        some = sorted({bytes(b) for b in got["block"][got["y"] == y]}, key=lambda b: (share_of(b), b))[:SAMPLE_BLOCKS]
         made.append(dictionary(some))
     good, bad = made
     tuned = append(rows.where("part = 2").select("text", "y"), ["text"], [T.StructField(n, T.DoubleType()) for n in "abc"], measure(good, bad)).select("y", "a", "b", "c").toPandas()
     y = tuned["y"].to_numpy(float)
+    forget(rows)
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return good, bad, [0.0, 0.0, 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share)))]
@@ -106,7 +108,8 @@ def measure(good: bytes, bad: bytes):
 def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with score double (0 to 1, higher: better) and predicted int; null or empty text is scored as the empty text.
 
-    Columns of these two names, which `names` sets, are replaced. Equal texts score equally; row order has no effect."""
+    Columns of these two names, which `names` sets, are replaced. Whole texts of any length are compressed, block by block.
+    Equal texts, and so repeated rows, score equally; 0.5 counts as good; row order has no effect. No rows give no rows."""
     good, bad, w = model
     kept: list[Compressors] = []
 
