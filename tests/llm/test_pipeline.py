@@ -2,7 +2,7 @@ import corpus_pipeline
 from parlance.llm import pieces
 from tests.llm.fixtures import SF, docs, labels, prose
 from tests.llm.test_near_duplicates import brute as groups
-from tests.llm.test_spans import brute as cut
+from tests.llm.test_spans import brute as cut, with_hashes
 
 SF2 = "/root/testdata/sf0.01"
 
@@ -20,9 +20,9 @@ def test_each_stage_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in a.collect()]
     assert sorted(r["doc_id"] for r in b.collect()) == sorted(i for i, _, c in groups(rows, 5, 80) if i == c)
     c = cuts(spark, b, SF).cache()
-    rows = sorted((r["doc_id"], r["text"]) for r in b.collect())
+    rows = with_hashes(b)
     got = {r["doc_id"]: r for r in c.collect()}
-    assert [got[i]["text"] for i, _ in rows] == cut(rows) and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert [got[r[0]]["text"] for r in rows] == cut(rows) and all(r["n_chars"] == len(r["text"]) for r in got.values())
     d = mix(spark, c, SF).cache()
     assert d.columns == given.columns and {r["doc_id"] for r in d.collect()} <= set(got)
     e = pieces.decode(enc(spark, d, SF), pieces.vocabulary())
