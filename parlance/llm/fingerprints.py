@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cuts
 from .words import Prefix, U
 
 WINDOW = 7
 LEAST_BLOCK = 4
 MOST = 64
+#: Bytes of text that a range of documents holds about, rows that are sampled to find the ranges, at least and at most, and
+#: sampled rows a range at least.
+RANGE, SAMPLE, A_RANGE = 16 << 20, (5_000, 500_000), 20
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 SLICE = 1 << 20
 
@@ -52,7 +56,7 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 def signatures(texts: list[bytes]) -> Signatures:
     """Of whole texts. The block size is the least power of two from LEAST_BLOCK on that leaves MOST pieces at most, by
-    length; it is halved once if that gives less than a quarter of MOST. Pieces beyond MOST count as one, the last."""
+    length; it is halved as long as that gives less than a quarter of MOST. Pieces beyond MOST count as one, the last."""
     n = len(texts)
     out = Signatures(np.full(n, LEAST_BLOCK, np.int64), np.zeros((n, MOST), np.uint8), np.zeros(n, np.int64), np.zeros((n, MOST), np.uint8), np.zeros(n, np.int64))
     i = 0
@@ -87,7 +91,7 @@ def _slice(data: np.ndarray, off: np.ndarray, out: Signatures, first: int) -> No
         while block * MOST < b - a:
             block *= 2
         cut = mine[(level & np.uint32(block - 1)) == 0]
-        if cut.size < MOST // 4 and block > LEAST_BLOCK:
+        while cut.size < MOST // 4 and block > LEAST_BLOCK:
             block //= 2
             cut = mine[(level & np.uint32(block - 1)) == 0]
         out.block[first + d] = block
@@ -185,31 +189,50 @@ def compare(left: Column, right: Column) -> Column:
 
 
 def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, echo, key, text), dealt so that a partition holds whole buckets, each in descending order of key (nulls
-    last; equal keys by a hash of the text), and after a bucket's rows the first row of the next bucket, marked echo=1.
-    After the last bucket comes the first. Buckets are ranges between quantiles of the key, one a shuffle partition."""
+    """(range, echo, key, text), dealt so that each partition holds a range of the documents in descending order of key
+    (nulls last; equal keys by a hash of the text), and after them the first document of the next range, marked echo=1.
+    After the last range comes the first.
+
+    Ranges are cut between rows of a sample, by bytes of text, so their number grows with the bytes and rows that share a
+    key, or have none, are dealt by their text. Rows that repeat key and text are alike in all that matters here; they share
+    a range, where they are sorted and read one after the other."""
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(docs.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    # ascending order: the complement of the key, then the hash; nulls last
+    placed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    placed = placed.withColumn("order", F.coalesce(F.bitwise_not("key"), F.lit((1 << 63) - 1)))
+    many = docs.count()
+    wanted = min(max(many // 200, SAMPLE[0]), SAMPLE[1])
+    share = min(1.0, wanted / max(1, many))
+    some = placed.where(F.pmod(F.xxhash64("order", "hash", F.lit(7)), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+    some = some.select("order", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).toPandas().sort_values(["order", "hash"])
+    size = (some["bytes"].to_numpy() + 64).cumsum()
+    total = size[-1] / share if len(size) else 0
+    n = int(min(max(-(-total // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, len(size) // A_RANGE)))
+    at = np.unique(np.searchsorted(size, np.arange(1, n) * (size[-1] if len(size) else 0) / n))
+    edges = some[["order", "hash"]].iloc[at].drop_duplicates().to_numpy()
+    orders, hashes = edges[:, 0].astype(np.int64), edges[:, 1].astype(np.int64)
 
     @F.pandas_udf("int")
-    def bucket(keys: pd.Series) -> pd.Series:
-        # nulls come as NaN, which sorts above all cuts; they belong after the least key
-        at = len(cuts) - np.searchsorted(np.array(cuts), keys.to_numpy(float), side="left")
-        return pd.Series(np.where(keys.isna(), len(cuts), at).astype(np.int32))
-
-    placed = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("bucket", bucket("key"))
-    top = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("key").alias("top")).collect()}  # a row a bucket
-    order = sorted(top)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    firsts = F.create_map(*(F.lit(x) for b in order for x in (b, before[b]))) if order else F.create_map().cast("map<int,int>")
-    tops = F.create_map(*(x for b in order for x in (F.lit(b), F.lit(top[b]).cast("long")))) if order else F.create_map().cast("map<int,bigint>")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("echo"))
-    echo = F.struct(F.try_element_at(firsts, F.col("bucket")).alias("bucket"), F.lit(1).alias("echo"))
-    is_first = F.col("key").eqNullSafe(F.try_element_at(tops, F.col("bucket")))
-    dealt = placed.select("key", "text", F.explode(F.when(is_first, F.array(own, echo)).otherwise(F.array(own))).alias("at"))
-    dealt = dealt.select(F.col("at.bucket").alias("bucket"), F.col("at.echo").alias("echo"), "key", "text")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "echo", F.col("key").desc_nulls_last(), F.xxhash64("text"))
+    def range_of(order: pd.Series, hash: pd.Series) -> pd.Series:
+        """How many edges of ranges are not after a row."""
+        o, h = order.to_numpy(), hash.to_numpy()
+        low, high = np.searchsorted(orders, o, side="left"), np.searchsorted(orders, o, side="right")
+        for a in np.unique(low[low < high]):
+            here = np.flatnonzero((low == a) & (low < high))
+            low[here] = a + np.searchsorted(hashes[a : high[here[0]]], h[here], side="right")
+        return pd.Series(low.astype(np.int32))
+
+    placed = placed.withColumn("range", range_of("order", "hash"))
+    tops = placed.groupBy("range").agg(F.min(F.struct("order", "hash")).alias("top")).select("range", "top.*").toPandas().sort_values("range")  # a row a range
+    ranges = tops["range"].tolist()
+    firsts = list(zip(ranges[-1:] + ranges[:-1], tops["order"].tolist(), tops["hash"].tolist(), strict=True))
+    first = spark.createDataFrame(firsts, "before int, t_order long, t_hash long")
+    met = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("order", F.coalesce(F.bitwise_not("key"), F.lit((1 << 63) - 1)))
+    met = met.join(F.broadcast(first), (F.col("order") == F.col("t_order")) & (F.col("hash") == F.col("t_hash")))
+    echoes = met.groupBy(F.col("before").alias("range"), "order", "hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+    every = placed.withColumn("echo", F.lit(0)).unionByName(echoes.withColumn("echo", F.lit(1)))
+    dealt = every.repartitionById(len(edges) + 1, F.col("range")).sortWithinPartitions("range", "echo", "order", "hash")
+    return dealt.select("range", "echo", "key", "text")
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,17 +240,18 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     The edited text has the last third (floor of code points by 3) replaced by the first as many code points of the next
     document in descending order of key; after the last comes the first, and a single document follows itself. Null text
-    counts as empty. Rows with equal or null keys are each a document of their own, ordered by a hash of their text."""
+    counts as empty. Rows with equal or null keys are each a document of their own, ordered by a hash of their text. Texts of
+    any length are taken whole; other columns do not come along. No rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i, j in cuts([batch.column(3)], 4 << 20):
+                part = batch.slice(i, j - i)
                 rows = held + list(zip(*(part.column(k).to_pylist() for k in range(4)), strict=True))
                 held = rows[-1:]
                 yield made(rows)
-        # a bucket ends with an echo, so no document is held at the end
+        # a range ends with an echo, so no document is held at the end
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[3] or "" for r in rows]
