@@ -48,21 +48,31 @@ def test_recall_of_clustered_vectors_over_several_blocks(spark, monkeypatch):
     x = centres[r.integers(0, 30, 3000)] + 0.4 * r.normal(size=(3000, 32))
     rows = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
     index, books, n = neighbours.indexed(rows)
-    got = neighbours.search(index, books, n, rows.where("vec_id % 20 = 0")).collect()
+    got = neighbours.search(index, books, n, rows, rows.where("vec_id % 20 = 0")).collect()
     assert recall(got, brute(dict(enumerate(x)), 20, 20)) >= 0.9
 
 
+def test_squared_distances(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 8))
+    rows = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index, books, n = neighbours.indexed(rows)
+    got = neighbours.search(index, books, n, rows, rows.where("vec_id % 20 = 0"), 5, "l2").collect()
+    wanted = {i: [(j, -((x[i] - x[j]) ** 2).sum()) for j in sorted(range(400), key=lambda j: ((x[i] - x[j]) ** 2).sum()) if j != i][:5] for i in range(0, 400, 20)}
+    assert recall(got, wanted) >= 0.9
+
+
 def test_unusable_vectors_ties_and_few_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [-1.0, 2.0]), (None, [1.0, 1.0]), (8, [-1.0, 2.0]), (9, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as score", "'y' as norm", "1 as rank")
     use = neighbours.usable(df, "vec_id", "embedding")
     index, books, n = neighbours.indexed(use)
-    got = neighbours.search(index, books, n, use.where("vec_id % 20 = 0")).collect()
+    got = neighbours.search(index, books, n, use, use.where("vec_id % 20 = 0")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 8, -1.0)]
 
 
 def test_empty_table(spark):
     use = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     index, books, n = neighbours.indexed(use)
-    assert neighbours.search(index, books, n, use).count() == 0
+    assert neighbours.search(index, books, n, use, use).count() == 0
