@@ -196,13 +196,14 @@ def grams(u: Units) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
-    """The distinct n-grams of each text, of WIDTH words at most, taken as one unit."""
-    out = []
-    for t in texts:
-        raw = np.frombuffer(t.replace("\n", " ").encode(), np.uint8)
-        u = units(raw, np.array([0, len(raw)]))
-        h, _ = grams(Units(u.words, np.zeros(1, np.int64), np.array([len(u.words.start)]), np.zeros(1, np.int64), np.array([0, 1]))) if len(u.words.start) else (np.zeros(0, U), None)
-        out.append(np.unique(h))
+    """The distinct n-grams of each text, taken as one paragraph."""
+    out: list[np.ndarray] = []
+    for _, data, off in slices(pa.array([" ".join(t.split()) for t in texts], pa.string())):
+        u = units(data, off)
+        h, rows = grams(u)
+        order = np.lexsort([h, np.searchsorted(u.of, rows, side="right") - 1])
+        cut = np.searchsorted((np.searchsorted(u.of, rows, side="right") - 1)[order], np.arange(len(off)))
+        out += [np.unique(h[order[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return out
 
 
@@ -210,13 +211,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Templates(NamedTuple):
+    pairs: np.ndarray  # sorted hashes of all word pairs that some template has
+    has: np.ndarray  # which of them each template has, a column a template
+    family: np.ndarray  # of each template
+
+    def among(self, own: np.ndarray) -> np.ndarray:
+        """Which of the pairs are among n-grams."""
+        at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        there = np.zeros(len(self.pairs), bool)
+        there[at[self.pairs[at] == own]] = True
+        return there
+
+
 class Model(NamedTuple):
     known: np.ndarray  # sorted n-gram hashes
     families: list[str]  # UNKNOWN is the last
     weights: np.ndarray  # of known n-grams by family
     bias: np.ndarray
     heat: float
-    templates: list[tuple[int, np.ndarray]]  # family and word pairs of each
+    templates: Templates
 
     def probabilities(self, at: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Of units with the known n-grams `at` (each once a unit), one unit after the other, between offsets."""
@@ -237,22 +251,32 @@ def pairs(distinct: np.ndarray) -> np.ndarray:
     return two if len(two) else distinct
 
 
-def shares(own: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Of each family with one: the largest share of a template that is among a unit's pairs, those pairs, and all of the
-    template's."""
-    best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
-    for k, t in templates:
-        there = t[np.isin(t, own)]
-        if len(there) / len(t) > best.get(k, (0.0,))[0]:
-            best[k] = len(there) / len(t), there, t
+def templates() -> Templates:
+    each = [(k, pairs(f)) for k, own in enumerate(TEMPLATES.values()) for f in features(own)]
+    every = np.unique(np.concatenate([t for _, t in each]))
+    return Templates(every, np.column_stack([np.isin(every, t) for _, t in each]), np.array([k for k, _ in each]))
+
+
+Share = tuple[float, np.ndarray, np.ndarray]
+
+
+def shares(there: np.ndarray, known: Templates) -> dict[int, Share]:
+    """Of each family with one: the largest share of a template that is among the pairs that are there, those pairs, and all
+    of the template's."""
+    share = known.has[there].sum(0) / known.has.sum(0)
+    best: dict[int, Share] = {}
+    for t in np.flatnonzero(share > 0).tolist():
+        k = int(known.family[t])
+        if share[t] > best.get(k, (0.0,))[0]:
+            best[k] = float(share[t]), there & known.has[:, t], known.has[:, t]
     return best
 
 
-def confirmed(family: int, best: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> tuple[bool, float]:
+def confirmed(family: int, best: dict[int, Share]) -> tuple[bool, float]:
     """Whether a family's best share in a paragraph confirms it, and that share: ALIKE or more, unless a template of
     another family that is there to a larger share has EXPLAINED of what is there of it."""
     share, there, _ = best.get(family, (0.0, None, None))
-    explained = share > 0 and any(j != family and s > share and np.isin(there, t).mean() >= EXPLAINED for j, (s, _, t) in best.items())
+    explained = share > 0 and any(j != family and s > share and (there & t).sum() >= EXPLAINED * there.sum() for j, (s, _, t) in best.items())
     return share >= ALIKE and not explained, share
 
 
@@ -317,9 +341,9 @@ def train(docs: DataFrame, text: str = "text", seed: int = 2) -> Model:
     like a template. It has a logistic score for each family and for `unknown`; a fifth of the examples sets the heat of
     the probabilities."""
     rng = np.random.default_rng(seed)
-    templates = [(k, pairs(f)) for k, own in enumerate(TEMPLATES.values()) for f in features(own)]
-    sampled = [" ".join(t.split()) for t in some_units(docs, text, seed)]
-    like = lambda f: max(np.isin(t, pairs(f)).mean() for _, t in templates)
+    compare = templates()
+    sampled = some_units(docs, text, seed)
+    like = lambda f: (compare.has[compare.among(f)].sum(0) / compare.has.sum(0)).max()
     prose = [t.split() for t, f in zip(sampled, features(sampled), strict=True) if like(f) < 0.3]
     texts, kinds = examples(rng, prose)
     known = np.unique(np.concatenate(features([t for own in TEMPLATES.values() for t in own])))
@@ -354,7 +378,7 @@ def train(docs: DataFrame, text: str = "text", seed: int = 2) -> Model:
     logits = add(p[at], off) + p[-1]
     lost = lambda h: np.logaddexp(0, np.where(y[back] > 0, -h * logits, h * logits)).mean()
     heat = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lost)
-    return Model(known, [*TEMPLATES, UNKNOWN], p[:-1], p[-1], heat, templates)
+    return Model(known, [*TEMPLATES, UNKNOWN], p[:-1], p[-1], heat, compare)
 
 
 PARAGRAPH = T.StructType(
@@ -399,7 +423,7 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for k in some.tolist():
                 place = int(np.searchsorted(u.of, k, side="right")) - 1, int(u.paragraph[k])
                 mine = best.setdefault(place, {})
-                for family, share in shares(np.unique(h[order[start[k] : start[k + 1]]]), model.templates).items():
+                for family, share in shares(model.templates.among(h[order[start[k] : start[k + 1]]]), model.templates).items():
                     mine[family] = max(mine.get(family, share), share, key=lambda x: x[0])
                 for family in np.flatnonzero(likely[k]).tolist():
                     chances[*place, family] = max(chances.get((*place, family), 0.0), float(p[k, family]))
