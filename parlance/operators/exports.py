@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
+from parlance.sources import folders
 from parlance.sources.derived import in_order
 
 RULE = "=" * 40
@@ -95,14 +96,20 @@ def manifest(jobs: DataFrame, part: str, by: list[str]) -> DataFrame:
     return made.groupBy(part).agg(in_order("entry", "key", "\n").alias("content"))
 
 
-def write_table(df: DataFrame, path: str, order: list[str]) -> None:
-    """CSV with a header, one file, in order. An existing path is an error."""
-    df.orderBy(*order).coalesce(1).write.option("header", True).csv(path)
+def write_table(df: DataFrame, path: str, order: list[str], force: bool = False) -> None:
+    """CSV files with a header, ranges of rows in order, dealt to tasks. They appear whole and at once; an existing path is an
+    error unless forced."""
+    made = folders.new(df.sparkSession, "table")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).csv(made)
+    folders.move(df.sparkSession, made, path, force)
 
 
 def write_lines(df: DataFrame, path: str, order: list[str], force: bool = False) -> None:
-    """Text lines in order; the committer makes them appear whole. An existing path is an error unless forced."""
-    df.orderBy(*order).select("line").coalesce(1).write.mode("overwrite" if force else "errorifexists").text(path)
+    """Files of text lines, ranges of rows in order, dealt to tasks. They appear whole and at once; an existing path is an
+    error unless forced, and stays until the new files are complete."""
+    made = folders.new(df.sparkSession, "lines")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(made)
+    folders.move(df.sparkSession, made, path, force)
 
 
 def sheet(header: list[str], rows: Iterable[tuple]) -> bytes:
@@ -145,6 +152,20 @@ def archives(files: DataFrame, key: str = "job_id") -> DataFrame:
     return files.select(key, "pos", "member", "content").groupBy(key).applyInPandas(run, f"{key} long, archive binary")
 
 
+def unpacked(zips: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, pos, member, content) of each member of archives (key, archive), in the order that they hold them."""
+    import pandas as pd
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for k, data in zip(batch[key], batch["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    names = z.namelist()
+                    yield pd.DataFrame({key: k, "pos": range(len(names)), "member": names, "content": [z.read(n) for n in names]})
+
+    return zips.select(key, "archive").mapInPandas(run, f"{key} long, pos long, member string, content binary")
+
+
 def workbooks(tables: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
     """(key, content): a workbook of one sheet for each key, rows in order; a key's rows are one file's table."""
     import pandas as pd

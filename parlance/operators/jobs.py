@@ -77,7 +77,7 @@ def parsed_frames(chunks: DataFrame, by: str = "seq") -> DataFrame:
     whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "chunk"))), lambda p: p["chunk"]), "").alias("t"))
     frames = whole.select("stream_id", F.posexplode(F.split("t", "\n\n")).alias("frame_idx", "raw"))
     lines = F.split("raw", "\n")
-    pick = lambda key: F.transform(F.filter(lines, lambda x: x.startswith(key + ":")), lambda x: F.trim(F.substring(x, len(key) + 2, 1 << 20)))
+    pick = lambda key: F.transform(F.filter(lines, lambda x: x.startswith(key + ":")), lambda x: F.trim(F.substr(x, F.lit(len(key) + 2))))
     made = frames.select("stream_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.try_element_at(pick("event"), F.lit(-1)).alias("event"), pick("data").alias("lines"))
     return made.where((F.coalesce("event", F.lit("")) != "") & (F.size("lines") > 0)).select("stream_id", "frame_idx", "event", F.array_join("lines", "\n").alias("data"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions import text as X
+from parlance.sources.folders import keep
 
 Scorer = Callable[[list[str]], list[str | None]]
 
@@ -106,7 +107,7 @@ def summarised(texts: DataFrame, budget: int, scorer: Scorer = leading_words, de
             F.min(F.when(bad.isNotNull(), F.struct("pos", bad.alias("kind"))))["kind"].alias("bad"),  # the first one decides
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("reply", 2, 1 << 30).alias("r")))), lambda p: p["r"]), "\n\n").alias("text"),
         )
-        joined = joined.checkpoint() if joined.sparkSession.conf.get("spark.checkpoint.dir", None) else joined.persist()
+        joined = keep(joined)  # no lost executor makes a model answer again
         again = (F.col("bad") == "overflow") & (F.col("tries") < retries)
         ended = joined.where((F.col("bad").isNotNull() & ~again) | (F.col("bad").isNull() & (F.col("n") == 1)))
         ended = ended.select("file_id", F.when(F.col("bad").isNull(), F.col("text")).otherwise("").alias("summary"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as X
 from parlance.operators import speakers
 from parlance.sources.derived import in_order
+from parlance.sources.folders import keep
 
 WINDOW_WORDS = 400
 
@@ -86,7 +87,7 @@ def restored(windows: DataFrame, ends: DataFrame) -> DataFrame:
 
 def transcript(segments: DataFrame, words: DataFrame, turns: DataFrame) -> DataFrame:
     """The composite: split by speaker, fill from the nearest turn, renumber, merge to sentences."""
-    split = speakers.split_segments(segments, words, turns)
+    split = keep(speakers.split_segments(segments, words, turns))  # three branches read it
     filled = speakers.nearest(split, turns, ["seg_idx", "part"])
     return merged(speakers.renumbered(filled, ["seg_idx", "part"]), ["seg_idx", "part"])
 

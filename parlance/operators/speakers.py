@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.sources.derived import in_order
+from parlance.sources.folders import keep
 
 #: Width in seconds of the time buckets by which intervals of one file meet.
 BUCKET = 60.0
@@ -113,7 +114,7 @@ def run_segments(numbered: DataFrame, part: list[str]) -> DataFrame:
 def split_segments(segments: DataFrame, words: DataFrame, turns: DataFrame) -> DataFrame:
     """(file_id, seg_idx, part, start_s, end_s, text, speaker): a segment whose words have one speaker or none stays as it
     is, with that speaker or else the one of the segment's own overlap; any other is split at speaker changes."""
-    inside = in_segment(labelled(words, turns, ["word_idx"]), segments)
+    inside = keep(in_segment(labelled(words, turns, ["word_idx"]), segments))  # three branches read it
     kinds = inside.groupBy("file_id", "seg_idx").agg(F.count_distinct("speaker").alias("n"), F.min("speaker").alias("one"))
     known = segments.join(kinds, ["file_id", "seg_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     whole = known.where("n <= 1").select("file_id", "seg_idx", "start_s", "end_s", "text", "one")

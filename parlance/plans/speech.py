@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as X
 from parlance.operators import scorers, sentences, speakers
+from parlance.operators.jobs import STAGES
 from parlance.plans.oracle import with_tables
 from parlance.sources import derived as D
+from parlance.sources.folders import keep
 
 DENSE = "'[.!?؟۔…]'"
 
 
+def recordings(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, words and turns, each derived once and kept."""
+    words = keep(D.words(spark, sf))
+    return keep(D.segments_of(words)), words, keep(D.turns_of(words))
+
+
 def filled(spark, sf) -> DataFrame:
-    turns = D.turns(spark, sf)
-    return speakers.nearest(speakers.split_segments(D.segments(spark, sf), D.words(spark, sf), turns), turns, ["seg_idx", "part"])
+    segments, words, turns = recordings(spark, sf)
+    return speakers.nearest(keep(speakers.split_segments(segments, words, turns)), turns, ["seg_idx", "part"])
 
 
 def transcript(spark, sf) -> DataFrame:
-    return sentences.transcript(D.segments(spark, sf), D.words(spark, sf), D.turns(spark, sf))
+    return sentences.transcript(*recordings(spark, sf))
 
 
 def timed(spark, sf) -> DataFrame:
@@ -228,17 +236,74 @@ def summaries(spark, sf):
     return scorers.summarised(file_text(spark, sf), 600)
 
 
-def job_results(spark, sf):
-    """The composite of a job: the transcript, its translation gate, word and finding counts, per file."""
-    t = timed(spark, sf)
+def outcomes(spark, sf) -> DataFrame:
+    """The composite of a job, one row a file: (file_id, rows, skipped, translated, words, summary, flagged).
+
+    Every seventh file is silent and skips all that follows; words are asked for even files, summaries for every third,
+    findings for every fifth, and what is not asked for is null. Stand-ins: a summary is the first twelve words, and rows whose
+    length is a multiple of eleven are flagged."""
+    t = keep(timed(spark, sf).withColumn("text", F.when(F.col("file_id") % 7 == 0, F.lit(" ")).otherwise(sentences.effective())))
+    words = X.split_words(F.col("text"))
     made = t.groupBy("file_id").agg(
-        F.count("*").alias("rows"), F.max("has_speaker").alias("has_speaker"), F.max("has_translation").alias("has_translation"),
-        F.sum(F.size(X.split_words(F.col("text")))).alias("words"),
+        F.count("*").alias("rows"), F.bool_and(X.is_blank(F.col("text"))).alias("skipped"), F.max("has_translation").alias("translated"),
+        F.sum(F.size(words)).alias("words"), F.count_if(F.length("text") % 11 == 0).alias("flagged"),
+    )
+    texts = sentences.file_text(t, "row_idx").where("file_id % 3 = 0 and file_id % 7 <> 0")
+    made = made.join(scorers.summarised(texts, 600), "file_id", "left")
+    on = lambda asked, value: F.when(~F.col("skipped") & asked, value)
+    return made.select(
+        "file_id", F.when(F.col("skipped"), 0).otherwise(F.col("rows")).cast("long").alias("rows"), "skipped", on(F.lit(True), F.col("translated")).alias("translated"),
+        on(F.col("file_id") % 2 == 0, F.col("words")).alias("words"), on(F.col("file_id") % 3 == 0, F.col("summary")).alias("summary"), on(F.col("file_id") % 5 == 0, F.col("flagged")).alias("flagged"),
     )
-    return made
+
+
+def job_stages(spark, sf) -> DataFrame:
+    """The same as the events of its five stages: two a stage, with what the completed stage reports; a skipped job ends with
+    its first."""
+    done = outcomes(spark, sf)
+    says = [F.col("rows"), F.col("translated").cast("long"), F.col("words"), F.when(F.col("summary").isNotNull(), F.col("summary") != "").cast("long"), F.col("flagged")]
+    stages = F.array(*(F.struct(F.lit(i).cast("long").alias("stage_index"), F.lit(name).alias("stage"), s.cast("long").alias("reported")) for i, (name, s) in enumerate(zip(STAGES, says, strict=True))))
+    each = done.select("file_id", F.explode(F.when(F.col("skipped"), F.slice(stages, 1, 1)).otherwise(stages)).alias("s"))
+    two = each.select("file_id", "s.*", F.explode(F.array(F.lit("stage_started"), F.lit("stage_completed"))).alias("event"))
+    ended = F.col("event") == "stage_completed"
+    return two.select("file_id", "stage_index", "stage", "event", ((F.col("stage_index") + ended.cast("int")) / F.lit(5.0)).alias("progress"), F.when(ended, F.col("reported")).alias("reported"))
+
+
+OUTCOMES = r"""effective AS (SELECT file_id, row_idx, has_translation, CASE WHEN file_id % 7 = 0 THEN ' ' WHEN has_translation THEN translation ELSE text END AS text FROM timed),
+outcomes AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 0 ELSE n END AS rows, file_id % 7 = 0 AS skipped, CASE WHEN file_id % 7 <> 0 THEN tr END AS translated,
+  CASE WHEN file_id % 7 <> 0 AND file_id % 2 = 0 THEN w END AS words, CASE WHEN file_id % 7 <> 0 AND file_id % 3 = 0 THEN array_to_string(all_words[1:12], ' ') END AS summary,
+  CASE WHEN file_id % 7 <> 0 AND file_id % 5 = 0 THEN f END AS flagged FROM (
+  SELECT file_id, count(*) AS n, bool_or(has_translation) AS tr, sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')))::BIGINT AS w,
+    count_if(length(text) % 11 = 0)::BIGINT AS f, string_split_regex(string_agg(text, ' ' ORDER BY row_idx), '\s+') AS all_words FROM effective GROUP BY file_id))"""
+
+
+def with_outcomes(sql: str) -> str:
+    return with_timed("").rstrip() + ",\n" + OUTCOMES + "\n" + sql
+
+
+def moody(texts: list[str]) -> list[str | None]:
+    """Stand-in for a summariser that is away for some texts and cannot hold others."""
+    if any(t.startswith("(away)") for t in texts):
+        raise ConnectionError("away")
+    if any(t.startswith("(dense)") or len(t) > 300 for t in texts):
+        raise ValueError("This model's maximum context length is 300")
+    return scorers.leading_words(texts)
+
+
+def careful_summaries(spark, sf):
+    """Summaries of texts some of which overflow at any budget, or at the first, or meet an outage."""
+    mark = F.when(F.col("file_id") % 5 == 0, "(away) ").when(F.col("file_id") % 5 == 1, "(dense) ").otherwise("")
+    return scorers.summarised(file_text(spark, sf).withColumn("text", F.concat(mark, "text")), 600, moody)
+
+
+def effective_summaries(spark, sf):
+    t = timed(spark, sf).withColumn("text", sentences.effective())
+    return scorers.summarised(sentences.file_text(t, "row_idx"), 600)
 
 
 ONE = with_tables
+#: The stand-in's summary of a text, however it was packed: its first twelve words.
+TWELVE = r"array_to_string(string_split_regex(text, '\s+')[1:12], ' ')"
 QUERIES = {
     "join_overlap_argmax": (overlap_words, ONE("SELECT * FROM word_speakers", "word_speakers")),
     "agg_overlap_sum": (overlap_sums, ONE("""SELECT w.file_id, w.word_idx, t.speaker, sum(least(w.end_s, t.end_s) - greatest(w.start_s, t.start_s)) AS total
@@ -258,7 +323,7 @@ QUERIES = {
     "win_sentence_merge": (turn_merge, ONE(MERGED, "turn_segments")),
     "win_sentence_index": (lambda s, d: turn_merge(s, d).select("file_id", "row_idx", "start_s"), ONE(f"SELECT file_id, row_idx, start_s FROM ({MERGED})", "turn_segments")),
     "win_boundary_windows": (boundary_rows, with_ends("SELECT file_id, run_idx::BIGINT AS run_idx, place, mark FROM ends WHERE mark IS NOT NULL")),
-    "win_first_dedupe": (lambda s, d: boundary_rows(s, d).groupBy("file_id", "mark").agg(F.count("*").alias("n")), with_ends("SELECT file_id, mark, count(*) AS n FROM ends WHERE mark IS NOT NULL GROUP BY ALL")),
+    "win_first_dedupe": (lambda s, d: boundary_rows(s, d).select("file_id", "run_idx", F.floor(F.col("place") / 400).alias("window_idx"), (F.col("place") % 400).alias("index"), "mark"), with_ends("SELECT file_id, run_idx::BIGINT AS run_idx, place // 400 AS window_idx, place % 400 AS index, mark FROM ends WHERE mark IS NOT NULL")),
     "win_restore_sentences": (restored, RESTORED),
     "ml_boundaries": (ml_boundaries, with_ends("SELECT file_id, run_idx::BIGINT AS run_idx, place, '.' AS mark FROM ends WHERE mark IS NOT NULL")),
     "fn_build_tokens": (lambda s, d: sentences.tokens(windows(s, d)), with_ends("""SELECT file_id, run_idx::BIGINT AS run_idx, place // 400 AS window_idx, count(*) AS n,
@@ -281,10 +346,15 @@ QUERIES = {
       OR seg_idx IN (SELECT floor(i * (n / 20.0::DOUBLE))::BIGINT FROM range(20) r(i))""", "segments")),
     "ml_translate": (translated, ONE("""SELECT file_id, row_idx, file_id % 4 <> 3 AND file_id % 3 <> 0 AS has_translation,
       CASE WHEN file_id % 4 <> 3 AND file_id % 3 <> 0 THEN translate(text, 'aeiou', 'AEIOU') END AS translation FROM transcript""", "transcript")),
-    "agg_mapreduce_summary": (summaries, None),
-    "ml_summary": (summaries, None),
+    "agg_mapreduce_summary": (summaries, ONE(rf"SELECT file_id, {TWELVE} AS summary FROM (SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id)", "segments")),
+    "ml_summary": (careful_summaries, ONE(rf"SELECT file_id, CASE WHEN file_id % 5 < 2 THEN '' ELSE {TWELVE} END AS summary FROM (SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id)", "segments")),
+    "pipe_summary": (effective_summaries, with_timed(rf"SELECT file_id, {TWELVE} AS summary FROM (SELECT file_id, string_agg(CASE WHEN has_translation THEN translation ELSE text END, ' ' ORDER BY row_idx) AS text FROM timed GROUP BY file_id)")),
     "pipe_transcription": (transcript, ONE("SELECT * FROM transcript", "transcript")),
-    "pipe_job": (job_results, with_timed("SELECT file_id, count(*) AS rows, bool_or(has_speaker) AS has_speaker, bool_or(has_translation) AS has_translation, sum(len(string_split(text, ' ')))::BIGINT AS words FROM timed GROUP BY file_id")),
+    "pipe_job": (job_stages, with_outcomes("""SELECT file_id, i AS stage_index, s AS stage, e AS event, (i + CASE e WHEN 'stage_completed' THEN 1 ELSE 0 END)::DOUBLE / 5::DOUBLE AS progress,
+      CASE WHEN e = 'stage_completed' THEN CASE i WHEN 0 THEN rows WHEN 1 THEN translated::BIGINT WHEN 2 THEN words WHEN 3 THEN (summary <> '')::BIGINT ELSE flagged END END AS reported
+      FROM outcomes, (VALUES (0::BIGINT, 'Transcribing'), (1, 'Translating'), (2, 'Running word-level analysis'), (3, 'Summarizing'), (4, 'Detecting hate speech')) v(i, s), (VALUES ('stage_started'), ('stage_completed')) k(e)
+      WHERE i = 0 OR NOT skipped""")),
+    "pipe_cli": (outcomes, with_outcomes("SELECT * FROM outcomes")),
     "fn_seconds_to_time": (lambda s, d: D.segments(s, d).select("file_id", "seg_idx", X.clock(F.col("start_s") * 1001 + 0.5).alias("clock")), ONE(f"SELECT file_id, seg_idx, {clock_sql('(start_s * 1001 + 0.5::DOUBLE)')} AS clock FROM segments", "segments")),
     "fn_format_hhmmss": (lambda s, d: D.segments(s, d).select("file_id", "seg_idx", X.stamp(F.col("start_s") * 1001).alias("stamp")), ONE("""SELECT file_id, seg_idx, CASE WHEN t // 3600 < 10 THEN '0' ELSE '' END || (t // 3600) || ':' || lpad(((t % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS stamp
       FROM (SELECT *, floor(start_s * 1001)::BIGINT AS t FROM segments)""", "segments")),
@@ -294,5 +364,3 @@ QUERIES = {
 }
 QUERIES["ml_asr"] = QUERIES["src_asr"]
 QUERIES["pipe_translation"] = QUERIES["ml_translate"]
-QUERIES["pipe_summary"] = QUERIES["ml_summary"]
-QUERIES["pipe_cli"] = QUERIES["pipe_job"]

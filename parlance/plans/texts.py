@@ -10,6 +10,7 @@ from parlance.functions import text as X
 from parlance.operators import counts, scorers
 from parlance.plans.oracle import with_tables as ONE
 from parlance.sources import derived as D
+from parlance.sources.folders import keep
 
 C = F.col
 
@@ -60,12 +61,13 @@ def tokenizer(spark, sf):
 
 
 def prompts(spark, sf):
-    """A prompt in the document's language, else in English; keys that neither has are an error and not asked for."""
+    """A prompt in the document's language, else in English; a key that neither has is an error."""
     known = spark.createDataFrame([("en", "summary", "Summarise: {text}"), ("en", "translation", "Translate: {text}"), ("de", "summary", "Fasse zusammen: {text}")], "lang string, key string, prompt string")
     asked = docs(spark, sf).select("doc_id", "lang", F.when(C("doc_id") % 2 == 0, "summary").otherwise("translation").alias("key"))
     own = known.withColumnRenamed("prompt", "own")
     english = known.where("lang = 'en'").select("key", C("prompt").alias("english"))
-    return asked.join(F.broadcast(own), ["lang", "key"], "left").join(F.broadcast(english), "key", "left").select("doc_id", F.coalesce("own", "english").alias("prompt"))
+    missing = F.raise_error(F.concat(F.lit("no prompt for "), C("key"))).cast("string")
+    return asked.join(F.broadcast(own), ["lang", "key"], "left").join(F.broadcast(english), "key", "left").select("doc_id", F.coalesce("own", "english", missing).alias("prompt"))
 
 
 def gate(spark, sf):
@@ -170,15 +172,18 @@ ENT = "fine AS (SELECT * FROM entity_replies WHERE length(text) >= 3 AND score >
 
 
 def words_pipeline(spark, sf):
-    """Per file: how many distinct words, the count of the first ranked one, and how many entities."""
-    w = word_counts(spark, sf).groupBy("file_id").agg(F.count("*").alias("distinct_words"), F.max("frequency").alias("most"))
+    """Per file: how many distinct words, the most frequent ones in order, the words of the cloud, and how many entities."""
+    counted = keep(word_counts(spark, sf))
+    w = counted.groupBy("file_id").agg(F.count("*").alias("distinct_words"))
+    top = counts.cloud_weights(counts.top_words(counted)).groupBy("file_id").agg(D.in_order("word", "rank", ",").alias("top"), F.count_if(C("weight") > 0).alias("cloud"))
     e = tally(spark, sf).groupBy("file_id").agg(F.sum("frequency").alias("entities"))
-    return w.join(e, "file_id", "left").withColumn("entities", F.coalesce("entities", F.lit(0).cast("long")))
+    return w.join(top, "file_id").join(e, "file_id", "left").withColumn("entities", F.coalesce("entities", F.lit(0).cast("long")))
 
 
 def cloud_text(spark, sf):
-    t = top_words(spark, sf).where("rank <= 3")
-    return t.select("file_id", "rank", F.array_join(F.array_repeat("word", C("frequency").cast("int")), " ").alias("text"))
+    """What a word cloud is drawn from: each counted word of a file as often as it occurs, in order of first occurrence."""
+    some = word_counts(spark, sf).withColumn("repeated", F.array_join(F.array_repeat("word", C("frequency").cast("int")), " "))
+    return some.groupBy("file_id").agg(D.in_order("repeated", "first_pos").alias("text"))
 
 
 def frames(spark, sf):
@@ -268,7 +273,7 @@ QUERIES = {
     "src_hash_cli": (lambda s, d: uploads(s, d).select("page_id", "digest"), f"SELECT page_id, digest FROM ({UPLOADS})"),
     "src_prompt": (prompts, "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'Translate: {text}' WHEN lang = 'de' THEN 'Fasse zusammen: {text}' ELSE 'Summarise: {text}' END AS prompt FROM documents"),
     "src_mapping": (lambda s, d: L.dimension(s, L.NAMES), f"WITH {NAMES} SELECT * FROM names"),
-    "src_nlp_model": (tokenizer, "WITH " + values_sql("models", L.TOKENIZERS) + """ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ar_words' ELSE coalesce((SELECT name FROM models m WHERE m.code = CASE WHEN doc_id % 7 = 0 THEN 'qq' ELSE lang END), 'xx_multi_sm') END AS model FROM documents"""),
+    "src_nlp_model": (tokenizer, "WITH " + values_sql("models", L.TOKENIZERS) + """ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ar_words' ELSE coalesce((SELECT name FROM models m WHERE m.code = CASE WHEN doc_id % 7 = 0 THEN 'qq' ELSE lang END), 'xx_sent_ud_sm') END AS model FROM documents"""),
     "src_llm": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
     "ml_hate_detect": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
     "lim_chars": (DOC(lambda: [F.substring("text", 1, 2048).alias("text")]), "SELECT doc_id, left(text, 2048) AS text FROM documents"),
@@ -282,13 +287,15 @@ QUERIES = {
     "fn_base_lang": (lambda s, d: codes(s, d).select("doc_id", X.base_language(C("code")).alias("base")), f"WITH {CODES} SELECT doc_id, split_part(code, '-', 1) AS base FROM codes"),
     "fn_kv_swap": (lambda s, d: L.dimension(s, L.NAMES).select(C("name").alias("code"), C("code").alias("name")), f"WITH {NAMES} SELECT name AS code, code AS name FROM names"),
     "sort_languages": (lambda s, d: L.by_name(L.dimension(s, L.NAMES)), f"WITH {NAMES} SELECT *, row_number() OVER (ORDER BY name) AS pos FROM names"),
-    "lang_default_target": (lambda s, d: L.default_target(L.dimension(s, L.TARGETS), "tlh"), "SELECT 'en' AS code"),
+    "lang_default_target": (lambda s, d: L.default_target(L.dimension(s, L.TARGETS), "tlh"), f"WITH {TARGETS} SELECT arg_min(code, (CASE code WHEN 'tlh' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, name)) AS code FROM targets"),
     "fn_translation_prompt": (lambda s, d: lang_name(s, d).select("doc_id", X.filled("From {a} to {b}", a=C("language"), b=F.lit("English")).alias("prompt")), f"WITH {NAMES}, {CODES} SELECT doc_id, 'From ' || coalesce({NAMED}, '') || ' to English' AS prompt FROM codes c"),
-    "fn_prompts": (DOC(lambda: [X.filled("Sum up: {text}", text=F.substring("text", 1, 50)).alias("prompt")]), "SELECT doc_id, 'Sum up: ' || left(text, 50) AS prompt FROM documents"),
+    "fn_prompts": (DOC(lambda: [X.filled("Sum up: {text}", text=C("text")).alias("prompt")]), "SELECT doc_id, 'Sum up: ' || text AS prompt FROM documents"),
     "fn_sanitize_filename": (FILE(lambda: X.safe_name(C("name")).alias("safe")), f"WITH {FILES} SELECT page_id, {SAFE.format('name')} AS safe FROM files"),
     "fn_file_stem": (FILE(lambda: X.stem(C("name")).alias("stem")), f"WITH {FILES} SELECT page_id, {STEM} AS stem FROM files"),
     "fn_download_name": (FILE(lambda: X.quoted(X.download_name(C("name"), F.lit("summary.txt"))).alias("quoted")), f"WITH {FILES} SELECT page_id, url_encode({SAFE.format(STEM)} || '_summary.txt') AS quoted FROM files"),
-    "fn_split_budget": (packed, None),
+    "fn_split_budget": (packed, r"""SELECT doc_id, pos - 1 AS pos, chunk FROM (SELECT doc_id, unnest(l) AS chunk, generate_subscripts(l, 1) AS pos FROM (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [text] ELSE list_reduce(list_transform(w, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) + 1 + length(b[1]) <= 200 THEN list_append(a[:-2], a[-1] || ' ' || b[1]) ELSE list_concat(a, b) END) END AS l
+      FROM (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)))"""),
     "fn_parse_boundaries": (parsed_boundaries, f"WITH {BOUNDARIES} SELECT doc_id, i AS index, arg_min(CASE c WHEN 'S' THEN '.' WHEN 'Q' THEN '؟' WHEN 'E' THEN '!' ELSE '.' END, ord) AS mark FROM pairs WHERE i BETWEEN 0 AND 19 GROUP BY ALL"),
     "fn_parse_detection": (lambda s, d: detections(s, d).select("file_id", "detection.*"), ONE(DETECTED, "replies")),
     "fn_default_detection": (lambda s, d: detections(s, d).where("detection.reason = 'Parse error'").select("file_id", "detection.*"), ONE(f"SELECT * FROM ({DETECTED}) WHERE reason = 'Parse error'", "replies")),
@@ -306,11 +313,10 @@ QUERIES = {
     "agg_word_count": (word_counts, f"WITH {TOKENS} SELECT * FROM counted"),
     "top_words": (top_words, f"WITH {TOKENS} SELECT * FROM top"),
     "snk_png_cloud": (lambda s, d: counts.cloud_weights(top_words(s, d)).select("file_id", "word", "weight"), f"WITH {TOKENS} SELECT file_id, word, frequency / max(frequency) OVER (PARTITION BY file_id) AS weight FROM top"),
-    "fn_wordcloud_text": (cloud_text, f"WITH {TOKENS} SELECT file_id, rank, rtrim(repeat(word || ' ', frequency)) AS text FROM top WHERE rank <= 3"),
+    "fn_wordcloud_text": (cloud_text, f"WITH {TOKENS} SELECT file_id, string_agg(rtrim(repeat(word || ' ', frequency)), ' ' ORDER BY first_pos) AS text FROM counted GROUP BY file_id"),
     "flt_entity": (entities, ONE("SELECT * FROM entity_replies WHERE length(text) >= 3 AND score >= 0.3::DOUBLE", "entity_replies")),
     "agg_entity_tally": (tally, ONE("", "entity_replies").rstrip() + f", {ENT} SELECT * EXCLUDE (f), row_number() OVER (PARTITION BY file_id ORDER BY f, category) AS rank FROM (SELECT file_id, upper(label) AS category, text AS entity, count(*) AS frequency, min(pos) AS f FROM fine GROUP BY ALL)"),
-    "ml_entities": (tally, None),
-    "pipe_words": (words_pipeline, ONE("", "entity_replies").rstrip() + f", {ENT}, {TOKENS} SELECT file_id, distinct_words, most, coalesce(entities, 0)::BIGINT AS entities FROM (SELECT file_id, count(*) AS distinct_words, max(frequency) AS most FROM counted GROUP BY file_id) LEFT JOIN (SELECT file_id, count(*) AS entities FROM fine GROUP BY file_id) USING (file_id)"),
+    "pipe_words": (words_pipeline, ONE("", "entity_replies").rstrip() + f", {ENT}, {TOKENS} SELECT file_id, distinct_words, top, cloud, coalesce(entities, 0)::BIGINT AS entities FROM (SELECT file_id, count(*) AS distinct_words FROM counted GROUP BY file_id) JOIN (SELECT file_id, string_agg(word, ',' ORDER BY rank) AS top, count(*) AS cloud FROM top GROUP BY file_id) USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS entities FROM fine GROUP BY file_id) USING (file_id)"),
     "src_keyframes": (frames, """SELECT doc_id, pos - 1 AS pos, item FROM (SELECT doc_id, unnest(l) AS item, generate_subscripts(l, 1) AS pos FROM (
       SELECT doc_id, CASE WHEN n <= 8 THEN [i * 2 for i in range(n)] ELSE [floor(i * (n / 8.0::DOUBLE))::BIGINT * 2 for i in range(8)] END AS l FROM (SELECT doc_id, length(text) % 37 + 1 AS n FROM documents)))"""),
     "fn_ner_chunks": (chunks, None),
@@ -327,5 +333,6 @@ QUERIES = {
     "fn_error_descriptor": (lambda s, d: errors(s, d).select("event_id", "key"), f"SELECT event_id, key FROM ({ERRORS})"),
     "fn_owner_id": (owners, OWNERS),
     "fn_optional_str": (lambda s, d: D.table(s, d, "events").select("event_id", F.when(C("event_id") % 3 == 0, C("user_id")).cast("string").alias("text")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR END AS text FROM events"),
-    "fn_oversize_message": (oversize, "SELECT page_id, CASE WHEN page_id * 134217728 > 8589934592 THEN 'f.wav is ' || printf('%.1f', page_id / 8.0::DOUBLE) || ' GB, over the limit of 8.0 GB' END AS message FROM pages"),
+    "fn_oversize_message": (oversize, "SELECT page_id, CASE WHEN page_id * 134217728 > 8589934592 THEN 'f.wav is ' || printf('%.1f', floor(page_id / 8.0::DOUBLE * 10 + 0.5::DOUBLE) / 10::DOUBLE) || ' GB, over the limit of 8.0 GB' END AS message FROM pages"),
 }
+QUERIES["ml_entities"] = QUERIES["agg_entity_tally"]

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
@@ -15,6 +12,7 @@ from parlance.plans import speech, texts
 from parlance.plans.oracle import with_tables as ONE
 from parlance.plans.speech import timed, with_timed
 from parlance.sources import derived as D
+from parlance.sources import folders
 from parlance.streaming import events as S
 
 C = F.col
@@ -36,7 +34,19 @@ def record_rows(spark, sf) -> DataFrame:
     rows = E.record_rows(t)
     return rows.withColumn("file_name", F.concat(F.lit('a"'), C("file_id").cast("string"), F.lit(".wav"))).withColumn(
         "file_hash", F.when(C("file_id") % 3 == 0, F.concat(F.lit("sha256:"), F.sha2(C("file_id").cast("string"), 256)))
-    ).withColumn("language", F.when(C("file_id") % 5 != 0, "de"))
+    ).withColumn("language", F.when(C("file_id") % 5 != 0, X.base_language(F.lit("de-DE"))))
+
+
+def job_lines(spark, sf) -> DataFrame:
+    """One payload a job: its name and lines, in the base language of the source, whatever it was translated to."""
+    return E.lines_file(records(spark, sf)).select(C("file_id").alias("job_id"), F.concat(C("file_id").cast("string"), F.lit("_segments.jsonl")).alias("name"), "content")
+
+
+def batch_lines(spark, sf) -> DataFrame:
+    """The payloads of an owner's jobs one after the other: lines with their place. Ten recordings are one owner's."""
+    own = records(spark, sf).withColumn("owner_id", F.floor(C("file_id") / 10))
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy("file_id", "sentence_index"))
+    return own.select("owner_id", place.cast("long").alias("place"), "line")
 
 
 REC = r"""rec AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_idx) - 1 AS sentence_index, round_even(start_s0, 0)::DOUBLE AS s, round_even(end_s0, 0)::DOUBLE AS e
@@ -84,6 +94,18 @@ def with_members(sql: str) -> str:
     return ONE("", "jobs").rstrip() + f",\n{MEMBERS}\n" + sql
 
 
+SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+ARTIFACTS = f"""SELECT job_id, a.name AS artifact, a.kind AS media_type FROM (SELECT job_id, unnest(list_concat(
+  CASE WHEN job_id % 5 <> 0 THEN [{{'name': 'transcript.csv', 'kind': 'text/csv'}}, {{'name': 'transcript.xlsx', 'kind': '{SHEET}'}}, {{'name': 'transcript.txt', 'kind': 'text/plain'}}, {{'name': 'segments.jsonl', 'kind': 'application/x-ndjson'}}] ELSE [] END,
+  CASE WHEN job_id % 4 = 1 THEN [{{'name': 'translation.txt', 'kind': 'text/plain'}}] ELSE [] END, CASE WHEN job_id % 3 = 1 THEN [{{'name': 'summary.txt', 'kind': 'text/plain'}}] ELSE [] END,
+  CASE WHEN job_id % 2 = 1 THEN [{{'name': 'wordcounts.csv', 'kind': 'text/csv'}}, {{'name': 'wordcounts.xlsx', 'kind': '{SHEET}'}}] ELSE [] END,
+  CASE WHEN job_id % 6 = 2 THEN [{{'name': 'entities.csv', 'kind': 'text/csv'}}, {{'name': 'entities.xlsx', 'kind': '{SHEET}'}}] ELSE [] END,
+  CASE WHEN job_id % 7 = 3 THEN [{{'name': 'wordcloud.png', 'kind': 'image/png'}}] ELSE [] END,
+  CASE WHEN job_id % 8 = 4 THEN [{{'name': 'hate_speech.csv', 'kind': 'text/csv'}}, {{'name': 'hate_speech.xlsx', 'kind': '{SHEET}'}}] ELSE [] END,
+  CASE WHEN job_id % 10 = 1 AND job_id % 4 > 0 THEN [{{'name': 'keyframes.zip', 'kind': 'application/zip'}}] ELSE [] END,
+  CASE WHEN job_id % 5 <> 0 OR job_id % 4 = 1 OR job_id % 3 = 1 OR job_id % 2 = 1 OR job_id % 6 = 2 OR job_id % 7 = 3 OR job_id % 8 = 4 THEN [{{'name': 'archive.zip', 'kind': 'application/zip'}}] ELSE [] END)) AS a FROM jobs)"""
+
+
 def members(spark, sf) -> DataFrame:
     return E.members(results(spark, sf))
 
@@ -122,28 +144,27 @@ FRAMES = """SELECT job_id, seq, 'event: ' || event || chr(10) || 'data: {"job_id
 
 def parsed(spark, sf) -> DataFrame:
     """Frames joined to one stream a job, cut anywhere, and parsed again."""
-    cut = frames(spark, sf).withColumn("parts", F.array(F.substring("frame", 1, 9), F.substring("frame", 10, 1 << 20)))
+    cut = frames(spark, sf).withColumn("parts", F.array(F.substring("frame", 1, 9), F.substr("frame", F.lit(10))))
     chunks = cut.select(C("job_id").alias("stream_id"), "seq", F.posexplode("parts").alias("k", "chunk")).withColumn("seq", F.struct("seq", "k"))
     return J.known_events(J.parsed_frames(chunks)).select("stream_id", "frame_idx", "event", F.get_json_object("data", "$.job_id").alias("job"))
 
 
 def written(spark, sf, kind: str) -> DataFrame:
     """Rows written by a sink and read again: what comes back is what went in."""
-    at = tempfile.mkdtemp(prefix="parlance-") + f"/{kind}" if not (base := spark.conf.get("spark.checkpoint.dir", None)) else f"{base}/parlance/sink-{kind}-{spark.sparkContext.applicationId}"
+    at = folders.new(spark, f"sink-{kind}")
     if kind == "csv":
         t = texts.top_words(spark, sf).select("file_id", "rank", "word", "frequency")
-        t.write.mode("overwrite").option("header", True).csv(at)
+        E.write_table(t, at, ["file_id", "rank"])
         return spark.read.schema(t.schema).option("header", True).csv(at)
-    lines = records(spark, sf)
-    E.write_lines(lines, at, ["file_id", "sentence_index"], force=True)
+    E.write_lines(records(spark, sf), at, ["file_id", "sentence_index"])
     return spark.read.text(at).select(F.get_json_object("value", "$.sentence_index").cast("long").alias("sentence_index"), F.get_json_object("value", "$.text").alias("text"))
 
 
-def archive_sizes(spark, sf) -> DataFrame:
-    """Zips of each job's members with their names as content: members and whether the archive is one."""
-    files = members(spark, sf).withColumn("content", F.encode("member", "utf-8"))
-    zips = E.archives(files).select("job_id", F.hex(F.substring("archive", 1, 2)).alias("magic"))
-    return zips.join(files.groupBy("job_id").agg(F.count("*").alias("members")), "job_id")
+def archived(spark, sf) -> DataFrame:
+    """Zips of each job's transcript and word table, unpacked again: members in order, with what they hold."""
+    text = blocks(spark, sf).select(C("file_id").alias("job_id"), F.lit(0).alias("pos"), F.concat(C("file_id").cast("string"), F.lit("_transcript.txt")).alias("member"), F.encode("content", "utf-8").alias("content"))
+    lines = E.lines_file(records(spark, sf)).select(C("file_id").alias("job_id"), F.lit(1).alias("pos"), F.concat(C("file_id").cast("string"), F.lit("_segments.jsonl")).alias("member"), F.encode("content", "utf-8").alias("content"))
+    return E.unpacked(E.archives(text.unionByName(lines))).select("job_id", "pos", "member", F.decode("content", "utf-8").alias("content"))
 
 
 # jobs and streams
@@ -204,44 +225,61 @@ def undeleted(spark, sf) -> DataFrame:
     return S.undeleted(D.job_events(spark, sf), gone).groupBy("owner_id").agg(F.count("*").alias("events"))
 
 
-def folder(spark) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    return f"{base}/parlance/stream-{uuid.uuid4().hex}"
+def event_log(spark, sf, at: str) -> DataFrame:
+    """The job events, appended to a log in four parts in the order of seq, and read as a stream, a file a micro-batch."""
+    log = folders.keep(D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long")))
+    for part in range(4):
+        log.where(F.least(F.floor(C("seq") / 3), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{at}/log")
+    return S.read(spark, f"{at}/log", log.schema, files_a_batch=1)
 
 
-def event_log(spark, sf, at: str) -> DataFrame:
-    """The job events, written as a log of files in the order of seq, and read as a stream."""
-    log = D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long"))
-    log.repartitionByRange(4, "seq").write.parquet(f"{at}/log")
-    return S.read(spark, f"{at}/log", log.schema, files_a_batch=100)
+def history(spark, sf) -> DataFrame:
+    """Events of known names, appended batch by batch to the history, and read from it."""
+    at = folders.new(spark, "stream")
+    S.fan_out(S.known(event_log(spark, sf, at)), {"history": f"{at}/history"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long")).schema).parquet(f"{at}/history")
+
+
+def job_stream(spark, sf) -> DataFrame:
+    """What a subscriber of each job gets: its events in order, each once although all come twice, up to the one that ends it."""
+    at = folders.new(spark, "stream")
+    log = event_log(spark, sf, at)
+    S.fan_out(S.tail(log.unionByName(log)), {"frames": f"{at}/frames"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(S.FRAMES).parquet(f"{at}/frames").select("job_id", "seq", "event", "closes")
+
+
+def owner_stream(spark, sf) -> DataFrame:
+    """What a subscriber of each owner gets first: the history of all jobs, the oldest job first; ended jobs do not end it."""
+    return S.replay(history(spark, sf)).select("owner_id", "place", "job_id", "event")
 
 
 def streamed(spark, sf) -> DataFrame:
     """The event log read as a stream of files, folded with keyed state, last state a job; as the batch fold."""
-    at = folder(spark)
+    at = folders.new(spark, "stream")
     S.fan_out(S.progress(event_log(spark, sf, at)), {"all": f"{at}/all"}, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     states = spark.read.schema(S.PROGRESS).parquet(f"{at}/all")
     return states.groupBy("owner_id", "job_id").agg(F.max_by(F.struct("status", "stage_index", "stage", "progress"), "seq").alias("s")).select("owner_id", "job_id", "s.*")
 
 
 def books(spark, sf) -> DataFrame:
-    """A workbook for each file's most frequent words: whether it is a zip, and that it has a size."""
+    """A workbook for each file's most frequent words, unpacked again: the cells of its sheet, row by row."""
     t = texts.top_words(spark, sf).select("file_id", "rank", "word", "frequency")
-    made = E.workbooks(t, "file_id", ["word", "frequency"], "rank")
-    return made.select("file_id", F.hex(F.substring("content", 1, 2)).alias("magic"), (F.length("content") > 600).alias("filled"))
+    made = E.workbooks(t, "file_id", ["word", "frequency"], "rank").select("file_id", C("content").alias("archive"))
+    sheet = E.unpacked(made, "file_id").where("member = 'xl/worksheets/sheet1.xml'").withColumn("xml", F.decode("content", "utf-8"))
+    cells = F.regexp_extract_all("xml", F.lit("<(?:t xml:space=\"preserve\"|v)>([^<]*)<"), F.lit(1))
+    return sheet.select("file_id", F.array_join(cells, " ").alias("cells"))
 
 
 def fanned(spark, sf) -> DataFrame:
     """Ended jobs from the sink of terminal states, that a fan-out of the progress stream writes beside the one of all."""
-    at = folder(spark)
+    at = folders.new(spark, "stream")
     S.fan_out(S.progress(event_log(spark, sf, at)), {"all": f"{at}/all", "terminal": f"{at}/terminal"}, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(S.PROGRESS).parquet(f"{at}/terminal").select("job_id", "status")
 
 
 def once(spark, sf) -> DataFrame:
     """One terminal event a job from a stream in which every event comes twice, as after a reconnect."""
-    at = folder(spark)
+    at = folders.new(spark, "stream")
     log = event_log(spark, sf, at)
     ended = S.first_terminal(log.unionByName(log)).select("job_id", "event")
     ended.writeStream.outputMode("append").format("parquet").option("path", f"{at}/once").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
@@ -265,8 +303,8 @@ QUERIES = {
     "snk_jsonl_rows": (lambda s, d: record_rows(s, d).select("file_id", "row_idx", "start_seconds", "end_seconds"), with_lines("SELECT file_id, row_idx, s AS start_seconds, e AS end_seconds FROM stamped")),
     "snk_jsonl_record": (records, with_lines("SELECT * FROM lines")),
     "snk_jsonl_file": (lambda s, d: E.lines_file(records(s, d)), with_lines("SELECT file_id, string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) AS content FROM lines GROUP BY file_id")),
-    "snk_jsonl_job": (lambda s, d: E.lines_file(records(s, d).where("file_id % 2 = 0")), with_lines("SELECT file_id, string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) AS content FROM lines WHERE file_id % 2 = 0 GROUP BY file_id")),
-    "snk_jsonl_batch": (lambda s, d: records(s, d).select("file_id", "sentence_index", F.length("line").cast("long").alias("size")), with_lines("SELECT file_id, sentence_index, length(line) AS size FROM lines")),
+    "snk_jsonl_job": (job_lines, with_lines("SELECT file_id AS job_id, file_id || '_segments.jsonl' AS name, string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) AS content FROM lines GROUP BY file_id")),
+    "snk_jsonl_batch": (batch_lines, with_lines("SELECT file_id // 10 AS owner_id, row_number() OVER (PARTITION BY file_id // 10 ORDER BY file_id, sentence_index) AS place, line FROM lines")),
     "snk_jsonl_atomic": (lambda s, d: written(s, d, "lines"), with_lines("SELECT sentence_index, text FROM stamped")),
     "snk_csv": (lambda s, d: written(s, d, "csv"), f"WITH {texts.TOKENS} SELECT file_id, rank, word, frequency FROM top"),
     "snk_archive_members": (members, with_members("SELECT owner_id, job_id, stem, member, pos FROM members")),
@@ -275,14 +313,14 @@ QUERIES = {
     "win_occurrence_no": (lambda s, d: placed(s, d).select("job_id", "stem", "occurrence"), with_members("SELECT job_id, stem, n AS occurrence FROM placed")),
     "snk_archive_batch": (batch, with_members("SELECT owner_id, folder || '/' || member AS name FROM members JOIN placed USING (owner_id, job_id) UNION ALL SELECT DISTINCT owner_id, 'batch_summaries.txt' FROM results WHERE job_id % 3 = 1")),
     "snk_summary_manifest": (manifest, with_members("SELECT owner_id, string_agg(repeat('=', 40) || chr(10) || file_name || chr(10) || repeat('=', 40) || chr(10) || chr(10) || 'Sum of ' || job_id || chr(10), chr(10) ORDER BY created_at, job_id) AS content FROM results WHERE job_id % 3 = 1 GROUP BY owner_id")),
-    "snk_zip": (archive_sizes, with_members("SELECT job_id, '504B' AS magic, count(*) AS members FROM members GROUP BY job_id")),
+    "snk_zip": (archived, with_lines("SELECT file_id AS job_id, 0::BIGINT AS pos, file_id || '_transcript.txt' AS member, content FROM (" + BLOCKS.format("text", "") + ") UNION ALL SELECT file_id, 1, file_id || '_segments.jsonl', string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) FROM lines GROUP BY file_id")),
     "snk_json_api": (api, with_timed('SELECT file_id, count(*) AS n, arg_min(text, row_idx) AS first_text, arg_max("end", row_idx) AS last_end FROM timed GROUP BY file_id')),
     "snk_sse": (frames, EVENTS(FRAMES)),
     "st_frame_parse": (parsed, EVENTS("SELECT job_id AS stream_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS frame_idx, event, job_id::VARCHAR AS job FROM job_events")),
     "st_event_parse": (lambda s, d: parsed(s, d).groupBy("event").agg(F.count("*").alias("n")), EVENTS("SELECT event, count(*) AS n FROM job_events GROUP BY event")),
-    "st_event_log": (LOG(lambda e: e.groupBy("owner_id", "job_id").agg(F.count("*").alias("events"), F.max("seq").alias("last"))), EVENTS("SELECT owner_id, job_id, count(*) AS events, max(seq) AS last FROM job_events GROUP BY ALL")),
-    "st_job_stream": (LOG(lambda e: e.where("job_id % 50 = 0").select("job_id", "seq", "event")), EVENTS("SELECT job_id, seq, event FROM job_events WHERE job_id % 50 = 0")),
-    "st_owner_stream": (LOG(lambda e: S.of_owner(S.known(e), 7).select("job_id", "seq", "event")), EVENTS("SELECT job_id, seq, event FROM job_events WHERE owner_id = 7")),
+    "st_event_log": (lambda s, d: history(s, d).groupBy("owner_id", "job_id").agg(F.count("*").alias("events"), F.max("seq").alias("last")), EVENTS("SELECT owner_id, job_id, count(*) AS events, max(seq) AS last FROM job_events GROUP BY ALL")),
+    "st_job_stream": (job_stream, EVENTS("SELECT job_id, seq, event, event IN ('job_completed', 'job_failed') AS closes FROM job_events")),
+    "st_owner_stream": (owner_stream, EVENTS("SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY created, job_id, seq) AS place, job_id, event FROM (SELECT *, min(ts) OVER (PARTITION BY job_id) AS created FROM job_events)")),
     "st_progress_fold": (folded, with_folded("SELECT * FROM folded")),
     "st_progress_state": (streamed, with_folded("SELECT * FROM folded")),
     "st_replay": (LOG(lambda e: J.fold(e.unionByName(e))), with_folded("SELECT * FROM folded")),
@@ -304,10 +342,10 @@ QUERIES = {
     "sort_jobs_oldest": (lambda s, d: ranked(s, d, False), JOBS("SELECT owner_id, job_id, row_number() OVER (PARTITION BY owner_id ORDER BY created_at, job_id) AS pos FROM jobs")),
 }
 QUERIES |= {
-    "snk_xlsx": (books, f"WITH {texts.TOKENS} SELECT DISTINCT file_id, '504B' AS magic, true AS filled FROM top"),
+    "snk_xlsx": (books, f"WITH {texts.TOKENS} SELECT file_id, 'word frequency ' || string_agg(word || ' ' || frequency, ' ' ORDER BY rank) AS cells FROM top GROUP BY file_id"),
     "snk_transcript_local": (both_files, with_timed("SELECT file_id || e AS name FROM (SELECT DISTINCT file_id, unnest(CASE WHEN has_translation THEN ['_transcript.csv', '_transcript.xlsx', '_transcript.txt', '_translation.txt'] ELSE ['_transcript.csv', '_transcript.xlsx', '_transcript.txt'] END) AS e FROM timed)")),
-    "snk_artifact": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).groupBy("artifact", "media_type").agg(F.count("*").alias("jobs")), None),
-    "snk_artifact_batch": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), None),
+    "snk_artifact": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).select("job_id", "artifact", "media_type"), with_members(ARTIFACTS)),
+    "snk_artifact_batch": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), with_members(f"SELECT job_id, artifact FROM ({ARTIFACTS}) WHERE artifact IN ('archive.zip', 'segments.jsonl')")),
     "st_fanout": (fanned, with_folded("SELECT job_id, status FROM folded WHERE status <> 'running'")),
     "st_reconnect": (once, EVENTS("SELECT job_id, event FROM job_events WHERE event IN ('job_completed', 'job_failed')")),
 }

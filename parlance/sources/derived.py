@@ -22,7 +22,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, seg_idx, start_s, end_s, text, no_speech_prob): six words each, across turns."""
-    w = words(spark, sf_dir).withColumn("seg_idx", F.floor(F.col("word_idx") / 6))
+    return segments_of(words(spark, sf_dir))
+
+
+def segments_of(words: DataFrame) -> DataFrame:
+    w = words.withColumn("seg_idx", F.floor(F.col("word_idx") / 6))
     made = w.groupBy("file_id", "seg_idx").agg(
         F.min("start_s").alias("start_s"), (F.max("end_s") + 0.25).alias("end_s"), in_order("word", "word_idx").alias("text")
     )
@@ -41,8 +45,12 @@ def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, turn_idx, start_s, end_s, speaker): raw labels, shifted by 0.75 s, every fifth turn missing."""
+    return turns_of(words(spark, sf_dir))
+
+
+def turns_of(words: DataFrame) -> DataFrame:
     label = F.when(F.col("role") == "system", "SPEAKER_07").when(F.col("role") == "user", "SPEAKER_02").otherwise("SPEAKER_00")
-    some = words(spark, sf_dir).where(F.col("turn") % 5 != 3).groupBy("file_id", F.col("turn").alias("turn_idx"), "role")
+    some = words.where(F.col("turn") % 5 != 3).groupBy("file_id", F.col("turn").alias("turn_idx"), "role")
     span = some.agg((F.min("start_s") + 0.75).alias("start_s"), (F.max("end_s") + 0.75).alias("end_s"))
     return span.select("file_id", "turn_idx", "start_s", "end_s", label.alias("speaker"))
 

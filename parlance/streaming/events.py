@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.jobs import EVENTS, STAGES
 
-PROGRESS = "owner_id long, job_id long, status string, stage_index long, stage string, progress double, seq long"
-_STATE = "status string, stage_index long, stage string, progress double, seq long"
+PROGRESS = "owner_id long, job_id long, status string, stage_index long, stage string, progress double, seq long, ends boolean"
+_STATE = "status string, stage_index long, stage string, progress double, seq long, ended long, shown long"
+#: What a subscriber of a job gets.
+FRAMES = "owner_id long, job_id long, seq long, event string, stage_index long, closes boolean"
 
 
 def known(events: DataFrame) -> DataFrame:
@@ -31,34 +33,65 @@ def undeleted(events: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def advance(state: tuple, rows: pd.DataFrame) -> tuple:
-    """Fold rows, in order of seq, into (status, stage_index, stage, progress, seq)."""
-    status, index, stage, progress, last = state
-    for r in rows.sort_values("seq").itertuples():
-        if r.event in ("stage_started", "stage_completed"):
-            status = "running" if status not in ("completed", "failed", "cancelled") else status
-            index, progress = max(index, int(r.stage_index)), max(progress, float(r.progress))
-            if r.seq >= last:  # a replayed event does not bring an old label back
-                stage = STAGES[int(r.stage_index)]
-        else:
-            status = {"job_completed": "completed", "job_failed": "failed"}.get(r.event, "cancelled")
-            if r.event == "job_completed":
-                progress, stage = 1.0, None
-        last = max(last, int(r.seq))
-    return status, index, stage, progress, last
+    """Fold rows, in any order and however often they come, into (status, stage_index, stage, progress, seq, ended, shown):
+    ended and shown are the seq of the terminal event and of the label that count, so that late events change neither."""
+    status, index, stage, progress, last, ended, shown = state
+    if rows.empty:
+        return state
+    staged = rows[rows["event"].isin(("stage_started", "stage_completed"))]
+    done = rows[rows["event"] == "job_completed"]
+    terminal = rows[~rows["event"].isin(("stage_started", "stage_completed"))]
+    if len(staged):
+        index, progress = max(index, int(staged["stage_index"].max())), max(progress, float(staged["progress"].max()))
+        status = "running" if ended < 0 else status
+    if len(done):
+        progress = 1.0
+    labelled = pd.concat([staged, done])
+    if len(labelled) and labelled["seq"].max() >= shown:
+        newest = labelled.loc[labelled["seq"].idxmax()]
+        shown, stage = int(newest["seq"]), None if newest["event"] == "job_completed" else STAGES[int(newest["stage_index"])]
+    if len(terminal) and terminal["seq"].max() >= ended:
+        newest = terminal.loc[terminal["seq"].idxmax()]
+        ended, status = int(newest["seq"]), {"job_completed": "completed", "job_failed": "failed"}.get(newest["event"], "cancelled")
+    return status, index, stage, progress, max(last, int(rows["seq"].max())), ended, shown
 
 
 def _keyed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else ("queued", 0, None, 0.0, -1)
-    rows = pd.concat(list(batches), ignore_index=True)
-    if now[4] >= 0:
-        rows = rows[rows["seq"] > now[4]]  # replay after a reconnect
-    now = advance(now, rows)
+    now = tuple(state.get) if state.exists else ("queued", 0, None, 0.0, -1, -1, -1)
+    ended = now[5] >= 0
+    now = advance(now, pd.concat(list(batches), ignore_index=True))
     state.update(now)
-    yield pd.DataFrame([(*key, *now)], columns=["owner_id", "job_id", "status", "stage_index", "stage", "progress", "seq"])
+    yield pd.DataFrame([(*key, *now[:5], now[5] >= 0 and not ended)], columns=["owner_id", "job_id", "status", "stage_index", "stage", "progress", "seq", "ends"])
+
+
+def _tailed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seq, closed = tuple(state.get) if state.exists else (-1, False)
+    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq").drop_duplicates("seq")
+    rows = rows[rows["seq"] > seq] if not closed else rows.iloc[:0]
+    closes = ~rows["event"].str.startswith("stage_")
+    rows, closes = rows[closes.cumsum().shift(fill_value=0) == 0], closes[closes.cumsum().shift(fill_value=0) == 0]
+    if len(rows):
+        state.update((int(rows["seq"].max()), bool(closes.any())))
+    yield rows.assign(owner_id=key[0], job_id=key[1], closes=closes)[["owner_id", "job_id", "seq", "event", "stage_index", "closes"]]
+
+
+def tail(events: DataFrame) -> DataFrame:
+    """A stream of each job's events as a subscriber gets them: in order of seq within and between batches, each once, up to
+    the one that ends the job; what arrives after it, or again, is left out."""
+    return known(events).groupBy("owner_id", "job_id").applyInPandasWithState(_tailed, FRAMES, "seq long, closed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(history: DataFrame) -> DataFrame:
+    """history (a job's first ts tells its age) with place: where an event comes when an owner connects, the jobs one after
+    the other, the oldest first. An owner's places are numbered in one task, as one connection gets them."""
+    created = F.min("ts").over(Window.partitionBy("job_id"))
+    order = Window.partitionBy("owner_id").orderBy("created", "job_id", "seq")
+    return known(history).withColumn("created", created).withColumn("place", F.row_number().over(order).cast("long")).drop("created")
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """A stream of each job's state after every batch that has events of it (update mode)."""
+    """A stream of each job's state after every batch that has events of it (update mode); ends marks the one in which the job
+    ended."""
     return known(events).groupBy("owner_id", "job_id").applyInPandasWithState(_keyed, PROGRESS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -67,18 +100,18 @@ def read(spark, path: str, schema, files_a_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def fan_out(progress_stream: DataFrame, sinks: dict[str, str], checkpoint: str):
-    """Each batch to several Parquet sinks, one a name: all rows, or for `terminal` only those of ended jobs. A batch that is
-    run again overwrites its own folder, so every row appears once."""
+def fan_out(stream: DataFrame, sinks: dict[str, str], checkpoint: str, mode: str = "update"):
+    """Each batch to several Parquet sinks, one a name: all rows, or for `terminal` only those in which a job ended. A batch
+    that is run again overwrites its own folder, so every row appears once."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         for name, path in sinks.items():
-            some = batch.where("status in ('completed', 'failed', 'cancelled')") if name == "terminal" else batch
+            some = batch.where("ends") if name == "terminal" else batch
             some.write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
-    return progress_stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def first_terminal(events: DataFrame) -> DataFrame:
