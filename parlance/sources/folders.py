@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -21,9 +22,25 @@ def shared(spark: SparkSession) -> str:
     return at
 
 
+_made: dict[str, SparkSession] = {}
+
+
+def _delete_made() -> None:
+    for path, spark in _made.items():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended already
+            return
+
+
 def new(spark: SparkSession, name: str) -> str:
-    """A path of its own for each call."""
-    return f"{shared(spark)}/parlance/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path of its own for each call, in the shared folder; what is still there when the driver ends is deleted."""
+    if not _made:
+        atexit.register(_delete_made)
+    path = f"{shared(spark)}/parlance/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def keep(df: DataFrame) -> DataFrame:
