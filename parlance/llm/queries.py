@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import fingerprints, language, licences, mixing, neardup, neighbours, pieces, quality, spans, toxicity
+    from . import divergence, fingerprints, language, licences, mixing, neardup, neighbours, pieces, quality, spans, toxicity
 
     return {
         "op1_sentencepiece_dropout": pieces.query,
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates_minhash": neardup.query,
         "op9_licence_paragraphs": licences.query,
         "op10_quality_compression": quality.query,
+        "op11_source_divergence": divergence.query,
     }
 
 
