@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import divergence, fingerprints, language, licences, mixing, neardup, neighbours, pieces, quality, spans, toxicity
+    from . import codes, divergence, fingerprints, language, licences, mixing, neardup, neighbours, pieces, quality, spans, toxicity, vectordups
 
     return {
         "op1_sentencepiece_dropout": pieces.query,
@@ -22,10 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licence_paragraphs": licences.query,
         "op10_quality_compression": quality.query,
         "op11_source_divergence": divergence.query,
+        "op12_vector_codes_va": codes.query,
+        "op13_vector_duplicates_hnsw": vectordups.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing_sql
+    from . import codes, divergence, mixing_sql, vectordups
 
-    return {"op6_mixing_pareto": mixing_sql.SQL}
+    return {
+        "op6_mixing_pareto": mixing_sql.SQL,
+        "op11_source_divergence": divergence.SQL,
+        "op12_vector_codes_va": codes.SQL,
+        "op13_vector_duplicates_hnsw": vectordups.SQL,
+    }
