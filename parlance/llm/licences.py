@@ -5,6 +5,7 @@ wrapped anyhow. Of a long paragraph overlapping windows are looked at, so a noti
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,6 +27,9 @@ TEMPLATES = {
         "This project is released under the Apache License 2.0.",
         "This project is licensed under the terms of the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0, January 2004",
+        "License: Apache-2.0",
+        "License: Apache License, Version 2.0",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -34,6 +38,12 @@ TEMPLATES = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "License: MIT",
+        "This project is MIT licensed.",
+        "MIT licensed.",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
@@ -43,11 +53,18 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "License: BSD-3-Clause",
+        "License: BSD",
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.',
     ],
     "isc": [
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "SPDX-License-Identifier: ISC",
+        "License: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.',
     ],
     "gpl-2.0": [
         "This program is licensed under the GNU General Public License, version 2.",
@@ -56,6 +73,9 @@ TEMPLATES = {
         "This software is licensed under the terms of the GNU General Public License version 2, as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-2.0-only",
         "SPDX-License-Identifier: GPL-2.0-or-later",
+        "GNU General Public License Version 2, June 1991",
+        "Distributed under GPLv2.",
+        "License: GPL-2.0",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -63,6 +83,9 @@ TEMPLATES = {
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License Version 3, 29 June 2007",
+        "Distributed under GPLv3.",
+        "License: GPL-3.0",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License.",
@@ -70,21 +93,26 @@ TEMPLATES = {
         "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "GNU Lesser General Public License Version 2.1, February 1999",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "GNU Affero General Public License Version 3, 19 November 2007",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
     ],
     "epl-2.0": [
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
         "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under the Eclipse Public License, Version 2.0.",
     ],
     "boost": [
         "Distributed under the Boost Software License, Version 1.0.",
@@ -121,7 +149,7 @@ TEMPLATES = {
         "This software contains confidential and proprietary information and may not be disclosed without prior written consent.",
     ],
 }
-#: Sentences near the subject that name no licence.
+#: Sentences near the subject that name no licence, or none of these families.
 OTHERS = [
     "The driver showed a license at the counter and paid the fee.",
     "A version of the work was released to the public in general.",
@@ -131,6 +159,29 @@ OTHERS = [
     "They redistribute the software to any person free of charge.",
     "The version 3 of the program was published by the foundation.",
     "The public domain of the common good is free to all who come.",
+    "Licensed under the Mozilla Public License, version 1.1.",
+    "This program is licensed under the GNU General Public License, version 1.",
+    "This library is licensed under the GNU Library General Public License, version 2.",
+    "Licensed under the Eclipse Public License, Version 1.0.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Distributed under the Artistic License 2.0.",
+    "Licensed under the zlib license.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: MPL-1.1",
+    "SPDX-License-Identifier: EPL-1.0",
+    "SPDX-License-Identifier: Artistic-2.0",
+]
+#: Words that name a licence, and words that tell its variants; a template confirms only where its own are.
+NAMES = "apache mit bsd isc gnu gpl gplv2 gplv3 lgpl agpl mozilla mpl eclipse epl boost bsl unlicense creative commons cc cc0 proprietary".split()
+VARIANTS = "general lesser affero sharealike noncommercial noderivatives sa nc nd".split()
+#: Sentences that stand beside notices of several licences.
+BESIDE = [
+    "Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "Terms and conditions for use, reproduction, and distribution",
+    "Copyright (c) the authors.",
+    "See the LICENSE file for details.",
 ]
 UNKNOWN = "unknown"
 #: Documents and units of theirs, chosen by hash, that the unknown class is learned from.
@@ -215,6 +266,8 @@ class Templates(NamedTuple):
     pairs: np.ndarray  # sorted hashes of all word pairs that some template has
     has: np.ndarray  # which of them each template has, a column a template
     family: np.ndarray  # of each template
+    keys: list[np.ndarray]  # n-grams of each template without which it is not there, see `keys`
+    grams: list[np.ndarray]  # all n-grams of each template
 
     def among(self, own: np.ndarray) -> np.ndarray:
         """Which of the pairs are among n-grams."""
@@ -251,32 +304,50 @@ def pairs(distinct: np.ndarray) -> np.ndarray:
     return two if len(two) else distinct
 
 
+def keys(template: str) -> list[str]:
+    """What must be there word for word if a template is to be: its words that name a licence, and each version number and
+    variant together with the word before it. So `version 1.1` is not `version 2.0`, nor `BY-ND 4.0` `BY 4.0`."""
+    words = [w.strip(string.punctuation).lower() for w in template.replace("-", " ").split()]
+    words = [w for w in words if w]
+    number = lambda w: any(c.isdigit() for c in w) and w not in NAMES
+    return [w for w in words if w in NAMES] + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if b in VARIANTS or number(b)]
+
+
 def templates() -> Templates:
-    each = [(k, pairs(f)) for k, own in enumerate(TEMPLATES.values()) for f in features(own)]
+    whole = [(k, f) for k, own in enumerate(TEMPLATES.values()) for f in features(own)]
+    each = [(k, pairs(f)) for k, f in whole]
     every = np.unique(np.concatenate([t for _, t in each]))
-    return Templates(every, np.column_stack([np.isin(every, t) for _, t in each]), np.array([k for k, _ in each]))
+    musts = [keys(t) for own in TEMPLATES.values() for t in own]
+    # an n-gram alone is a text whose longest n-gram is itself
+    hashed = [np.array([max(f.tolist(), key=lambda g: g & 3) for f in features(m)], U) for m in musts]
+    return Templates(every, np.column_stack([np.isin(every, t) for _, t in each]), np.array([k for k, _ in each]), hashed, [f for _, f in whole])
 
 
-Share = tuple[float, np.ndarray, np.ndarray]
+Share = tuple[float, np.ndarray, np.ndarray, int]
 
 
-def shares(there: np.ndarray, known: Templates) -> dict[int, Share]:
-    """Of each family with one: the largest share of a template that is among the pairs that are there, those pairs, and all
-    of the template's."""
+def shares(own: np.ndarray, known: Templates) -> dict[int, Share]:
+    """Of each family with one: the largest share of a template whose keys are all among the n-grams of a unit that is among
+    its pairs, those pairs, all of the template's, and its number."""
+    there = known.among(own)
     share = known.has[there].sum(0) / known.has.sum(0)
     best: dict[int, Share] = {}
     for t in np.flatnonzero(share > 0).tolist():
+        if not np.isin(known.keys[t], own).all():
+            continue
         k = int(known.family[t])
         if share[t] > best.get(k, (0.0,))[0]:
-            best[k] = float(share[t]), there & known.has[:, t], known.has[:, t]
+            best[k] = float(share[t]), there & known.has[:, t], known.has[:, t], t
     return best
 
 
-def confirmed(family: int, best: dict[int, Share]) -> tuple[bool, float]:
+def confirmed(family: int, best: dict[int, Share], known: Templates) -> tuple[bool, float]:
     """Whether a family's best share in a paragraph confirms it, and that share: ALIKE or more, unless a template of
-    another family that is there to a larger share has EXPLAINED of what is there of it."""
-    share, there, _ = best.get(family, (0.0, None, None))
-    explained = share > 0 and any(j != family and s > share and (there & t).sum() >= EXPLAINED * there.sum() for j, (s, _, t) in best.items())
+    another family that is there to a larger share explains it: it has EXPLAINED of what is there, and the keys too."""
+    if family not in best:
+        return False, 0.0
+    share, there, _, own = best[family]
+    explained = any(j != family and s > share and (there & t).sum() >= EXPLAINED * there.sum() and np.isin(known.keys[own], known.grams[u]).all() for j, (s, _, t, u) in best.items())
     return share >= ALIKE and not explained, share
 
 
@@ -285,7 +356,13 @@ def examples(rng: np.random.Generator, prose: list[list[str]]) -> tuple[list[str
     notices together; prose; near misses."""
     texts: list[str] = []
     kinds: list[tuple[int, ...]] = []
-    around = lambda n: " ".join(prose[rng.integers(len(prose))][: int(rng.integers(0, n))]) if prose and n > 0 else ""
+    beside = [t.split() for t in BESIDE]
+
+    def around(n: int) -> str:
+        if n <= 0 or not prose:
+            return ""
+        some = beside if rng.random() < 0.2 else prose
+        return " ".join(some[rng.integers(len(some))][: int(rng.integers(0, n))])
 
     def put(words: list[str], own: tuple[int, ...]) -> None:
         left = WIDTH - len(words)
@@ -308,6 +385,12 @@ def examples(rng: np.random.Generator, prose: list[list[str]]) -> tuple[list[str
         (j, one), (k, two) = short[rng.integers(len(short))], short[rng.integers(len(short))]
         if j != k:
             put([*one, ("or", "and", "")[rng.integers(3)], *two[int(rng.integers(0, 3)) :]], (j, k))
+    named = [(k, t.split()[-1]) for k, own in enumerate(TEMPLATES.values()) for t in own if t.startswith("SPDX")]
+    for _ in range(1200):  # expressions of identifiers
+        (j, one), (k, two) = named[rng.integers(len(named))], named[rng.integers(len(named))]
+        if j != k:
+            both = f"{one} {('OR', 'AND', 'or', '/')[rng.integers(4)]} {two}"
+            put(f"{('SPDX-License-Identifier:', 'License:')[rng.integers(2)]} {f'({both})' if rng.random() < 0.5 else both}".split(), (j, k))
     for line in prose:
         texts.append(" ".join(line))
         kinds.append(())
@@ -346,7 +429,7 @@ def train(docs: DataFrame, text: str = "text", seed: int = 2) -> Model:
     like = lambda f: (compare.has[compare.among(f)].sum(0) / compare.has.sum(0)).max()
     prose = [t.split() for t, f in zip(sampled, features(sampled), strict=True) if like(f) < 0.3]
     texts, kinds = examples(rng, prose)
-    known = np.unique(np.concatenate(features([t for own in TEMPLATES.values() for t in own])))
+    known = np.unique(np.concatenate(features([t for own in TEMPLATES.values() for t in own] + OTHERS + BESIDE)))
     sets = []
     for f in features(texts):
         at = np.minimum(np.searchsorted(known, f), len(known) - 1)
@@ -423,12 +506,12 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for k in some.tolist():
                 place = int(np.searchsorted(u.of, k, side="right")) - 1, int(u.paragraph[k])
                 mine = best.setdefault(place, {})
-                for family, share in shares(model.templates.among(h[order[start[k] : start[k + 1]]]), model.templates).items():
+                for family, share in shares(h[order[start[k] : start[k + 1]]], model.templates).items():
                     mine[family] = max(mine.get(family, share), share, key=lambda x: x[0])
                 for family in np.flatnonzero(likely[k]).tolist():
                     chances[*place, family] = max(chances.get((*place, family), 0.0), float(p[k, family]))
             for (doc, paragraph, family), chance in sorted(chances.items(), key=lambda x: (x[0][0], x[0][1], model.families[x[0][2]])):
-                fine, share = confirmed(family, best[doc, paragraph])
+                fine, share = confirmed(family, best[doc, paragraph], model.templates)
                 found[first + doc].append({"paragraph": paragraph, "family": model.families[family], "probability": chance, "similarity": share, "confirmed": fine})
         kind = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
         families = [sorted({f["family"] for f in own if f["confirmed"]}) for own in found]
