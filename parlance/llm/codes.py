@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep, small
+from .common import forget, keep, small, whole_number
 from .neighbours import matrix
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
@@ -71,7 +71,7 @@ class Cells:
 def scaled(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame, int]:
     """The kept table, its rows (vec_id, label, ints) that are cut alike, and the width of a part: see `compressed`."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), x.alias("x"))
+    rows = vectors.select(whole_number(vectors, key).alias("vec_id"), F.col(label).alias("label"), x.alias("x"))
     rows = rows.where(F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     limit = float(MOST)
     ints = F.transform("x", lambda v: F.floor(F.greatest(F.least(v * float(SCALE), F.lit(limit)), F.lit(-limit))).cast("int"))

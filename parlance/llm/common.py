@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,25 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
 
 
+def fresh(df: DataFrame, *names: str) -> SimpleNamespace:
+    """For each name a column name like it that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, SimpleNamespace()
+    for name in names:
+        own = f"__{name}"
+        while own in taken:
+            own += "_"
+        setattr(out, name, own)
+    return out
+
+
+def whole_number(df: DataFrame, key: str) -> Column:
+    """A key as a long. Keys that are not whole numbers are told by a 64-bit hash of their text; null stays null."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.LongType | T.IntegerType | T.ShortType | T.ByteType):
+        return F.col(f"`{key}`").cast("long")
+    return F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.col(f"`{key}`").cast("string")))
+
+
 def remainder(key: Column, of: int) -> Column:
     """crc32 of the key as text, modulo `of`; null keys count as -1, which belongs to no fold."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of, F.lit(-1))
@@ -135,13 +155,14 @@ def before(df: DataFrame, order: list[Column], sums: dict[str, Column], most: in
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """df, kept, with `name`: the numbers from 1 of the rows that share a key, for keys of any number of rows: rows are
     numbered within their partitions, after the key's rows in the partitions before."""
-    parted = keep(df.withColumn("__part", F.spark_partition_id()))
-    counted = parted.groupBy(key, "__part").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(F.col(key).alias("__its"), F.col("__part").alias("__where"), F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__start"))
-    turn = F.row_number().over(Window.partitionBy(key, "__part").orderBy(key))
-    met = parted.withColumn("__turn", turn).join(starts, (F.col(key) == F.col("__its")) & (F.col("__part") == F.col("__where")))
-    return keep(met.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__start") + F.col("__turn")).cast("long").alias(name)))
+    x = fresh(df, "part", "n", "its", "where", "start", "turn")
+    parted = keep(df.withColumn(x.part, F.spark_partition_id()))
+    counted = parted.groupBy(key, x.part).agg(F.count("*").alias(x.n))
+    earlier = Window.partitionBy(key).orderBy(x.part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(F.col(key).alias(x.its), F.col(x.part).alias(x.where), F.coalesce(F.sum(x.n).over(earlier), F.lit(0).cast("long")).alias(x.start))
+    turn = F.row_number().over(Window.partitionBy(key, x.part).orderBy(key))
+    met = parted.withColumn(x.turn, turn).join(starts, (F.col(key) == F.col(x.its)) & (F.col(x.part) == F.col(x.where)))
+    return keep(met.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(x.start) + F.col(x.turn)).cast("long").alias(name)))
 
 
 def sampled_labels(labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:
@@ -153,7 +174,7 @@ def sampled_labels(labels: DataFrame, label: str, fold: int, held: int, bound: i
     n = rows.select(F.count("*")).first()[0]
     share = 1.0 if n <= bound else 0.97 * bound / n
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return chosen.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).limit(bound)
+    return chosen.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(77)), "doc_id").limit(bound)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:

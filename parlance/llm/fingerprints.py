@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cuts
+from .common import cuts, whole_number
 from .words import Prefix, U
 
 WINDOW = 7
@@ -198,7 +198,7 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     a range, where they are sorted and read one after the other."""
     spark = docs.sparkSession
     # ascending order: the complement of the key, then the hash; nulls last
-    placed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    placed = docs.select(whole_number(docs, key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     placed = placed.withColumn("order", F.coalesce(F.bitwise_not("key"), F.lit((1 << 63) - 1)))
     many = docs.count()
     wanted = min(max(many // 200, SAMPLE[0]), SAMPLE[1])
@@ -227,7 +227,7 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     ranges = tops["range"].tolist()
     firsts = list(zip(ranges[-1:] + ranges[:-1], tops["order"].tolist(), tops["hash"].tolist(), strict=True))
     first = spark.createDataFrame(firsts, "before int, t_order long, t_hash long")
-    met = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("order", F.coalesce(F.bitwise_not("key"), F.lit((1 << 63) - 1)))
+    met = docs.select(whole_number(docs, key).alias("key"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("order", F.coalesce(F.bitwise_not("key"), F.lit((1 << 63) - 1)))
     met = met.join(F.broadcast(first), (F.col("order") == F.col("t_order")) & (F.col("hash") == F.col("t_hash")))
     echoes = met.groupBy(F.col("before").alias("range"), "order", "hash").agg(F.first("key").alias("key"), F.first("text").alias("text"))
     every = placed.withColumn("echo", F.lit(0)).unionByName(echoes.withColumn("echo", F.lit(1)))

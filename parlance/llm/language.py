@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, keep, remainder, small, strings
+from .common import append, keep, remainder, small
+from .words import slices
 
 DIMS = 4096
 CENTROIDS = 3
@@ -60,11 +61,11 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def parts(column: pa.Array, rows: int = 256):
-    """(first row, bytes, offsets) of up to `rows` texts at a time."""
-    data, off = strings(column)
-    for i in range(0, len(off) - 1, rows):
-        j = min(i + rows, len(off) - 1)
-        yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
+    """(first row, bytes, offsets) of up to `rows` texts, and about a megabyte of text, at a time; one text at least."""
+    for first, data, off in slices(column):
+        for i in range(0, len(off) - 1, rows):
+            j = min(i + rows, len(off) - 1)
+            yield first + i, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:

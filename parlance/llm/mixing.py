@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before, keep, numbered, small
+from .common import before, fresh, keep, numbered, small, whole_number
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -109,15 +109,16 @@ def drawn(rows: DataFrame) -> DataFrame:
     return ready.withColumn("copies", copies).withColumn("taken", copies * F.col("size")).drop("g", "rate", "whole", "part", "ratio", "slice", "its", "edge", "last_ratio", "last_draw")
 
 
-def told(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with __draw, a string that no other row has: key, hash of the text, and a number where rows repeat both."""
-    own = F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    named = docs.withColumn("__own", own)
-    twice = keep(named.groupBy("__own").agg(F.count("*").alias("__n")).where("__n > 1").select("__own"))
-    rows = named.withColumn("__turn", F.lit(1).cast("long"))
+def told(docs: DataFrame, key: str, text: str, draw: str) -> DataFrame:
+    """docs with `draw`, a string that no other row has: key, hash of the text, and a number where rows repeat both."""
+    x = fresh(docs, "own", "n", "turn")
+    own = F.concat_ws("|", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    named = docs.withColumn(x.own, own)
+    twice = keep(named.groupBy(x.own).agg(F.count("*").alias(x.n)).where(F.col(x.n) > 1).select(x.own))
+    rows = named.withColumn(x.turn, F.lit(1).cast("long"))
     if not twice.isEmpty():
-        rows = named.join(twice, "__own", "left_anti").withColumn("__turn", F.lit(1).cast("long")).unionByName(numbered(named.join(twice, "__own", "left_semi"), "__own", "__turn"))
-    return rows.withColumn("__draw", F.concat_ws("|", "__own", "__turn")).drop("__own", "__turn")
+        rows = named.join(twice, x.own, "left_anti").withColumn(x.turn, F.lit(1).cast("long")).unionByName(numbered(named.join(twice, x.own, "left_semi"), x.own, x.turn))
+    return rows.withColumn(draw, F.concat_ws("|", x.own, x.turn)).drop(x.own, x.turn)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -126,18 +127,19 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     Null text has size 0 and is never taken; a null source is a source of its own. Rows may share a key, or have none:
     each row draws for itself, also where rows repeat key and text. Texts of any length are counted whole. Reruns agree on
     all columns. No rows give no rows."""
-    rows = told(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__text")), "doc_id", "__text")
-    return drawn(keep(rows.select("doc_id", "source", F.col("__draw").alias("draw"), words(F.col("__text")).alias("size")))).drop("draw")
+    rows = told(docs.select(whole_number(docs, key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")), "doc_id", "text", "draw")
+    return drawn(keep(rows.select("doc_id", "source", "draw", words(F.col("text")).alias("size")))).drop("draw")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: each row of docs as many times as `mixed` takes it, with all its columns. Of rows that repeat key
     and text but differ otherwise, which one is taken more often is not fixed."""
-    rows = told(docs, key, text)
-    sized = keep(rows.select(F.col(source).cast("string").alias("source"), F.col("__draw").alias("draw"), words(F.col(text)).alias("size")))
-    taken = drawn(sized).where("copies > 0").select(F.col("draw").alias("__taken"), F.col("copies").alias("__copies"))
-    met = rows.join(taken, F.col("__draw") == F.col("__taken"))
-    return met.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    x = fresh(docs, "draw", "taken", "copies", "turn")
+    rows = told(docs, key, text, x.draw)
+    sized = keep(rows.select(F.col(source).cast("string").alias("source"), F.col(x.draw).alias("draw"), words(F.col(text)).alias("size")))
+    taken = drawn(sized).where("copies > 0").select(F.col("draw").alias(x.taken), F.col("copies").alias(x.copies))
+    met = rows.join(taken, F.col(x.draw) == F.col(x.taken))
+    return met.withColumn(x.turn, F.explode(F.sequence(F.lit(1), F.col(x.copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, keep
+from .common import forget, fresh, keep, whole_number
 from .components import components
 from .words import U, mix, scan, shingles, slices
 
 #: Bands and rows a band. At a likeness of 0.8 a pair misses every bucket with a chance of 5e-8.
 BANDS, ROWS = 32, 4
-#: Nodes a side that one task compares at once.
-BLOCK = 1000
+#: Nodes a side that one task compares at once, and shingles (of 4 bytes) that these have together; a greater set is alone.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Up to so many places of wanted texts (24 bytes each) go to all tasks that read the texts; beyond, texts are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -78,7 +78,7 @@ def bands(sketches: np.ndarray, many: int, rows: int) -> np.ndarray:
 
 def place(docs: DataFrame, key: str, text: str) -> Column:
     """What tells a row: its key, or a hash of its text where the key is null."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))
+    return F.coalesce(whole_number(docs, key), F.xxhash64(F.col(f"`{text}`")))
 
 
 def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -101,7 +101,7 @@ def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), here.column(2), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))], names=schema.names)
 
     schema = T.StructType.fromDDL("doc_id long, place long, hash long, n_shingles long, node binary, buckets array<long>")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), place(docs, key, text).alias("place"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(whole_number(docs, key).alias("doc_id"), place(docs, key, text).alias("place"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -143,15 +143,18 @@ def untested(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes with different labels in one bucket of left (bucket, node, label) whose sets are likely to be
     alike enough; of a node and a label one pair is enough.
 
-    Nodes outside a bucket's most frequent label meet all its nodes. A bucket is dealt to groups of BLOCK such nodes by
-    BLOCK of all, so that no group outgrows a task; a group compares its sets, cut to 32 bits a shingle, at once and gives
-    only what passes, so rows grow with the members of buckets, not with their pairs."""
-    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    Nodes outside a bucket's most frequent label meet all its nodes. A bucket is dealt to groups of about BLOCK such nodes by
+    BLOCK of all, or fewer where their sets are large (BLOCK_SHINGLES a side), so that no group outgrows a task; a group
+    compares its sets, cut to 32 bits a shingle, at once and gives only what passes, so rows grow with the members of
+    buckets, not with their pairs."""
+    left = left.join(full.select("node", F.size("set").cast("long").alias("n")), "node")
+    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     # kept before the join, so that Spark may split the join's partition of a large bucket
-    counted = keep(sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("many")))
-    marked = left.join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
-    minors = F.ceil((F.col("many") - F.col("most.size")) / BLOCK).cast("int")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    counted = keep(sizes.groupBy("bucket").agg(F.max(F.struct("size", "label", "n")).alias("most"), F.sum("size").alias("many"), F.sum("n").alias("all")))
+    marked = left.drop("n").join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
+    part = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    minors = part(F.col("many") - F.col("most.size"), F.col("all") - F.col("most.n"))
+    blocks = part(F.col("many"), F.col("all"))
     at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     right = F.transform(upto(minors), lambda i: F.struct(i.alias("i"), at(blocks, 1).alias("j"), F.lit(False).alias("left")))
@@ -239,9 +242,10 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     with all its columns. Rows that repeat a key with the same text count once, those that repeat it with another text
     are rows of their own; texts without words all stay."""
     found = grouped(docs, k, percent, key, text).where((F.col("place") == F.col("keeper.place")) & (F.col("hash") == F.col("keeper.hash")))
-    told = ["__place", "__hash"]
-    kept = keep(found.groupBy(F.col("place").alias("__place"), F.col("hash").alias("__hash")).agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")))
-    marked = docs.withColumn("__place", place(docs, key, text)).withColumn("__hash", F.xxhash64(F.col(text))).join(kept.select(*told), told, "left_semi")
+    x = fresh(docs, "place", "hash")
+    told = [x.place, x.hash]
+    kept = keep(found.groupBy(F.col("place").alias(x.place), F.col("hash").alias(x.hash)).agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")))
+    marked = docs.withColumn(x.place, place(docs, key, text)).withColumn(x.hash, F.xxhash64(F.col(f"`{text}`"))).join(kept.select(*told), told, "left_semi")
     twice = keep(kept.where("n > 1 and words > 0").select(*told))
     if not twice.isEmpty():  # rows that repeat key and text: the first that partial aggregation meets
         marked = marked.join(twice, told, "left_anti").unionByName(marked.join(twice, told, "left_semi").dropDuplicates(told))

@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import keep, whole_number
 
 BOOKS, WORDS, BEAM = 48, 32, 4
 SAMPLE = 8192
 #: Standard deviations of the error of a looked-up score that are allowed for. At 2 some 100 rows a query are reranked on
 #: 51,000 vectors of 64 dimensions; at 2.5, 145.
 DOUBT = 2.0
-QUERY_BLOCK, INDEX_BLOCK = 512, 65536
+QUERY_BLOCK, INDEX_BLOCK = 4096, 16384
 EVERY, NEAREST = 20, 20
 
 
@@ -93,8 +93,10 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     kind = vectors.schema[vector].dataType.elementType
     v = F.col(vector) if isinstance(kind, T.FloatType | T.DoubleType) else F.col(vector).cast("array<double>")
     fine = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(fine)
-    rows = keep(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    rows = vectors.select(whole_number(vectors, key).alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(fine)
+    rows = keep(rows)
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():  # vectors are only shuffled where keys repeat
+        rows = keep(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")))
     top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("vec") == (top["d"] if top else 0))
 
@@ -108,7 +110,7 @@ def indexed(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     number of rows."""
     n = rows.count()
     share = 1.0 if n <= SAMPLE else SAMPLE / n
-    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).toPandas()
+    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < max(1, int(1.2 * share * 1_000_000))).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
     some = some.sort_values("vec_id")
     if not len(some):
         some = rows.limit(SAMPLE).toPandas()

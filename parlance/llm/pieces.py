@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append
+from .common import append, fresh
 from .words import Prefix, U, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -300,7 +300,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
         return [tokens, pa.array(many.astype(np.int32)), pa.array(fine)]
 
     own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit(1))).otherwise(F.xxhash64(F.col(key)))
-    return append(docs.withColumn("__draw", own), ["__draw", text], FIELDS, make).drop("__draw")
+    x = fresh(docs, "draw")
+    return append(docs.withColumn(x.draw, own), [x.draw, text], FIELDS, make).drop(x.draw)
 
 
 def decode(tokens: DataFrame, vocab: Vocabulary, column: str = "tokens") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, forget, keep, without
+from .common import append, forget, fresh, keep, whole_number, without
 from .words import Prefix, U, Words, mix, scan, shingles, slices
 
 RUN = 3
@@ -44,12 +44,12 @@ def least_of_window(values: np.ndarray, part: np.ndarray, width: int) -> np.ndar
     return picked
 
 
-def sentences(w: Words) -> Sentences:
+def sentences(w: Words, longest: int = LONG_SENTENCE) -> Sentences:
     """A sentence ends with a word that ends in . ! ? (and a closing mark, or one of four marks of other scripts), at a
     line break and at the end of the text.
 
-    Text without marks, and sentences of more than LONG_SENTENCE words, are cut by their content: every word that has the
-    least hash of some LONG_SENTENCE consecutive words of the sentence ends a piece, which then counts as a sentence. Equal
+    Text without marks, and sentences of more than `longest` words, are cut by their content: every word that has the
+    least hash of some `longest` consecutive words of the sentence ends a piece, which then counts as a sentence. Equal
     sentences are cut alike, and so are equal passages but for the words at their ends; no piece is longer."""
     n = len(w.start)
     if not n:
@@ -67,7 +67,7 @@ def sentences(w: Words) -> Sentences:
     last = np.flatnonzero(stop) + 1
     many = np.diff(np.concatenate([[0], last]))
     number = np.repeat(np.arange(len(last)), many)
-    stop |= np.repeat(many > LONG_SENTENCE, many) & least_of_window(w.hash, number, LONG_SENTENCE)
+    stop |= np.repeat(many > longest, many) & least_of_window(w.hash, number, longest)
     last = np.flatnonzero(stop) + 1
     first = np.concatenate([[0], last[:-1]])
     return Sentences(first, last, np.searchsorted(first, w.of))
@@ -82,30 +82,25 @@ def span_hashes(w: Words, s: Sentences, run: int) -> tuple[np.ndarray, np.ndarra
     return one, two, of
 
 
-def named(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with __key and __hash, which tell a text: its key (may be null) and a hash of it."""
-    return docs.withColumn("__key", F.col(key).cast("long")).withColumn("__hash", F.xxhash64(F.col(text)))
-
-
-def all_spans(docs: DataFrame, run: int, text: str) -> DataFrame:
-    """(span, check, key, hash, pos): every span of every text; span and check are two hashes of its words."""
+def all_spans(texts: DataFrame, run: int, longest: int) -> DataFrame:
+    """(span, check, key, hash, pos): every span of every text (key, hash, text); span and check are two hashes of its words."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, off in slices(batch.column(2)):
                 w = scan(data, off, first)
-                one, two, of = span_hashes(w, sentences(w), run)
+                one, two, of = span_hashes(w, sentences(w, longest), run)
                 rows = np.repeat(np.arange(first, first + len(off) - 1), np.diff(of))
                 at = pa.array(rows)
                 pos = np.arange(len(one)) - of[rows - first]
                 cols = [pa.array(one.view(np.int64)), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["span", "check", "key", "hash", "pos"])
 
-    return docs.select("__key", "__hash", text).mapInArrow(found, "span long, check int, key long, hash long, pos int")
+    return texts.select("key", "hash", "text").mapInArrow(found, "span long, check int, key long, hash long, pos int")
 
 
 def repeated(spans: DataFrame) -> DataFrame:
-    """(key, hash, later): for each text the numbers of its spans that are not the first of their kind. The first is the
+    """(key, hash, later), kept: for each text the numbers of its spans that are not the first of their kind. The first is the
     one with the least key (null keys come last), then the least hash of its text, then the least place in it."""
     kind = ["span", "check"]
     # the sums are kept before they are joined, so that Spark may split the join's partition of a very frequent span
@@ -114,16 +109,18 @@ def repeated(spans: DataFrame) -> DataFrame:
     forget(many)
     start = keep(hits.where(F.col("key").eqNullSafe(F.col("least"))).groupBy(*kind).agg(F.min(F.struct("hash", "pos")).alias("first")))
     is_first = F.col("key").eqNullSafe(F.col("least")) & (F.struct("hash", "pos") == F.col("first"))
-    return hits.join(start, kind).where(~is_first).groupBy("key", "hash").agg(F.collect_set("pos").alias("later"))
+    found = keep(hits.join(start, kind).where(~is_first).groupBy("key", "hash").agg(F.collect_set("pos").alias("later")))
+    forget(hits, start)
+    return found
 
 
-def cut(text: str, later: list[int] | None, run: int) -> tuple[str, int]:
+def cut(text: str, later: list[int] | None, run: int, longest: int = LONG_SENTENCE) -> tuple[str, int]:
     """A text without the sentences that the given spans cover (None: all), and the words that went. A removed stretch
     takes the white space after it along, but leaves a line break that parts lines."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     w = scan(data, np.array([0, len(data)]))
-    s = sentences(w)
+    s = sentences(w, longest)
     gone = np.zeros(len(s.first) + 1, np.int64)
     for p in [0] if later is None else later:
         gone[p] += 1
@@ -144,28 +141,34 @@ def cut(text: str, later: list[int] | None, run: int) -> tuple[str, int]:
     return b"".join(kept).decode(), words
 
 
-def deduplicated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", count: str = "removed_words") -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", count: str = "removed_words", longest: int = LONG_SENTENCE) -> DataFrame:
     """docs with repeated passages cut out of text, and removed_words long (or what `count` names it).
 
+    Sentences of up to `longest` words count whole, longer ones by pieces. The default makes any passage of 51 words hold a
+    span, whatever its sentences; with 50, sentences of up to 50 words are only removed whole, and a passage is found if it
+    holds three of them. A text of fewer than `run` sentences is one span.
+
     A sentence goes if a span of `run` consecutive sentences that covers it occurred before, however short it is. Word case
     (A-Z) and white space make no difference. The first occurrence stays whole; among texts with keys it is in the one with
     the least key, and texts without a key come after all others. Rows may share a key: texts are told apart by key and
     text, and of rows that are equal in both one keeps what is first of its kind while the others are emptied. Null, empty
     and blank texts stay as they are, with 0. Texts of any length are taken whole. Other columns stay as they are, but one
     named like `count` is replaced. No rows give no rows."""
-    base = named(without(docs, count), key, text)
-    spans = keep(all_spans(base, run, text))
-    marks = repeated(spans).select(F.col("key").alias("__k"), F.col("hash").alias("__h"), F.col("later").alias("__later"))
-    base = base.withColumn("__extra", F.lit(False))
-    twice = keep(spans.where("pos = 0").groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__k"), F.col("hash").alias("__h")))
+    base, number = without(docs, count), whole_number(docs, key)
+    x = fresh(docs, "key", "hash", "k", "h", "later", "extra", "row", "one", "text")
+    spans = keep(all_spans(base.select(number.alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text")), run, longest))
+    base = base.withColumn(x.key, number).withColumn(x.hash, F.xxhash64(F.col(f"`{text}`")))
+    marks = repeated(spans).select(F.col("key").alias(x.k), F.col("hash").alias(x.h), F.col("later").alias(x.later))
+    base = base.withColumn(x.extra, F.lit(False))
+    twice = keep(spans.where("pos = 0").groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias(x.k), F.col("hash").alias(x.h)))
     forget(spans)
-    same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h"))
+    same = F.col(x.key).eqNullSafe(F.col(x.k)) & (F.col(x.hash) == F.col(x.h))
     if not twice.isEmpty():
-        rows = keep(base.join(twice, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()))
-        ones = rows.groupBy(F.col("__key").alias("__k"), F.col("__hash").alias("__h")).agg(F.min("__row").alias("__one"))
-        told = rows.join(ones, same).withColumn("__extra", F.col("__row") != F.col("__one"))
+        rows = keep(base.join(twice, same, "left_semi").withColumn(x.row, F.monotonically_increasing_id()))
+        ones = rows.groupBy(F.col(x.key).alias(x.k), F.col(x.hash).alias(x.h)).agg(F.min(x.row).alias(x.one))
+        told = rows.join(ones, same).withColumn(x.extra, F.col(x.row) != F.col(x.one))
         base = base.join(twice, same, "left_anti").unionByName(told.select(*base.columns))
-    met = base.join(marks, same, "left").drop("__key", "__hash", "__k", "__h")
+    met = base.join(marks, same, "left").drop(x.key, x.hash, x.k, x.h)
 
     def make(texts: pa.Array, later: pa.Array, extra: pa.Array) -> list[pa.Array]:
         emptied = extra.to_numpy(zero_copy_only=False)
@@ -174,11 +177,11 @@ def deduplicated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str
             return [texts, pa.array(np.zeros(len(texts), np.int64))]
         out, words = texts.to_pylist(), np.zeros(len(texts), np.int64)
         for i in np.flatnonzero(marked).tolist():
-            out[i], words[i] = cut(out[i], None if emptied[i] else later[i].as_py(), run)
+            out[i], words[i] = cut(out[i], None if emptied[i] else later[i].as_py(), run, longest)
         return [pa.array(out, texts.type), pa.array(words)]
 
-    made = append(met, [text, "__later", "__extra"], [T.StructField("__text", T.StringType()), T.StructField(count, T.LongType())], make)
-    return made.select(*(F.col("__text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in without(docs, count).columns), f"`{count}`")
+    made = append(met, [text, x.later, x.extra], [T.StructField(x.text, T.StringType()), T.StructField(count, T.LongType())], make)
+    return made.select(*(F.col(x.text).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in without(docs, count).columns), f"`{count}`")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

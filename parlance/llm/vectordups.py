@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import smallworld
-from .common import forget, keep, small
+from .common import forget, keep, small, whole_number
 from .components import components
 from .neighbours import matrix
 from .words import U, mix
@@ -130,7 +130,7 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(vec_id, label, vec, one, two): one and two are hashes that tell a vector, null where it takes no part."""
     kind = vectors.schema[vector].dataType.elementType
     v = F.col(vector) if isinstance(kind, T.FloatType | T.DoubleType) else F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("vec"))
+    rows = vectors.select(whole_number(vectors, key).alias("vec_id"), F.col(label).alias("label"), v.alias("vec"))
     fine = F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
     return rows.select("vec_id", "label", "vec", F.when(fine, F.xxhash64("vec")).alias("one"), F.when(fine, F.xxhash64(F.lit(29), "vec")).alias("two"))
 

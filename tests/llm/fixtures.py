@@ -30,6 +30,17 @@ def awkward():
     return rows
 
 
+#: Names that operators have used within themselves.
+INNER = "__key __hash __k __later __own __draw __text __place __score __turn __removed __part __n row key hash draw text_ out".split()
+
+
+def clashing(df):
+    """df with columns named like those that operators use within, each with a value of its own."""
+    for name in INNER:
+        df = df.withColumn(name, F.concat(F.lit(name), F.lit("=mine")))
+    return df
+
+
 def docs(spark, rows=None):
     rows = awkward() if rows is None else rows
     df = spark.createDataFrame([(i, t, a, s, None if t is None else len(t)) for i, t, a, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
