@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import mixing, neardup, pieces, quality, spans
-from parlance.llm.common import keep, table
+from parlance.llm.common import forget, fresh, keep, table
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, trained on the labels, scores 0.5 or more. Null and empty texts have one
     score and stay or go together; equal texts too."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, names=("__score", "__predicted")).where(F.col("__predicted") == 1).select(*docs.columns)
+    x = fresh(docs, "score", "predicted")
+    return quality.score(docs, model, names=(x.score, x.predicted)).where(F.col(x.predicted) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +31,10 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents without passages that an earlier document or place has; n_chars follows the text. A document that is
     left without text stays as a row: the mix never takes it. Null and empty texts stay as they are; of rows that repeat key
     and text one stays whole."""
-    cut = spans.deduplicated(docs, count="__removed")
+    cut = spans.deduplicated(docs, count=fresh(docs, "removed").removed)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = keep(docs)
+            if last is not None:
+                forget(last)
+            last = docs
     return docs
