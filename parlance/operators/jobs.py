@@ -75,7 +75,11 @@ def parsed_frames(chunks: DataFrame, by: str = "seq") -> DataFrame:
     """(stream_id, frame_idx, event, data) from text chunks (stream_id, seq, chunk) cut anywhere: comments are skipped,
     several data lines are joined by line breaks, frames without event or data are dropped."""
     whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "chunk"))), lambda p: p["chunk"]), "").alias("t"))
-    frames = whole.select("stream_id", F.posexplode(F.split("t", "\n\n")).alias("frame_idx", "raw"))
+    return parsed_raw(whole.select("stream_id", F.posexplode(F.split("t", "\n\n")).alias("frame_idx", "raw")))
+
+
+def parsed_raw(frames: DataFrame) -> DataFrame:
+    """(stream_id, frame_idx, event, data) of whole frames (stream_id, frame_idx, raw), also of a stream of them."""
     lines = F.split("raw", "\n")
     pick = lambda key: F.transform(F.filter(lines, lambda x: x.startswith(key + ":")), lambda x: F.trim(F.substr(x, F.lit(len(key) + 2))))
     made = frames.select("stream_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.try_element_at(pick("event"), F.lit(-1)).alias("event"), pick("data").alias("lines"))

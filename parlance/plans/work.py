@@ -14,6 +14,7 @@ from parlance.plans.speech import timed, with_timed
 from parlance.sources import derived as D
 from parlance.sources import folders
 from parlance.streaming import events as S
+from parlance.streaming import subscriptions as U
 
 C = F.col
 
@@ -143,10 +144,16 @@ FRAMES = """SELECT job_id, seq, 'event: ' || event || chr(10) || 'data: {"job_id
 
 
 def parsed(spark, sf) -> DataFrame:
-    """Frames joined to one stream a job, cut anywhere, and parsed again."""
-    cut = frames(spark, sf).withColumn("parts", F.array(F.substring("frame", 1, 9), F.substr("frame", F.lit(10))))
-    chunks = cut.select(C("job_id").alias("stream_id"), "seq", F.posexplode("parts").alias("k", "chunk")).withColumn("seq", F.struct("seq", "k"))
-    return J.known_events(J.parsed_frames(chunks)).select("stream_id", "frame_idx", "event", F.get_json_object("data", "$.job_id").alias("job"))
+    """Frames of each job as one stream of bytes, cut amid every frame: a chunk has the end of one frame and the beginning of
+    the next. The chunks come in four micro-batches, not in their order, and the frames are put together and parsed."""
+    by = Window.partitionBy("job_id").orderBy("seq")
+    before, after = F.coalesce(F.substr(F.lag("frame").over(by), F.lit(10)), F.lit("")), F.when(F.lead("seq").over(by).isNull(), F.substr("frame", F.lit(10))).otherwise("")
+    chunks = frames(spark, sf).select(C("job_id").alias("stream_id"), "seq", F.concat(before, F.substring("frame", 1, 9), after).alias("chunk"))
+    at = folders.new(spark, "stream")
+    log = in_parts(spark, chunks, f"{at}/log", "pmod(seq * 7, 4)")
+    S.fan_out(U.frames(log), {"raw": f"{at}/raw"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    whole = J.parsed_raw(spark.read.schema(U.RAW).parquet(f"{at}/raw"))
+    return J.known_events(whole).select("stream_id", "frame_idx", "event", F.get_json_object("data", "$.job_id").alias("job"))
 
 
 def written(spark, sf, kind: str) -> DataFrame:
@@ -221,16 +228,42 @@ def submissions(spark, sf) -> DataFrame:
 
 
 def undeleted(spark, sf) -> DataFrame:
-    gone = D.jobs(spark, sf).where("status = 'cancelled'")
-    return S.undeleted(D.job_events(spark, sf), gone).groupBy("owner_id").agg(F.count("*").alias("events"))
-
-
-def event_log(spark, sf, at: str) -> DataFrame:
-    """The job events, appended to a log in four parts in the order of seq, and read as a stream, a file a micro-batch."""
+    """Events of jobs in four parts, between the second and the third of which cancelled jobs are deleted while they run: what
+    is left of each owner's events once the jobs that were closed are gone, and how many were closed."""
+    at = folders.new(spark, "stream")
+    gone = D.jobs(spark, sf).where("status = 'cancelled'").select("owner_id", "job_id")
     log = folders.keep(D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long")))
+    gone.limit(0).write.parquet(f"{at}/gone")
     for part in range(4):
-        log.where(F.least(F.floor(C("seq") / 3), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{at}/log")
-    return S.read(spark, f"{at}/log", log.schema, files_a_batch=1)
+        log.where(f"{PART} = {part}").write.mode("append").parquet(f"{at}/log")
+        if part == 2:
+            gone.write.mode("append").parquet(f"{at}/gone")
+        events, tombstones = S.read(spark, f"{at}/log", log.schema, ALL), S.read(spark, f"{at}/gone", gone.schema, ALL)
+        S.fan_out(U.undeleted(events, tombstones, forget_ms=None), {"out": f"{at}/out"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    each = spark.read.schema(U.PASSED).parquet(f"{at}/out").groupBy("owner_id", "job_id").agg(F.count_if(C("event") != U.DELETED).alias("events"), F.count_if(C("event") == U.DELETED).alias("deleted"), F.count_if((C("event") != U.DELETED) & (C("seq") >= 6)).alias("late"))
+    # of a deleted job nothing may have passed after its tombstone
+    left = F.when(C("deleted") == 0, C("events")).otherwise(0)
+    return each.groupBy("owner_id").agg(F.sum(left).alias("events"), F.sum("deleted").alias("deleted"), F.sum(F.when(C("deleted") > 0, C("late")).otherwise(0)).alias("unseen"))
+
+
+#: Files of a folder that one run of a stream takes, and the part of the log that an event is in.
+ALL = 1_000_000
+PART = "least(floor(seq / 3), 3)"
+
+
+def in_parts(spark, rows: DataFrame, at: str, part: str) -> DataFrame:
+    """rows, appended to a log in four parts, and read as a stream, a part a micro-batch or so; each part has as many files
+    as it has tasks."""
+    rows = folders.keep(rows)
+    for k in range(4):
+        rows.where(f"{part} = {k}").write.mode("append").parquet(at)
+    files = max(1, len(spark.read.schema(rows.schema).parquet(at).inputFiles()) // 4)
+    return S.read(spark, at, rows.schema, files_a_batch=files)
+
+
+def event_log(spark, sf, at: str, part: str = PART) -> DataFrame:
+    """The job events as a stream in four parts, in the order of seq unless `part` says otherwise."""
+    return in_parts(spark, D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long")), f"{at}/log", part)
 
 
 def history(spark, sf) -> DataFrame:
@@ -241,16 +274,28 @@ def history(spark, sf) -> DataFrame:
 
 
 def job_stream(spark, sf) -> DataFrame:
-    """What a subscriber of each job gets: its events in order, each once although all come twice, up to the one that ends it."""
+    """What a subscriber of each job gets: its events in order, each once, up to the one that ends it, although all come
+    twice and many come late."""
     at = folders.new(spark, "stream")
-    log = event_log(spark, sf, at)
-    S.fan_out(S.tail(log.unionByName(log)), {"frames": f"{at}/frames"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    log = event_log(spark, sf, at, "pmod(seq * 7, 4)")
+    S.fan_out(U.tail(log.unionByName(log), idle_ms=None), {"frames": f"{at}/frames"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(S.FRAMES).parquet(f"{at}/frames").select("job_id", "seq", "event", "closes")
 
 
 def owner_stream(spark, sf) -> DataFrame:
-    """What a subscriber of each owner gets first: the history of all jobs, the oldest job first; ended jobs do not end it."""
-    return S.replay(history(spark, sf)).select("owner_id", "place", "job_id", "event")
+    """What a subscriber of each owner gets who connects after the second of four parts of the log: the history, the oldest job
+    first, then live what comes, within a part by time. The stream is stopped after each part and starts again."""
+    at = folders.new(spark, "stream")
+    log = folders.keep(D.job_events(spark, sf).withColumn("stage_index", C("stage_index").cast("long")))
+    owners = log.groupBy("owner_id").agg(F.max("ts").alias("ts"))
+    owners.limit(0).write.parquet(f"{at}/connections")
+    for part in range(4):
+        log.where(f"{PART} = {part}").write.mode("append").parquet(f"{at}/log")
+        if part == 1:
+            owners.write.mode("append").parquet(f"{at}/connections")
+        events, connections = S.read(spark, f"{at}/log", log.schema, ALL), S.read(spark, f"{at}/connections", owners.schema, ALL)
+        S.fan_out(U.owner_tail(events, connections), {"out": f"{at}/out"}, f"{at}/state", "append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(U.OWNED).parquet(f"{at}/out").select("owner_id", "place", "job_id", "event", "live")
 
 
 def streamed(spark, sf) -> DataFrame:
@@ -280,7 +325,8 @@ def fanned(spark, sf) -> DataFrame:
 def once(spark, sf) -> DataFrame:
     """One terminal event a job from a stream in which every event comes twice, as after a reconnect."""
     at = folders.new(spark, "stream")
-    log = event_log(spark, sf, at)
+    events = folders.keep(D.job_events(spark, sf))
+    log = S.read(spark, folders.path_of(events), events.schema, ALL)
     ended = S.first_terminal(log.unionByName(log)).select("job_id", "event")
     ended.writeStream.outputMode("append").format("parquet").option("path", f"{at}/once").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("job_id long, event string").parquet(f"{at}/once")
@@ -320,11 +366,14 @@ QUERIES = {
     "st_event_parse": (lambda s, d: parsed(s, d).groupBy("event").agg(F.count("*").alias("n")), EVENTS("SELECT event, count(*) AS n FROM job_events GROUP BY event")),
     "st_event_log": (lambda s, d: history(s, d).groupBy("owner_id", "job_id").agg(F.count("*").alias("events"), F.max("seq").alias("last")), EVENTS("SELECT owner_id, job_id, count(*) AS events, max(seq) AS last FROM job_events GROUP BY ALL")),
     "st_job_stream": (job_stream, EVENTS("SELECT job_id, seq, event, event IN ('job_completed', 'job_failed') AS closes FROM job_events")),
-    "st_owner_stream": (owner_stream, EVENTS("SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY created, job_id, seq) AS place, job_id, event FROM (SELECT *, min(ts) OVER (PARTITION BY job_id) AS created FROM job_events)")),
+    "st_owner_stream": (owner_stream, EVENTS("""SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY step, CASE WHEN step = 1 THEN created ELSE ts END, job_id, seq) AS place, job_id, event, step > 1 AS live
+      FROM (SELECT *, greatest(1, least(seq // 3, 3)) AS step, min(ts) OVER (PARTITION BY owner_id, job_id) AS created FROM job_events)""")),
+    "st_owner_replay": (lambda s, d: S.replay(history(s, d)).select("owner_id", "place", "job_id", "event"), EVENTS("SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY created, job_id, seq) AS place, job_id, event FROM (SELECT *, min(ts) OVER (PARTITION BY job_id) AS created FROM job_events)")),
     "st_progress_fold": (folded, with_folded("SELECT * FROM folded")),
     "st_progress_state": (streamed, with_folded("SELECT * FROM folded")),
     "st_replay": (LOG(lambda e: J.fold(e.unionByName(e))), with_folded("SELECT * FROM folded")),
-    "st_delete": (undeleted, JOBS("SELECT owner_id, count(*) AS events FROM job_events JOIN jobs USING (owner_id, job_id) WHERE status <> 'cancelled' GROUP BY owner_id")),
+    "st_delete": (undeleted, JOBS("""SELECT owner_id, count_if(status <> 'cancelled')::BIGINT AS events, count(DISTINCT CASE WHEN status = 'cancelled' THEN job_id END) AS deleted, 0::BIGINT AS unseen
+      FROM job_events JOIN jobs USING (owner_id, job_id) GROUP BY owner_id""")),
     "flt_owner": (LIST(lambda j: j.where("owner_id = 7").select("job_id", "status")), JOBS("SELECT job_id, status FROM jobs WHERE owner_id = 7")),
     "flt_completed": (LIST(lambda j: j.where("status = 'completed'").select("owner_id", "job_id")), JOBS("SELECT owner_id, job_id FROM jobs WHERE status = 'completed'")),
     "prj_list_item": (LIST(lambda j: j.select("job_id", "status", "file_name")), JOBS("SELECT job_id, status, file_name FROM jobs")),

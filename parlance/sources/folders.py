@@ -48,7 +48,14 @@ def keep(df: DataFrame) -> DataFrame:
     more than a read."""
     path = new(df.sparkSession, "kept")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def path_of(kept: DataFrame) -> str:
+    """Where `keep` wrote a table."""
+    return kept.kept_at
 
 
 def move(spark: SparkSession, source: str, target: str, force: bool) -> None:

@@ -64,23 +64,6 @@ def _keyed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame([(*key, *now[:5], now[5] >= 0 and not ended)], columns=["owner_id", "job_id", "status", "stage_index", "stage", "progress", "seq", "ends"])
 
 
-def _tailed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, closed = tuple(state.get) if state.exists else (-1, False)
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq").drop_duplicates("seq")
-    rows = rows[rows["seq"] > seq] if not closed else rows.iloc[:0]
-    closes = ~rows["event"].str.startswith("stage_")
-    rows, closes = rows[closes.cumsum().shift(fill_value=0) == 0], closes[closes.cumsum().shift(fill_value=0) == 0]
-    if len(rows):
-        state.update((int(rows["seq"].max()), bool(closes.any())))
-    yield rows.assign(owner_id=key[0], job_id=key[1], closes=closes)[["owner_id", "job_id", "seq", "event", "stage_index", "closes"]]
-
-
-def tail(events: DataFrame) -> DataFrame:
-    """A stream of each job's events as a subscriber gets them: in order of seq within and between batches, each once, up to
-    the one that ends the job; what arrives after it, or again, is left out."""
-    return known(events).groupBy("owner_id", "job_id").applyInPandasWithState(_tailed, FRAMES, "seq long, closed boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def replay(history: DataFrame) -> DataFrame:
     """history (a job's first ts tells its age) with place: where an event comes when an owner connects, the jobs one after
     the other, the oldest first. An owner's places are numbered in one task, as one connection gets them."""

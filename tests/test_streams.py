@@ -43,16 +43,6 @@ def test_late_and_repeated_events_fold_like_the_batch(spark, tmp_path):
     assert sorted(x["job_id"] for x in spark.read.parquet(f"{tmp_path}/terminal").collect()) == [1, 2, 4]
 
 
-def test_a_subscriber_gets_each_event_once_up_to_the_end(spark, tmp_path):
-    one, two = job(1, 1), job(1, 2, None)
-    after = [(1, 1, 11, one[0][3], "stage_started", 0, 0.0)]
-    batches = [one[:4] + two[:6], one[2:8] + two[:3], one[8:] + two[6:], after + one]
-    run(S.tail(logged(spark, f"{tmp_path}/log", batches)), {"frames": f"{tmp_path}/frames"}, tmp_path, "append")
-    got = spark.read.parquet(f"{tmp_path}/frames").orderBy("job_id", "batch", "seq").collect()
-    assert [(x["job_id"], x["seq"]) for x in got] == [(1, k) for k in range(11)] + [(2, k) for k in range(10)]
-    assert [x["closes"] for x in got] == [False] * 10 + [True] + [False] * 10
-
-
 def test_an_owner_gets_the_oldest_job_first_and_no_other_owners(spark):
     rows = job(7, 5, start=100) + job(7, 9, start=0) + job(8, 1)
     got = S.replay(spark.createDataFrame(rows, SCHEMA)).where("owner_id = 7").orderBy("place").collect()
