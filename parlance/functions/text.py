@@ -34,6 +34,11 @@ def ends_sentence(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"[{ENDS}]{SPACE}*\z"), F.lit(False))
 
 
+def marks(text: Column) -> Column:
+    """Number of sentence marks; none for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[{DENSITY}]")), F.lit(0))
+
+
 def punctuation_ratio(text: Column) -> Column:
     """Sentence marks a word; 0 for blank text."""
     n = F.size(split_words(text))

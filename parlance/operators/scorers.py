@@ -39,6 +39,31 @@ def scored(df: DataFrame, prompt: str, scorer: Scorer, out: str = "reply", attem
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def attempted(df: DataFrame, prompt: str, scorer: Scorer) -> DataFrame:
+    """df with reply and failed. A model that is away (a connection error) gives a null reply that is not failed; any other
+    error of a prompt, asked for alone if need be, is failed and has no reply."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prompts = [p or "" for p in batch[prompt]]
+            try:
+                got = [(r, False) for r in scorer(prompts)]
+            except Exception:
+                got = []
+                for p in prompts:
+                    try:
+                        got.append((scorer([p])[0], False))
+                    except ConnectionError:
+                        got.append((None, False))
+                    except Exception:
+                        got.append((None, True))
+            batch["reply"] = pd.Series([r for r, _ in got], index=batch.index, dtype=object)
+            batch["failed"] = pd.Series([f for _, f in got], index=batch.index, dtype=bool)
+            yield batch
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("failed", T.BooleanType())]))
+
+
 def scored_distinct(df: DataFrame, prompt: str, scorer: Scorer, out: str = "reply") -> DataFrame:
     """As scored, but each distinct prompt is scored once."""
     once = scored(df.select(prompt).where(F.col(prompt).isNotNull()).distinct(), prompt, scorer, out)
@@ -63,6 +88,19 @@ def every_tenth(texts: list[str]) -> list[str | None]:
     return [", ".join(f"{i}:S" for i in range(9, len(t.split("\n")), 10)) for t in texts]
 
 
+#: Words at which the unsteady stand-in is away, or fails.
+AWAY, UNREADABLE = "(away)", "(unreadable)"
+
+
+def unsteady_tenth(texts: list[str]) -> list[str | None]:
+    """Stand-in for a boundary model that is away for some lists and fails at others."""
+    if any(UNREADABLE in t for t in texts):
+        raise ValueError("cannot read this list")
+    if any(AWAY in t for t in texts):
+        raise ConnectionError("away")
+    return every_tenth(texts)
+
+
 def translated(transcript: DataFrame, scorer: Scorer = capital_vowels) -> DataFrame:
     """transcript (with task, src_lang, trg_lang) with has_translation and translation; rows of files that need none, or
     of blank text, are not scored."""

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
-from parlance.operators import speakers
+from parlance.operators import scorers, speakers
 from parlance.sources.derived import in_order
 from parlance.sources.folders import keep
 
 WINDOW_WORDS = 400
+#: Sentence marks a word below which a file's sentences are restored.
+LEAST_MARKS = 0.01
 
 
 def merged(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -85,10 +87,36 @@ def restored(windows: DataFrame, ends: DataFrame) -> DataFrame:
     return made.withColumn("text", X.sentence(F.col("text"), F.coalesce("mark", F.lit(".")))).drop("mark")
 
 
-def transcript(segments: DataFrame, words: DataFrame, turns: DataFrame) -> DataFrame:
-    """The composite: split by speaker, fill from the nearest turn, renumber, merge to sentences."""
-    split = keep(speakers.split_segments(segments, words, turns))  # three branches read it
-    filled = speakers.nearest(split, turns, ["seg_idx", "part"])
+def unmarked(segments: DataFrame, words: DataFrame, threshold: float = LEAST_MARKS) -> DataFrame:
+    """(file_id): files with words whose segments have fewer sentence marks a word than the threshold."""
+    counted = segments.groupBy("file_id").agg(F.sum(X.marks(F.col("text"))).alias("marks"), F.sum(F.size(X.split_words(F.col("text")))).alias("many"))
+    low = speakers.low_punctuation(F.when(F.col("many") > 0, F.col("marks") / F.col("many")).otherwise(F.lit(0.0)), threshold)
+    return counted.where(low).select("file_id").join(words.select("file_id").distinct(), "file_id", "left_semi")
+
+
+def restoration(words: DataFrame, turns: DataFrame, scorer: scorers.Scorer) -> tuple[DataFrame, DataFrame]:
+    """(file_id, seg_idx, part, start_s, end_s, text, speaker) of restored sentences, and the files (file_id) of which a call
+    failed, whose sentences are not among them. A window that got no answer is one sentence."""
+    windows = keep(run_windows(words, turns))
+    replies = keep(scorers.attempted(tokens(windows), "tokens", scorer))
+    lost = replies.where("failed").select("file_id").distinct()
+    made = restored(windows, boundaries(windows, replies.select("file_id", "run_idx", "window_idx", "reply"))).join(lost, "file_id", "left_anti")
+    return made.select("file_id", F.col("run_idx").alias("seg_idx"), F.col("sentence").alias("part"), "start_s", "end_s", "text", "speaker"), lost
+
+
+def transcript(segments: DataFrame, words: DataFrame, turns: DataFrame, scorer: scorers.Scorer = scorers.every_tenth, threshold: float = LEAST_MARKS) -> DataFrame:
+    """The composite: files with hardly a sentence mark take sentences restored from their words, all others are split by
+    speaker; then fill from the nearest turn, renumber, merge to sentences.
+
+    A file goes through one of the two plans, decided by its marks a word; files without words, and files of which a call to
+    the model failed, are split by speaker too."""
+    low = keep(unmarked(segments, words, threshold))
+    made, lost = restoration(words.join(low, "file_id", "left_semi"), turns, scorer)
+    done = keep(low.join(lost, "file_id", "left_anti"))
+    rest = lambda rows: rows.join(done, "file_id", "left_anti")
+    split = speakers.split_segments(rest(segments), rest(words), turns)
+    rows = keep(split.unionByName(made))  # three branches read it
+    filled = speakers.nearest(rows, turns, ["seg_idx", "part"])
     return merged(speakers.renumbered(filled, ["seg_idx", "part"]), ["seg_idx", "part"])
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 #: Each table's SQL and the tables that it needs.
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "words": (
-        r"""SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS word_idx, turn, role, word,
-          (row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1) * 0.5::DOUBLE AS start_s,
-          (row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1) * 0.5::DOUBLE + 0.25::DOUBLE AS end_s
-        FROM (SELECT conv_id, turn, role, unnest(string_split_regex(trim(text), '\s+')) AS word,
-          generate_subscripts(string_split_regex(trim(text), '\s+'), 1) AS pos FROM conversations)""",
+        r"""SELECT file_id, word_idx, turn, role, CASE WHEN file_id % 4 <> 1 THEN word WHEN word_idx = 0 AND file_id % 8 = 5 THEN '(unreadable)'
+            WHEN word_idx = 0 AND file_id % 16 = 1 THEN '(away)' ELSE coalesce(nullif(regexp_replace(word, '[.!?؟۔…]', '', 'g'), ''), 'mm') END AS word,
+          word_idx * 0.5::DOUBLE AS start_s, word_idx * 0.5::DOUBLE + 0.25::DOUBLE AS end_s FROM (
+          SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS word_idx, turn, role, word
+          FROM (SELECT conv_id, turn, role, unnest(string_split_regex(trim(text), '\s+')) AS word,
+            generate_subscripts(string_split_regex(trim(text), '\s+'), 1) AS pos FROM conversations))""",
         (),
     ),
     "segments": (
@@ -121,11 +122,36 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
           SELECT file_id, sentence, min(start_s) AS start_s, arg_max(end_s, (seg_idx, part)) AS end_s, arg_min(speaker, (seg_idx, part)) AS speaker, string_agg(trim(text), ' ' ORDER BY seg_idx, part) AS text FROM (
             SELECT *, sum(cut) OVER (PARTITION BY file_id ORDER BY seg_idx, part ROWS UNBOUNDED PRECEDING) AS sentence FROM (
               SELECT *, CASE WHEN regexp_matches(lag(text) OVER o, '[.!?؟۔]\s*$') OR speaker IS DISTINCT FROM lag(speaker) OVER o THEN 1 ELSE 0 END AS cut
-              FROM named_segments WINDOW o AS (PARTITION BY file_id ORDER BY seg_idx, part)))
+              FROM chosen_named WINDOW o AS (PARTITION BY file_id ORDER BY seg_idx, part)))
           GROUP BY file_id, sentence)""",
-        ("named_segments",),
+        ("chosen_named",),
+    ),
+    "restored_files": (
+        r"""SELECT file_id FROM segments GROUP BY file_id
+        HAVING sum(len(regexp_extract_all(text, '[.!?؟۔…]')))::DOUBLE / sum(len(regexp_extract_all(text, '\S+'))) < 0.01::DOUBLE AND count_if(contains(text, '(unreadable)')) = 0""",
+        ("segments",),
+    ),
+    "restored_rows": (
+        r"""SELECT file_id, run_idx::BIGINT AS seg_idx, sentence::BIGINT AS part, min(start_s) AS start_s, max(end_s) AS end_s,
+          CASE WHEN regexp_matches(string_agg(word, ' ' ORDER BY place), '[.!?؟۔]$') THEN string_agg(word, ' ' ORDER BY place) ELSE string_agg(word, ' ' ORDER BY place) || '.' END AS text, max(label) AS speaker FROM (
+          SELECT *, max(speaker) OVER (PARTITION BY file_id, run_idx) AS label,
+            coalesce(count(mark) OVER (PARTITION BY file_id, run_idx ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM (
+            SELECT *, CASE WHEN place % 400 = 399 OR place = total - 1 OR (NOT away AND place % 400 % 10 = 9) THEN '.' END AS mark FROM (
+              SELECT *, bool_or(word = '(away)') OVER (PARTITION BY file_id, run_idx, place // 400) AS away FROM (
+                SELECT *, row_number() OVER (PARTITION BY file_id, run_idx ORDER BY word_idx) - 1 AS place, count(*) OVER (PARTITION BY file_id, run_idx) AS total
+                FROM run_words SEMI JOIN restored_files USING (file_id)))))
+        GROUP BY file_id, run_idx, sentence""",
+        ("run_words", "restored_files"),
+    ),
+    "chosen_segments": (
+        """SELECT file_id, seg_idx, part, start_s, end_s, text, speaker FROM split_segments ANTI JOIN restored_files USING (file_id)
+        UNION ALL SELECT file_id, seg_idx, part, start_s, end_s, text, speaker FROM restored_rows""",
+        ("split_segments", "restored_files", "restored_rows"),
     ),
 }
+#: The same steps on what the two branches of the transcript chose.
+CTES["chosen_filled"] = (CTES["filled_segments"][0].replace("split_segments", "chosen_segments"), ("chosen_segments", "turns"))
+CTES["chosen_named"] = (CTES["named_segments"][0].replace("filled_segments", "chosen_filled"), ("chosen_filled",))
 
 
 def with_tables(sql: str, *needed: str) -> str:
