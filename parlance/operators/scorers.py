@@ -89,7 +89,7 @@ def every_tenth(texts: list[str]) -> list[str | None]:
 
 
 #: Words at which the unsteady stand-in is away, or fails.
-AWAY, UNREADABLE = "(away)", "(unreadable)"
+AWAY, UNREADABLE = "(absent)", "(unreadable)"
 
 
 def unsteady_tenth(texts: list[str]) -> list[str | None]:

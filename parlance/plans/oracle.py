@@ -6,7 +6,7 @@ from __future__ import annotations
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "words": (
         r"""SELECT file_id, word_idx, turn, role, CASE WHEN file_id % 4 <> 1 THEN word WHEN word_idx = 0 AND file_id % 8 = 5 THEN '(unreadable)'
-            WHEN word_idx = 0 AND file_id % 16 = 1 THEN '(away)' ELSE coalesce(nullif(regexp_replace(word, '[.!?؟۔…]', '', 'g'), ''), 'mm') END AS word,
+            WHEN word_idx = 0 AND file_id % 16 = 1 THEN '(absent)' ELSE coalesce(nullif(regexp_replace(word, '[.!?؟۔…]', '', 'g'), ''), 'mm') END AS word,
           word_idx * 0.5::DOUBLE AS start_s, word_idx * 0.5::DOUBLE + 0.25::DOUBLE AS end_s FROM (
           SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS word_idx, turn, role, word
           FROM (SELECT conv_id, turn, role, unnest(string_split_regex(trim(text), '\s+')) AS word,
@@ -137,7 +137,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
           SELECT *, max(speaker) OVER (PARTITION BY file_id, run_idx) AS label,
             coalesce(count(mark) OVER (PARTITION BY file_id, run_idx ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM (
             SELECT *, CASE WHEN place % 400 = 399 OR place = total - 1 OR (NOT away AND place % 400 % 10 = 9) THEN '.' END AS mark FROM (
-              SELECT *, bool_or(word = '(away)') OVER (PARTITION BY file_id, run_idx, place // 400) AS away FROM (
+              SELECT *, bool_or(word = '(absent)') OVER (PARTITION BY file_id, run_idx, place // 400) AS away FROM (
                 SELECT *, row_number() OVER (PARTITION BY file_id, run_idx ORDER BY word_idx) - 1 AS place, count(*) OVER (PARTITION BY file_id, run_idx) AS total
                 FROM run_words SEMI JOIN restored_files USING (file_id)))))
         GROUP BY file_id, run_idx, sentence""",

@@ -18,7 +18,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     idx = (F.row_number().over(Window.partitionBy("file_id").orderBy("turn", "pos")) - 1).cast("long")
     bare = F.coalesce(F.nullif(F.regexp_replace("word", "[.!?؟۔…]", ""), F.lit("")), F.lit("mm"))
-    first = F.when(F.col("file_id") % 8 == 5, "(unreadable)").when(F.col("file_id") % 16 == 1, "(away)").otherwise(bare)
+    first = F.when(F.col("file_id") % 8 == 5, "(unreadable)").when(F.col("file_id") % 16 == 1, "(absent)").otherwise(bare)
     word = F.when(F.col("file_id") % 4 != 1, F.col("word")).when(F.col("word_idx") == 0, first).otherwise(bare)
     numbered = pieces.select("file_id", idx.alias("word_idx"), "turn", "role", "word").withColumn("word", word)
     return numbered.withColumn("start_s", F.col("word_idx") * 0.5).withColumn("end_s", F.col("word_idx") * 0.5 + 0.25)
