@@ -78,9 +78,10 @@ def capital_vowels(texts: list[str]) -> list[str | None]:
     return [t.translate(_VOWELS) for t in texts]
 
 
-def leading_words(texts: list[str]) -> list[str | None]:
-    """Stand-in for a summariser: the first twelve words."""
-    return [" ".join(t.split()[:12]) for t in texts]
+def ends_and_count(texts: list[str]) -> list[str | None]:
+    """Stand-in for a summariser, whose reply shows what it was given: the first word, the last one, and how many there are."""
+    words = [t.split() for t in texts]
+    return [f"{w[0]} {w[-1]} {len(w)}" if w else "" for w in words]
 
 
 def every_tenth(texts: list[str]) -> list[str | None]:
@@ -127,13 +128,23 @@ def tagged(scorer: Scorer) -> Scorer:
     return run
 
 
-def summarised(texts: DataFrame, budget: int, scorer: Scorer = leading_words, depth: int = 5, retries: int = 4) -> DataFrame:
+def summarised(texts: DataFrame, budget: int, scorer: Scorer = ends_and_count, depth: int = 5, retries: int = 4, strict: bool = True) -> DataFrame:
     """(file_id, summary): texts packed to chunks of the budget, each summarised, the summaries joined by blank lines and
     taken again, for all files at once. A file is done when it fits one chunk; after `depth` reductions its leading chunk
     decides. A file of which a chunk overflows begins again with half its budget, `retries` times at most; its summary is
-    empty if it still overflows, or if a call failed. Rounds are bounded by depth and retries, whatever the texts."""
+    empty if it still overflows, or if a call failed. Rounds are bounded by depth and retries, whatever the texts.
+
+    An empty or null text is an error that names its file; unless `strict`, its summary is null and the other files' stand."""
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    missing = None
+    if strict:
+        error = F.raise_error(F.concat(F.lit("no text to summarise in file "), F.coalesce(F.col("file_id").cast("string"), F.lit("null"))))
+        texts = texts.withColumn("text", F.when(empty, error.cast("string")).otherwise(F.col("text")))
+    else:
+        missing = texts.where(empty).select("file_id", F.lit(None).cast("string").alias("summary"))
+        texts = texts.where(~empty)
     todo = texts.select("file_id", "text", F.lit(budget).alias("budget"), F.lit(0).alias("tries"), F.lit(0).alias("depth"))
-    done = None
+    done = missing
     while True:
         chunks = todo.withColumn("chunks", X.packed(F.col("text"), F.col("budget")))
         chunks = chunks.withColumn("chunks", F.when(F.col("depth") >= depth, F.slice("chunks", 1, 1)).otherwise(F.col("chunks"))).withColumn("n", F.size("chunks"))

@@ -169,3 +169,23 @@ def with_tables(sql: str, *needed: str) -> str:
     if not order:
         return sql
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + sql
+
+
+#: A text's words, and their chunks of at most {budget} characters as lists of one string each.
+_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
+_PACKED = "list_reduce(list_transform(w, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) + 1 + length(b[1]) <= {budget} THEN list_append(a[:-2], a[-1] || ' ' || b[1]) ELSE list_concat(a, b) END)"
+_REPLY = "string_split(c, ' ')[1] || ' ' || string_split(c, ' ')[-1] || ' ' || len(string_split(c, ' '))"
+
+
+def summary_tables(source: str, budget: int, depth: int = 5) -> str:
+    """Common table expressions that fold a table (file_id, text) to `summaries` (file_id, summary): each round packs the texts
+    to chunks, puts a chunk's first word, last word and number of words in its place, and joins these by blank lines."""
+    made, before = [], source
+    for k in range(depth + 1):
+        some = "" if k == 0 else "WHERE n > 1"
+        chunks = "chunks[1:1]" if k == depth else "chunks"
+        made.append(f"""fold_{k} AS (SELECT file_id, len({chunks}) AS n, array_to_string(list_transform({chunks}, lambda c: {_REPLY}), chr(10) || chr(10)) AS text
+  FROM (SELECT file_id, {_PACKED.format(budget=budget)} AS chunks FROM (SELECT file_id, {_WORDS} AS w FROM {before} {some})))""")
+        before = f"fold_{k}"
+    ends = " UNION ALL ".join(f"SELECT file_id, text AS summary FROM fold_{k} WHERE n = 1" for k in range(depth + 1))
+    return ",\n".join(made) + f",\nsummaries AS ({ends})"

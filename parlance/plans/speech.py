@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as X
 from parlance.operators import scorers, sentences, speakers
 from parlance.operators.jobs import STAGES
-from parlance.plans.oracle import with_tables
+from parlance.plans.oracle import summary_tables, with_tables
 from parlance.sources import derived as D
 from parlance.sources.folders import keep
 
@@ -235,15 +235,16 @@ def translated(spark, sf):
 
 
 def summaries(spark, sf):
-    return scorers.summarised(file_text(spark, sf), 600)
+    """Summaries of files with words; the others are skipped before."""
+    return scorers.summarised(file_text(spark, sf).where(~X.is_blank(F.col("text"))), 600)
 
 
 def outcomes(spark, sf) -> DataFrame:
     """The composite of a job, one row a file: (file_id, rows, skipped, translated, words, summary, flagged).
 
     Every seventh file is silent and skips all that follows; words are asked for even files, summaries for every third,
-    findings for every fifth, and what is not asked for is null. Stand-ins: a summary is the first twelve words, and rows whose
-    length is a multiple of eleven are flagged."""
+    findings for every fifth, and what is not asked for is null. Stand-ins: a summary shows the ends and the number of words of
+    what was summarised, and rows whose length is a multiple of eleven are flagged."""
     t = keep(timed(spark, sf).withColumn("text", F.when(F.col("file_id") % 7 == 0, F.lit(" ")).otherwise(sentences.effective())))
     words = X.split_words(F.col("text"))
     made = t.groupBy("file_id").agg(
@@ -272,11 +273,13 @@ def job_stages(spark, sf) -> DataFrame:
 
 
 OUTCOMES = r"""effective AS (SELECT file_id, row_idx, has_translation, CASE WHEN file_id % 7 = 0 THEN ' ' WHEN has_translation THEN translation ELSE text END AS text FROM timed),
+asked AS (SELECT file_id, string_agg(text, ' ' ORDER BY row_idx) AS text FROM effective WHERE file_id % 3 = 0 AND file_id % 7 <> 0 GROUP BY file_id),
+""" + summary_tables("asked", 600) + r""",
 outcomes AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 0 ELSE n END AS rows, file_id % 7 = 0 AS skipped, CASE WHEN file_id % 7 <> 0 THEN tr END AS translated,
-  CASE WHEN file_id % 7 <> 0 AND file_id % 2 = 0 THEN w END AS words, CASE WHEN file_id % 7 <> 0 AND file_id % 3 = 0 THEN array_to_string(all_words[1:12], ' ') END AS summary,
+  CASE WHEN file_id % 7 <> 0 AND file_id % 2 = 0 THEN w END AS words, CASE WHEN file_id % 7 <> 0 AND file_id % 3 = 0 THEN summary END AS summary,
   CASE WHEN file_id % 7 <> 0 AND file_id % 5 = 0 THEN f END AS flagged FROM (
   SELECT file_id, count(*) AS n, bool_or(has_translation) AS tr, sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')))::BIGINT AS w,
-    count_if(length(text) % 11 = 0)::BIGINT AS f, string_split_regex(string_agg(text, ' ' ORDER BY row_idx), '\s+') AS all_words FROM effective GROUP BY file_id))"""
+    count_if(length(text) % 11 = 0)::BIGINT AS f FROM effective GROUP BY file_id) LEFT JOIN summaries USING (file_id))"""
 
 
 def with_outcomes(sql: str) -> str:
@@ -289,7 +292,7 @@ def moody(texts: list[str]) -> list[str | None]:
         raise ConnectionError("away")
     if any(t.startswith("(dense)") or len(t) > 300 for t in texts):
         raise ValueError("This model's maximum context length is 300")
-    return scorers.leading_words(texts)
+    return scorers.ends_and_count(texts)
 
 
 def careful_summaries(spark, sf):
@@ -300,12 +303,18 @@ def careful_summaries(spark, sf):
 
 def effective_summaries(spark, sf):
     t = timed(spark, sf).withColumn("text", sentences.effective())
-    return scorers.summarised(sentences.file_text(t, "row_idx"), 600)
+    return scorers.summarised(sentences.file_text(t, "row_idx").where(~X.is_blank(F.col("text"))), 600)
 
 
 ONE = with_tables
-#: The stand-in's summary of a text, however it was packed: its first twelve words.
-TWELVE = r"array_to_string(string_split_regex(text, '\s+')[1:12], ' ')"
+FILE_TEXTS = "texts AS (SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id)"
+
+
+def with_summaries(texts: str, budget: int, sql: str = "SELECT * FROM summaries") -> str:
+    """A statement over the stand-in's summaries of `texts`, whose definition ends the common tables given."""
+    return f"{texts},\n{summary_tables('texts', budget)}\n{sql}"
+
+
 QUERIES = {
     "join_overlap_argmax": (overlap_words, ONE("SELECT * FROM word_speakers", "word_speakers")),
     "agg_overlap_sum": (overlap_sums, ONE("""SELECT w.file_id, w.word_idx, t.speaker, sum(least(w.end_s, t.end_s) - greatest(w.start_s, t.start_s)) AS total
@@ -348,9 +357,9 @@ QUERIES = {
       OR seg_idx IN (SELECT floor(i * (n / 20.0::DOUBLE))::BIGINT FROM range(20) r(i))""", "segments")),
     "ml_translate": (translated, ONE("""SELECT file_id, row_idx, file_id % 4 <> 3 AND file_id % 3 <> 0 AS has_translation,
       CASE WHEN file_id % 4 <> 3 AND file_id % 3 <> 0 THEN translate(text, 'aeiou', 'AEIOU') END AS translation FROM transcript""", "transcript")),
-    "agg_mapreduce_summary": (summaries, ONE(rf"SELECT file_id, {TWELVE} AS summary FROM (SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id)", "segments")),
-    "ml_summary": (careful_summaries, ONE(rf"SELECT file_id, CASE WHEN file_id % 5 < 2 THEN '' ELSE {TWELVE} END AS summary FROM (SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id)", "segments")),
-    "pipe_summary": (effective_summaries, with_timed(rf"SELECT file_id, {TWELVE} AS summary FROM (SELECT file_id, string_agg(CASE WHEN has_translation THEN translation ELSE text END, ' ' ORDER BY row_idx) AS text FROM timed GROUP BY file_id)")),
+    "agg_mapreduce_summary": (summaries, with_summaries(with_tables("", "segments").rstrip() + ",\n" + FILE_TEXTS, 600)),
+    "ml_summary": (careful_summaries, with_summaries(with_tables("", "segments").rstrip() + ",\n" + FILE_TEXTS, 300, "SELECT file_id, CASE WHEN file_id % 5 < 2 THEN '' ELSE summary END AS summary FROM summaries")),
+    "pipe_summary": (effective_summaries, with_summaries(with_timed("").rstrip() + ",\ntexts AS (SELECT file_id, string_agg(CASE WHEN has_translation THEN translation ELSE text END, ' ' ORDER BY row_idx) AS text FROM timed GROUP BY file_id)", 600)),
     "pipe_transcription": (transcript, ONE("SELECT * FROM transcript", "transcript")),
     "pipe_job": (job_stages, with_outcomes("""SELECT file_id, i AS stage_index, s AS stage, e AS event, (i + CASE e WHEN 'stage_completed' THEN 1 ELSE 0 END)::DOUBLE / 5::DOUBLE AS progress,
       CASE WHEN e = 'stage_completed' THEN CASE i WHEN 0 THEN rows WHEN 1 THEN translated::BIGINT WHEN 2 THEN words WHEN 3 THEN (summary <> '')::BIGINT ELSE flagged END END AS reported

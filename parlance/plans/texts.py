@@ -62,8 +62,12 @@ def tokenizer(spark, sf):
 
 def prompts(spark, sf):
     """A prompt in the document's language, else in English; a key that neither has is an error."""
-    known = spark.createDataFrame([("en", "summary", "Summarise: {text}"), ("en", "translation", "Translate: {text}"), ("de", "summary", "Fasse zusammen: {text}")], "lang string, key string, prompt string")
-    asked = docs(spark, sf).select("doc_id", "lang", F.when(C("doc_id") % 2 == 0, "summary").otherwise("translation").alias("key"))
+    return prompted(docs(spark, sf).select("doc_id", "lang", F.when(C("doc_id") % 2 == 0, "summary").otherwise("translation").alias("key")))
+
+
+def prompted(asked: DataFrame) -> DataFrame:
+    """(doc_id, prompt) for rows (doc_id, lang, key)."""
+    known = asked.sparkSession.createDataFrame([("en", "summary", "Summarise: {text}"), ("en", "translation", "Translate: {text}"), ("de", "summary", "Fasse zusammen: {text}")], "lang string, key string, prompt string")
     own = known.withColumnRenamed("prompt", "own")
     english = known.where("lang = 'en'").select("key", C("prompt").alias("english"))
     missing = F.raise_error(F.concat(F.lit("no prompt for "), C("key"))).cast("string")

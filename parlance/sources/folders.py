@@ -59,13 +59,21 @@ def path_of(kept: DataFrame) -> str:
 
 
 def move(spark: SparkSession, source: str, target: str, force: bool) -> None:
-    """Make a finished folder appear under its name in one step; what is there already is an error unless forced."""
+    """Make a finished folder appear under its name in one step; what is there already is an error unless forced. What is
+    replaced is first renamed: it comes back if the new one cannot take its place, and goes only once that has."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = None
     if fs.exists(path(target)):
         if not force:
             fs.delete(path(source), True)
             raise FileExistsError(target)
-        fs.delete(path(target), True)
-    if not fs.rename(path(source), path(target)):
+        aside = f"{target}.replaced-{uuid.uuid4().hex}"
+        if not fs.rename(path(target), path(aside)):
+            raise OSError(f"could not rename {target} to {aside}")
+    if not fs.exists(path(source)) or not fs.rename(path(source), path(target)):
+        if aside:
+            fs.rename(path(aside), path(target))
         raise OSError(f"could not rename {source} to {target}")
+    if aside:
+        fs.delete(path(aside), True)

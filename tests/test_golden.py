@@ -117,3 +117,17 @@ def test_summary_halves_the_budget_of_files_that_overflow(spark):
 def test_settings_never_fail():
     assert settings.upload_cap({"UPLOAD_MAX_MIB": "x"}) == 8192 << 20 and settings.upload_cap({"UPLOAD_MAX_MIB": "0"}) == 1 << 20
     assert settings.concurrency({"JOB_CONCURRENCY": "-3"}) == 1 and settings.summary_budget({}) == 18000
+
+
+def test_summary_of_nothing_is_an_error_of_its_file(spark):
+    df = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "file_id long, text string")
+    with pytest.raises(Exception, match="no text to summarise in file [23]"):
+        scorers.summarised(df, 60).collect()
+    got = {r["file_id"]: r["summary"] for r in scorers.summarised(df, 60, strict=False).collect()}
+    assert got == {1: "some here 3", 2: None, 3: None}
+
+
+def test_each_chunk_reaches_the_summary(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "file_id long, text string")
+    seen = {r["file_id"]: r["summary"] for r in scorers.summarised(df, 40, lambda texts: [t.split()[-1] for t in texts]).collect()}
+    assert seen == {1: "w29"}
