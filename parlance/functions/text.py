@@ -234,11 +234,15 @@ def filled(template: str, **values: Column) -> Column:
 SENTENCE = r"""(?s).+?(?:[.!?]+["')\]]*(?=\s+|$)|\n{2,}|$)"""
 
 
-def entity_chunks(text: Column, budget: int = 512) -> Column:
+def entity_chunks(text: Column, budget: int = 512, whole: bool = False) -> Column:
     """Sentences packed to chunks of at most `budget` words. A sentence that does not fit opens a new chunk and is cut to
-    `budget` words; what lies beyond is lost, as in the engine that this follows. Blank text gives no chunk."""
+    `budget` words; what lies beyond is lost, as in the engine that this follows, or makes further chunks if the text is to be
+    kept `whole`. Blank text gives no chunk."""
     found = F.filter(F.transform(F.regexp_extract_all(strip(text), F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
     lists = F.transform(found, split_words)
+    if whole:
+        parts = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / budget).cast("int"))), lambda i: F.slice(w, i * budget + 1, budget))
+        lists = F.flatten(F.transform(lists, parts))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
 
     def step(s, w):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
+from parlance.operators import scorers
 
 #: Frequent function words by language, written for this library.
 STOPWORDS = {
@@ -70,6 +71,15 @@ def entity_tally(found: DataFrame) -> DataFrame:
     return made.select("file_id", "category", "entity", "frequency", rank.cast("long").alias("rank"))
 
 
+def recognised(texts: DataFrame, scorer: scorers.Scorer, budget: int = 512) -> DataFrame:
+    """(file_id, pos, text, label, score): entities of texts (file_id, text), from a scorer of chunks that replies with a JSON
+    list; a chunk whose call fails, or whose reply is no list, is left out, and the others count."""
+    chunks = texts.select("file_id", F.posexplode(X.entity_chunks(F.col("text"), budget, whole=True)).alias("chunk_pos", "chunk"))
+    read = F.from_json("reply", "array<struct<text:string,label:string,score:double>>")
+    each = scorers.attempted(chunks, "chunk", scorer).where("not failed").select("file_id", "chunk_pos", F.posexplode(read).alias("i", "e"))
+    return each.select("file_id", (F.col("chunk_pos").cast("long") * 100_000 + F.col("i")).alias("pos"), "e.text", "e.label", "e.score")
+
+
 def findings(rows: DataFrame, by: str = "row_idx") -> DataFrame:
     """Flagged rows before the first one of their file that failed (ok = false): a sweep that stops at an outage."""
     failed = F.min(F.when(~F.col("ok"), F.col(by))).over(Window.partitionBy("file_id"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import text as X
 from parlance.sources import folders
@@ -152,27 +154,32 @@ def archives(files: DataFrame, key: str = "job_id") -> DataFrame:
     return files.select(key, "pos", "member", "content").groupBy(key).applyInPandas(run, f"{key} long, archive binary")
 
 
-def unpacked(zips: DataFrame, key: str = "job_id") -> DataFrame:
-    """(key, pos, member, content) of each member of archives (key, archive), in the order that they hold them."""
+def unpacked(zips: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, member, content) of each member of archives (keys, archive), in the order that they hold them."""
     import pandas as pd
 
+    keys = keys or ("job_id",)
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            for k, data in zip(batch[key], batch["archive"], strict=True):
+            for *key, data in zip(*(batch[k] for k in keys), batch["archive"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     names = z.namelist()
-                    yield pd.DataFrame({key: k, "pos": range(len(names)), "member": names, "content": [z.read(n) for n in names]})
+                    yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "pos": range(len(names)), "member": names, "content": [z.read(n) for n in names]})
 
-    return zips.select(key, "archive").mapInPandas(run, f"{key} long, pos long, member string, content binary")
+    kinds = T.StructType([*(zips.schema[k] for k in keys), *T.StructType.fromDDL("pos long, member string, content binary").fields])
+    return zips.select(*keys, "archive").mapInPandas(run, kinds)
 
 
 def workbooks(tables: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
-    """(key, content): a workbook of one sheet for each key, rows in order; a key's rows are one file's table."""
+    """(key, content): a workbook of one sheet for each key, rows in order, without columns that a key has no values for; a
+    key's rows are one file's table."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(by)[columns].astype(object).where(lambda d: d.notna(), None)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [sheet(columns, map(tuple, rows.values.tolist()))]})
+        some = [c for c in columns if rows[c].notna().any()]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [sheet(some, map(tuple, rows[some].values.tolist()))]})
 
     return tables.select(key, by, *(c for c in columns if c not in (key, by))).groupBy(key).applyInPandas(run, f"{key} long, content binary")
 
@@ -205,3 +212,88 @@ def artifacts(results: DataFrame) -> DataFrame:
     types = F.create_map(*(F.lit(x) for kv in ARTIFACTS.items() for x in kv))
     made = results.select("job_id", F.explode(F.array_compact(F.array(*names))).alias("artifact"))
     return made.withColumn("media_type", F.element_at(types, F.col("artifact")))
+
+
+def csv_cell(value: Column) -> Column:
+    """A value as CSV: in quotes if it holds a comma, a quote or a line break; nothing for null."""
+    text = value.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(F.coalesce(text, F.lit("")))
+
+
+def csv_table(rows: DataFrame, columns: dict[str, Column | None], by: str) -> DataFrame:
+    """(file_id, content): a file's rows as CSV with a header, in order. A column with a condition is there where it holds,
+    which is the same for all rows of a file."""
+    head, cells = [], []
+    for name, there in columns.items():
+        start = F.lit("," if head else "")
+        shown = lambda c, there=there, start=start: F.concat(start, c) if there is None else F.when(there, F.concat(start, c)).otherwise("")
+        head.append(shown(F.lit(name)))
+        cells.append(shown(csv_cell(F.col(name))))
+    made = rows.select("file_id", by, F.concat(*head).alias("head"), F.concat(*cells).alias("line"))
+    lines = in_order("line", by, "\n")
+    return made.groupBy("file_id").agg(F.concat(F.max("head"), F.lit("\n"), lines, F.lit("\n")).alias("content"))
+
+
+#: Artifacts and the ends of their names in an archive, in its order.
+MEMBERS = {
+    "transcript.csv": "_transcript.csv", "transcript.xlsx": "_transcript.xlsx", "transcript.txt": "_transcript.txt", "translation.txt": "_translation.txt",
+    "summary.txt": "_summary.txt", "wordcounts.csv": "_words.csv", "wordcounts.xlsx": "_words.xlsx", "entities.csv": "_entities.csv",
+    "entities.xlsx": "_entities.xlsx", "hate_speech.csv": "_hate_speech.csv", "hate_speech.xlsx": "_hate_speech.xlsx", "segments.jsonl": "_segments.jsonl",
+}
+
+
+def rendered(transcript: DataFrame, words: DataFrame, entities: DataFrame, findings: DataFrame, summaries: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, artifact, content): every artifact that a file has, as bytes; one without rows is not there. Each is bounded
+    by one recording. Tables have file_id and their order: row_idx, rank, rank, row_idx, -, sentence_index."""
+    text = lambda df, name: df.select("file_id", F.lit(name).alias("artifact"), F.encode("content", "utf-8").alias("content"))
+    book = lambda df, name, columns, by: workbooks(df, "file_id", columns, by).select("file_id", F.lit(name).alias("artifact"), "content")
+    flagged = findings.select("file_id", "row_idx", F.lit("True").alias("hate_speech"), "category", "confidence", "reason", "text", "start")
+    plain = lambda *names: dict.fromkeys(names)
+    finding = ["hate_speech", "category", "confidence", "reason", "text", "start"]
+    blocks = split_texts(transcript).select("file_id", "content", F.concat("label", F.lit(".txt")).alias("artifact"))
+    shown = {"start": None, "end": None, "speaker": F.col("has_speaker"), "text": None, "translation": F.col("has_translation")}
+    made = [
+        text(csv_table(transcript, shown, "row_idx"), "transcript.csv"), book(transcript, "transcript.xlsx", list(shown), "row_idx"),
+        blocks.select("file_id", "artifact", F.encode("content", "utf-8").alias("content")),
+        text(summaries.where(~X.is_blank(F.col("summary"))).withColumnRenamed("summary", "content"), "summary.txt"),
+        text(csv_table(words, plain("word", "frequency"), "rank"), "wordcounts.csv"), book(words, "wordcounts.xlsx", ["word", "frequency"], "rank"),
+        text(csv_table(entities, plain("entity", "category", "frequency"), "rank"), "entities.csv"), book(entities, "entities.xlsx", ["entity", "category", "frequency"], "rank"),
+        text(csv_table(flagged, plain(*finding), "row_idx"), "hate_speech.csv"), book(flagged, "hate_speech.xlsx", finding, "row_idx"),
+        text(lines_file(lines), "segments.jsonl"),
+    ]
+    return reduce(DataFrame.unionByName, made)
+
+
+def archive_rows(files: DataFrame, stem: Column) -> DataFrame:
+    """(file_id, place, member, content): artifacts as members of their job's archive, in its order."""
+    place = F.array_position(F.array(*map(F.lit, MEMBERS)), F.col("artifact"))
+    end = F.element_at(F.create_map(*(F.lit(x) for kv in MEMBERS.items() for x in kv)), F.col("artifact"))
+    return files.select("file_id", place.alias("place"), F.concat(stem, end).alias("member"), "content")
+
+
+def api_documents(jobs: DataFrame, transcript: DataFrame, words: DataFrame, entities: DataFrame, findings: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(file_id, document): the JSON that a job's address gives. Jobs have file_id, completed, skipped, skip_reason, task,
+    transcript_language, resolved_src_lang, has_cloud and has_frames. A job that is not completed has no result, a skipped one
+    an empty transcript; tables without rows are null."""
+
+    def nested(rows: DataFrame, by: str, name: str, *fields: str | Column) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(by).alias("i"), F.struct(*fields).alias("v"))))
+        return rows.groupBy("file_id").agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+
+    parts = [
+        nested(transcript, "row_idx", "transcript", "start", "end", "speaker", "text", "translation"),
+        nested(words, "rank", "word_counts", "word", F.col("frequency").alias("count")),
+        nested(entities, "rank", "named_entities", "entity", "category", "frequency"),
+        nested(findings, "row_idx", "hate_speech_findings", F.lit(True).alias("hate_speech"), "category", "confidence", "reason", "text", "start"),
+        summaries.select("file_id", "summary"),
+    ]
+    met = reduce(lambda a, b: a.join(b, "file_id", "left"), parts, jobs)
+    none = F.array().cast(parts[0].schema["transcript"].dataType)
+    at = lambda flag, name: F.when(F.col(flag), F.concat(F.lit("/api/v1/jobs/"), F.col("file_id").cast("string"), F.lit("/artifacts/" + name)))
+    result = F.struct(
+        F.coalesce("transcript", none).alias("transcript"), "transcript_language", "resolved_src_lang", "summary", "word_counts", "named_entities",
+        at("has_cloud", "wordcloud.png").alias("wordcloud_url"), at("has_frames", "keyframes.zip").alias("keyframes_url"),
+        "hate_speech_findings", "skipped", "skip_reason", "task",
+    )
+    return met.select("file_id", F.when(F.col("completed"), F.to_json(result, {"ignoreNullFields": "false"})).alias("document"))

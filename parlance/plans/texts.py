@@ -60,6 +60,22 @@ def tokenizer(spark, sf):
     return L.tokenizer(some, "lang", L.dimension(spark, L.TOKENIZERS)).select("doc_id", "model")
 
 
+def used(spark, sf, names: dict[str, str]) -> DataFrame:
+    """A table of languages with the number of documents in each, those that no document is in among them."""
+    n = docs(spark, sf).groupBy(F.lower("lang").alias("code")).agg(F.count("*").alias("documents"))
+    return L.dimension(spark, names).join(n, "code", "left").select("code", "name", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
+
+
+USED = "used AS (SELECT code, name, coalesce(n, 0)::BIGINT AS documents FROM {} LEFT JOIN (SELECT lower(lang) AS code, count(*) AS n FROM documents GROUP BY ALL) USING (code))"
+
+
+def default_targets(spark, sf):
+    """The target that is preset for each language that documents are in, were it the configured one."""
+    langs = docs(spark, sf).where("lang is not null").select(F.upper("lang").alias("lang"), C("lang").alias("code")).distinct()
+    langs = langs.withColumn("code", F.when(C("code") == "fr", "tlh").otherwise(C("code")))
+    return L.default_targets(langs, "code", L.TARGETS).select("lang", "target")
+
+
 def prompts(spark, sf):
     """A prompt in the document's language, else in English; a key that neither has is an error."""
     return prompted(docs(spark, sf).select("doc_id", "lang", F.when(C("doc_id") % 2 == 0, "summary").otherwise("translation").alias("key")))
@@ -242,12 +258,19 @@ SETTINGS = """SELECT event_id, CASE WHEN event_id % 7 < 3 THEN true WHEN event_i
   CASE event_id % 5 WHEN 3 THEN 'http://a:1/v2' WHEN 4 THEN '' ELSE 'http://a:1' END AS root,
   greatest(event_id % 9 - 3, 0)::DOUBLE AS rate, least(greatest(event_id % 400 - 50, 0), 200)::BIGINT AS most FROM events"""
 
+
 def capital_pairs(texts: list[str]) -> list[str | None]:
-    """Stand-in for an entity model: capitalised words as persons, as JSON."""
+    """Stand-in for an entity model: capitalised words as persons, as JSON; it fails at a word that it cannot read."""
     import json
     import re
 
-    return [json.dumps([{"text": w, "label": "person", "score": 0.9} for w in re.findall(r"\b[A-Z][a-z]{2,}\b", t)]) for t in texts]
+    if any(scorers.UNREADABLE in t for t in texts):
+        raise ValueError("cannot read this text")
+    return [json.dumps([{"text": w, "label": "person", "score": 0.9} for w in re.findall(r"\b[A-Z][a-z]{2,}\b", t, re.ASCII)]) for t in texts]
+
+
+#: What the stand-in finds in a text.
+CAPITALS = r"regexp_extract_all({}, '\b[A-Z][a-z]{{2,}}\b')"
 
 
 def chunks(spark, sf):
@@ -255,19 +278,16 @@ def chunks(spark, sf):
 
 
 def recognised(spark, sf):
-    """Entities of each chunk from the stand-in; a chunk whose call fails is left out, the others count."""
-    found = scorers.scored(chunks(spark, sf), "chunk", capital_pairs)
-    each = found.select("file_id", C("pos").alias("chunk_pos"), F.posexplode(F.from_json("reply", "array<struct<text:string,label:string,score:double>>")).alias("i", "e"))
-    rows = each.select("file_id", (C("chunk_pos") * 100_000 + C("i")).alias("pos"), "e.text", "e.label", "e.score")
-    return counts.entity_tally(counts.entities(rows)).groupBy("file_id").agg(F.count("*").alias("entities"), F.sum("frequency").alias("frequency"))
+    """Entities of each chunk from the stand-in: how many different ones a document has, and how many in all."""
+    found = counts.recognised(docs(spark, sf), capital_pairs)
+    return counts.entity_tally(counts.entities(found)).groupBy("file_id").agg(F.count("*").alias("entities"), F.sum("frequency").alias("frequency"))
 
 
-def voted(spark, sf):
-    return counts.voted_language(docs(spark, sf), counts.stopwords(spark))
+RECOGNISED = f"""SELECT doc_id AS file_id, count(DISTINCT e) AS entities, count(*) AS frequency FROM (SELECT doc_id, unnest({CAPITALS.format("text")}) AS e FROM documents) GROUP BY doc_id"""
 
 
-def paths(spark, sf):
-    return names(spark, sf).select("page_id", X.local_path(X.safe_name(C("name")), F.lit("words"), F.when(C("page_id") % 2 == 0, "de"), "csv").alias("path"))
+def voted(spark, sf):
+    return counts.voted_language(docs(spark, sf), counts.stopwords(spark))
 
 
 DOC = lambda column: lambda s, d: docs(s, d).select("doc_id", *column())
@@ -276,7 +296,7 @@ QUERIES = {
     "src_upload": (uploads, UPLOADS),
     "src_hash_cli": (lambda s, d: uploads(s, d).select("page_id", "digest"), f"SELECT page_id, digest FROM ({UPLOADS})"),
     "src_prompt": (prompts, "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'Translate: {text}' WHEN lang = 'de' THEN 'Fasse zusammen: {text}' ELSE 'Summarise: {text}' END AS prompt FROM documents"),
-    "src_mapping": (lambda s, d: L.dimension(s, L.NAMES), f"WITH {NAMES} SELECT * FROM names"),
+    "src_mapping": (lambda s, d: used(s, d, L.NAMES), f"WITH {NAMES}, {USED.format('names')} SELECT * FROM used"),
     "src_nlp_model": (tokenizer, "WITH " + values_sql("models", L.TOKENIZERS) + """ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ar_words' ELSE coalesce((SELECT name FROM models m WHERE m.code = CASE WHEN doc_id % 7 = 0 THEN 'qq' ELSE lang END), 'xx_sent_ud_sm') END AS model FROM documents"""),
     "src_llm": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
     "ml_hate_detect": (moderated, """SELECT doc_id, length(text)::INT AS characters, 'insult' AS category, 'high' AS confidence FROM documents WHERE contains(left(text, 2048), 'idiot') OR contains(left(text, 2048), 'scum')"""),
@@ -289,9 +309,9 @@ QUERIES = {
     "prj_should_translate": (gate, f"WITH {CODES} SELECT doc_id, doc_id % 5 <> 0 AND split_part(code, '-', 1) IS DISTINCT FROM 'en' AS needed FROM codes"),
     "prj_transcript_lang": (lambda s, d: codes(s, d).select("doc_id", F.when(C("doc_id") % 5 == 0, C("code")).otherwise("en").alias("language")), f"WITH {CODES} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN code ELSE 'en' END AS language FROM codes"),
     "fn_base_lang": (lambda s, d: codes(s, d).select("doc_id", X.base_language(C("code")).alias("base")), f"WITH {CODES} SELECT doc_id, split_part(code, '-', 1) AS base FROM codes"),
-    "fn_kv_swap": (lambda s, d: L.dimension(s, L.NAMES).select(C("name").alias("code"), C("code").alias("name")), f"WITH {NAMES} SELECT name AS code, code AS name FROM names"),
-    "sort_languages": (lambda s, d: L.by_name(L.dimension(s, L.NAMES)), f"WITH {NAMES} SELECT *, row_number() OVER (ORDER BY name) AS pos FROM names"),
-    "lang_default_target": (lambda s, d: L.default_target(L.dimension(s, L.TARGETS), "tlh"), f"WITH {TARGETS} SELECT arg_min(code, (CASE code WHEN 'tlh' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, name)) AS code FROM targets"),
+    "fn_kv_swap": (lambda s, d: used(s, d, L.NAMES).select(C("name").alias("code"), C("code").alias("name"), "documents"), f"WITH {NAMES}, {USED.format('names')} SELECT name AS code, code AS name, documents FROM used"),
+    "sort_languages": (lambda s, d: L.by_name(used(s, d, L.NAMES)), f"WITH {NAMES}, {USED.format('names')} SELECT *, row_number() OVER (ORDER BY name) AS pos FROM used"),
+    "lang_default_target": (default_targets, f"WITH {TARGETS} SELECT DISTINCT upper(lang) AS lang, coalesce((SELECT code FROM targets t WHERE t.code = d.lang AND d.lang <> 'fr'), 'en') AS target FROM documents d WHERE lang IS NOT NULL"),
     "fn_translation_prompt": (lambda s, d: lang_name(s, d).select("doc_id", X.filled("From {a} to {b}", a=C("language"), b=F.lit("English")).alias("prompt")), f"WITH {NAMES}, {CODES} SELECT doc_id, 'From ' || coalesce({NAMED}, '') || ' to English' AS prompt FROM codes c"),
     "fn_prompts": (DOC(lambda: [X.filled("Sum up: {text}", text=C("text")).alias("prompt")]), "SELECT doc_id, 'Sum up: ' || text AS prompt FROM documents"),
     "fn_sanitize_filename": (FILE(lambda: X.safe_name(C("name")).alias("safe")), f"WITH {FILES} SELECT page_id, {SAFE.format('name')} AS safe FROM files"),
@@ -324,10 +344,9 @@ QUERIES = {
     "src_keyframes": (frames, """SELECT doc_id, pos - 1 AS pos, item FROM (SELECT doc_id, unnest(l) AS item, generate_subscripts(l, 1) AS pos FROM (
       SELECT doc_id, CASE WHEN n <= 8 THEN [i * 2 for i in range(n)] ELSE [floor(i * (n / 8.0::DOUBLE))::BIGINT * 2 for i in range(8)] END AS l FROM (SELECT doc_id, length(text) % 37 + 1 AS n FROM documents)))"""),
     "fn_ner_chunks": (chunks, None),
-    "src_ner": (recognised, None),
+    "src_ner": (recognised, RECOGNISED),
     "ml_detect_lang": (voted, rf"""WITH {STOP}, votes AS (SELECT doc_id, s.lang, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) w JOIN stop s USING (word) GROUP BY ALL)
       SELECT doc_id AS file_id, coalesce((SELECT arg_min(lang, (-n, lang)) FROM votes v WHERE v.doc_id = d.doc_id), 'en') AS language FROM documents d"""),
-    "snk_local_dir": (paths, "WITH " + FILES + f", safe AS (SELECT page_id, {SAFE.format('name')} AS name FROM files), stems AS (SELECT page_id, {STEM} AS stem FROM safe) SELECT page_id, 'output/' || stem || '/' || stem || '_words' || CASE WHEN page_id % 2 = 0 THEN '_de' ELSE '' END || '.csv' AS path FROM stems"),
     "keyframe_target": (DOC(lambda: [X.keyframes(F.length("text") / 100.0, F.lit(0.5), F.lit(20)).alias("frames")]), "SELECT doc_id, least(greatest(round_even(length(text) / 100.0::DOUBLE * 0.5::DOUBLE, 0), 1), 20)::BIGINT AS frames FROM documents"),
     "keyframe_clamp": (lambda s, d: settings(s, d).select("event_id", "rate", "most"), f"SELECT event_id, rate, most FROM ({SETTINGS})"),
     "fn_tristate": (lambda s, d: settings(s, d).select("event_id", "flag"), f"SELECT event_id, flag FROM ({SETTINGS})"),
@@ -339,4 +358,3 @@ QUERIES = {
     "fn_optional_str": (lambda s, d: D.table(s, d, "events").select("event_id", F.when(C("event_id") % 3 == 0, C("user_id")).cast("string").alias("text")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR END AS text FROM events"),
     "fn_oversize_message": (oversize, "SELECT page_id, CASE WHEN page_id * 134217728 > 8589934592 THEN 'f.wav is ' || printf('%.1f', floor(page_id / 8.0::DOUBLE * 10 + 0.5::DOUBLE) / 10::DOUBLE) || ' GB, over the limit of 8.0 GB' END AS message FROM pages"),
 }
-QUERIES["ml_entities"] = QUERIES["agg_entity_tally"]

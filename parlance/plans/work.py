@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
+from parlance.operators import counts, scorers, sentences
 from parlance.operators import exports as E
 from parlance.operators import jobs as J
 from parlance.plans import speech, texts
+from parlance.plans.oracle import summary_tables
 from parlance.plans.oracle import with_tables as ONE
 from parlance.plans.speech import timed, with_timed
 from parlance.sources import derived as D
-from parlance.sources import folders
+from parlance.sources import files, folders
 from parlance.streaming import events as S
 from parlance.streaming import subscriptions as U
 
@@ -31,7 +33,16 @@ BLOCKS = f"SELECT file_id, string_agg({HEAD} || {{}}, chr(10) || chr(10) ORDER B
 
 
 def record_rows(spark, sf) -> DataFrame:
-    t = timed(spark, sf).withColumn("start", F.when(C("row_idx") % 9 == 4, F.lit("soon")).otherwise(C("start")))
+    return record_rows_of(timed(spark, sf))
+
+
+def records_of(transcript: DataFrame) -> DataFrame:
+    return E.records(record_rows_of(transcript))
+
+
+def record_rows_of(transcript: DataFrame) -> DataFrame:
+    """Rows with what a record needs; every ninth time cannot be read."""
+    t = transcript.withColumn("start", F.when(C("row_idx") % 9 == 4, F.lit("soon")).otherwise(C("start")))
     rows = E.record_rows(t)
     return rows.withColumn("file_name", F.concat(F.lit('a"'), C("file_id").cast("string"), F.lit(".wav"))).withColumn(
         "file_hash", F.when(C("file_id") % 3 == 0, F.concat(F.lit("sha256:"), F.sha2(C("file_id").cast("string"), 256)))
@@ -64,7 +75,7 @@ def with_lines(sql: str) -> str:
 
 
 def records(spark, sf) -> DataFrame:
-    return E.records(record_rows(spark, sf))
+    return records_of(timed(spark, sf))
 
 
 def results(spark, sf) -> DataFrame:
@@ -127,11 +138,192 @@ def manifest(spark, sf) -> DataFrame:
     return E.manifest(results(spark, sf), "owner_id", ["created_at", "job_id"])
 
 
+class Produced:
+    """What the jobs of all files gave, each table kept: the transcript (rows of silent files, every seventh, are none), words,
+    entities and findings of the text in its last language, summaries of every third file, and record lines."""
+
+    def __init__(self, spark, sf):
+        loud = C("file_id") % 7 != 0
+        self.transcript = folders.keep(timed(spark, sf).where(loud))
+        shown = self.transcript.withColumn("text", sentences.effective())
+        texts_ = folders.keep(sentences.file_text(shown, "row_idx"))
+        some = texts_.withColumn("lang", F.lit("en"))
+        self.words = counts.top_words(counts.word_counts(counts.without_stopwords(counts.tokens(some), counts.stopwords(spark))))
+        self.words = folders.keep(self.words)
+        self.entities = folders.keep(counts.entity_tally(counts.entities(counts.recognised(texts_, texts.capital_pairs))))
+        flagged = shown.where(F.length("text") % 11 == 0)
+        said = {"category": "insult", "confidence": "high", "reason": "length"}
+        self.findings = flagged.select("file_id", "row_idx", "text", "start", *(F.lit(v).alias(k) for k, v in said.items()))
+        self.summaries = folders.keep(scorers.summarised(texts_.where("file_id % 3 = 0"), 600))
+        self.lines = records_of(self.transcript)
+
+    def rendered(self) -> DataFrame:
+        return E.rendered(self.transcript, self.words, self.entities, self.findings, self.summaries, self.lines)
+
+
+def cell_sql(column: str) -> str:
+    return f"CASE WHEN regexp_matches({column}, '[,\"\\r\\n]') THEN '\"' || replace({column}, '\"', '\"\"') || '\"' ELSE coalesce({column}, '') END"
+
+
+_UNSEEN = r"CASE WHEN contains(text, '(unreadable)') THEN array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[513:], ' ') ELSE text END"
+_KEYS = "file_id, row_idx, start, text"
+PRODUCED = (
+    f"""loud AS (SELECT * FROM timed WHERE file_id % 7 <> 0),
+said AS (SELECT file_id, row_idx, start, coalesce(translation, text) AS text FROM loud),
+jobtexts AS (SELECT file_id AS doc_id, 'en' AS lang, string_agg(text, ' ' ORDER BY row_idx) AS text FROM said GROUP BY file_id),
+asked_for AS (SELECT doc_id AS file_id, text FROM jobtexts WHERE doc_id % 3 = 0),
+{summary_tables("asked_for", 600)},
+{texts.TOKENS.replace("FROM documents", "FROM jobtexts")},
+found AS (SELECT file_id, 'PERSON' AS category, entity, count(*) AS frequency, row_number() OVER (PARTITION BY file_id ORDER BY min(i)) AS rank FROM (
+  SELECT doc_id AS file_id, unnest(l) AS entity, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {texts.CAPITALS.format("(" + _UNSEEN + ")")} AS l FROM jobtexts)) GROUP BY file_id, entity),
+flagged AS (SELECT *, 'insult' AS category, 'high' AS confidence, 'length' AS reason FROM said WHERE length(text) % 11 = 0)"""
+)
+
+
+def csv_sql(name: str, rows: str, order: str, head: str, line: str) -> str:
+    return f"SELECT file_id, '{name}' AS artifact, max({head}) || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) || chr(10) AS shown FROM {rows} GROUP BY file_id"
+
+
+def cells_sql(name: str, rows: str, order: str, head: str, line: str) -> str:
+    return f"SELECT file_id, '{name}' AS artifact, max({head}) || ' ' || string_agg({line}, ' ' ORDER BY {order}) AS shown FROM {rows} GROUP BY file_id"
+
+
+_ROW = [("start", None), ('"end"', None), ("speaker", "has_speaker"), ("text", None), ("translation", "has_translation")]
+
+
+def _optional(value, between: str) -> str:
+    each = [f"'{between}' || {value(c)}" if there is None else f"CASE WHEN {there} THEN '{between}' || {value(c)} ELSE '' END" for c, there in _ROW]
+    return "substr(" + " || ".join(each) + f", {len(between) + 1})"
+
+
+_WORD, _ENTITY, _FINDING = ("word", "frequency"), ("entity", "category", "frequency"), ("hate_speech", "category", "confidence", "reason", "text", "start")
+_joined = lambda columns, between, value=lambda c: f"({c})::VARCHAR": f" || '{between}' || ".join("'True'" if c == "hate_speech" else value(c) for c in columns)
+_csv = lambda columns: _joined(columns, ",", lambda c: cell_sql(f"({c})::VARCHAR"))
+SINGLE = " UNION ALL ".join([
+    csv_sql("transcript.csv", "loud", "row_idx", _optional(lambda c: "'" + c.strip('"') + "'", ","), _optional(cell_sql, ",")),
+    cells_sql("transcript.xlsx", "loud", "row_idx", _optional(lambda c: "'" + c.strip('"') + "'", " "), _optional(lambda c: c, " ")),
+    "SELECT file_id, 'transcript.txt', content FROM (" + BLOCKS.format("text", "").replace("FROM timed", "FROM loud") + ")",
+    "SELECT file_id, 'translation.txt', content FROM (" + BLOCKS.format("translation", "WHERE has_translation").replace("FROM timed", "FROM loud") + ")",
+    "SELECT file_id, 'summary.txt', summary FROM summaries",
+    csv_sql("wordcounts.csv", "top", "rank", "'word,frequency'", _csv(_WORD)), cells_sql("wordcounts.xlsx", "top", "rank", "'word frequency'", _joined(_WORD, " ")),
+    csv_sql("entities.csv", "found", "rank", "'entity,category,frequency'", _csv(_ENTITY)), cells_sql("entities.xlsx", "found", "rank", "'entity category frequency'", _joined(_ENTITY, " ")),
+    csv_sql("hate_speech.csv", "flagged", "row_idx", "'" + ",".join(_FINDING) + "'", _csv(_FINDING)), cells_sql("hate_speech.xlsx", "flagged", "row_idx", "'" + " ".join(_FINDING) + "'", _joined(_FINDING, " ")),
+    "SELECT file_id, 'segments.jsonl', string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) FROM lines WHERE file_id % 7 <> 0 GROUP BY file_id",
+])
+ORDER = "(VALUES " + ", ".join(f"('{name}', '{end}', {i})" for i, (name, end) in enumerate(E.MEMBERS.items())) + ") o(artifact, ending, place)"
+KIND = "CASE " + " ".join(f"WHEN artifact = '{k}' THEN '{v}'" for k, v in E.ARTIFACTS.items()) + " END"
+#: A member of an archive as it is compared: a workbook by its name, any other also by its hash.
+_MEMBER = "{name} || CASE WHEN {name} LIKE '%.xlsx' THEN '' ELSE ' ' || sha256({content}) END"
+
+
+def with_produced(sql: str) -> str:
+    return with_lines("").rstrip() + f",\n{PRODUCED},\nsingle AS ({SINGLE})\n" + sql
+
+
+ARTIFACT_BYTES = f"""SELECT file_id, artifact, {KIND} AS media_type, shown FROM (SELECT file_id, artifact, shown FROM single UNION ALL
+  SELECT file_id, 'archive.zip', string_agg({_MEMBER.format(name="(file_id || ending)", content="shown")}, chr(10) ORDER BY place) FROM single JOIN {ORDER} USING (artifact) GROUP BY file_id)"""
+BATCH_BYTES = f"""SELECT file_id // 10 AS owner_id, 'segments.jsonl' AS artifact, string_agg(line || chr(10), '' ORDER BY file_id, sentence_index) AS shown FROM lines WHERE file_id % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT owner_id, 'archive.zip', string_agg(shown, chr(10) ORDER BY job, place) FROM (
+  SELECT file_id // 10 AS owner_id, file_id AS job, place, {_MEMBER.format(name="(file_id || '/' || file_id || ending)", content="shown")} AS shown FROM single JOIN {ORDER} USING (artifact)
+  UNION ALL SELECT file_id // 10, -1, 0, {_MEMBER.format(name="'batch_summaries.txt'", content="string_agg(repeat('=', 40) || chr(10) || file_id || '.wav' || chr(10) || repeat('=', 40) || chr(10) || chr(10) || summary || chr(10), chr(10) ORDER BY file_id)")} FROM summaries GROUP BY ALL) GROUP BY owner_id"""
+
+
+def shown_members(zips: DataFrame, *keys: str) -> DataFrame:
+    """(keys, shown): what archives hold: names of workbooks, names and hashes of all else, in order."""
+    each = E.unpacked(zips.withColumnRenamed("content", "archive"), *keys)
+    line = F.concat("member", F.when(C("member").endswith(".xlsx"), "").otherwise(F.concat(F.lit(" "), F.sha2("content", 256))))
+    return each.withColumn("line", line).groupBy(*keys).agg(D.in_order("line", "pos", "\n").alias("shown"))
+
+
+def shown_files(found: DataFrame, key: str) -> DataFrame:
+    """(key, artifact, shown) of files read again (key, artifact, content): the text, or a workbook's cells, or members."""
+    keys = [key, "artifact"]
+    books, zips = C("artifact").endswith(".xlsx"), C("artifact").endswith(".zip")
+    text = found.where(~books & ~zips).select(*keys, F.decode("content", "utf-8").alias("shown"))
+    sheet = E.unpacked(found.where(books).withColumnRenamed("content", "archive"), *keys).where("member = 'xl/worksheets/sheet1.xml'")
+    cells = F.regexp_extract_all(F.decode("content", "utf-8"), F.lit("<(?:t xml:space=\"preserve\"|v)>([^<]*)<"), F.lit(1))
+    return text.unionByName(sheet.select(*keys, F.array_join(cells, " ").alias("shown"))).unionByName(shown_members(found.where(zips), *keys))
+
+
+def reread(spark, at: str, key: str) -> DataFrame:
+    """(key, artifact, content) of files <key>/<artifact> under a path."""
+    found = files.read(spark, at)
+    return found.select(F.substring_index("name", "/", 1).cast("long").alias(key), F.substring_index("name", "/", -1).alias("artifact"), "content")
+
+
+def artifact_files(spark, sf) -> DataFrame:
+    """Every artifact of every job, written as a file <job>/<artifact>, read again and compared by what it holds."""
+    made = folders.keep(Produced(spark, sf).rendered())
+    single = made.select(F.concat_ws("/", "file_id", "artifact").alias("name"), F.lit(None).cast("string").alias("member"), F.lit(0).alias("place"), "content")
+    zips = E.archive_rows(made, C("file_id").cast("string")).select(F.concat(C("file_id").cast("string"), F.lit("/archive.zip")).alias("name"), "member", "place", "content")
+    at = folders.new(spark, "artifacts")
+    files.write(single.unionByName(zips), at, ["place"])
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in E.ARTIFACTS.items() for x in kv)), C("artifact"))
+    return shown_files(reread(spark, at, "file_id"), "file_id").withColumn("media_type", kind)
+
+
+def batch_artifact_files(spark, sf) -> DataFrame:
+    """An owner's two artifacts over all its jobs, ten an owner. An owner's lines and members are never one value: they are
+    rows, in order, that the task which writes the file sees one by one."""
+    produced = Produced(spark, sf)
+    owner = F.floor(C("file_id") / 10).cast("string")
+    name = lambda artifact: F.concat(owner, F.lit("/" + artifact)).alias("name")
+    none = F.lit(None).cast("string").alias("member")
+    lines = produced.lines.select(name("segments.jsonl"), none, C("file_id").alias("job"), C("sentence_index").alias("place"), F.encode(F.concat("line", F.lit("\n")), "utf-8").alias("content"))
+    members_ = E.archive_rows(produced.rendered(), F.concat_ws("/", "file_id", "file_id"))
+    members_ = members_.select(name("archive.zip"), "member", C("file_id").alias("job"), "place", "content")
+    sums = produced.summaries.withColumn("owner_id", F.floor(C("file_id") / 10)).withColumn("file_name", F.concat(C("file_id").cast("string"), F.lit(".wav")))
+    sums = E.manifest(sums, "owner_id", ["file_id"]).select(F.concat(C("owner_id").cast("string"), F.lit("/archive.zip")).alias("name"), F.lit("batch_summaries.txt").alias("member"), F.lit(-1).cast("long").alias("job"), F.lit(0).cast("long").alias("place"), F.encode("content", "utf-8").alias("content"))
+    at = folders.new(spark, "artifacts")
+    files.write(lines.unionByName(members_).unionByName(sums), at, ["job", "place"])
+    return shown_files(reread(spark, at, "owner_id"), "owner_id")
+
+
+def local_transcripts(spark, sf) -> DataFrame:
+    """The local rendering of transcripts: table, workbook and texts of each file, written to its folder and read again."""
+    produced = Produced(spark, sf)
+    some = [k for k in E.MEMBERS if k.startswith("trans")]
+    made = E.archive_rows(produced.rendered().where(C("artifact").isin(*some)), F.concat_ws("/", "file_id", "file_id"))
+    at = folders.new(spark, "local")
+    files.write(made.select(C("member").alias("name"), "place", "content"), at, ["place"])
+    found = files.read(spark, at).select(F.substring_index("name", "/", 1).cast("long").alias("file_id"), C("name").alias("artifact"), "content")
+    return shown_files(found, "file_id").select(C("artifact").alias("name"), "shown")
+
+
+def local_files(spark, sf) -> DataFrame:
+    """Pages written under their local paths and read again: path, size and hash of each."""
+    named = texts.names(spark, sf).withColumn("name", F.concat_ws("_", "page_id", "name"))
+    path = X.local_path(X.safe_name(C("name")), F.lit("words"), F.when(C("page_id") % 2 == 0, "de"), "csv")
+    rows = named.select("page_id", path.alias("name")).join(D.table(spark, sf, "pages").select("page_id", C("html").alias("content")), "page_id")
+    at = folders.new(spark, "local")
+    files.write(rows, at, ["page_id"])
+    return files.read(spark, at).select(C("name").alias("path"), C("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
 def api(spark, sf) -> DataFrame:
-    """A file's rows as one nested value, in order, empty texts for missing ones left null."""
-    t = timed(spark, sf).select("file_id", "row_idx", F.struct("start", "end", "speaker", "text", "translation").alias("row"))
-    made = t.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "row"))).alias("rows"))
-    return made.select("file_id", F.size("rows").cast("long").alias("n"), C("rows")[0]["row"]["text"].alias("first_text"), F.element_at("rows", -1)["row"]["end"].alias("last_end"))
+    """What a job's address gives, as JSON: even files were translated, every eleventh job is still running, silent ones were
+    skipped."""
+    produced = Produced(spark, sf)
+    k = C("file_id")
+    ids = D.table(spark, sf, "conversations").select(C("conv_id").alias("file_id")).distinct()
+    jobs = ids.select(
+        "file_id", (k % 11 != 10).alias("completed"), (k % 7 == 0).alias("skipped"), F.when(k % 7 == 0, "no speech").alias("skip_reason"),
+        F.when(k % 2 == 0, "translate").otherwise("transcribe").alias("task"), F.when(k % 2 == 0, "en").otherwise("de").alias("transcript_language"),
+        F.lit("de").alias("resolved_src_lang"), (k % 7 != 0).alias("has_cloud"), (k % 10 == 1).alias("has_frames"),
+    )
+    return E.api_documents(jobs, produced.transcript, produced.words, produced.entities, produced.findings, produced.summaries)
+
+
+API = """SELECT file_id, CASE WHEN file_id % 11 <> 10 THEN to_json({'transcript': coalesce(t, []), 'transcript_language': CASE WHEN file_id % 2 = 0 THEN 'en' ELSE 'de' END, 'resolved_src_lang': 'de', 'summary': summary,
+  'word_counts': w, 'named_entities': e, 'wordcloud_url': CASE WHEN file_id % 7 <> 0 THEN '/api/v1/jobs/' || file_id || '/artifacts/wordcloud.png' END,
+  'keyframes_url': CASE WHEN file_id % 10 = 1 THEN '/api/v1/jobs/' || file_id || '/artifacts/keyframes.zip' END, 'hate_speech_findings': h, 'skipped': file_id % 7 = 0,
+  'skip_reason': CASE WHEN file_id % 7 = 0 THEN 'no speech' END, 'task': CASE WHEN file_id % 2 = 0 THEN 'translate' ELSE 'transcribe' END})::VARCHAR END AS document
+FROM (SELECT DISTINCT conv_id AS file_id FROM conversations)
+LEFT JOIN (SELECT file_id, list({'start': start, 'end': "end", 'speaker': speaker, 'text': text, 'translation': translation} ORDER BY row_idx) AS t FROM loud GROUP BY file_id) USING (file_id)
+LEFT JOIN (SELECT file_id, list({'word': word, 'count': frequency} ORDER BY rank) AS w FROM top GROUP BY file_id) USING (file_id)
+LEFT JOIN (SELECT file_id, list({'entity': entity, 'category': category, 'frequency': frequency} ORDER BY rank) AS e FROM found GROUP BY file_id) USING (file_id)
+LEFT JOIN (SELECT file_id, list({'hate_speech': true, 'category': category, 'confidence': confidence, 'reason': reason, 'text': text, 'start': start} ORDER BY row_idx) AS h FROM flagged GROUP BY file_id) USING (file_id)
+LEFT JOIN summaries USING (file_id)"""
 
 
 def frames(spark, sf) -> DataFrame:
@@ -332,13 +524,10 @@ def once(spark, sf) -> DataFrame:
     return spark.read.schema("job_id long, event string").parquet(f"{at}/once")
 
 
-def both_files(spark, sf) -> DataFrame:
-    """The local rendering of a transcript: names of its table, workbook and texts."""
-    t = timed(spark, sf).groupBy("file_id").agg(F.max("has_translation").alias("has_translation"))
-    ends = F.array_compact(F.array(F.lit("_transcript.csv"), F.lit("_transcript.xlsx"), F.lit("_transcript.txt"), F.when(C("has_translation"), "_translation.txt")))
-    return t.select(F.explode(F.transform(ends, lambda e: F.concat(C("file_id").cast("string"), e))).alias("name"))
-
-
+#: Of a file of which the first chunk fails, the entities after its 512 words.
+ENTITIES = ONE(f"""SELECT file_id, 'PERSON' AS category, entity, count(*) AS frequency, row_number() OVER (PARTITION BY file_id ORDER BY min(i)) AS rank FROM (
+  SELECT file_id, unnest(l) AS entity, generate_subscripts(l, 1) AS i FROM (SELECT file_id, {texts.CAPITALS.format("(" + _UNSEEN + ")")} AS l FROM (
+    SELECT file_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY file_id))) GROUP BY file_id, entity""", "segments")
 JOBS = lambda sql: ONE(sql, "jobs")
 EVENTS = lambda sql: ONE(sql, "job_events")
 LIST = lambda f: (lambda s, d: f(D.jobs(s, d)))
@@ -360,7 +549,8 @@ QUERIES = {
     "snk_archive_batch": (batch, with_members("SELECT owner_id, folder || '/' || member AS name FROM members JOIN placed USING (owner_id, job_id) UNION ALL SELECT DISTINCT owner_id, 'batch_summaries.txt' FROM results WHERE job_id % 3 = 1")),
     "snk_summary_manifest": (manifest, with_members("SELECT owner_id, string_agg(repeat('=', 40) || chr(10) || file_name || chr(10) || repeat('=', 40) || chr(10) || chr(10) || 'Sum of ' || job_id || chr(10), chr(10) ORDER BY created_at, job_id) AS content FROM results WHERE job_id % 3 = 1 GROUP BY owner_id")),
     "snk_zip": (archived, with_lines("SELECT file_id AS job_id, 0::BIGINT AS pos, file_id || '_transcript.txt' AS member, content FROM (" + BLOCKS.format("text", "") + ") UNION ALL SELECT file_id, 1, file_id || '_segments.jsonl', string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) FROM lines GROUP BY file_id")),
-    "snk_json_api": (api, with_timed('SELECT file_id, count(*) AS n, arg_min(text, row_idx) AS first_text, arg_max("end", row_idx) AS last_end FROM timed GROUP BY file_id')),
+    "snk_json_api": (api, with_produced(API)),
+    "ml_entities": (lambda s, d: counts.entity_tally(counts.entities(counts.recognised(speech.file_text(s, d), texts.capital_pairs))), ENTITIES),
     "snk_sse": (frames, EVENTS(FRAMES)),
     "st_frame_parse": (parsed, EVENTS("SELECT job_id AS stream_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS frame_idx, event, job_id::VARCHAR AS job FROM job_events")),
     "st_event_parse": (lambda s, d: parsed(s, d).groupBy("event").agg(F.count("*").alias("n")), EVENTS("SELECT event, count(*) AS n FROM job_events GROUP BY event")),
@@ -392,9 +582,12 @@ QUERIES = {
 }
 QUERIES |= {
     "snk_xlsx": (books, f"WITH {texts.TOKENS} SELECT file_id, 'word frequency ' || string_agg(word || ' ' || frequency, ' ' ORDER BY rank) AS cells FROM top GROUP BY file_id"),
-    "snk_transcript_local": (both_files, with_timed("SELECT file_id || e AS name FROM (SELECT DISTINCT file_id, unnest(CASE WHEN has_translation THEN ['_transcript.csv', '_transcript.xlsx', '_transcript.txt', '_translation.txt'] ELSE ['_transcript.csv', '_transcript.xlsx', '_transcript.txt'] END) AS e FROM timed)")),
-    "snk_artifact": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).select("job_id", "artifact", "media_type"), with_members(ARTIFACTS)),
-    "snk_artifact_batch": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), with_members(f"SELECT job_id, artifact FROM ({ARTIFACTS}) WHERE artifact IN ('archive.zip', 'segments.jsonl')")),
+    "snk_transcript_local": (local_transcripts, with_produced(f"SELECT file_id || '/' || file_id || ending AS name, shown FROM single JOIN {ORDER} USING (artifact) WHERE artifact LIKE 'trans%'")),
+    "snk_local_dir": (local_files, "WITH " + texts.FILES + f", safe AS (SELECT page_id, {texts.SAFE.format("(page_id || '_' || name)")} AS name FROM files), stems AS (SELECT page_id, {texts.STEM} AS stem FROM safe) SELECT 'output/' || stem || '/' || stem || '_words' || CASE WHEN page_id % 2 = 0 THEN '_de' ELSE '' END || '.csv' AS path, strlen(html) AS size, sha256(html) AS digest FROM stems JOIN pages USING (page_id)"),
+    "snk_artifact": (artifact_files, with_produced(ARTIFACT_BYTES)),
+    "snk_artifact_batch": (batch_artifact_files, with_produced(BATCH_BYTES)),
+    "snk_artifact_names": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).select("job_id", "artifact", "media_type"), with_members(ARTIFACTS)),
+    "snk_artifact_batch_names": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), with_members(f"SELECT job_id, artifact FROM ({ARTIFACTS}) WHERE artifact IN ('archive.zip', 'segments.jsonl')")),
     "st_fanout": (fanned, with_folded("SELECT job_id, status FROM folded WHERE status <> 'running'")),
     "st_reconnect": (once, EVENTS("SELECT job_id, event FROM job_events WHERE event IN ('job_completed', 'job_failed')")),
 }
