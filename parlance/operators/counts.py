@@ -84,13 +84,3 @@ def findings(rows: DataFrame, by: str = "row_idx") -> DataFrame:
     """Flagged rows before the first one of their file that failed (ok = false): a sweep that stops at an outage."""
     failed = F.min(F.when(~F.col("ok"), F.col(by))).over(Window.partitionBy("file_id"))
     return rows.withColumn("stop", failed).where((F.col("stop").isNull() | (F.col(by) < F.col("stop"))) & F.col("detection.hate_speech")).drop("stop")
-
-
-def voted_language(docs: DataFrame, stop: DataFrame) -> DataFrame:
-    """(file_id, language): the language whose stop words a text has most of, the first by code among equals; `en` for none.
-
-    A stand-in for a statistical detector: deterministic, and of known languages only."""
-    words = docs.select("file_id", F.explode(X.split_words(F.lower("text"))).alias("word"))
-    votes = words.join(F.broadcast(stop), "word").groupBy("file_id", "lang").agg(F.count("*").alias("n"))
-    best = votes.groupBy("file_id").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("language"))
-    return docs.select("file_id").join(best, "file_id", "left").withColumn("language", F.coalesce("language", F.lit("en")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from parlance.sources.folders import keep
+
 EVENTS = ("stage_started", "stage_completed", "job_completed", "job_failed", "job_cancelled")
 #: Labels of the five stages.
 STAGES = ("Transcribing", "Translating", "Running word-level analysis", "Summarizing", "Detecting hate speech")
@@ -100,3 +102,10 @@ def folders(jobs: DataFrame, part: list[str], by: list[str], stem: str = "stem")
     base = jobs.withColumn(stem, F.coalesce(F.nullif(F.col(stem), F.lit("")), F.lit("result")))
     n = F.col("occurrence")
     return occurrence(base, [*part, stem], by).withColumn("folder", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), n.cast("string"))))
+
+
+def observed(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """df, kept, and figures of it that were gathered while it was written, without a pass of their own."""
+    seen = Observation()
+    kept = keep(df.observe(seen, *(F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in figures.items())))
+    return kept, seen.get

@@ -138,6 +138,31 @@ def manifest(spark, sf) -> DataFrame:
     return E.manifest(results(spark, sf), "owner_id", ["created_at", "job_id"])
 
 
+def stage_figures(spark, sf) -> DataFrame:
+    """What the five stages of all jobs made, each figure gathered while its stage's table was written: one scan a stage."""
+    loud = timed(spark, sf).where("file_id % 7 <> 0")
+    t, first = J.observed(loud, rows=F.count("*"), characters=F.sum(F.length("text")))
+    shown, second = J.observed(t.withColumn("text", sentences.effective()), translated=F.count_if("has_translation"))
+    whole = sentences.file_text(shown, "row_idx")
+    words, third = J.observed(counts.word_counts(counts.without_stopwords(counts.tokens(whole.withColumn("lang", F.lit("en"))), counts.stopwords(spark))), words=F.count("*"), occurrences=F.sum("frequency"))
+    entities, found = J.observed(counts.entity_tally(counts.entities(counts.recognised(whole, texts.capital_pairs))), entities=F.count("*"))
+    sums, fourth = J.observed(scorers.summarised(whole.where("file_id % 3 = 0"), 600), summaries=F.count_if(C("summary") != ""))
+    flags, fifth = J.observed(shown.where(F.length("text") % 11 == 0), flagged=F.count("*"))
+    each = [first, second, third | found, fourth, fifth]
+    rows = [(i, J.STAGES[i], k, v) for i, figures in enumerate(each) for k, v in figures.items()]
+    return spark.createDataFrame(rows, "stage_index long, stage string, figure string, value long")
+
+
+STAGE_FIGURES = "SELECT i AS stage_index, s AS stage, k AS figure, v::BIGINT AS value FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS i, '{J.STAGES[i]}' AS s, '{k}' AS k, (SELECT coalesce({v}, 0)) AS v"
+    for i, k, v in [
+        (0, "rows", "(SELECT count(*) FROM loud)"), (0, "characters", "(SELECT sum(length(text)) FROM loud)"), (1, "translated", "(SELECT count_if(has_translation) FROM loud)"),
+        (2, "words", "(SELECT count(*) FROM counted)"), (2, "occurrences", "(SELECT sum(frequency) FROM counted)"), (2, "entities", "(SELECT count(*) FROM found)"),
+        (3, "summaries", "(SELECT count_if(summary <> '') FROM summaries)"), (4, "flagged", "(SELECT count(*) FROM flagged)"),
+    ]
+) + ")"
+
+
 class Produced:
     """What the jobs of all files gave, each table kept: the transcript (rows of silent files, every seventh, are none), words,
     entities and findings of the text in its last language, summaries of every third file, and record lines."""
@@ -157,6 +182,7 @@ class Produced:
         self.summaries = folders.keep(scorers.summarised(texts_.where("file_id % 3 = 0"), 600))
         self.lines = records_of(self.transcript)
 
+
     def rendered(self) -> DataFrame:
         return E.rendered(self.transcript, self.words, self.entities, self.findings, self.summaries, self.lines)
 
@@ -551,6 +577,7 @@ QUERIES = {
     "snk_zip": (archived, with_lines("SELECT file_id AS job_id, 0::BIGINT AS pos, file_id || '_transcript.txt' AS member, content FROM (" + BLOCKS.format("text", "") + ") UNION ALL SELECT file_id, 1, file_id || '_segments.jsonl', string_agg(line, chr(10) ORDER BY sentence_index) || chr(10) FROM lines GROUP BY file_id")),
     "snk_json_api": (api, with_produced(API)),
     "ml_entities": (lambda s, d: counts.entity_tally(counts.entities(counts.recognised(speech.file_text(s, d), texts.capital_pairs))), ENTITIES),
+    "agg_stage_observed": (stage_figures, with_produced(STAGE_FIGURES)),
     "snk_sse": (frames, EVENTS(FRAMES)),
     "st_frame_parse": (parsed, EVENTS("SELECT job_id AS stream_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS frame_idx, event, job_id::VARCHAR AS job FROM job_events")),
     "st_event_parse": (lambda s, d: parsed(s, d).groupBy("event").agg(F.count("*").alias("n")), EVENTS("SELECT event, count(*) AS n FROM job_events GROUP BY event")),

@@ -127,9 +127,31 @@ def write(rows: DataFrame, path: str, order: list[str], overwrite: bool = False)
     made.write.format("whole_files").mode("overwrite" if overwrite else "append").save(path)
 
 
+def empty_names(path: str) -> list[str]:
+    """Names of the files under a path that hold nothing, which Spark's reader passes over. They are listed where Spark lists
+    its files too, and only their names are held."""
+    from pyarrow import fs
+
+    system, root = filesystem(path)
+    found = system.get_file_info(fs.FileSelector(root, recursive=True))
+    return [posixpath.relpath(f.path, root) for f in found if f.type == fs.FileType.File and f.size == 0 and not f.base_name.startswith(("_", "."))]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, content) of all files under a path; what is not selected is not read."""
+    """(name, length, content) of all files under a path, empty ones too; what is not selected is not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     at = F.regexp_extract("path", r"^[a-z0-9+.-]*:?/*(.*)$", 1)
     root = posixpath.normpath(filesystem(path)[1]).strip("/")
-    return found.select(F.url_decode(F.substr(at, F.lit(len(root) + 2))).alias("name"), "length", "content")
+    full = found.select(F.url_decode(F.substr(at, F.lit(len(root) + 2))).alias("name"), "length", "content")
+    if none := empty_names(path):
+        full = full.unionByName(spark.createDataFrame([(n, 0, b"") for n in none], full.schema))
+    return full
+
+
+def received(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(name, length, accepted, digest) of the files under a path. Those above `most` bytes are refused by their length, which
+    the reader tells before it opens them; only the others are read, and have a hash."""
+    fine = F.col("length") <= most
+    taken = read(spark, path).where(fine).select("name", "length", F.lit(True).alias("accepted"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+    refused = read(spark, path).where(~fine).select("name", "length", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("digest"))
+    return taken.unionByName(refused)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from parlance.functions import settings
 from parlance.functions import text as X
-from parlance.operators import scorers, sentences, speakers
+from parlance.operators import counts, jobs, profiles, scorers, sentences, speakers
 from parlance.plans import texts
+from parlance.sources import files
 
 C = F.col
 
@@ -131,3 +132,66 @@ def test_each_chunk_reaches_the_summary(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "file_id long, text string")
     seen = {r["file_id"]: r["summary"] for r in scorers.summarised(df, 40, lambda texts: [t.split()[-1] for t in texts]).collect()}
     assert seen == {1: "w29"}
+
+
+def test_whole_entity_chunks_lose_no_word(spark):
+    text = "a b c d e f g h. i j! " + "k " * 12
+    for budget in (1, 3, 5, 100):
+        chunks = values(spark, "string", [text, " ", ""], lambda c, n=budget: X.entity_chunks(c, n, whole=True))
+        assert " ".join(chunks[0]).split() == text.split() and all(len(c.split()) <= budget for c in chunks[0]) and chunks[1:] == [[], []]
+
+
+def test_a_chunk_that_fails_costs_only_its_own_entities(spark):
+    df = spark.createDataFrame([(1, "Anna met. (unreadable) Bert. Carla left."), (2, "Dora, Dora"), (3, None)], "file_id long, text string")
+    found = counts.entity_tally(counts.recognised(df, texts.capital_pairs, budget=3)).collect()
+    assert {(r["file_id"], r["entity"], r["frequency"]) for r in found} == {(1, "Anna", 1), (1, "Carla", 1), (2, "Dora", 2)}
+
+
+def test_languages_by_profile(spark):
+    known = spark.createDataFrame([("x", "abab abab"), ("y", "cdcd cd"), (None, "zzzz")], "lang string, text string")
+    asked = spark.createDataFrame([(1, "Abab!"), (2, "cd, CD"), (3, ""), (4, None), (5, "12 34"), (6, "qq")], "file_id long, text string")
+    got = {r["file_id"]: (r["language"], r["distance"]) for r in profiles.detected(asked, profiles.learned(known)).collect()}
+    assert got[1][0] == "x" and got[2][0] == "y" and all(got[i] == ("en", None) for i in (3, 4, 5))
+    assert got[6][1] is None or got[6][1] > 0
+
+
+def test_place_distances_by_plain_counting(spark):
+    def ranks(text, size):
+        n = {}
+        for w in text.lower().split():
+            w = f"_{w}_"
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    if w[i : i + k] != "_":
+                        n[w[i : i + k]] = n.get(w[i : i + k], 0) + 1
+        return {g: i + 1 for i, g in enumerate(sorted(n, key=lambda g: (-n[g], g))[:size])}
+
+    langs, text = {"x": "the cat and the dog", "y": "le chat et le chien"}, "the chat"
+    df = spark.createDataFrame(list(langs.items()), "lang string, text string")
+    got = profiles.detected(spark.createDataFrame([(1, text)], "file_id long, text string"), profiles.learned(df, 8), 8).collect()[0]
+    own = ranks(text, 8)
+    far = {k: sum(abs(p - ranks(t, 8)[g]) if g in ranks(t, 8) else 8 for g, p in own.items()) for k, t in langs.items()}
+    assert (got["language"], got["distance"]) == min(((k, d) for k, d in far.items()), key=lambda kd: (kd[1], kd[0]))
+
+
+def test_held_out_languages(spark):
+    sf = "/root/testdata/sf0.01"
+    found = texts.detected(spark, sf).join(texts.docs(spark, sf).select("file_id", "lang"), "file_id").where("held_out")
+    right, n = found.agg(F.count_if(C("lang") == C("language")), F.count("*")).collect()[0]
+    assert n >= 150 and right / n >= 0.95, right / n
+
+
+def test_figures_are_gathered_while_a_table_is_written(spark):
+    kept, seen = jobs.observed(spark.range(100), rows=F.count("*"), even=F.count_if(C("id") % 2 == 0), none=F.sum(F.lit(None).cast("long")))
+    assert seen == {"rows": 100, "even": 50, "none": 0} and kept.count() == 100
+
+
+def test_refused_uploads_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([("a", b"12345"), ("b", b"123456"), ("c", b"")], "name string, content binary")
+    files.write(rows, f"{tmp_path}/in", [])
+    got = files.received(spark, f"{tmp_path}/in", 5)
+    assert {(r["name"], r["length"], r["accepted"], r["digest"] is None) for r in got.collect()} == {("a", 5, True, False), ("c", 0, True, False), ("b", 6, False, True)}
+    plan = got._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,5)" in plan and "GreaterThan(length,5)" in plan
+    scans = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "FileScan binaryFile" in line]
+    assert len(scans) == 2 and "content" not in next(line for line in scans if "GreaterThan" in line)

@@ -103,3 +103,10 @@ def test_names_stay_in_the_folder(spark, tmp_path, name):
 def test_no_files_make_an_empty_folder(spark, tmp_path):
     files.write(rows(spark, ("a", None, "x")).where("false"), f"{tmp_path}/out", ["i"])
     assert (tmp_path / "out").is_dir() and not list((tmp_path / "out").iterdir())
+    assert contents(spark, f"{tmp_path}/out") == {}
+
+
+def test_files_without_bytes_are_read_too(spark, tmp_path):
+    at = f"{tmp_path}/out"
+    files.write(rows(spark, ("x/a", None, ""), ("b", None, None), ("c", None, "full")), at, ["i"])
+    assert contents(spark, at) == {"x/a": b"", "b": b"", "c": b"full"}
