@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from parlance.functions import text as X
 from parlance.operators import counts, scorers, sentences
 from parlance.operators import exports as E
 from parlance.operators import jobs as J
+from parlance.operators.slots import Slots
 from parlance.plans import speech, texts
 from parlance.plans.oracle import summary_tables
 from parlance.plans.oracle import with_tables as ONE
@@ -409,6 +412,22 @@ def with_folded(sql: str) -> str:
     return ONE("", "jobs").rstrip() + f",\n{FOLDED},\nlive AS (SELECT * FROM folded WHERE job_id % 3 <> 0),\nover AS (SELECT j.owner_id, j.job_id, j.created_at, j.file_name, coalesce(l.status, j.status) AS status, l.stage AS live_stage, l.progress AS live_progress FROM jobs j LEFT JOIN live l USING (job_id))\n" + sql
 
 
+def in_slots(spark, sf) -> DataFrame:
+    """Progress of all jobs, folded by five jobs of which two run at a time, each for the owners of one part of the log. The
+    last, while it waits, is deleted and sent again."""
+    at = folders.new(spark, "parts")
+    D.job_events(spark, sf).withColumn("part", F.pmod("owner_id", F.lit(5))).write.partitionBy("part").parquet(at)
+    log = spark.read.parquet(at)
+    slots = Slots(spark, 2)
+    work = {str(k): J.fold(log.where(C("part") == k)).withColumn("part", F.lit(k)) for k in range(5)}
+    for name, rows in work.items():
+        slots.submit(name, rows.withColumn("attempt", F.lit(1)))
+    slots.delete("4")
+    slots.submit("4", work["4"].withColumn("attempt", F.lit(2)))
+    parts = [slots.result(name) for name in slots.finish()]
+    return reduce(DataFrame.unionByName, parts).select("part", "attempt", "owner_id", "job_id", "status", "progress")
+
+
 def overlaid(spark, sf) -> DataFrame:
     return J.overlaid(D.jobs(spark, sf), folded(spark, sf).where("job_id % 3 <> 0"))
 
@@ -615,6 +634,7 @@ QUERIES |= {
     "snk_artifact_batch": (batch_artifact_files, with_produced(BATCH_BYTES)),
     "snk_artifact_names": (lambda s, d: E.artifacts(results(s, d).withColumn("has_summary", C("job_id") % 3 == 1)).select("job_id", "artifact", "media_type"), with_members(ARTIFACTS)),
     "snk_artifact_batch_names": (lambda s, d: E.artifacts(results(s, d)).where(C("artifact").isin(*E.BATCH_ARTIFACTS)).select("job_id", "artifact"), with_members(f"SELECT job_id, artifact FROM ({ARTIFACTS}) WHERE artifact IN ('archive.zip', 'segments.jsonl')")),
+    "st_concurrency": (in_slots, with_folded("SELECT (owner_id % 5)::INTEGER AS part, CASE WHEN owner_id % 5 = 4 THEN 2 ELSE 1 END AS attempt, owner_id, job_id, status, progress FROM folded")),
     "st_fanout": (fanned, with_folded("SELECT job_id, status FROM folded WHERE status <> 'running'")),
     "st_reconnect": (once, EVENTS("SELECT job_id, event FROM job_events WHERE event IN ('job_completed', 'job_failed')")),
 }

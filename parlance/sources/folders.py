@@ -25,11 +25,16 @@ def shared(spark: SparkSession) -> str:
 _made: dict[str, SparkSession] = {}
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _delete_made() -> None:
     for path, spark in _made.items():
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
         except Exception:  # the session has ended already
             return
 
