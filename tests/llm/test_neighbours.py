@@ -76,3 +76,31 @@ def test_empty_table(spark):
     use = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     index, books, n = neighbours.indexed(use)
     assert neighbours.search(index, books, n, use, use).count() == 0
+
+
+def found(spark, x, nearest=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.usable(df, "vec_id", "embedding")
+    index, books, n = neighbours.indexed(rows)
+    return neighbours.search(index, books, n, rows, rows.where("vec_id % 20 = 0"), nearest).collect()
+
+
+def test_nothing_is_lost_whatever_the_rows_are_like(spark, monkeypatch):
+    """Rows that the codebooks fit badly (many dimensions), very long and very short ones, and families of near copies."""
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 900)
+    r = np.random.default_rng(7)
+    wide = r.normal(size=(1500, 320))
+    families = np.repeat(r.normal(size=(60, 24)), 25, axis=0) + 0.02 * r.normal(size=(1500, 24))
+    for x in (wide, 1e25 * r.normal(size=(400, 16)), 1e-8 * r.normal(size=(400, 16)), families * np.exp(2 * r.normal(size=(1500, 1)))):
+        assert recall(found(spark, x), brute(dict(enumerate(x)), 20, 20)) == 1
+
+
+def test_copies_of_one_vector_are_dealt_a_bounded_number_of_times(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 8)), 300, axis=0), r.normal(size=(200, 8))])
+    got = found(spark, x, 5)
+    assert recall(got, brute(dict(enumerate(x)), 20, 5)) == 1
+    rows = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index, _, n = neighbours.indexed(rows)
+    assert index.count() == n == 500
+    assert sorted(v["vec_id"] for v in neighbours.first_copies(index, 6).collect()) == [*range(6), *range(300, 500)]
