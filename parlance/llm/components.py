@@ -13,20 +13,21 @@ def components(links: DataFrame) -> DataFrame:
 
     A large star links each node's greater neighbours to its least one, a small star its lesser neighbours and itself.
     Both keep the components; the count of rounds grows with the logarithm of a component's width. Each round is written
-    to the shared folder, so that lineage stays short and a lost executor costs one read. No links give no rows."""
+    to the shared folder, so that lineage stays short and a lost executor costs one read; links that are stars already
+    are written once. No links give no rows."""
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while (now := _mark(edges)) != before:
-        before = now
+    while not _stars(edges):
         old, edges = edges, keep(_small(_large(edges)))
         forget(old)
-    out = keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
-    forget(edges)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out.kept_at = edges.kept_at
     return out
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one lesser neighbour or none, and those that are a lesser neighbour have none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:

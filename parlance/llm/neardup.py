@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, fresh, keep, whole_number
+from .common import forget, fresh, keep, small, whole_number
 from .components import components
 from .words import U, mix, scan, shingles, slices
 
@@ -133,24 +133,17 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets with more than one label."""
-    several = keep(members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
-    return members.join(several, "bucket", "left_semi")
-
-
 def untested(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes with different labels in one bucket of left (bucket, node, label) whose sets are likely to be
-    alike enough; of a node and a label one pair is enough.
+    """Pairs (a, b) of nodes with different labels in one bucket of left (bucket, node, label, n the set's size) whose sets
+    are likely to be alike enough; of a node and a label one pair is enough. Buckets of one label give none.
 
     Nodes outside a bucket's most frequent label meet all its nodes. A bucket is dealt to groups of about BLOCK such nodes by
     BLOCK of all, or fewer where their sets are large (BLOCK_SHINGLES a side), so that no group outgrows a task; a group
     compares its sets, cut to 32 bits a shingle, at once and gives only what passes, so rows grow with the members of
     buckets, not with their pairs."""
-    left = left.join(full.select("node", F.size("set").cast("long").alias("n")), "node")
     sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     # kept before the join, so that Spark may split the join's partition of a large bucket
-    counted = keep(sizes.groupBy("bucket").agg(F.max(F.struct("size", "label", "n")).alias("most"), F.sum("size").alias("many"), F.sum("n").alias("all")))
+    counted = keep(sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label", "n")).alias("most"), F.sum("size").alias("many"), F.sum("n").alias("all")).where("labels > 1").drop("labels"))
     marked = left.drop("n").join(counted, "bucket").withColumn("minor", F.col("label") != F.col("most.label"))
     part = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
     minors = part(F.col("many") - F.col("most.size"), F.col("all") - F.col("most.n"))
@@ -215,22 +208,22 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     nodes = keep(members.select("node").distinct().join(classes.select("node", "place"), "node"))
     wanted = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
     full = keep(full_sets(docs, wanted, k, key, text))
-    centres = keep(members.where("central").select("bucket", F.col("node").alias("centre")))
+    centres = members.where("central").select("bucket", F.col("node").alias("centre"))
     star = members.join(centres, "bucket").where("node <> centre")
-    links = keep(confirmed(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
-    labels = components(links)
-    left = keep(mixed(labelled(members.select("bucket", "node"), labels)))
-    tried = keep(untested(left, full, percent))
-    more = keep(confirmed(tried, full, percent))
-    forget(nodes, full, centres, members, left, tried)
-    if not more.isEmpty():
-        forget(labels)
-        labels = components(links.unionByName(more))
-    whole = labelled(classes, labels)
+    labels = components(confirmed(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), full, percent))
+    left = keep(labelled(members.select("bucket", "node"), labels).join(full.select("node", F.size("set").cast("long").alias("n")), "node"))
+    more = confirmed(untested(left, full, percent), full, percent)
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    met = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    # labels are the least nodes of their components, so components of labels give the least nodes of the whole
+    united = components(met.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    forget(nodes, full, members, left)
+    whole = labelled(classes, labels).join(small(united.select(F.col("node").alias("label"), F.col("label").alias("least"))), "label", "left")
+    whole = whole.withColumn("label", F.coalesce("least", "label")).drop("least")
     ends = whole.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
     ends = ends.select("label", "component_id", F.struct("first.place", "first.hash").alias("keeper"))
     found = keep(whole.select("node", "label").join(ends, "label").select("node", "component_id", "keeper"))
-    forget(links, more, labels, classes)
+    forget(labels, united, classes)
     joined = rows.select("doc_id", "place", "hash", "n_shingles", "node").join(found, "node", "left")
     alone = F.col("node").isNull()
     component, keeper = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")), F.when(alone, F.struct("place", "hash")).otherwise(F.col("keeper"))

@@ -111,3 +111,23 @@ def test_components(spark):
                 changed = True
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == root
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Each table that is written costs its tasks a file each and the executors the processes that set files' rights."""
+    written = []
+
+    def counted(df):
+        written.append(df.columns)
+        return keep(df)
+
+    keep = neardup.keep
+    monkeypatch.setattr(neardup, "keep", counted)
+    monkeypatch.setattr("parlance.llm.components.keep", counted)
+    components(spark.createDataFrame([("b", "a"), ("c", "a"), ("e", "d")], "a string, b string"))
+    assert len(written) == 1  # stars as they are
+    words = prose(9, 90).split()
+    rows = [(i, " ".join(words[:i] + [f"new{i}"] + words[i:]), "en", "web") for i in range(0, 90, 3)] + [(100 + i, prose(200 + i, 60), "en", "web") for i in range(20)]
+    written.clear()
+    same(spark, docs(spark, rows), [(i, t) for i, t, _, _ in rows], 2)
+    assert len(written) <= 13
