@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.jobs import EVENTS, STAGES
+from parlance.streaming.keyed import stateful
 
 PROGRESS = "owner_id long, job_id long, status string, stage_index long, stage string, progress double, seq long, ends boolean"
-_STATE = "status string, stage_index long, stage string, progress double, seq long, ended long, shown long"
 #: What a subscriber of a job gets.
 FRAMES = "owner_id long, job_id long, seq long, event string, stage_index long, closes boolean"
 
@@ -32,36 +28,42 @@ def undeleted(events: DataFrame, tombstones: DataFrame) -> DataFrame:
     return events.join(tombstones.select("job_id").distinct(), "job_id", "left_anti")
 
 
-def advance(state: tuple, rows: pd.DataFrame) -> tuple:
-    """Fold rows, in any order and however often they come, into (status, stage_index, stage, progress, seq, ended, shown):
-    ended and shown are the seq of the terminal event and of the label that count, so that late events change neither."""
+def advance(state: tuple, rows: list[tuple]) -> tuple:
+    """Fold rows (seq, event, stage_index, progress), in any order and however often they come, into (status, stage_index,
+    stage, progress, seq, ended, shown): ended and shown are the seq of the terminal event and of the label that count, so that
+    late events change neither."""
     status, index, stage, progress, last, ended, shown = state
-    if rows.empty:
-        return state
-    staged = rows[rows["event"].isin(("stage_started", "stage_completed"))]
-    done = rows[rows["event"] == "job_completed"]
-    terminal = rows[~rows["event"].isin(("stage_started", "stage_completed"))]
-    if len(staged):
-        index, progress = max(index, int(staged["stage_index"].max())), max(progress, float(staged["progress"].max()))
-        status = "running" if ended < 0 else status
-    if len(done):
-        progress = 1.0
-    labelled = pd.concat([staged, done])
-    if len(labelled) and labelled["seq"].max() >= shown:
-        newest = labelled.loc[labelled["seq"].idxmax()]
-        shown, stage = int(newest["seq"]), None if newest["event"] == "job_completed" else STAGES[int(newest["stage_index"])]
-    if len(terminal) and terminal["seq"].max() >= ended:
-        newest = terminal.loc[terminal["seq"].idxmax()]
-        ended, status = int(newest["seq"]), {"job_completed": "completed", "job_failed": "failed"}.get(newest["event"], "cancelled")
-    return status, index, stage, progress, max(last, int(rows["seq"].max())), ended, shown
-
-
-def _keyed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else ("queued", 0, None, 0.0, -1, -1, -1)
-    ended = now[5] >= 0
-    now = advance(now, pd.concat(list(batches), ignore_index=True))
-    state.update(now)
-    yield pd.DataFrame([(*key, *now[:5], now[5] >= 0 and not ended)], columns=["owner_id", "job_id", "status", "stage_index", "stage", "progress", "seq", "ends"])
+    staged, done, terminal = (-1, None), (-1, None), (-1, None)  # the newest of each kind
+    for seq, event, at, share in rows:
+        last = max(last, seq)
+        if event in ("stage_started", "stage_completed"):
+            if at == at:  # not null
+                index = max(index, int(at))
+            if share == share:
+                progress = max(progress, share)
+            if ended < 0:
+                status = "running"
+            if seq > staged[0]:
+                staged = seq, STAGES[int(at)]
+            continue
+        if event == "job_completed":
+            progress = 1.0
+            if seq > done[0]:
+                done = seq, None
+        if seq > terminal[0]:
+            terminal = seq, event
+    seq, label = staged if staged[0] >= done[0] else done
+    if seq >= max(shown, 0):
+        shown, stage = seq, label
+    if terminal[0] >= max(ended, 0):
+        ended, status = terminal[0], {"job_completed": "completed", "job_failed": "failed"}.get(terminal[1], "cancelled")
+    return status, index, stage, progress, last, ended, shown
+
+
+def _progress(key: tuple, now: list | None, rows: list[tuple]) -> tuple[tuple, list[tuple], None]:
+    before = tuple(now) if now else ("queued", 0, None, 0.0, -1, -1, -1)
+    after = advance(before, rows)
+    return after, [(*key, *after[:5], after[5] >= 0 and before[5] < 0)], None
 
 
 def replay(history: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def replay(history: DataFrame) -> DataFrame:
 def progress(events: DataFrame) -> DataFrame:
     """A stream of each job's state after every batch that has events of it (update mode); ends marks the one in which the job
     ended."""
-    return known(events).groupBy("owner_id", "job_id").applyInPandasWithState(_keyed, PROGRESS, _STATE, "update", GroupStateTimeout.NoTimeout)
+    e = known(events).select("owner_id", "job_id", "seq", "event", "stage_index", "progress")
+    return stateful(e, ["owner_id", "job_id"], _progress, PROGRESS, "update")
 
 
 def read(spark, path: str, schema, files_a_batch: int = 1) -> DataFrame:
