@@ -91,11 +91,14 @@ def fan_out(stream: DataFrame, sinks: dict[str, str], checkpoint: str, mode: str
     that is run again overwrites its own folder, so every row appears once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        several = len(sinks) > 1  # what goes to one sink only need not be held
+        if several:
+            batch.persist()
         for name, path in sinks.items():
             some = batch.where("ends") if name == "terminal" else batch
             some.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
+        if several:
+            batch.unpersist()
 
     return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -41,3 +41,14 @@ def test_progress_of_many_jobs_takes_few_calls(spark, tmp_path):
     folded = jobs.fold(spark.createDataFrame(rows, SCHEMA)).collect()
     assert last == {(x["owner_id"], x["job_id"]): (x["status"], x["stage_index"], x["stage"], x["progress"]) for x in folded}
     assert len(last) == JOBS
+
+
+def test_a_fan_out_of_many_jobs_takes_few_calls(spark, tmp_path):
+    """Each job that ended is once in the sink of terminal states, whatever batch ended it and whatever comes again."""
+    rows, parts = many(8)
+    for part in [*parts, parts[0]]:
+        put(spark, part, f"{tmp_path}/log")
+        assert run(S.progress(stream(spark, f"{tmp_path}/log")), tmp_path, ["all", "terminal"], "update") <= keyed.GROUPS
+    ended = {(owner, number): event for owner, number, _, _, event, *_ in rows if not event.startswith("stage_")}
+    got = [(x["owner_id"], x["job_id"], x["status"]) for x in spark.read.parquet(f"{tmp_path}/terminal").collect()]
+    assert sorted(got) == sorted((*key, event.removeprefix("job_")) for key, event in ended.items())
