@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.streaming.events import FRAMES, known
+from parlance.streaming.keyed import frame, stateful
 
 #: Fixed value: milliseconds without an event after which a subscriber gets a `ping`.
 IDLE_MS = 15_000
@@ -24,22 +25,11 @@ OWNED = "owner_id long, place long, job_id long, seq long, event string, live bo
 PASSED = "owner_id long, job_id long, seq long, event string, closes boolean, was string"
 RAW = "stream_id long, frame_idx long, raw string"
 
-_WHOLE = {"owner_id": "int64", "job_id": "int64", "seq": "Int64", "stage_index": "Int64", "place": "int64", "stream_id": "int64", "frame_idx": "int64"}
-
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({n: _WHOLE[n] for n in names if n in _WHOLE})
-
 
 def _rows(batches: Iterator[pd.DataFrame]) -> list[dict]:
     return [row for batch in batches for row in batch.to_dict("records")]
 
 
-def _whole(value) -> int | None:
-    return None if value is None or pd.isna(value) else int(value)
-
-
 class Places:
     """What has come of a numbered sequence: all below `next` but `missing`; `held` waits for a gap to be filled."""
 
@@ -89,25 +79,23 @@ def _timeout(ms: int | None) -> str:
 
 
 def _tail(idle: int | None):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved, closed = tuple(state.get) if state.exists else (None, False)
-        places, out, ready = Places(json.loads(saved) if saved else None), [], []
-        if state.hasTimedOut:
+    def step(key: tuple, saved: list | None, rows: list[tuple]) -> tuple[tuple, list[tuple], int | None]:
+        state, closed = saved or (None, False)
+        if closed:  # of a job that has ended only that is remembered
+            return (None, True), [], None
+        places, out, ready = Places(state), [], []
+        if not rows:  # nothing came in time
             ready = places.release()
-            if not ready and not closed:
+            if not ready:
                 out.append((*key, None, PING, None, False))
-        for row in sorted(_rows(batches), key=lambda r: r["seq"]):
-            ready += places.come(int(row["seq"]), [row["event"], _whole(row["stage_index"])])
+        for seq, event, stage in sorted(rows, key=lambda r: r[0]):
+            ready += places.come(int(seq), [event, int(stage) if stage == stage else None])  # null is not equal to itself
         for seq, (event, stage) in ready:
-            if closed:
-                break
             closed = not event.startswith("stage_")
             out.append((*key, seq, event, stage, closed))
-        # of a job that has ended only that is remembered
-        state.update((None if closed else json.dumps(places.saved()), closed))
-        if not closed and idle is not None:
-            state.setTimeoutDuration(idle)
-        yield _frame(out, FRAMES)
+            if closed:
+                return (None, True), out, None
+        return (places.saved(), False), out, idle
 
     return step
 
@@ -119,7 +107,8 @@ def tail(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     out, and with nothing waiting a `ping` does; an event that was missing then comes when it arrives. Nothing comes after the
     event that ends the job, whose state is one flag. With `idle_ms` None nothing is timed, so that a run over what is there
     (availableNow) ends; with timers a stream goes on until it is stopped."""
-    return known(events).groupBy("owner_id", "job_id").applyInPandasWithState(_tail(idle_ms), FRAMES, "places string, closed boolean", "append", _timeout(idle_ms))
+    e = known(events).select("owner_id", "job_id", "seq", "event", "stage_index")
+    return stateful(e, ["owner_id", "job_id"], _tail(idle_ms), FRAMES, "append", idle_ms is not None)
 
 
 # all jobs of an owner
@@ -158,7 +147,7 @@ def _owner(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             out.append((*key, place, job, seq, event, live))
         connected, waiting = True, []
     state.update((connected, place, json.dumps(waiting), json.dumps({k: v.saved() for k, v in seen.items()})))
-    yield _frame(out, OWNED)
+    yield frame(out, OWNED)
 
 
 def owner_tail(events: DataFrame, connections: DataFrame) -> DataFrame:
@@ -182,7 +171,7 @@ def _passing(after: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # a deleted job whose work is over
             state.remove()
-            yield _frame([], PASSED)
+            yield frame([], PASSED)
             return
         status, deleted = tuple(state.get) if state.exists else ("queued", False)
         out: list[tuple] = []
@@ -201,7 +190,7 @@ def _passing(after: int | None):
         # a deleted job is remembered as long as its work may still send events
         if deleted and status != "running" and after is not None:
             state.setTimeoutDuration(after)
-        yield _frame(out, PASSED)
+        yield frame(out, PASSED)
 
     return step
 
@@ -232,7 +221,7 @@ def _cutting(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         out.append((*key, number, raw))
         number += 1
     state.update((json.dumps(places.saved()), rest, number))
-    yield _frame(out, RAW)
+    yield frame(out, RAW)
 
 
 def frames(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from parlance.operators import jobs
 from parlance.streaming import events as S
 from parlance.streaming import keyed
+from parlance.streaming import subscriptions as U
 from tests.test_streams import SCHEMA, job
 from tests.test_subscriptions import put, stream
 
@@ -52,3 +53,18 @@ def test_a_fan_out_of_many_jobs_takes_few_calls(spark, tmp_path):
     ended = {(owner, number): event for owner, number, _, _, event, *_ in rows if not event.startswith("stage_")}
     got = [(x["owner_id"], x["job_id"], x["status"]) for x in spark.read.parquet(f"{tmp_path}/terminal").collect()]
     assert sorted(got) == sorted((*key, event.removeprefix("job_")) for key, event in ended.items())
+
+
+def test_subscribers_of_many_jobs_take_few_calls(spark, tmp_path):
+    """Each job's events in order and once, up to its end, whatever other jobs share its calls."""
+    rows, parts = many(6)
+    for part in parts:
+        put(spark, part, f"{tmp_path}/log")
+        assert run(U.tail(stream(spark, f"{tmp_path}/log"), None), tmp_path, ["out"], "append") <= keyed.GROUPS
+    got = {}
+    for x in spark.read.parquet(f"{tmp_path}/out").orderBy("batch", "seq").collect():
+        got.setdefault((x["owner_id"], x["job_id"]), []).append((x["seq"], x["event"], x["stage_index"], x["closes"]))
+    wanted = {}
+    for owner, number, seq, _, event, stage, _ in rows:
+        wanted.setdefault((owner, number), []).append((seq, event, stage, seq == 10))
+    assert got == wanted
