@@ -74,10 +74,6 @@ class Places:
 # one job
 
 
-def _timeout(ms: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
 def _tail(idle: int | None):
     def step(key: tuple, saved: list | None, rows: list[tuple]) -> tuple[tuple, list[tuple], int | None]:
         state, closed = saved or (None, False)
@@ -168,29 +164,23 @@ DELETED = "deleted"
 
 
 def _passing(after: int | None):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # a deleted job whose work is over
-            state.remove()
-            yield frame([], PASSED)
-            return
-        status, deleted = tuple(state.get) if state.exists else ("queued", False)
+    def step(key: tuple, saved: list | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple], int | None]:
+        if not rows:  # a deleted job whose work is over
+            return None, [], None
+        status, deleted = saved or ("queued", False)
         out: list[tuple] = []
-        rows = _rows(batches)
-        gone = any(r["event"] == DELETED for r in rows)
-        for row in sorted((r for r in rows if r["event"] != DELETED), key=lambda r: r["seq"]):
-            ends = not row["event"].startswith("stage_")
+        gone = any(event == DELETED for _, event in rows)
+        for seq, event in sorted((r for r in rows if r[1] != DELETED), key=lambda r: r[0]):
+            ends = not event.startswith("stage_")
             if not deleted and not gone:
-                out.append((*key, int(row["seq"]), row["event"], ends, None))
+                out.append((*key, int(seq), event, ends, None))
             if status != "ended":
                 status = "ended" if ends else "running"
         if gone and not deleted:
             deleted = True
             out.append((*key, None, DELETED, True, status))
-        state.update((status, deleted))
         # a deleted job is remembered as long as its work may still send events
-        if deleted and status != "running" and after is not None:
-            state.setTimeoutDuration(after)
-        yield frame(out, PASSED)
+        return (status, deleted), out, after if deleted and status != "running" else None
 
     return step
 
@@ -203,8 +193,8 @@ def undeleted(events: DataFrame, tombstones: DataFrame, forget_ms: int | None =
     from the batch that brings it. The state is released `forget_ms` after the work is over, or after the tombstone of a job
     that is not running; with None it stays, and a run over what is there ends. A tombstone without the job's owner deletes nothing."""
     e = known(events).select("owner_id", "job_id", "seq", "event")
-    t = tombstones.where(F.col("owner_id").isNotNull() & F.col("job_id").isNotNull()).select("owner_id", "job_id", F.lit(None).cast("long").alias("seq"), F.lit(DELETED).alias("event"))
-    return e.unionByName(t).groupBy("owner_id", "job_id").applyInPandasWithState(_passing(forget_ms), PASSED, "status string, deleted boolean", "append", _timeout(forget_ms))
+    t = tombstones.where(F.col("owner_id").isNotNull() & F.col("job_id").isNotNull()).select("owner_id", "job_id", F.lit(-1).cast("long").alias("seq"), F.lit(DELETED).alias("event"))
+    return stateful(e.unionByName(t), ["owner_id", "job_id"], _passing(forget_ms), PASSED, "append", forget_ms is not None)
 
 
 # frames

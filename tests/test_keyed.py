@@ -68,3 +68,23 @@ def test_subscribers_of_many_jobs_take_few_calls(spark, tmp_path):
     for owner, number, seq, _, event, stage, _ in rows:
         wanted.setdefault((owner, number), []).append((seq, event, stage, seq == 10))
     assert got == wanted
+
+
+def test_deletion_among_many_jobs_takes_few_calls(spark, tmp_path):
+    rows, parts = many(7)
+    gone = sorted({(owner, number) for owner, number, *_ in rows if number % 3 == 0})
+    seen = set()
+    for n, part in enumerate(parts):
+        put(spark, part, f"{tmp_path}/log")
+        put(spark, gone if n == 1 else [], f"{tmp_path}/gone", "owner_id long, job_id long")
+        df = U.undeleted(stream(spark, f"{tmp_path}/log"), stream(spark, f"{tmp_path}/gone", "owner_id long, job_id long"), None)
+        assert run(df, tmp_path, ["out"], "append") <= keyed.GROUPS
+        seen |= {e[:3] for e in part if n == 0 or (e[0], e[1]) not in set(gone)}
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(x["owner_id"], x["job_id"], x["seq"]) for x in out if x["event"] != U.DELETED} == seen
+    closed = [x for x in out if x["event"] == U.DELETED]
+    first = {}
+    for owner, number, seq, *_ in parts[0] + parts[1]:
+        first.setdefault((owner, number), set()).add(seq)
+    was = lambda key: "queued" if key not in first else "ended" if 10 in first[key] else "running"
+    assert sorted((x["owner_id"], x["job_id"], x["was"]) for x in closed) == [(*key, was(key)) for key in gone]
