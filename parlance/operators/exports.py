@@ -17,6 +17,8 @@ from parlance.sources import folders
 from parlance.sources.derived import in_order
 
 RULE = "=" * 40
+#: Bytes of members that are handed over at a time, and workbooks.
+AT_ONCE, BOOKS = 8 << 20, 100
 
 
 def block(start: Column, end: Column, speaker: Column, text: Column) -> Column:
@@ -161,11 +163,20 @@ def unpacked(zips: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("job_id",)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        made, size = [], 0
+        shown = lambda: pd.DataFrame(made, columns=[*keys, "pos", "member", "content"])
         for batch in batches:
             for *key, data in zip(*(batch[k] for k in keys), batch["archive"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                    names = z.namelist()
-                    yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "pos": range(len(names)), "member": names, "content": [z.read(n) for n in names]})
+                    for pos, name in enumerate(z.namelist()):
+                        made.append((*key, pos, name, z.read(name)))
+                        size += len(made[-1][-1])
+                if size >= AT_ONCE:  # a frame costs some milliseconds, so it has many small archives
+                    yield shown()
+                    made, size = [], 0
+            if made:
+                yield shown()
+                made, size = [], 0
 
     kinds = T.StructType([*(zips.schema[k] for k in keys), *T.StructType.fromDDL("pos long, member string, content binary").fields])
     return zips.select(*keys, "archive").mapInPandas(run, kinds)
@@ -174,14 +185,24 @@ def unpacked(zips: DataFrame, *keys: str) -> DataFrame:
 def workbooks(tables: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
     """(key, content): a workbook of one sheet for each key, rows in order, without columns that a key has no values for; a
     key's rows are one file's table."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(by)[columns].astype(object).where(lambda d: d.notna(), None)
-        some = [c for c in columns if rows[c].notna().any()]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [sheet(some, map(tuple, rows[some].values.tolist()))]})
+    import pyarrow as pa
 
-    return tables.select(key, by, *(c for c in columns if c not in (key, by))).groupBy(key).applyInPandas(run, f"{key} long, content binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), BOOKS):
+                some = batch.slice(start, BOOKS)
+                made = [book([r["v"] for r in rows.as_py()]) for rows in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made, pa.binary())], [key, "content"])
+
+    def book(rows: list[dict]) -> bytes:
+        rows = [{c: None if v != v else v for c, v in r.items()} for r in rows]
+        some = [c for c in columns if any(r[c] is not None for r in rows)]
+        return sheet(some, ([r[c] for c in some] for r in rows))
+
+    # rows are gathered by Spark, not as a frame a file, which would cost some milliseconds each
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(by).alias("i"), F.struct(*columns).alias("v"))))
+    each = tables.groupBy(F.col(key).cast("long").alias(key)).agg(pairs.alias("rows"))
+    return each.mapInArrow(run, f"{key} long, content binary")
 
 
 #: What can be asked for by name, and its media type.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,19 +264,22 @@ def shown_members(zips: DataFrame, *keys: str) -> DataFrame:
     return each.withColumn("line", line).groupBy(*keys).agg(D.in_order("line", "pos", "\n").alias("shown"))
 
 
-def shown_files(found: DataFrame, key: str) -> DataFrame:
-    """(key, artifact, shown) of files read again (key, artifact, content): the text, or a workbook's cells, or members."""
+BOOKS, ZIPS = (".xlsx",), (".zip",)
+
+
+def shown_files(found, key: str) -> DataFrame:
+    """(key, artifact, shown) of files read again: the text, or a workbook's cells, or members. `found` gives (key, artifact,
+    content) of the files whose names have some ends and not others, so that each file is read once."""
     keys = [key, "artifact"]
-    books, zips = C("artifact").endswith(".xlsx"), C("artifact").endswith(".zip")
-    text = found.where(~books & ~zips).select(*keys, F.decode("content", "utf-8").alias("shown"))
-    sheet = E.unpacked(found.where(books).withColumnRenamed("content", "archive"), *keys).where("member = 'xl/worksheets/sheet1.xml'")
+    text = found(but=BOOKS + ZIPS).select(*keys, F.decode("content", "utf-8").alias("shown"))
+    sheet = E.unpacked(found(only=BOOKS).withColumnRenamed("content", "archive"), *keys).where("member = 'xl/worksheets/sheet1.xml'")
     cells = F.regexp_extract_all(F.decode("content", "utf-8"), F.lit("<(?:t xml:space=\"preserve\"|v)>([^<]*)<"), F.lit(1))
-    return text.unionByName(sheet.select(*keys, F.array_join(cells, " ").alias("shown"))).unionByName(shown_members(found.where(zips), *keys))
+    return text.unionByName(sheet.select(*keys, F.array_join(cells, " ").alias("shown"))).unionByName(shown_members(found(only=ZIPS), *keys))
 
 
-def reread(spark, at: str, key: str) -> DataFrame:
+def reread(spark, at: str, key: str, only: tuple = (), but: tuple = ()) -> DataFrame:
     """(key, artifact, content) of files <key>/<artifact> under a path."""
-    found = files.read(spark, at)
+    found = files.contents(spark, at, only, but)
     return found.select(F.substring_index("name", "/", 1).cast("long").alias(key), F.substring_index("name", "/", -1).alias("artifact"), "content")
 
 
@@ -288,7 +291,7 @@ def artifact_files(spark, sf) -> DataFrame:
     at = folders.new(spark, "artifacts")
     files.write(single.unionByName(zips), at, ["place"])
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in E.ARTIFACTS.items() for x in kv)), C("artifact"))
-    return shown_files(reread(spark, at, "file_id"), "file_id").withColumn("media_type", kind)
+    return shown_files(partial(reread, spark, at, "file_id"), "file_id").withColumn("media_type", kind)
 
 
 def batch_artifact_files(spark, sf) -> DataFrame:
@@ -305,7 +308,7 @@ def batch_artifact_files(spark, sf) -> DataFrame:
     sums = E.manifest(sums, "owner_id", ["file_id"]).select(F.concat(C("owner_id").cast("string"), F.lit("/archive.zip")).alias("name"), F.lit("batch_summaries.txt").alias("member"), F.lit(-1).cast("long").alias("job"), F.lit(0).cast("long").alias("place"), F.encode("content", "utf-8").alias("content"))
     at = folders.new(spark, "artifacts")
     files.write(lines.unionByName(members_).unionByName(sums), at, ["job", "place"])
-    return shown_files(reread(spark, at, "owner_id"), "owner_id")
+    return shown_files(partial(reread, spark, at, "owner_id"), "owner_id")
 
 
 def local_transcripts(spark, sf) -> DataFrame:
@@ -315,7 +318,7 @@ def local_transcripts(spark, sf) -> DataFrame:
     made = E.archive_rows(produced.rendered().where(C("artifact").isin(*some)), F.concat_ws("/", "file_id", "file_id"))
     at = folders.new(spark, "local")
     files.write(made.select(C("member").alias("name"), "place", "content"), at, ["place"])
-    found = files.read(spark, at).select(F.substring_index("name", "/", 1).cast("long").alias("file_id"), C("name").alias("artifact"), "content")
+    found = lambda only=(), but=(): files.contents(spark, at, only, but).select(F.substring_index("name", "/", 1).cast("long").alias("file_id"), C("name").alias("artifact"), "content")
     return shown_files(found, "file_id").select(C("artifact").alias("name"), "shown")
 
 

@@ -148,6 +148,52 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return full
 
 
+def _hidden(name: str) -> bool:
+    return any(part.startswith((".", "_")) for part in name.split("/"))
+
+
+#: What a task of `contents` hands over at a time: bytes, and files.
+AT_ONCE, MOST_FILES = 8 << 20, 1000
+
+
+def contents(spark: SparkSession, path: str, only: tuple[str, ...] = (), but: tuple[str, ...] = ()) -> DataFrame:
+    """(name, content) of all files under a path, or of those whose names have one of the ends `only` and none of `but`.
+
+    For many small files: Spark's reader plans a task for every few of them. Here the driver lists what is right under the path;
+    tasks get an equal number of these folders and files, and list and read what is in them."""
+    from pyarrow import fs
+
+    system, root = filesystem(path)
+    tops = [(f.base_name,) for f in system.get_file_info(fs.FileSelector(root)) if not _hidden(f.base_name)]
+    parts = max(1, min(len(tops), max(4 * spark.sparkContext.defaultParallelism, len(tops) // 256)))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        system, root = filesystem(path)
+        names, held, size = [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["name", "content"])
+        for top in (top for batch in batches for top in batch.column(0).to_pylist()):
+            found = [system.get_file_info(f"{root}/{top}")]
+            if found[0].type == fs.FileType.Directory:
+                found = system.get_file_info(fs.FileSelector(f"{root}/{top}", recursive=True))
+            for f in found:
+                name = posixpath.relpath(f.path, root)
+                if f.type != fs.FileType.File or _hidden(name) or (only and not name.endswith(only)) or (but and name.endswith(but)):
+                    continue
+                with system.open_input_stream(f.path, compression=None) as file:
+                    held.append(file.read())
+                names.append(name)
+                size += len(held[-1])
+                if size >= AT_ONCE or len(names) >= MOST_FILES:
+                    yield made()
+                    names, held, size = [], [], 0
+        if names:
+            yield made()
+
+    return spark.createDataFrame(tops, "top string").repartition(parts).mapInArrow(run, "name string, content binary")
+
+
 def received(spark: SparkSession, path: str, most: int) -> DataFrame:
     """(name, length, accepted, digest) of the files under a path. Those above `most` bytes are refused by their length, which
     the reader tells before it opens them; only the others are read, and have a hash."""
